@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, packing
+from . import langid, lattice, media, packing
 from .common import documents
 
 
@@ -14,8 +14,18 @@ def op5_best_fit_packing(spark, sf_dir):
     return packing.pack(spark, packing.token_pieces(documents(spark, sf_dir)))
 
 
+def op6_language_id(spark, sf_dir):
+    return langid.identify(spark, documents(spark, sf_dir))
+
+
+def op9_lm_scoring(spark, sf_dir):
+    return lattice.score_texts(spark, documents(spark, sf_dir))
+
+
 QUERIES = {
     "op3_media_columns": op3_media_columns,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_language_id": op6_language_id,
+    "op9_lm_scoring": op9_lm_scoring,
 }
 ORACLES: dict[str, str] = {}
