@@ -20,6 +20,7 @@ cut. Columns other than the id and the text aren't read.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -35,7 +36,7 @@ from .common import blocks, staged
 
 CAPACITY, END_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -45,46 +46,75 @@ class WordTokenizer:
     """Token ids of texts, word by word.
 
     The vocabulary drops white space before it looks at anything else, so the ids of a text
-    are those of its words between ASCII white space, one after the other. Distinct words
-    are encoded once and remembered.
+    are those of its words between ASCII white space, one after the other. Distinct words of
+    a block are encoded once, many to a call with a special token between them; the first
+    ``REMEMBERED`` distinct words of a process are kept.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.between, self.between_id = next((t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special)
         self.places: dict[str, int] = {}
-        self.starts = np.zeros(1, dtype=np.int64)
+        self.sizes = np.empty(0, dtype=np.int64)
         self.ids = np.empty(0, dtype=np.uint32)
 
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each word has."""
+        mark = f" {self.between} "
+        found, runs = [], []
+        plain = [i for i, w in enumerate(words) if "<|" not in w]
+        for start in range(0, len(plain), 16_000):
+            chunk = plain[start : start + 16_000]
+            joined = [mark.join([words[i] for i in chunk[k : k + 400]]) for k in range(0, len(chunk), 400)]
+            for k, e in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+                ids = np.array([*e.ids, self.between_id], dtype=np.uint32)
+                ends = np.flatnonzero(ids == self.between_id)
+                runs.append(np.diff(ends, prepend=-1) - 1)
+                found.append(ids[ids != self.between_id])
+                assert len(ends) == len(chunk[400 * k : 400 * k + 400])
+        if len(plain) < len(words):  # a word may hold the text of a special token itself
+            sizes = np.zeros(len(words), dtype=np.int64)
+            sizes[plain] = np.concatenate(runs) if runs else 0
+            pool, stop = (np.concatenate(found) if found else np.empty(0, np.uint32)), np.cumsum(sizes)
+            odd = {i: np.array(self.tokenizer.encode(words[i], add_special_tokens=False).ids, dtype=np.uint32) for i in sorted(set(range(len(words))) - set(plain))}
+            parts, at = [], 0
+            for i, ids in odd.items():
+                parts += [pool[at : stop[i]], ids]
+                at = stop[i]
+                sizes[i] = len(ids)
+            return np.concatenate([*parts, pool[at:]]), sizes
+        return (np.concatenate(found), np.concatenate(runs)) if found else (np.empty(0, np.uint32), np.empty(0, np.int64))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text ends in them."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         words, ends = split.flatten(), np.asarray(split.offsets)[1:].astype(np.int64) - split.offsets[0].as_py()
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.places]
-        if len(new) + len(self.places) > REMEMBERED:
-            self.places, self.starts, self.ids = {}, np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.uint32)
-            new = distinct
-        if new:
-            self._learn(new)
-        place = np.fromiter((self.places[w] for w in distinct), dtype=np.int64, count=len(distinct))
+        place = np.fromiter((self.places.get(w, -1) for w in distinct), dtype=np.int64, count=len(distinct))
+        ids, sizes = self.ids, self.sizes
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            new = [distinct[i] for i in missing]
+            own, n = self._encode_words(new)
+            place[missing] = len(sizes) + np.arange(len(new))
+            ids, sizes = np.concatenate([ids, own]), np.concatenate([sizes, n])
+            room = min(len(new), REMEMBERED - len(self.places))
+            if room > 0:
+                self.places.update(zip(new[:room], range(len(self.places), len(self.places) + room), strict=True))
+                self.sizes = sizes[: len(self.places)].copy()
+                self.ids = ids[: int(self.sizes.sum())].copy()
+        starts = np.cumsum(sizes) - sizes
         word = place[np.asarray(coded.indices)] if len(distinct) else np.empty(0, dtype=np.int64)
-        first, n = self.starts[word], self.starts[word + 1] - self.starts[word]
+        n = sizes[word]
         total = np.cumsum(n)
-        out = np.arange(int(total[-1]) if len(total) else 0, dtype=np.int64)
-        out += np.repeat(first - (total - n), n)
+        at = np.arange(int(total[-1]) if len(total) else 0, dtype=np.int64)
+        at += np.repeat(starts[word] - (total - n), n)
         until = np.concatenate([[0], total])
-        return self.ids[out], until[ends]
-
-    def _learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        at = len(self.places)
-        self.places.update(zip(words, range(at, at + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(lengths.sum()))])
+        return ids[at], until[ends]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
