@@ -6,7 +6,11 @@ subword vocabulary. The vocabulary's scores weight the arcs: the file holds rank
 -r), which give the weights of a Zipf law 1 / (ZIPF - score), normalised over the pieces;
 characters without a piece take byte arcs of a small share. A forward recursion in log space
 sums over all segmentations, so a word gets its marginal probability ``L(w)``. Segmentations
-don't cross words, so the marginal of a text is the sum of its words' log marginals.
+don't cross words, so the marginal of a text is the sum of its words' log marginals. The
+training texts adapt the weights by one step of expectation maximisation: the pieces'
+expected numbers over all segmentations of every distinct training word, weighted by the
+vocabulary's scores, are added to ``PRIOR`` pseudo-counts dealt out by these scores. The
+pieces themselves stay as they are.
 
 The training texts add one arc for each whole word they hold, by absolute discounting:
 P(w) = max(c - D, 0) / N + D * V / N * L(w), where c, N and V are the counts of the contract
@@ -38,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import blocks, crc_fold, staged
 
 VOCABULARY = "piece_bpe_32k.model"
-ZIPF, BYTE_SHARE, STOP = 2.7, 1e-3, 0.25
+ZIPF, BYTE_SHARE, STOP, PRIOR = 2.7, 1e-3, 0.25, 2000.0
 HEAD = 65_536
 BLOCK_BYTES = 24 << 20
 SPACE = "▁"
@@ -47,7 +51,7 @@ SPACE = "▁"
 class Lattice:
     """Marginal log probabilities of words under a piece vocabulary."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, expected: dict[str, float] | None = None):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -57,6 +61,9 @@ class Lattice:
             if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i)) and score > -1e8:
                 weights[model.id_to_piece(i)] = 1.0 / (ZIPF - score)
         total = sum(weights.values())
+        if expected:
+            weights = {k: PRIOR * v / total + expected.get(k, 0.0) for k, v in weights.items()}
+            total = sum(weights.values())
         go_on = math.log1p(-STOP)
         self.arcs = {k: math.log(v / total * (1 - BYTE_SHARE)) + go_on for k, v in weights.items()}
         self.byte = math.log(BYTE_SHARE / 256) + go_on
@@ -89,15 +96,60 @@ class Lattice:
         top = max(terms)
         return top + log(sum([exp(t - top) for t in terms])) + self.end
 
+    def expect(self, word: str, counts: dict[str, float]) -> None:
+        """Adds each piece's expected number over the segmentations of a word to ``counts``."""
+        s = SPACE + word
+        n = len(s)
+        arcs, longest, byte = self.arcs.get, self.longest, self.byte
+        exp, log = math.exp, math.log
+        incoming: list[list[float]] = [[] for _ in range(n + 1)]
+        incoming[0].append(0.0)
+        outgoing: list[list[tuple[int, str | None, float]]] = []
+        alpha = [0.0] * (n + 1)
+        for i in range(n + 1):
+            terms = incoming[i]
+            top = max(terms)
+            alpha[i] = here = top + log(sum([exp(t - top) for t in terms])) if len(terms) > 1 else top
+            if i == n:
+                break
+            out: list[tuple[int, str | None, float]] = []
+            for j in range(i + 1, min(n, i + longest) + 1):
+                w = arcs(s[i:j])
+                if w is not None:
+                    incoming[j].append(here + w)
+                    out.append((j, s[i:j], w))
+            c = s[i]
+            w = byte * (1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass")))
+            incoming[i + 1].append(here + w)
+            out.append((i + 1, None, w))
+            outgoing.append(out)
+        beta = [0.0] * (n + 1)
+        whole = alpha[n]
+        for i in range(n - 1, -1, -1):
+            terms = [w + beta[j] for j, _, w in outgoing[i]]
+            top = max(terms)
+            beta[i] = top + log(sum([exp(t - top) for t in terms]))
+            shift = alpha[i] - whole
+            for (_, piece, _), t in zip(outgoing[i], terms, strict=True):
+                if piece is not None:
+                    counts[piece] = counts.get(piece, 0.0) + exp(t + shift)
+
+
+def vocabulary_path(path: str | None) -> str:
+    """The given vocabulary file, or the public one installed beside Python."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(VOCABULARY)
+    return path
+
 
 _lattices: dict[str, Lattice] = {}
 
 
 def lattice_at(path: str | None) -> Lattice:
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path(VOCABULARY)
+    """This process's lattice with a vocabulary's own weights."""
+    path = vocabulary_path(path)
     if path not in _lattices:
         _lattices[path] = Lattice(path)
     return _lattices[path]
@@ -138,9 +190,27 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text", "held_out").mapInArrow(run, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def with_lattice(words: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def expected_pieces(words: DataFrame, vocabulary: str | None = None) -> dict[str, float]:
+    """Expected numbers of pieces over the distinct training words: as many rows as the vocabulary at most."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = lattice_at(vocabulary)
+        counts: dict[str, float] = {}
+        for batch in batches:
+            for word in batch.column("word").to_pylist():
+                lattice.expect(word, counts)
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.float64())], names=["piece", "n"])
+
+    found = words.where(F.col("c") > 0).select("word").mapInArrow(run, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    return {r["piece"]: round(r["n"], 6) for r in found}
+
+
+def with_lattice(spark: SparkSession, words: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """``words`` with ``spelled``, the natural log of L(w) under the adapted weights."""
+    expected = spark.sparkContext.broadcast(expected_pieces(words, vocabulary))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(vocabulary_path(vocabulary), expected.value)
         for batch in batches:
             found = np.fromiter(map(lattice.log_probability, batch.column("word").to_pylist()), np.float64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=["word", "c", "n", "spelled"])
@@ -177,7 +247,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 10, held_out:
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (crc_fold("doc_id", folds) == held_out).alias("held_out"), F.col("text").cast("string").alias("text")
     )
-    words = staged(spark, with_lattice(count_words(rows), vocabulary), "words")
+    words = staged(spark, with_lattice(spark, staged(spark, count_words(rows), "word-counts"), vocabulary), "words")
     ends = rows.where(~F.col("held_out")).count()
     sums = words.agg(
         F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import langid, lattice, media, packing
-from .common import documents
+from . import archives, htmltext, langid, lattice, media, packing
+from .common import documents, pages
 
 
 def op3_media_columns(spark, sf_dir):
@@ -22,10 +22,32 @@ def op9_lm_scoring(spark, sf_dir):
     return lattice.score_texts(spark, documents(spark, sf_dir))
 
 
+def op4_html_extraction(spark, sf_dir):
+    return htmltext.main_text(pages(spark, sf_dir))
+
+
+def op2_warc(spark, sf_dir):
+    return archives.archive(spark, pages(spark, sf_dir)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
+    "op2_warc": op2_warc,
+    "op4_html_extraction": op4_html_extraction,
     "op3_media_columns": op3_media_columns,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_language_id": op6_language_id,
     "op9_lm_scoring": op9_lm_scoring,
 }
-ORACLES: dict[str, str] = {}
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages
+), last AS (
+  SELECT digest, max(page_id) AS last_page FROM p WHERE n >= 1000 GROUP BY digest
+)
+SELECT page_id, n AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> last_page THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> last_page THEN last_page END AS refers_to
+FROM p LEFT JOIN last ON p.digest = last.digest
+"""
+
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL}
