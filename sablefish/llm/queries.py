@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archives, htmltext, langid, lattice, media, packing
+from . import archives, htmltext, langid, lattice, media, mixing, packing, sketches
 from .common import documents, pages
 
 
@@ -30,7 +30,17 @@ def op2_warc(spark, sf_dir):
     return archives.archive(spark, pages(spark, sf_dir)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op1_mixing(spark, sf_dir):
+    return mixing.mix(spark, documents(spark, sf_dir)).select("doc_id", "source", "lang", "topic", "n_tokens", "prob")
+
+
+def op7_document_fingerprints(spark, sf_dir):
+    return sketches.fingerprints(spark, documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op7_document_fingerprints": op7_document_fingerprints,
+    "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
     "op4_html_extraction": op4_html_extraction,
     "op3_media_columns": op3_media_columns,
@@ -50,4 +60,4 @@ SELECT page_id, n AS payload_bytes, p.digest AS payload_digest,
 FROM p LEFT JOIN last ON p.digest = last.digest
 """
 
-ORACLES: dict[str, str] = {"op2_warc": OP2_SQL}
+ORACLES: dict[str, str] = {"op1_mixing": mixing.oracle_sql(), "op2_warc": OP2_SQL}
