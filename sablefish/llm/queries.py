@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archives, htmltext, langid, lattice, media, mixing, packing, sketches
+from . import archives, htmltext, langid, lattice, linededup, media, mixing, packing, sketches
 from .common import documents, pages
 
 
@@ -38,7 +38,12 @@ def op7_document_fingerprints(spark, sf_dir):
     return sketches.fingerprints(spark, documents(spark, sf_dir))
 
 
+def op8_line_dedup(spark, sf_dir):
+    return linededup.dedup_lines(spark, documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_exact", "n_near")
+
+
 QUERIES = {
+    "op8_line_dedup": op8_line_dedup,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
@@ -60,4 +65,4 @@ SELECT page_id, n AS payload_bytes, p.digest AS payload_digest,
 FROM p LEFT JOIN last ON p.digest = last.digest
 """
 
-ORACLES: dict[str, str] = {"op1_mixing": mixing.oracle_sql(), "op2_warc": OP2_SQL}
+ORACLES: dict[str, str] = {"op1_mixing": mixing.oracle_sql(), "op2_warc": OP2_SQL, "op8_line_dedup": linededup.oracle_sql()}

@@ -45,10 +45,10 @@ def digests(text: str) -> str:
     return f"array_distinct(transform(filter(split({text}, '\\n'), p -> trim(p) <> ''), p -> xxhash64(p)))"
 
 
-def spots(d: str) -> str:
-    """A digest with its cells, check value and block hash."""
-    cells = ", ".join(f"{k * THIRD} + CAST(pmod(xxhash64({d}, {k + 1}), {THIRD}) AS INT) AS c{k}" for k in range(3))
-    return f"struct({d} AS d, {cells}, xxhash64({d}, 4) AS h, xxhash64({d}, 5) AS b)"
+def spots(d: str, blocks: str = "1") -> str:
+    """A digest with its cells, check value and block; sketches of different sizes hash anew."""
+    cells = ", ".join(f"{k * THIRD} + CAST(pmod(xxhash64({d}, {k + 1}, {blocks}), {THIRD}) AS INT) AS c{k}" for k in range(3))
+    return f"struct({d} AS d, {cells}, xxhash64({d}, 4) AS h, pmod(xxhash64({d}, 5, {blocks}), {blocks}) AS b)"
 
 
 def sketch(items: str) -> str:
@@ -61,11 +61,11 @@ def subtract(a: str, b: str) -> str:
     return f"zip_with({a}, {b}, (p, q) -> struct(p.n - q.n AS n, p.k ^ q.k AS k, p.h ^ q.h AS h))"
 
 
-def peel(cells: str) -> str:
+def peel(cells: str, blocks: str) -> str:
     """``found`` (digests) and ``cells`` (what is left) of a subtracted block."""
     pure = """array_distinct(transform(filter(s.cells, c -> abs(c.n) = 1 AND xxhash64(c.k, 4) = c.h),
         c -> struct(c.k AS d, c.n AS n)))"""
-    placed = f"transform({pure}, y -> struct(y.n AS n, {spots('y.d')} AS x))"
+    placed = f"transform({pure}, y -> struct(y.n AS n, {spots('y.d', blocks)} AS x))"
     step = let(
         "took",
         placed,
@@ -79,18 +79,20 @@ def peel(cells: str) -> str:
 
 
 def attempt(a: str, b: str, blocks: str) -> str:
-    """``ok``, ``found`` and ``blocks`` of a difference over so many blocks; a and b are names of arrays of ``spots``."""
+    """``ok``, ``found`` and ``blocks`` of a difference over so many blocks; a and b are names of arrays of digests."""
     block = let(
         "one",
-        f"struct(filter({a}, x -> pmod(x.b, {blocks}) = g) AS p, filter({b}, x -> pmod(x.b, {blocks}) = g) AS q)",
-        let("own", "struct(one.p AS p, one.q AS q)", peel(subtract(sketch("own.p"), sketch("own.q")))),
+        "struct(filter(spot.a, x -> x.b = g) AS p, filter(spot.b, x -> x.b = g) AS q)",
+        peel(subtract(sketch("one.p"), sketch("one.q")), blocks),
     )
-    return let(
+    spot = f"struct(transform({a}, d -> {spots('d', blocks)}) AS a, transform({b}, d -> {spots('d', blocks)}) AS b)"
+    whole = let(
         "peeled",
         f"transform(sequence(0, CAST({blocks} - 1 AS INT)), g -> {block})",
         f"""struct(forall(peeled, y -> forall(y.cells, c -> c.n = 0 AND c.k = 0 AND c.h = 0)) AS ok,
             flatten(transform(peeled, y -> y.found)) AS found, CAST({blocks} AS INT) AS blocks)""",
     )
+    return let("spot", spot, whole)
 
 
 def difference(a: str, b: str) -> str:
@@ -101,12 +103,11 @@ def difference(a: str, b: str) -> str:
     of different digests), the arrays are compared as they are.
     """
     sizes = f"transform(sequence(0, {MOST_GROWTHS}), e -> CAST(pow({GROWTH}, e) AS INT))"
-    run = f"""aggregate(filter({sizes}, z -> z <= {GROWTH} * {GROWTH} * (size(two.a) + size(two.b) + 1)),
+    run = f"""aggregate(filter({sizes}, z -> z <= {GROWTH} * {GROWTH} * {GROWTH} * (size(two.a) + size(two.b) + 1)),
         struct(false AS ok, CAST(array() AS ARRAY<BIGINT>) AS found, 0 AS blocks),
         (u, z) -> IF(u.ok OR abs(size(two.a) - size(two.b)) > {CELLS} * z, u, {attempt('two.a', 'two.b', 'z')}))"""
     whole = f"concat(array_except({a}, {b}), array_except({b}, {a}))"
-    placed = f"struct(transform({a}, d -> {spots('d')}) AS a, transform({b}, d -> {spots('d')}) AS b)"
-    return let("last", let("two", placed, run), f"IF(last.ok, struct(last.found AS found, last.blocks AS blocks), struct({whole} AS found, -1 AS blocks))")
+    return let("last", let("two", f"struct({a} AS a, {b} AS b)", run), f"IF(last.ok, struct(last.found AS found, last.blocks AS blocks), struct({whole} AS found, -1 AS blocks))")
 
 
 def fingerprint(text: str, found: str) -> str:
