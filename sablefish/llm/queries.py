@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archives, htmltext, langid, lattice, linededup, media, mixing, packing, sketches
+from . import archives, htmltext, langid, lattice, linededup, media, mixing, neardup, packing, sketches
 from .common import documents, pages
 
 
@@ -42,7 +42,12 @@ def op8_line_dedup(spark, sf_dir):
     return linededup.dedup_lines(spark, documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_exact", "n_near")
 
 
+def op10_minhash_near_dedup(spark, sf_dir):
+    return neardup.classes(spark, documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op1_mixing": op1_mixing,
