@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import core
+
+QUERIES = {**core.QUERIES}
+ORACLES = {**core.ORACLES}

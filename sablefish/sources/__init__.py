@@ -1 +1,16 @@
+"""Readers of the engine's inputs."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: The relational tables the catalog queries run on.
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A Parquet table of a folder."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
