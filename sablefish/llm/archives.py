@@ -67,15 +67,25 @@ def gzip_member(data: bytes) -> bytes:
     return pack.compress(data) + pack.flush()
 
 
-def members(data: bytes) -> bytes:
-    """All gzip members of ``data`` (zero padding between and after them is skipped), or plain data as it is."""
+def members(data: bytes, chunk: int = 8192) -> bytes:
+    """All gzip members of ``data`` (zero padding between and after them is skipped), or plain data as it is.
+
+    Input goes in by chunks, so that what follows a member is copied a chunk at a time only.
+    """
     if data[:2] != b"\x1f\x8b":
         return data.rstrip(b"\0") if data[-1:] == b"\0" else data
-    out = []
-    while data:
+    out, at, view = [], 0, memoryview(data)
+    while at < len(data):
+        if data[at] == 0:
+            at += 1
+            continue
         unpack = zlib.decompressobj(31)
-        out.append(unpack.decompress(data) + unpack.flush())
-        data = unpack.unused_data.lstrip(b"\0")
+        while not unpack.eof:
+            if at >= len(data):
+                raise ArchiveError("the last gzip member is cut off")
+            part = view[at : at + chunk]
+            out.append(unpack.decompress(part))
+            at += len(part) - len(unpack.unused_data)
     return b"".join(out)
 
 
@@ -311,17 +321,28 @@ def revisits(spark: SparkSession, index: DataFrame) -> DataFrame:
 def convert_volumes(spark: SparkSession, arcs: DataFrame, repeats: DataFrame, path: str) -> None:
     """WARC volumes with a record for each record of the ARC volumes."""
 
+    names = ["record", "volume", "at", "url", "ip", "date", "type", "body"]
+
+    def as_batch(held: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.string(), pa.int64(), *[pa.string()] * 4, pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
+                held: list[tuple] = []
+                size = 0
                 for arc in read_arc(content.as_py()):
-                    if arc.fields["url"].startswith("filedesc:"):
+                    f = arc.fields
+                    if f["url"].startswith("filedesc:"):
                         continue
-                    fields = [arc.fields[k] for k in ("url", "ip", "date", "type")]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([record_id(arc.volume, arc.offset)]), pa.array([arc.volume]), pa.array([arc.offset], pa.int64()), *(pa.array([x]) for x in fields), pa.array([arc.body], pa.binary())],
-                        names=["record", "volume", "at", "url", "ip", "date", "type", "body"],
-                    )
+                    held.append((record_id(arc.volume, arc.offset), arc.volume, arc.offset, f["url"], f["ip"], f["date"], f["type"], arc.body))
+                    size += len(arc.body)
+                    if size > VOLUME_BYTES:
+                        yield as_batch(held)
+                        held, size = [], 0
+                if held:
+                    yield as_batch(held)
 
     rows = arcs.mapInArrow(parse, "record string, volume string, at long, url string, ip string, date string, type string, body binary")
     few = repeats.limit(BROADCAST_REVISITS + 1).count() <= BROADCAST_REVISITS
