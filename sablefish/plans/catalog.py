@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import core
+from . import core, extraction
 
-QUERIES = {**core.QUERIES}
-ORACLES = {**core.ORACLES}
+QUERIES = {**core.QUERIES, **extraction.QUERIES}
+ORACLES = {**core.ORACLES, **extraction.ORACLES}
