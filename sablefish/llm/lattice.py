@@ -43,6 +43,7 @@ from .common import blocks, crc_fold, staged
 
 VOCABULARY = "piece_bpe_32k.model"
 ZIPF, BYTE_SHARE, STOP, PRIOR = 2.7, 1e-3, 0.25, 2000.0
+PER_CHARACTER = 20.0
 HEAD = 65_536
 BLOCK_BYTES = 24 << 20
 SPACE = "▁"
@@ -65,10 +66,15 @@ class Lattice:
             weights = {k: PRIOR * v / total + expected.get(k, 0.0) for k, v in weights.items()}
             total = sum(weights.values())
         go_on = math.log1p(-STOP)
-        self.arcs = {k: math.log(v / total * (1 - BYTE_SHARE)) + go_on for k, v in weights.items()}
+        self.arcs: dict[str, float | None] = {k: math.log(v / total * (1 - BYTE_SHARE)) + go_on for k, v in weights.items()}
         self.byte = math.log(BYTE_SHARE / 256) + go_on
         self.end = math.log(STOP) - go_on
         self.longest = max(map(len, self.arcs))
+        self.weights = {k: math.exp(v) * PER_CHARACTER ** len(k) for k, v in self.arcs.items()}
+        self.byte_weight = math.exp(self.byte)
+        # None for a beginning of a piece that is none itself; what isn't here begins no piece
+        self.arcs.update(dict.fromkeys({k[:n] for k in self.arcs for n in range(1, len(k))} - self.arcs.keys()))
+        self.weights.update({k: None for k, v in self.arcs.items() if v is None})
 
     def log_probability(self, word: str) -> float:
         """Natural log of the summed weight of all segmentations of a word."""
@@ -87,9 +93,11 @@ class Lattice:
                 here = top + log(sum([exp(t - top) for t in terms]))
             incoming[i] = ()
             for j in range(i + 1, min(n, i + longest) + 1):
-                w = arcs(s[i:j])
-                if w is not None:
+                w = arcs(s[i:j], 0)
+                if w:
                     incoming[j].append(here + w)
+                elif w == 0:
+                    break
             c = s[i]
             incoming[i + 1].append(here + byte * (1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))))
         terms = incoming[n]
@@ -97,42 +105,56 @@ class Lattice:
         return top + log(sum([exp(t - top) for t in terms])) + self.end
 
     def expect(self, word: str, counts: dict[str, float]) -> None:
-        """Adds each piece's expected number over the segmentations of a word to ``counts``."""
+        """Adds each piece's expected number over the segmentations of a word to ``counts``.
+
+        Every segmentation covers all characters, so a factor for each character changes no
+        expectation; with it the sums of words of usual length stay in range as plain numbers.
+        Where they don't, they are taken in log space.
+        """
         s = SPACE + word
         n = len(s)
-        arcs, longest, byte = self.arcs.get, self.longest, self.byte
-        exp, log = math.exp, math.log
-        incoming: list[list[float]] = [[] for _ in range(n + 1)]
-        incoming[0].append(0.0)
-        outgoing: list[list[tuple[int, str | None, float]]] = []
+        weights, longest = self.weights.get, self.longest
         alpha = [0.0] * (n + 1)
-        for i in range(n + 1):
-            terms = incoming[i]
-            top = max(terms)
-            alpha[i] = here = top + log(sum([exp(t - top) for t in terms])) if len(terms) > 1 else top
-            if i == n:
-                break
-            out: list[tuple[int, str | None, float]] = []
+        alpha[0] = 1.0
+        found: list[tuple[int, int, str | None, float]] = []
+        for i in range(n):
+            here = alpha[i]
             for j in range(i + 1, min(n, i + longest) + 1):
-                w = arcs(s[i:j])
-                if w is not None:
-                    incoming[j].append(here + w)
-                    out.append((j, s[i:j], w))
+                piece = s[i:j]
+                w = weights(piece, 0)
+                if w:
+                    alpha[j] += here * w
+                    found.append((i, j, piece, w))
+                elif w == 0:
+                    break
             c = s[i]
-            w = byte * (1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass")))
-            incoming[i + 1].append(here + w)
-            out.append((i + 1, None, w))
-            outgoing.append(out)
-        beta = [0.0] * (n + 1)
+            w = self.byte_weight ** (1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))) * PER_CHARACTER
+            alpha[i + 1] += here * w
+            found.append((i, i + 1, None, w))
         whole = alpha[n]
-        for i in range(n - 1, -1, -1):
-            terms = [w + beta[j] for j, _, w in outgoing[i]]
-            top = max(terms)
-            beta[i] = top + log(sum([exp(t - top) for t in terms]))
-            shift = alpha[i] - whole
-            for (_, piece, _), t in zip(outgoing[i], terms, strict=True):
-                if piece is not None:
-                    counts[piece] = counts.get(piece, 0.0) + exp(t + shift)
+        if not 1e-250 < whole < 1e250 or not all(1e-250 < a < 1e250 for a in alpha):
+            self._expect_logs(s, found, counts)
+            return
+        beta = [0.0] * (n + 1)
+        beta[n] = 1.0 / whole
+        for i, j, piece, w in reversed(found):
+            t = w * beta[j]
+            beta[i] += t
+            if piece is not None:
+                counts[piece] = counts.get(piece, 0.0) + alpha[i] * t
+
+    @staticmethod
+    def _expect_logs(s: str, found: list[tuple[int, int, str | None, float]], counts: dict[str, float]) -> None:
+        n = len(s)
+        alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+        alpha[0] = beta[n] = 0.0
+        for i, j, _, w in found:
+            alpha[j] = np.logaddexp(alpha[j], alpha[i] + math.log(w))
+        for i, j, piece, w in reversed(found):
+            t = math.log(w) + beta[j]
+            beta[i] = np.logaddexp(beta[i], t)
+            if piece is not None:
+                counts[piece] = counts.get(piece, 0.0) + math.exp(alpha[i] + t - alpha[n])
 
 
 def vocabulary_path(path: str | None) -> str:
