@@ -23,35 +23,37 @@ from sablefish.llm.common import documents, shared_path, staged
 BROADCAST_IDS = 200_000
 
 
-def _same_columns(out: DataFrame, docs: DataFrame) -> DataFrame:
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+def _whole(docs: DataFrame, *needed: str) -> DataFrame:
+    """All columns as one, ``doc_row``, and those that an operator reads: further columns can't clash with its own."""
+    return docs.select(F.struct("*").alias("doc_row"), *needed)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labelled = langid.predict(docs, langid.learn(spark, docs))
-    return _same_columns(labelled.where(F.col("lang_pred") != langid.UNKNOWN), docs)
+    labelled = langid.predict(_whole(docs, "text"), langid.learn(spark, docs))
+    return labelled.where(F.col("lang_pred") != langid.UNKNOWN).select("doc_row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(spark, docs).where("NOT (n_lines > 0 AND text = '')")
+    out = linededup.dedup_lines(spark, _whole(docs, "doc_id", "text")).where("NOT (n_lines > 0 AND text = '')")
+    row = F.col("doc_row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return _same_columns(out, docs)
+        row = row.withField("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(row.alias("doc_row")).select("doc_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = neardup.classes(spark, docs)
     gone = staged(spark, classes.where(~F.col("kept")).select("doc_id").distinct(), "near-duplicates")
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if repeated.limit(1).count():
         kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
-    return _same_columns(kept, docs)
+    return kept
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _same_columns(mixing.mix(spark, docs), docs)
+    return mixing.mix(spark, _whole(docs, "doc_id", "text", "source", "lang")).select("doc_row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,19 +99,20 @@ def uniform(id_col: str = "doc_id", seed: str = "mix") -> Column:
 
 def mix(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, fraction: float = FRACTION) -> DataFrame:
     """The sampled documents, all their columns and ``topic``, ``n_tokens`` and ``prob`` (6 places)."""
-    rows = with_cells(docs)
+    # all columns go as one, so that none clashes with those of the join
+    rows = with_cells(docs.select(F.struct("*").alias("row"), "doc_id", "text", "source", "lang"))
     cells = staged(spark, rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     table = probabilities(spark, rake(spark, cells, targets), fraction).select(*[F.col(d).alias(f"cell_{d}") for d in DIMENSIONS], "prob")
     match = [F.col(d).eqNullSafe(F.col(f"cell_{d}")) for d in DIMENSIONS]
-    rows = rows.drop("prob")
     if cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
         joined = rows.join(F.broadcast(table), match, "inner")
     else:
         table = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salted = rows.withColumn("row_salt", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SALTS)).cast("int"))
-        joined = salted.join(table, [*match, F.col("row_salt") == F.col("salt")], "inner").drop("row_salt", "salt")
-    kept = joined.where(uniform() < F.col("prob")).withColumn("prob", F.round("prob", 6))
-    return kept.drop(*[f"cell_{d}" for d in DIMENSIONS])
+        joined = salted.join(table, [*match, F.col("row_salt") == F.col("salt")], "inner")
+    kept = joined.where(uniform() < F.col("prob"))
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("topic", "n_tokens", "prob")]
+    return kept.select(*own, "topic", "n_tokens", F.round("prob", 6).alias("prob"))
 
 
 def oracle_sql(rounds: int = ROUNDS, fill: int = FILL, temper: float = TEMPER, fraction: float = FRACTION) -> str:
