@@ -37,7 +37,7 @@ from .common import staged
 MIN_WORDS = 8
 #: Texts with suspect lines up to this number are looked up by broadcast, more by a shuffled join.
 BROADCAST_TEXTS = 50_000
-WORDS = r"filter(split(line, '[ \\t\\r\\f\\x0B]+'), w -> w <> '')"
+WORDS = "array_remove(split(translate(line, '\t\r\x0b\x0c', '    '), ' '), '')"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -45,18 +45,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Every non-blank line: its document, number, two hashes, number of words and half keys."""
+    """Every non-blank line: its document, number, two hashes and half keys."""
     lines = _keyed(docs).selectExpr("doc_id", "mark", "posexplode(split(text, '\\n')) AS (line_no, line)")
-    words = lines.where("trim(line) <> ''").selectExpr("doc_id", "mark", "line_no", f"{WORDS} AS w").where("size(w) > 0")
+    # a filter on the words would split every line twice
+    words = lines.where("trim(BOTH ' \t\r\x0b\x0c' FROM line) <> ''").selectExpr("doc_id", "mark", "line_no", f"{WORDS} AS w")
 
     def halves(m: str) -> str:
         first = f"CAST(floor(({m}) / 2) AS INT)"
         return f"xxhash64({m}, 1, slice(w, 1, {first})), xxhash64({m}, 2, slice(w, size(w) - ({m} - {first}) + 1, {m} - {first}))"
 
-    return words.selectExpr(
-        "doc_id", "mark", "line_no", "xxhash64(w) AS h1", "xxhash64('line', w) AS h2", "size(w) AS n",
-        f"""CASE WHEN size(w) > {min_words} THEN array({halves('size(w)')}, {halves('size(w) - 1')})
-            WHEN size(w) = {min_words} THEN array({halves('size(w)')}) END AS halves""",
+    hashed = words.selectExpr("doc_id", "mark", "line_no", "w", "xxhash64(w) AS h1", f"array({halves('size(w)')}) AS own")
+    return hashed.selectExpr(
+        "doc_id", "mark", "line_no", "h1", "xxhash64(own) AS h2",
+        f"CASE WHEN size(w) > {min_words} THEN concat(own, array({halves('size(w) - 1')})) WHEN size(w) = {min_words} THEN own END AS halves",
     )
 
 
@@ -150,20 +151,24 @@ def dropped_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
 def dedup_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``text`` without its repeated lines, and ``n_lines``, ``n_exact``, ``n_near``."""
     gone = staged(spark, dropped_lines(spark, docs, min_words), "dropped")
-    rows = docs.drop("n_lines", "n_exact", "n_near").withColumn("row_mark", F.xxhash64("text"))
-    met = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("row_mark") == F.col("d_mark")), "left")
-    kept = """CASE WHEN text IS NULL OR exact IS NULL THEN text ELSE
-        transform(array(split(text, '\\n')), l -> array_join(transform(array_except(sequence(0, size(l) - 1), concat(exact, near)), i -> l[i]), '\\n'))[0] END"""
-    out = met.withColumns(
+    # all columns go as one, so that none clashes with those of the join
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text")
+    )
+    # the side with what to drop is the smaller one in every partition; texts needn't be sorted
+    met = rows.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("mark") == F.col("d_mark")), "left")
+    met = met.withColumn("line_array", F.split("text", "\n")).withColumns(
         {
-            "n_lines": F.expr("coalesce(size(filter(split(text, '\\n'), x -> trim(x) <> '')), 0)"),
+            "n_lines": F.expr("coalesce(size(filter(line_array, x -> trim(BOTH ' \t\r\x0b\x0c' FROM x) <> '')), 0)"),
             "n_exact": F.coalesce(F.size("exact"), F.lit(0)),
             "n_near": F.coalesce(F.size("near"), F.lit(0)),
-            "text": F.expr(kept),
         }
     )
-    out = out.withColumn("text", F.when((F.col("n_lines") > 0) & (F.trim(F.translate("text", "\n", " ")) == ""), F.lit("")).otherwise(F.col("text")))
-    return out.drop("row_mark", "d_id", "d_mark", "exact", "near")
+    kept = """CASE WHEN exact IS NULL THEN text WHEN n_lines = size(exact) + size(near) THEN ''
+        ELSE array_join(transform(array_except(sequence(0, size(line_array) - 1), concat(exact, near)), i -> line_array[i]), '\\n') END AS text"""
+    others = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_exact", "n_near", "text")]
+    out = met.select(*others, F.expr(kept), "n_lines", "n_exact", "n_near")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")], "n_lines", "n_exact", "n_near")
 
 
 def oracle_sql(min_words: int = MIN_WORDS) -> str:
