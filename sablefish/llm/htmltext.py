@@ -55,7 +55,12 @@ BOILERPLATE = frozenset(
     newsletter subscribe subscription signup login share sharing social related recommended recommendations widget toolbar pagination pager copyright disclaimer
     hidden complementary contentinfo search outbrain taboola""".split()
 )
-GOOD = frozenset("article main content post entry story body text".split())
+#: Boilerplate words that mean nothing beside one of GOOD (the header of an article holds its title).
+GOOD, EXCUSED = frozenset("article main content post entry story body text".split()), frozenset("header masthead side".split())
+#: Boilerplate words whose elements may hold articles that aren't the page's (comments, teasers).
+FOREIGN = frozenset("comment comments commentlist disqus reply replies respond related recommended recommendations ad ads adv advert adverts sponsored promoted".split())
+#: Where less than this share of a page's text is outside boilerplate, class and id names are taken for layout names.
+LEAST_SHARE = 0.05
 SIGMA, RADIUS, LAMBDA, MAJORITY = 1.0, 2, 0.5, 0.6
 _TAG = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -64,13 +69,22 @@ _WORDS = re.compile(r"[A-Za-z]+")
 
 
 class Element:
-    __slots__ = ("boiler", "content", "name", "parent", "path", "votes")
+    """boiler: boilerplate by tag or by names; hard: by tag; foreign: articles in it aren't the page's."""
 
-    def __init__(self, name: str, parent: Element | None, mark: str, boiler: bool):
+    __slots__ = ("boiler", "content", "depth", "foreign", "hard", "name", "parent", "path", "votes")
+
+    def __init__(self, name: str, parent: Element | None, mark: str, hard: bool, named: bool, foreign: bool):
         self.name, self.parent = name, parent
-        self.path = (parent.path if parent else "") + "/" + name + mark
+        # in deep nestings the innermost tags tell paths apart
+        self.path = ((parent.path if parent else "") + "/" + name + mark)[-400:]
+        self.depth = parent.depth + 1 if parent else 0
         self.content = bool(parent and parent.content) or name in ("article", "main")
-        self.boiler = boiler or bool(parent and parent.boiler)
+        self.hard = hard or bool(parent and parent.hard)
+        self.foreign = foreign or bool(parent and parent.foreign)
+        named = named or bool(parent and parent.boiler)
+        if name in ("article", "main", "body", "html") and not (self.hard or self.foreign):
+            named = False
+        self.boiler = self.hard or named
         self.votes = 0.0
 
 
@@ -84,29 +98,30 @@ class Leaf:
         self.marks = len(_PUNCTUATION.findall(plain))
 
 
-def _marks(attributes: str) -> tuple[str, bool]:
-    """The path mark of a tag's class or id, and whether it names boilerplate."""
-    mark, boiler = "", False
+def _marks(attributes: str) -> tuple[str, bool, bool, bool]:
+    """The path mark of a tag's class or id; whether it is hidden, names boilerplate, names foreign text."""
+    mark, hidden, boiler, foreign = "", False, False, False
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in ("hidden",):
-            boiler = True
+        if key == "hidden":
+            hidden = True
         elif key == "aria-hidden":
-            boiler |= value.lower() == "true"
+            hidden |= value.lower() == "true"
         elif key == "style":
-            boiler |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+            hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         else:
             words = {w.lower() for name in value.split() for w in _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name))}
-            if words & BOILERPLATE and not (words & GOOD and not words & {"comment", "comments", "ad", "ads", "sidebar", "related"}):
-                boiler = True
+            named = words & BOILERPLATE
+            boiler |= bool(named) and not (words & GOOD and named <= EXCUSED)
+            foreign |= bool(words & FOREIGN)
             if not mark and value.split():
                 mark = ("#" if key == "id" else ".") + value.split()[0].lower()
-    return mark, boiler
+    return mark, hidden, boiler, foreign
 
 
 def leaves(html: str) -> list[Leaf]:
     """The page's runs of text in order, with their elements and block numbers."""
-    root = Element("", None, "", False)
+    root = Element("", None, "", False, False, False)
     stack = [root]
     out: list[Leaf] = []
     block, at = 0, 0
@@ -150,12 +165,10 @@ def leaves(html: str) -> list[Leaf]:
             if name == "br" and out and stop < n:
                 out.append(Leaf(" ", stack[-1], block))
             continue
-        mark, boiler = _marks(attributes) if attributes else ("", False)
-        inside = stack[-1].content
-        if name in NEVER or (name in OUTSIDE and not inside):
-            boiler = True
-        if name in ("article", "main", "body", "html"):
-            boiler = False
+        mark, hidden, named, foreign = _marks(attributes) if attributes else ("", False, False, False)
+        hard = hidden or name in NEVER or (name in OUTSIDE and not stack[-1].content)
+        if name in ("body", "html"):
+            hard = named = foreign = False
         if name in RAW:
             low = low or html.lower()
             end = low.find("</" + name, at)
@@ -163,7 +176,7 @@ def leaves(html: str) -> list[Leaf]:
             m.skip(at)
             block += 1
             continue
-        stack.append(Element(name, stack[-1], mark, boiler))
+        stack.append(Element(name, stack[-1], mark, hard, named, foreign))
     text(at, n)
     return out
 
@@ -211,8 +224,17 @@ def ratios(own: list[Leaf]) -> np.ndarray:
     return _smooth(length) * (_smooth(points) + 0.1)
 
 
-def main_element(found: list[Leaf]) -> Element | None:
-    own = [x for x in found if x.size and not x.element.boiler]
+def candidates(found: list[Leaf]) -> list[Leaf]:
+    """Leaves outside boilerplate."""
+    plain = [x for x in found if not x.element.hard]
+    own = [x for x in plain if not x.element.boiler]
+    if sum(x.size for x in own) < LEAST_SHARE * sum(x.size for x in plain):
+        return plain
+    return own
+
+
+def main_element(own: list[Leaf]) -> Element | None:
+    own = [x for x in own if x.size]
     if not own:
         return None
     ratio = ratios(own)
@@ -230,10 +252,10 @@ def main_element(found: list[Leaf]) -> Element | None:
             elements.add(e)
             e = e.parent
     most = [e for e in elements if e.votes >= MAJORITY * total]
-    best = max(most, key=lambda e: e.path.count("/"))
+    best = max(most, key=lambda e: e.depth)
     semantic = [e for e in elements if e.name in ("article", "main") and e.votes >= MAJORITY * total]
     if semantic:
-        return max(semantic, key=lambda e: e.path.count("/"))
+        return max(semantic, key=lambda e: e.depth)
     while best.parent is not None and (best.name in INLINE or best.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "dd", "dt")):
         best = best.parent
     return best
@@ -241,24 +263,25 @@ def main_element(found: list[Leaf]) -> Element | None:
 
 def extract(html: str | None) -> str:
     """The main text of a page."""
-    found = leaves(html or "")
-    top = main_element(found)
+    own = candidates(leaves(html or ""))
+    top = main_element(own)
     if top is None:
         return ""
     inside: dict[int, bool] = {}
 
     def within(e: Element | None) -> bool:
-        if e is None:
-            return False
-        key = id(e)
-        if key not in inside:
-            inside[key] = e is top or within(e.parent)
-        return inside[key]
+        passed = []
+        while e is not None and e is not top and id(e) not in inside:
+            passed.append(id(e))
+            e = e.parent
+        found = e is not None and (e is top or inside[id(e)])
+        inside.update(dict.fromkeys(passed, found))
+        return found
 
     parts: list[str] = []
     last = None
-    for leaf in found:
-        if leaf.element.boiler or not within(leaf.element):
+    for leaf in own:
+        if not within(leaf.element):
             continue
         if leaf.block == last:
             parts[-1] += leaf.text

@@ -86,6 +86,15 @@ def test_main_text(body):
     assert htmltext.extract(inside) == CLEAN
 
 
+def test_names_of_layouts_and_foreign_articles():
+    comments = '<section id="comments"><article class="comment"><p>Nice, I like it, truly. Very, very much, as I said.</p></article></section>'
+    assert htmltext.extract(f'<body class="has-sidebar"><div class="layout sidebar-right"><article>{ARTICLE}</article>{comments}</div></body>') == CLEAN
+    assert htmltext.extract(f'<div class="page sidebar-left"><div><div>{ARTICLE}</div></div></div>') == CLEAN
+    assert htmltext.extract(f'<div class="main-menu">Home, about, news.</div><div class="content">{ARTICLE}<div class="post-footer">Filed, under, x.</div></div>') == CLEAN
+    assert htmltext.extract(f'<article><header class="entry-header"><h1>Top</h1></header>{ARTICLE}</article>') == "Top\n\n" + CLEAN
+    assert htmltext.extract(f"<article>{ARTICLE}{comments}</article>") == CLEAN
+
+
 def test_odd_pages():
     for html, text in [(None, ""), ("", ""), ("plain  text", "plain text"), ("<p>a<p>b", "a\n\nb"), ("<script>x", ""), ("<b", ""), ("a &lt; b &#233;&nbsp;c", "a < b é c"), ("<p>x</div></p>y", "x\n\ny"), ("<" * 50, "<" * 50)]:
         assert htmltext.extract(html) == text, html
