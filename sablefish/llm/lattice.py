@@ -45,7 +45,7 @@ VOCABULARY = "piece_bpe_32k.model"
 ZIPF, BYTE_SHARE, STOP, PRIOR = 2.7, 1e-3, 0.25, 2000.0
 PER_CHARACTER = 20.0
 HEAD = 65_536
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 SPACE = "▁"
 
 
