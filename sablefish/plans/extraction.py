@@ -107,3 +107,36 @@ t AS (SELECT level + 1 AS nivel, X7_CAMPO, X7_CDOMIN, node AS via FROM g JOIN lv
 b AS (SELECT *, row_number() OVER (PARTITION BY X7_CAMPO, X7_CDOMIN ORDER BY nivel, via) AS k FROM t)
 SELECT nivel, g.X7_CAMPO AS origem, X7_SEQUENC AS sequencia, g.X7_CDOMIN AS destino, X7_REGRA AS regra, X7_CONDIC AS condicao, X7_TIPO AS tipo, X7_ALIAS AS alias, X7_SEEK AS seek, via
 FROM g JOIN b ON g.X7_CAMPO = b.X7_CAMPO AND g.X7_CDOMIN = b.X7_CDOMIN WHERE k = 1"""
+
+
+# Facts that don't hang on comments and strings can be told from the fixtures' lines in SQL as well.
+_LINES = f"""SELECT arquivo, i AS linha, lines[i] AS line, len(lines) - CASE WHEN text LIKE '%' || chr(10) THEN 1 ELSE 0 END AS total
+FROM (SELECT arquivo, text, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT arquivo, text, string_split(text, chr(10)) AS lines FROM {X.sources_sql()}))"""
+ORACLES["fixture_functions"] = f"""WITH l AS ({_LINES}), f AS (
+  SELECT arquivo, linha, total, regexp_extract(line, '(?i)^[ \\t]*(?:(?:Static|User|Main)[ \\t]+)?Function[ \\t]+(\\w+)', 1) AS fn,
+         lower(regexp_extract(line, '(?i)^[ \\t]*(Static|User|Main)[ \\t]+Function', 1)) AS word,
+         upper(regexp_extract(line, '(?i)^[ \\t]*WSMETHOD[ \\t]+(GET|POST|PUT|DELETE)[ \\t]+WSSERVICE[ \\t]+(\\w+)', 1)) AS verb,
+         regexp_extract(line, '(?i)^[ \\t]*WSMETHOD[ \\t]+(GET|POST|PUT|DELETE)[ \\t]+WSSERVICE[ \\t]+(\\w+)', 2) AS cls,
+         regexp_extract(line, '(?i)^[ \\t]*WSMETHOD[ \\t]+(\\w+)[ \\t]+WSRECEIVE', 1) AS ws FROM l
+), n AS (
+  SELECT arquivo, CASE WHEN fn <> '' THEN fn WHEN verb <> '' THEN cls || '.' || verb ELSE ws END AS nome,
+         CASE WHEN fn = '' THEN 'ws_method' WHEN word = '' THEN 'function' ELSE word || '_function' END AS kind, CASE WHEN verb <> '' THEN cls ELSE '' END AS classe, linha AS linha_inicio, total
+  FROM f WHERE fn <> '' OR verb <> '' OR ws <> ''
+) SELECT arquivo, nome, kind, classe, linha_inicio, CASE WHEN lead(linha_inicio) OVER w IS NULL THEN total ELSE greatest(linha_inicio, lead(linha_inicio) OVER w - 1) END AS linha_fim FROM n WINDOW w AS (PARTITION BY arquivo ORDER BY linha_inicio)"""
+ORACLES["fixture_includes"] = f"""SELECT DISTINCT arquivo, regexp_extract(line, '(?i)^\\s*#Include\\s+["'']([^"'']+)["'']', 1) AS include FROM ({_LINES}) WHERE regexp_matches(line, '(?i)^\\s*#Include\\s+["'']')"""
+ORACLES["fixture_namespaces"] = f"""SELECT arquivo, regexp_extract(text, '(?im)^[ \\t]*Namespace[ \\t]+([A-Za-z_][\\w.]*)', 1) AS namespace FROM {X.sources_sql()}"""
+ORACLES["fixture_endpoints"] = f"""SELECT arquivo, regexp_extract(line, '(?i)WSSERVICE[ \\t]+(\\w+)', 1) AS classe, '' AS funcao, upper(regexp_extract(line, '(?i)^[ \\t]*(?:WSMETHOD[ \\t]+|@)(GET|POST|PUT|DELETE|PATCH)', 1)) AS verbo,
+  regexp_extract(line, '^[ \\t]*@\\w+\\("([^"]+)"', 1) AS path, CASE WHEN line LIKE '%@%' THEN '@verb_tlpp' ELSE 'wsmethod_restful' END AS annotation_style, linha FROM ({_LINES})
+WHERE regexp_matches(line, '(?i)^[ \\t]*(WSMETHOD[ \\t]+(GET|POST|PUT|DELETE|PATCH)[ \\t]+WSSERVICE[ \\t]+\\w|@(Get|Post|Put|Delete|Patch)\\()')"""
+ORACLES["fixture_questions"] = f"""SELECT DISTINCT arquivo, upper(regexp_extract(line, '(?i)(?:Pergunte|FWGetSX1)\\s*\\(\\s*["''](\\w+)["'']', 1)) AS grupo FROM ({_LINES}) WHERE regexp_matches(line, '(?i)(?:Pergunte|FWGetSX1)\\s*\\(\\s*["'']\\w')"""
+ORACLES["fixture_parameters"] = f"""WITH p AS (SELECT arquivo, linha, upper(regexp_extract(line, '"(MV_\\w+)"', 1)) AS parametro, regexp_matches(line, '(?i)PutMV') AS w, regexp_extract(line, '(?i)SuperGetMV\\("\\w+", [^,]+, "([^"]*)"', 1) AS d
+  FROM ({_LINES}) WHERE regexp_matches(line, '(?i)(SuperGetMV|GetMv|PutMV)\\("MV_'))
+SELECT arquivo, parametro, CASE WHEN bool_or(w) AND bool_or(NOT w) THEN 'read_write' WHEN bool_or(w) THEN 'write' ELSE 'read' END AS modo, coalesce(arg_min(d, linha) FILTER (d <> ''), '') AS default_decl FROM p GROUP BY ALL"""
+ORACLES["fixture_http"] = f"""SELECT arquivo, 'ZHTTPCLI' AS funcao, linha, CASE lower(regexp_extract(line, '(?i)\\b(HttpPost|HttpGet)\\(', 1)) WHEN 'httppost' THEN 'HttpPost' ELSE 'HttpGet' END AS metodo,
+  regexp_replace(regexp_extract(line, '(?i)\\bHttp\\w+\\("([^"]+)"', 1), 'https?://[^\\s:@/]+:[^\\s@/]+@', 'https://[REDACTED]@') AS url_literal FROM ({_LINES}) WHERE regexp_matches(line, '(?i)\\b(HttpPost|HttpGet)\\("')"""
+ORACLES["fixture_env_openers"] = f"""SELECT arquivo, 'ZJOBSYNC' AS funcao, linha, '' AS empresa, '' AS filial, regexp_extract(line, 'RpcSetEnv\\([^,]*,[^,]*,[^,]*,[^,]*, "([^"]*)"', 1) AS environment,
+  regexp_extract(line, 'RpcSetEnv\\([^,]*,[^,]*,[^,]*,[^,]*,[^,]*, "([^"]*)"', 1) AS modulo FROM ({_LINES}) WHERE regexp_matches(line, 'RpcSetEnv\\(')"""
+ORACLES["sx_lost_rows"] = f"""SELECT 'tabelas' AS table_name, count(*) - count(DISTINCT X2_CHAVE) AS lost FROM {X.values_sql('sx2')} UNION ALL SELECT 'campos', count(*) - count(DISTINCT (X3_ARQUIVO, X3_CAMPO)) FROM {_SX3}
+UNION ALL SELECT 'indices', count(*) - count(DISTINCT (INDICE, ORDEM)) FROM {X.values_sql('six')} UNION ALL SELECT 'gatilhos', count(*) - count(DISTINCT (X7_CAMPO, X7_SEQUENC)) FROM {_SX7}
+UNION ALL SELECT 'parametros', count(*) - count(DISTINCT (X6_FIL, X6_VAR)) FROM {X.values_sql('sx6')} UNION ALL SELECT 'perguntas', count(*) - count(DISTINCT (X1_GRUPO, X1_ORDEM)) FROM {X.values_sql('sx1')}
+UNION ALL SELECT 'consultas', count(*) - count(DISTINCT (XB_ALIAS, XB_TIPO, XB_SEQ, XB_COLUNA)) FROM {X.values_sql('sxb')} UNION ALL SELECT 'grupos_campo', count(*) - count(DISTINCT XG_GRUPO) FROM {X.values_sql('sxg')}"""

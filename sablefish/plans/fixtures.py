@@ -26,7 +26,7 @@ Return .T.
 Static Function ZValidar(oModel)
 Return .T.
 """,
-    "pe_paramixb.prw": """#include "totvs.ch"
+    "pe_paramixb.prw": """#include "protheus.ch"
 
 /*/{Protheus.doc} ANCTB102GR
 Chamado antes da gravacao dos dados da
@@ -58,7 +58,7 @@ Return oResp
 User Function GravarCliente()
 Return oResp
 """,
-    "ws_restful_classic.prw": """#include "totvs.ch"
+    "ws_restful_classic.prw": """#include "protheus.ch"
 
 WSRESTFUL PortaldeViagem DESCRIPTION "API de viagens"
     WSDATA cTipo  AS STRING
@@ -86,7 +86,7 @@ ENDWSSERVICE
 WSMETHOD Listar WSRECEIVE cCodigo WSSEND cNome WSSERVICE WSVendas
 Return .T.
 """,
-    "dup_trigger.prw": """#include "totvs.ch"
+    "dup_trigger.prw": """#include "protheus.ch"
 
 User Function ZH3DupTrigger()
     // um so bloqueio, visto por dois padroes
@@ -119,6 +119,7 @@ Return Nil
     EndIf
     cUrl := SuperGetMV("MV_XURL", .F., "https://x")
     PutMV("MV_XURL", cUrl)
+    Pergunte("MGFREL01", .T.)
 Return Nil
 """,
     "exec_auto.prw": """#Include "protheus.ch"
@@ -229,3 +230,9 @@ def values_sql(name: str) -> str:
     quote = lambda v: "'" + v.replace("'", "''") + "'"
     lines = ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in body)
     return f"(SELECT * FROM (VALUES {lines}) AS t({', '.join(head)}) WHERE D_E_L_E_T_ <> '*')"
+
+
+def sources_sql() -> str:
+    """The fixture sources as a SQL table (arquivo, text)."""
+    quote = lambda v: "'" + v.replace("'", "''") + "'"
+    return "(SELECT * FROM (VALUES " + ", ".join(f"({quote(n)}, {quote(t)})" for n, t in SOURCES.items()) + ") AS t(arquivo, text))"
