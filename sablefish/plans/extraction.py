@@ -140,3 +140,26 @@ ORACLES["sx_lost_rows"] = f"""SELECT 'tabelas' AS table_name, count(*) - count(D
 UNION ALL SELECT 'indices', count(*) - count(DISTINCT (INDICE, ORDEM)) FROM {X.values_sql('six')} UNION ALL SELECT 'gatilhos', count(*) - count(DISTINCT (X7_CAMPO, X7_SEQUENC)) FROM {_SX7}
 UNION ALL SELECT 'parametros', count(*) - count(DISTINCT (X6_FIL, X6_VAR)) FROM {X.values_sql('sx6')} UNION ALL SELECT 'perguntas', count(*) - count(DISTINCT (X1_GRUPO, X1_ORDEM)) FROM {X.values_sql('sx1')}
 UNION ALL SELECT 'consultas', count(*) - count(DISTINCT (XB_ALIAS, XB_TIPO, XB_SEQ, XB_COLUNA)) FROM {X.values_sql('sxb')} UNION ALL SELECT 'grupos_campo', count(*) - count(DISTINCT XG_GRUPO) FROM {X.values_sql('sxg')}"""
+_CODE = f"(SELECT arquivo, regexp_replace(text, '//[^\\n]*', '', 'g') AS code FROM {X.sources_sql()})"
+
+
+def _all(pattern: str) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"unnest(regexp_extract_all(code, '{quoted}', 1))"
+
+
+_READS = _all(r"""(?i)(?:DbSelectArea|xFilial|FwxFilial|Posicione|MsSeek|dbSetOrder|ChkFile)\s*\(\s*["'](\w{2,3})["']""")
+ORACLES["fixture_tables"] = f"""WITH u AS (
+  SELECT arquivo, {_READS} AS t, 'read' AS modo FROM {_CODE}
+  UNION ALL SELECT arquivo, {_all(r'(?i)\b([SZQND][A-Z][0-9A-Z])\s*->')}, 'read' FROM {_CODE}
+  UNION ALL SELECT arquivo, t, unnest(['reclock', 'write']) FROM (SELECT arquivo, {_all(r'(?i)RecLock\s*\(\s*"(\w{2,3})"')} AS t FROM {_CODE})
+) SELECT DISTINCT arquivo, upper(t) AS tabela, modo FROM u WHERE regexp_matches(upper(t), '^[SZNQD][A-Z].$')"""
+ORACLES["fixture_fields"] = f"""SELECT DISTINCT arquivo, upper(f) AS campo FROM (SELECT arquivo, {_all(r'(?i)\w{2,3}->([A-Z][A-Z0-9]_\w+)')} AS f FROM {_CODE}
+  UNION ALL SELECT arquivo, {_all(r'(?i)\bReplace\s+([A-Z][A-Z0-9]_\w+)')} FROM {_CODE})"""
+ORACLES["fixture_defines"] = rf"""SELECT arquivo, regexp_extract(line, '(?i)^#DEFINE[ \t]+(\w+)', 1) AS nome, trim(regexp_extract(line, '(?i)^#DEFINE[ \t]+\w+[ \t]+(.+)$', 1)) AS valor, linha
+FROM ({_LINES}) WHERE regexp_matches(line, '(?i)^#DEFINE')"""
+_SIGNATURE = r"(?i)WSMETHOD[ \t]+(\w+)[ \t]+WSRECEIVE[ \t]+(\w+)[ \t]+WSSEND[ \t]+(\w+)[ \t]+WSSERVICE[ \t]+(\w+)"
+_PARTS = ", ".join(f"regexp_extract(line, '{_SIGNATURE}', {k}) AS {n}" for k, n in enumerate(("nome", "receive", "send", "service"), 1))
+ORACLES["fixture_ws_signatures"] = f"SELECT arquivo, {_PARTS} FROM ({_LINES}) WHERE regexp_matches(line, '(?i)WSRECEIVE')"
+ORACLES["fixture_logs"] = rf"""WITH f AS ({ORACLES['fixture_functions']}), l AS (SELECT arquivo, linha FROM ({_LINES}) WHERE regexp_matches(line, '(?i)\bConOut\('))
+SELECT l.arquivo, coalesce(nome, '') AS funcao, linha, 'conout' AS nivel, '' AS categoria FROM l LEFT JOIN f ON f.arquivo = l.arquivo AND linha BETWEEN linha_inicio AND linha_fim"""
