@@ -29,13 +29,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_fold
+from .common import blocks, crc_fold, tidy
 
 LONGEST = 48
 HIDDEN, STEPS, BATCH, RATE, SEED = 16, 500, 1024, 0.01, 7
 MAX_DOCUMENTS, MAX_CHARS = 1200, 20_000
 #: Segments whose labels a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 UNKNOWN = "und"
 PAD = 256
 
@@ -269,12 +269,14 @@ class Labeller:
             self._learn(new)
         place = np.fromiter((self.places[w] for w in distinct), np.int64, len(distinct))
         word = place[np.asarray(coded.indices)] if len(distinct) else np.zeros(0, np.int64)
-        running = np.zeros((len(word) + 1, self.sums.shape[1]))
-        np.cumsum(self.sums[word], axis=0, out=running[1:], dtype=np.float64)
-        sizes = np.concatenate([[0], np.cumsum(self.sizes[word])])
-        total = running[offsets[1:]] - running[offsets[:-1]]
-        n = (sizes[offsets[1:]] - sizes[offsets[:-1]])[:, None]
-        return total / np.maximum(n, 1)
+        total = np.zeros((len(texts), self.sums.shape[1]))
+        n = np.zeros(len(texts), np.int64)
+        full = np.flatnonzero(np.diff(offsets))
+        if len(full):
+            starts = offsets[:-1][full]
+            total[full] = np.add.reduceat(self.sums[word], starts, axis=0, dtype=np.float64)
+            n[full] = np.add.reduceat(self.sizes[word], starts)
+        return total / np.maximum(n, 1)[:, None]
 
 
 _labellers: dict[bytes, Labeller] = {}
@@ -304,7 +306,7 @@ def predict(df: DataFrame, model: tuple[Network, list[str]] | None, text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = labeller(net)
         for batch in batches:
-            for part in blocks(batch, text_col):
+            for part in blocks(batch, text_col, 4 << 20):
                 texts = part.column(text_col)
                 share = label(texts)
                 best = share.argmax(axis=1)
@@ -314,7 +316,7 @@ def predict(df: DataFrame, model: tuple[Network, list[str]] | None, text_col: st
                 kept = [part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return df.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(tidy(run), schema)
 
 
 def learn(spark: SparkSession, docs: DataFrame, folds: int = 5, held_out: int = 0, **options):

@@ -32,11 +32,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, staged
+from .common import blocks, staged, tidy
 
 CAPACITY, END_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -107,12 +107,13 @@ class WordTokenizer:
                 self.places.update(zip(new[:room], range(len(self.places), len(self.places) + room), strict=True))
                 self.sizes = sizes[: len(self.places)].copy()
                 self.ids = ids[: int(self.sizes.sum())].copy()
-        starts = np.cumsum(sizes) - sizes
-        word = place[np.asarray(coded.indices)] if len(distinct) else np.empty(0, dtype=np.int64)
-        n = sizes[word]
-        total = np.cumsum(n)
-        at = np.arange(int(total[-1]) if len(total) else 0, dtype=np.int64)
-        at += np.repeat(starts[word] - (total - n), n)
+        # a block's ids are far fewer than 2^31
+        starts = (np.cumsum(sizes) - sizes).astype(np.int32)
+        word = place.astype(np.int32)[np.asarray(coded.indices)] if len(distinct) else np.empty(0, dtype=np.int32)
+        n = sizes.astype(np.int32)[word]
+        total = np.cumsum(n, dtype=np.int64)
+        at = np.arange(int(total[-1]) if len(total) else 0, dtype=np.int32)
+        at += np.repeat(starts[word] - (total - n).astype(np.int32), n)
         until = np.concatenate([[0], total])
         return ids[at], until[ends]
 
@@ -164,7 +165,7 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield piece_rows(part.column(0), part.column(1), tokenizer, capacity)
 
     narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(cut, PIECE_SCHEMA)
+    return narrow.mapInArrow(tidy(cut), PIECE_SCHEMA)
 
 
 class Gaps:
@@ -294,4 +295,4 @@ def pack(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY, bucke
         .withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1)
         .select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     )
-    return ranked.mapInArrow(seat, f"{PIECE_SCHEMA}, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(seat), f"{PIECE_SCHEMA}, sequence_id long, offset long")
