@@ -23,22 +23,28 @@ from sablefish.llm.common import documents, shared_path, staged
 BROADCAST_IDS = 200_000
 
 
-def _whole(docs: DataFrame, *needed: str) -> DataFrame:
-    """All columns as one, ``doc_row``, and those that an operator reads: further columns can't clash with its own."""
-    return docs.select(F.struct("*").alias("doc_row"), *needed)
+def _packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns that an operator reads, and all others as one, ``doc_row``: these can't clash with its own."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in needed]
+    return docs.select(F.struct(*(others or [F.lit(1).alias("none")])).alias("doc_row"), *needed)
+
+
+def _unpacked(out: DataFrame, docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns of ``docs`` again."""
+    return out.select(*[F.col(c) if c in needed else F.col("doc_row").getField(c).alias(c) for c in docs.columns])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labelled = langid.predict(_whole(docs, "text"), langid.learn(spark, docs))
-    return labelled.where(F.col("lang_pred") != langid.UNKNOWN).select("doc_row.*")
+    labelled = langid.predict(_packed(docs, "text"), langid.learn(spark, docs))
+    return _unpacked(labelled.where(F.col("lang_pred") != langid.UNKNOWN), docs, "text")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(spark, _whole(docs, "doc_id", "text")).where("NOT (n_lines > 0 AND text = '')")
-    row = F.col("doc_row").withField("text", F.col("text"))
+    out = linededup.dedup_lines(spark, _packed(docs, "doc_id", "text")).where("NOT (n_lines > 0 AND text = '')")
+    out = _unpacked(out, docs, "doc_id", "text")
     if "n_chars" in docs.columns:
-        row = row.withField("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(row.alias("doc_row")).select("doc_row.*")
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +59,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(spark, _whole(docs, "doc_id", "text", "source", "lang")).select("doc_row.*")
+    needed = ("doc_id", "text", "source", "lang")
+    return _unpacked(mixing.mix(spark, _packed(docs, *needed)), docs, *needed)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

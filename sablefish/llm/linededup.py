@@ -151,9 +151,10 @@ def dropped_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
 def dedup_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``text`` without its repeated lines, and ``n_lines``, ``n_exact``, ``n_near``."""
     gone = staged(spark, dropped_lines(spark, docs, min_words), "dropped")
-    # all columns go as one, so that none clashes with those of the join
+    # the other columns go as one, so that none clashes with those of the join
+    others = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near", "text")]
     rows = docs.select(
-        F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text")
+        F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text")
     )
     # the side with what to drop is the smaller one in every partition; texts needn't be sorted
     met = rows.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("mark") == F.col("d_mark")), "left")
@@ -166,8 +167,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS
     )
     kept = """CASE WHEN exact IS NULL THEN text WHEN n_lines = size(exact) + size(near) THEN ''
         ELSE array_join(transform(array_except(sequence(0, size(line_array) - 1), concat(exact, near)), i -> line_array[i]), '\\n') END AS text"""
-    others = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_exact", "n_near", "text")]
-    out = met.select(*others, F.expr(kept), "n_lines", "n_exact", "n_near")
+    out = met.select(*[F.col("row").getField(c).alias(c) for c in others], F.expr(kept), "n_lines", "n_exact", "n_near")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")], "n_lines", "n_exact", "n_near")
 
 

@@ -99,8 +99,10 @@ def uniform(id_col: str = "doc_id", seed: str = "mix") -> Column:
 
 def mix(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, fraction: float = FRACTION) -> DataFrame:
     """The sampled documents, all their columns and ``topic``, ``n_tokens`` and ``prob`` (6 places)."""
-    # all columns go as one, so that none clashes with those of the join
-    rows = with_cells(docs.select(F.struct("*").alias("row"), "doc_id", "text", "source", "lang"))
+    # the other columns go as one, so that none clashes with those of the join
+    needed = ("doc_id", "text", "source", "lang")
+    others = [c for c in docs.columns if c not in (*needed, "topic", "n_tokens", "prob")]
+    rows = with_cells(docs.select(F.struct(*([F.col(f"`{c}`") for c in others] or [F.lit(1).alias("none")])).alias("row"), *needed))
     cells = staged(spark, rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     table = probabilities(spark, rake(spark, cells, targets), fraction).select(*[F.col(d).alias(f"cell_{d}") for d in DIMENSIONS], "prob")
     match = [F.col(d).eqNullSafe(F.col(f"cell_{d}")) for d in DIMENSIONS]
@@ -111,7 +113,7 @@ def mix(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, float
         salted = rows.withColumn("row_salt", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SALTS)).cast("int"))
         joined = salted.join(table, [*match, F.col("row_salt") == F.col("salt")], "inner")
     kept = joined.where(uniform() < F.col("prob"))
-    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("topic", "n_tokens", "prob")]
+    own = [F.col("row").getField(c).alias(c) if c in others else F.col(c) for c in docs.columns if c in others or c in needed]
     return kept.select(*own, "topic", "n_tokens", F.round("prob", 6).alias("prob"))
 
 
