@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, staged, tidy
+from .common import arrow_map, shared_path, staged
 
 VOLUME_BYTES = 4 << 20
 LEAST_REVISIT = 1000
@@ -284,7 +284,7 @@ def write_arc(df: DataFrame, path: str, date: str = "20200101000000") -> None:
             yield whole()
 
     narrow = df.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    save(narrow.mapInArrow(tidy(run), "volume binary"), path)
+    save(narrow.transform(arrow_map, run, "volume binary"), path)
 
 
 def index_arc(arcs: DataFrame) -> DataFrame:
@@ -303,7 +303,7 @@ def index_arc(arcs: DataFrame) -> DataFrame:
                 kinds = [pa.string(), pa.int64(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["record", "page_id", "digest", "size"])
 
-    return arcs.mapInArrow(tidy(run), "record string, page_id long, digest string, size long")
+    return arcs.transform(arrow_map, run, "record string, page_id long, digest string, size long")
 
 
 def revisits(spark: SparkSession, index: DataFrame) -> DataFrame:
@@ -344,7 +344,7 @@ def convert_volumes(spark: SparkSession, arcs: DataFrame, repeats: DataFrame, pa
                 if held:
                     yield as_batch(held)
 
-    rows = arcs.mapInArrow(tidy(parse), "record string, volume string, at long, url string, ip string, date string, type string, body binary")
+    rows = arcs.transform(arrow_map, parse, "record string, volume string, at long, url string, ip string, date string, type string, body binary")
     few = repeats.limit(BROADCAST_REVISITS + 1).count() <= BROADCAST_REVISITS
     joined = rows.join(F.broadcast(repeats) if few else repeats, "record", "left")
 
@@ -361,7 +361,7 @@ def convert_volumes(spark: SparkSession, arcs: DataFrame, repeats: DataFrame, pa
         for v in volumes(records(), gzip_member(write_warc(info))):
             yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary())], names=["volume"])
 
-    save(joined.mapInArrow(tidy(pack), "volume binary"), path)
+    save(joined.transform(arrow_map, pack, "volume binary"), path)
 
 
 def read_back(warcs: DataFrame) -> DataFrame:
@@ -387,7 +387,7 @@ def read_back(warcs: DataFrame) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return warcs.mapInArrow(tidy(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string, warc_date string")
+    return warcs.transform(arrow_map, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string, warc_date string")
 
 
 def archive(spark: SparkSession, pages: DataFrame) -> DataFrame:

@@ -86,6 +86,30 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return whole
 
 
+#: Rows of an Arrow batch. Spark's own bound, 10,000 rows, makes tens of MB of texts of a few KB, which both
+#: sides hold at once, several times over while buffers grow.
+BATCH_ROWS = 2000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, rows: int = BATCH_ROWS) -> DataFrame:
+    """``df.mapInArrow`` with memory given back after tasks; sets the session's rows of an Arrow batch."""
+    df.sparkSession.conf.set(_BATCH_CONF, str(rows))
+    return df.mapInArrow(tidy(run), schema)
+
+
+_sole: dict[str, object] = {}
+
+
+def sole(key: str, make: Callable[[], object]):
+    """This process's object under a key, kept between tasks; those of other operators are dropped for it."""
+    if key not in _sole:
+        _sole.clear()
+        release()
+        _sole[key] = make()
+    return _sole[key]
+
+
 #: A 0-based residue of crc32 of the decimal text of an id; null ids count as the empty text.
 def crc_fold(column: str, folds: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(folds)

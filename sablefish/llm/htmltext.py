@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import arrow_map
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
@@ -306,4 +306,4 @@ def _extract_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page with its main text."""
     narrow = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return narrow.mapInArrow(tidy(_extract_all), SCHEMA)
+    return narrow.transform(arrow_map, _extract_all, SCHEMA)

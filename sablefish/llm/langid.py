@@ -21,6 +21,7 @@ the label are read; predictions use the text alone.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_fold, tidy
+from .common import arrow_map, blocks, crc_fold, sole
 
 LONGEST = 48
 HIDDEN, STEPS, BATCH, RATE, SEED = 16, 500, 1024, 0.01, 7
@@ -160,7 +161,7 @@ class Network:
             n = int(length[same[0]])
             if not n:
                 continue
-            most = max(64, 200_000 // n)
+            most = max(64, 100_000 // n)
             for start in range(0, len(same), most):
                 rows = same[start : start + most]
                 x = np.frombuffer(b"".join([segments[i] for i in rows]), dtype=np.uint8).reshape(len(rows), n)
@@ -279,16 +280,10 @@ class Labeller:
         return total / np.maximum(n, 1)[:, None]
 
 
-_labellers: dict[bytes, Labeller] = {}
-
-
 def labeller(net: Network) -> Labeller:
     """This process's labeller with these weights, kept between tasks."""
-    key = b"".join(v.tobytes() for _, v in sorted(net.p.items()))
-    if key not in _labellers:
-        _labellers.clear()
-        _labellers[key] = Labeller(net)
-    return _labellers[key]
+    key = hashlib.sha1(b"".join(v.tobytes() for _, v in sorted(net.p.items()))).hexdigest()
+    return sole(f"langid {key}", lambda: Labeller(net))
 
 
 def predict(df: DataFrame, model: tuple[Network, list[str]] | None, text_col: str = "text") -> DataFrame:
@@ -306,7 +301,7 @@ def predict(df: DataFrame, model: tuple[Network, list[str]] | None, text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = labeller(net)
         for batch in batches:
-            for part in blocks(batch, text_col, 4 << 20):
+            for part in blocks(batch, text_col, 3 << 20):
                 texts = part.column(text_col)
                 share = label(texts)
                 best = share.argmax(axis=1)
@@ -316,7 +311,7 @@ def predict(df: DataFrame, model: tuple[Network, list[str]] | None, text_col: st
                 kept = [part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return df.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(tidy(run), schema)
+    return df.select(*[F.col(f"`{c}`") for c in names]).transform(arrow_map, run, schema)
 
 
 def learn(spark: SparkSession, docs: DataFrame, folds: int = 5, held_out: int = 0, **options):

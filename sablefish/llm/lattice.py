@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_fold, staged, tidy
+from .common import arrow_map, blocks, crc_fold, sole, staged
 
 VOCABULARY = "piece_bpe_32k.model"
 ZIPF, BYTE_SHARE, STOP, PRIOR = 2.7, 1e-3, 0.25, 2000.0
@@ -166,15 +166,10 @@ def vocabulary_path(path: str | None) -> str:
     return path
 
 
-_lattices: dict[str, Lattice] = {}
-
-
 def lattice_at(path: str | None) -> Lattice:
     """This process's lattice with a vocabulary's own weights."""
     path = vocabulary_path(path)
-    if path not in _lattices:
-        _lattices[path] = Lattice(path)
-    return _lattices[path]
+    return sole(f"lattice {path}", lambda: Lattice(path))
 
 
 def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -209,7 +204,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                 c = np.bincount(index[~held], minlength=len(coded.dictionary))
                 yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(c, pa.int64()), pa.array(n, pa.int64())], names=["word", "c", "n"])
 
-    return docs.select("text", "held_out").mapInArrow(tidy(run), "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    return docs.select("text", "held_out").transform(arrow_map, run, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
 def expected_pieces(words: DataFrame, vocabulary: str | None = None) -> dict[str, float]:
@@ -223,7 +218,7 @@ def expected_pieces(words: DataFrame, vocabulary: str | None = None) -> dict[str
                 lattice.expect(word, counts)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.float64())], names=["piece", "n"])
 
-    found = words.where(F.col("c") > 0).select("word").mapInArrow(tidy(run), "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    found = words.where(F.col("c") > 0).select("word").transform(arrow_map, run, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
     return {r["piece"]: round(r["n"], 6) for r in found}
 
 
@@ -237,7 +232,7 @@ def with_lattice(spark: SparkSession, words: DataFrame, vocabulary: str | None =
             found = np.fromiter(map(lattice.log_probability, batch.column("word").to_pylist()), np.float64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=["word", "c", "n", "spelled"])
 
-    return words.mapInArrow(tidy(run), "word string, c long, n long, spelled double")
+    return words.transform(arrow_map, run, "word string, c long, n long, spelled double")
 
 
 class Weights:
@@ -329,7 +324,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 10, held_out:
     names = ["doc_id", "mark", "held_out", "word", "times", "n_tokens", "n_known", "base", "score"]
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     arrow = pa.schema(list(zip(names, kinds, strict=True)))
-    parts = rows.withColumn("mark", F.xxhash64("text")).mapInArrow(tidy(run), "doc_id long, mark long, held_out boolean, word string, times long, n_tokens long, n_known long, base double, score double")
+    parts = rows.withColumn("mark", F.xxhash64("text")).transform(arrow_map, run, "doc_id long, mark long, held_out boolean, word string, times long, n_tokens long, n_known long, base double, score double")
 
     total, distinct, discount, spread = float(weights.total), weights.distinct, weights.discount, weights.spread
     new = F.lit(math.log10(spread)) + F.col("spelled") / math.log(10)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import arrow_map
 
 FRAME, HOP, RATE = 1024, 512, 8000
 BANDS = (4, 16, 48, 128, 512)
@@ -151,4 +151,4 @@ def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sound_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df`` with the values of ``SCHEMA``."""
     narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(tidy(_clips), SCHEMA)
+    return narrow.transform(arrow_map, _clips, SCHEMA)

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, staged, tidy
+from .common import arrow_map, blocks, sole, staged
 
 CAPACITY, END_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers.
@@ -118,18 +118,13 @@ class WordTokenizer:
         return ids[at], until[ends]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def tokenizer_at(path: str | None) -> WordTokenizer:
     """This process's tokenizer for a vocabulary file; by default the public one installed beside Python."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    return sole(f"packing {path}", lambda: WordTokenizer(path))
 
 
 def piece_rows(doc_id: pa.Array, texts: pa.Array, tokenizer: WordTokenizer, capacity: int) -> pa.RecordBatch:
@@ -161,11 +156,11 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_at(vocabulary)
         for batch in batches:
-            for part in blocks(batch, "text"):
+            for part in blocks(batch, "text", 6 << 20):
                 yield piece_rows(part.column(0), part.column(1), tokenizer, capacity)
 
     narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(tidy(cut), PIECE_SCHEMA)
+    return narrow.transform(arrow_map, cut, PIECE_SCHEMA)
 
 
 class Gaps:
@@ -295,4 +290,4 @@ def pack(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY, bucke
         .withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1)
         .select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     )
-    return ranked.mapInArrow(tidy(seat), f"{PIECE_SCHEMA}, sequence_id long, offset long")
+    return ranked.transform(arrow_map, seat, f"{PIECE_SCHEMA}, sequence_id long, offset long")
