@@ -12,7 +12,8 @@ verified exactly on their full sets, 100 * intersection >= 75 * union.
 Only components matter, so no bucket emits all its pairs:
 
 1. Star: each node of a bucket is a candidate with the bucket's smallest node; of a node's
-   surviving candidates the two most similar are verified, and components formed.
+   surviving candidates the two most similar are verified, and components formed. Then the
+   others whose ends still lie in different components are verified too.
 2. Blocks: the nodes of a bucket that still lies in several components are compared as
    arrays. A bucket of few nodes is one block. Larger buckets are merged by their largest
    component, and their nodes dealt out to blocks of bounded size; each block of nodes outside the
@@ -247,7 +248,7 @@ def components(spark: SparkSession, links: DataFrame, name: str) -> DataFrame:
 def open_groups(spark: SparkSession, members: DataFrame, labels: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
     """grp, node, comp, outer (not in the group's largest component), and the numbers of blocks: what is to be compared.
 
-    Buckets of two nodes were settled by the star.
+    Buckets of two nodes were settled by the star: their pair was dropped by the bound, verified, or lies in one component.
     """
     known = members.where("n > 2").join(labels.select("node", "comp"), "node", "left").select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp"))
     known = staged(spark, known, f"{name}-members")
@@ -355,10 +356,19 @@ def link(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     stars = staged(spark, members.where("node <> pivot").select(F.col("node").alias("b"), F.col("pivot").alias("a")).distinct(), "stars")
     alive = prune(with_signatures(stars, nodes))
-    best = alive.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("matches"), "a"))).where(F.col("rank") <= STARS)  # at most BANDS rows a node
-    tested = staged(spark, best.select("a", "b"), "tested")
+    ranked = alive.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("matches"), "a")))  # at most BANDS rows a node
+    ranked = staged(spark, ranked.select("a", "b", "rank"), "ranked")
+    tested = staged(spark, ranked.where(F.col("rank") <= STARS).select("a", "b"), "tested")
     links = verify(spark, docs, tested, "star")
     labels = components(spark, links, "star")
+    rest = ranked.where(F.col("rank") > STARS).select("a", "b")
+    for end in ("a", "b"):
+        rest = rest.join(labels.select(F.col("node").alias(end), F.col("comp").alias(f"comp_{end}")), end, "left")
+    rest = staged(spark, rest.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b"), "rest")
+    if rest.limit(1).count():
+        tested = tested.unionByName(rest)
+        links = links.unionByName(verify(spark, docs, rest, "rest"))
+        labels = components(spark, links, "rest")
     for skip in (True, False):
         name = "joined" if skip else "all"
         grouped = staged(spark, open_groups(spark, members, labels, nodes, name), f"{name}-groups")

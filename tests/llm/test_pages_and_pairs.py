@@ -173,6 +173,18 @@ def test_near_duplicates(spark, docs, no_docs, monkeypatch):
     assert neardup.classes(spark, no_docs).count() == 0
 
 
+def test_hubs_of_three_partners(spark):
+    """Texts linked only through a later one, whose third best star pair is alone in its buckets."""
+    rows = []
+    for seed in (292, 435, 835, 845):
+        hub = [f"w{seed}x{k}" for k in range(164)]
+        rows += [(4 * seed + i, " ".join(p)) for i, p in enumerate((hub[38:], hub[:-38], hub[:63] + hub[93:], hub))]
+    expected = brute_components(rows)
+    assert len({c for _, c in expected.values()}) == 4
+    got = neardup.classes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == expected
+
+
 def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(50, 60), (60, 55), (70, 71)], "a long, b long")
     got = {r["node"]: r["comp"] for r in neardup.components(spark, links, "t").collect()}
