@@ -6,11 +6,14 @@ text length over its number of leaves, its punctuation ratio the same with punct
 marks. Over the leaves in page order both ratios are smoothed by a Gaussian window, fused as
 a product, and compared with a threshold (the mean plus a share of the standard deviation).
 Leaves above it vote, with their text length, for the element whose subtree they are in; the
-main element is the deepest one that holds most of the votes and isn't a mere paragraph. Its
-text is the page's main text: paths below the threshold inside it (headings, short
-paragraphs, lists) belong to the article; paths that name boilerplate (navigation, footers,
-asides, forms, adverts, notices, comments ...) vote for nothing and are left out wherever
-they are.
+deepest one that holds most of the votes and isn't a mere paragraph is the core. The main element
+is the deepest one that covers the core, all leaves that voted and all prose (blocks with punctuation
+and at least ``PROSE`` characters outside links, or a quarter of the longest leaf that voted, if that
+is less), so articles split over several elements stay whole. Its text is the page's main
+text: paths below the threshold inside it (headings, short paragraphs, lists) belong to the
+article; paths that name boilerplate (navigation, footers, asides, forms, adverts, notices,
+comments ...) vote for nothing and are left out wherever they are. Where the core lies in
+``article`` or ``main``, only text in such elements counts.
 
 Blocks are runs between block-level tags. Character references are decoded, white space
 inside a block becomes one space, empty blocks are dropped and blocks join by two newlines.
@@ -64,6 +67,8 @@ FOREIGN = frozenset("comment comments commentlist disqus reply replies respond r
 #: Where less than this share of a page's text is outside boilerplate, class and id names are taken for layout names.
 LEAST_SHARE = 0.05
 SIGMA, RADIUS, LAMBDA, MAJORITY = 1.0, 2, 0.5, 0.6
+#: Characters outside links that make a block with punctuation prose.
+PROSE = 80
 _TAG = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?、。，！？،؟।]")
@@ -235,7 +240,8 @@ def candidates(found: list[Leaf]) -> list[Leaf]:
     return own
 
 
-def main_element(own: list[Leaf]) -> Element | None:
+def core_element(own: list[Leaf]) -> tuple[Element, list[Leaf]] | None:
+    """The deepest element with most of the votes, and the leaves that voted."""
     own = [x for x in own if x.size]
     if not own:
         return None
@@ -244,9 +250,8 @@ def main_element(own: list[Leaf]) -> Element | None:
     threshold = min(threshold, ratio.max() * 0.5)
     total = 0.0
     elements: set[Element] = set()
-    for leaf, r in zip(own, ratio, strict=True):
-        if r < threshold:
-            continue
+    voters = [leaf for leaf, r in zip(own, ratio, strict=True) if r >= threshold]
+    for leaf in voters:
         total += leaf.size
         e = leaf.element
         while e is not None:
@@ -257,18 +262,63 @@ def main_element(own: list[Leaf]) -> Element | None:
     best = max(most, key=lambda e: e.depth)
     semantic = [e for e in elements if e.name in ("article", "main") and e.votes >= MAJORITY * total]
     if semantic:
-        return max(semantic, key=lambda e: e.depth)
+        return max(semantic, key=lambda e: e.depth), voters
     while best.parent is not None and (best.name in INLINE or best.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "dd", "dt")):
         best = best.parent
-    return best
+    return best, voters
+
+
+def prose(own: list[Leaf], least: float) -> list[Leaf]:
+    """Leaves of blocks with punctuation and ``least`` characters outside links."""
+    linked: dict[Element, bool] = {}
+
+    def in_link(e: Element) -> bool:
+        passed = []
+        found = False
+        while e is not None and e not in linked and not found:
+            passed.append(e)
+            found = e.name == "a"
+            e = e.parent
+        found = found or bool(e is not None and linked.get(e))
+        linked.update(dict.fromkeys(passed, found))
+        return found
+
+    size, marks = defaultdict(int), defaultdict(int)
+    plain = [x for x in own if x.size and not in_link(x.element)]
+    for leaf in plain:
+        size[leaf.block] += leaf.size
+        marks[leaf.block] += leaf.marks
+    return [x for x in plain if marks[x.block] and size[x.block] >= least]
+
+
+def main_element(own: list[Leaf]) -> tuple[Element, bool] | None:
+    """The element of the main text; whether only what lies in ``article`` and ``main`` counts."""
+    core = core_element(own)
+    if core is None:
+        return None
+    best, voters = core
+    top = best
+    content = {x.element for x in voters + prose(own, min(PROSE, max(x.size for x in voters) / 4))}
+    for e in content:
+        if best.content and not e.content:
+            continue
+        while e.depth > top.depth:
+            e = e.parent
+        while e is not top:
+            if top.depth >= e.depth:
+                top = top.parent
+            if e.depth > top.depth:
+                e = e.parent
+    return top, best.content
 
 
 def extract(html: str | None) -> str:
     """The main text of a page."""
     own = candidates(leaves(html or ""))
-    top = main_element(own)
-    if top is None:
+    main = main_element(own)
+    if main is None:
         return ""
+    top, marked = main
     inside: dict[int, bool] = {}
 
     def within(e: Element | None) -> bool:
@@ -283,7 +333,7 @@ def extract(html: str | None) -> str:
     parts: list[str] = []
     last = None
     for leaf in own:
-        if not within(leaf.element):
+        if not within(leaf.element) or (marked and not leaf.element.content):
             continue
         if leaf.block == last:
             parts[-1] += leaf.text

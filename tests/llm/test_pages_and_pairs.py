@@ -95,6 +95,14 @@ def test_names_of_layouts_and_foreign_articles():
     assert htmltext.extract(f"<article>{ARTICLE}{comments}</article>") == CLEAN
 
 
+@pytest.mark.parametrize("shape", ["<div>{0}</div>{3}<div>{1}</div><div>{2}</div>", '<div id="one">{0}</div><h2>Next</h2><div id="two">{1}</div>{3}<div id="three">{2}</div>', '<section class="a">{0}</section><section class="b">{1}</section><section id="c">{2}</section>', "<main><article>{0}</article>{3}<article>{1}</article><article>{2}</article></main>", "<article>{0}</article><p>Unmarked, short.</p><article>{1}{2}</article>"])
+def test_articles_in_several_parts(shape):
+    parts = ["<p>" + "Words of this kind of text, and a few more of them. " * n + "</p>" for n in (20, 6, 6)]
+    html = "<body>" + NOISE[0] + '<div class="wrap">' + shape.format(*parts, NOISE[5]) + "</div>" + "".join(NOISE[6:]) + "</body>"
+    expected = [p[3:-5] for p in parts]
+    assert htmltext.extract(html).split("\n\n") == expected[:1] + ["Next"] * ("Next" in shape) + expected[1:]
+
+
 def test_odd_pages():
     for html, text in [(None, ""), ("", ""), ("plain  text", "plain text"), ("<p>a<p>b", "a\n\nb"), ("<script>x", ""), ("<b", ""), ("a &lt; b &#233;&nbsp;c", "a < b é c"), ("<p>x</div></p>y", "x\n\ny"), ("<" * 50, "<" * 50)]:
         assert htmltext.extract(html) == text, html
