@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 read again as the next stage's ``docs``. All stages but the last return the columns of
 ``documents``.
 
-What a stage drops: the first, documents without a letter (no language can be told); the
+What a stage drops: the first, documents without a letter (no language can be told), also where
+there is nothing to learn from; the
 second, repeated lines, and documents that hold nothing else; the third, all but one document
 of each near-duplicate component; the fourth, what the mixture doesn't sample; the last, nothing.
 Null texts go in the first stage; repeated rows are one document from the third stage on;
@@ -35,8 +36,11 @@ def _unpacked(out: DataFrame, docs: DataFrame, *needed: str) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labelled = langid.predict(_packed(docs, "text"), langid.learn(spark, docs))
-    return _unpacked(labelled.where(F.col("lang_pred") != langid.UNKNOWN), docs, "text")
+    model, packed = langid.learn(spark, docs), _packed(docs, "text")
+    if model is None:
+        # without a model every text is predicted as unknown
+        return _unpacked(langid.lettered(packed), docs, "text")
+    return _unpacked(langid.predict(packed, model).where(F.col("lang_pred") != langid.UNKNOWN), docs, "text")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

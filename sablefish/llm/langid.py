@@ -10,7 +10,7 @@ its positions; the language of the largest share is predicted, with that share a
 
 Training data: labelled rows outside the held-out fold, at most ``MAX_DOCUMENTS`` of them,
 chosen by a hash of their text evenly over the languages, each of at most ``MAX_CHARS``
-characters (longer ones are left out of the training sample, not cut). The driver holds
+characters (longer ones give an excerpt, their beginning, for training only). The driver holds
 this sample only.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter; also for
@@ -189,7 +189,7 @@ def cut_long(word: bytes) -> list[bytes]:
 
 def sample_rows(labelled: DataFrame, most: int = MAX_DOCUMENTS, chars: int = MAX_CHARS) -> list[tuple[str, str]]:
     """At most ``most`` (text, lang), evenly over the languages, chosen by a hash of the text."""
-    usable = labelled.where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").isNotNull() & (F.length("text") <= chars))
+    usable = labelled.where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
     if not counts:
         return []
@@ -198,7 +198,7 @@ def sample_rows(labelled: DataFrame, most: int = MAX_DOCUMENTS, chars: int = MAX
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.1 * each / n))).otherwise(share)
-    rows = usable.select("text", "lang", point).where(F.col("point") < share).orderBy("point", "text", "lang").limit(2 * most).collect()
+    rows = usable.select(F.substring("text", 1, chars).alias("text"), "lang", point).where(F.col("point") < share).orderBy("point", "text", "lang").limit(2 * most).collect()
     kept: dict[str, int] = {}
     out = []
     for r in rows:
@@ -286,6 +286,21 @@ def labeller(net: Network) -> Labeller:
     return sole(f"langid {key}", lambda: Labeller(net))
 
 
+def has_letter(texts: pa.Array) -> np.ndarray:
+    return np.fromiter((t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()), bool, len(texts))
+
+
+def lettered(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text has a letter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, text_col, 3 << 20):
+                yield part.filter(pa.array(has_letter(part.column(text_col))))
+
+    return df.transform(arrow_map, run, df.schema)
+
+
 def predict(df: DataFrame, model: tuple[Network, list[str]] | None, text_col: str = "text") -> DataFrame:
     """``df`` with ``lang_pred`` and ``score`` (rounded to 6 places)."""
     fields = df.schema.names
@@ -305,7 +320,7 @@ def predict(df: DataFrame, model: tuple[Network, list[str]] | None, text_col: st
                 texts = part.column(text_col)
                 share = label(texts)
                 best = share.argmax(axis=1)
-                letter = np.fromiter((t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()), bool, len(texts))
+                letter = has_letter(texts)
                 pred = values[np.where(letter, best, len(langs))]
                 score = np.where(letter, np.round(np.clip(share[np.arange(len(best)), best], 0, 1), 6), 0.0)
                 kept = [part.column(c) for c in names]

@@ -221,3 +221,14 @@ def test_pipeline(spark, docs, no_docs, monkeypatch):
     assert 201 not in ids["line_dedup"] and 400 in ids["line_dedup"]
     assert ids["near_dedup"][500] == 1 and len(ids["near_dedup"]) <= len(ids["line_dedup"])
     assert set(ids["mixing"]) <= set(ids["near_dedup"]) and set(ids["packing"]) == set(ids["mixing"])
+
+
+def test_language_stage_without_labels(spark, docs):
+    """Nothing to learn from: only texts without a letter go."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    out = corpus_pipeline.identify_language(spark, bare, "")
+    assert out.columns == bare.columns
+    assert collections.Counter(r["doc_id"] for r in out.collect()) == collections.Counter(i for i, t, _, _ in corpus() if t and any(map(str.isalpha, t)))

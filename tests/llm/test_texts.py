@@ -186,6 +186,12 @@ def test_training_sample_is_bounded_and_even(docs):
     assert rows == langid.sample_rows(docs.repartition(5), most=20)
 
 
+def test_long_texts_give_excerpts(spark):
+    long = "\n".join(["the and whing"] * 2000)
+    rows = langid.sample_rows(spark.createDataFrame([(1, long, "en"), (2, "schung keit", "de")], "doc_id long, text string, lang string"))
+    assert {lang: len(t) for t, lang in rows} == {"en": langid.MAX_CHARS, "de": 11}
+
+
 def paths(lat, s):
     """The weights of all segmentations of a string, one by one."""
     if not s:
