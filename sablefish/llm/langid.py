@@ -8,8 +8,8 @@ labels of a word are computed once and counted for each of its positions in a te
 the same result as running over the text. A document's distribution is the mean over all
 its positions; the language of the largest share is predicted, with that share as score.
 
-Training data: labelled rows outside the held-out fold, at most ``MAX_DOCUMENTS`` of them,
-chosen by a hash of their text evenly over the languages, each of at most ``MAX_CHARS``
+Training data: labelled rows outside the held-out fold, at most ``MAX_DOCUMENTS`` distinct texts
+(one of each language at least), chosen by a hash evenly over the languages, each of at most ``MAX_CHARS``
 characters (longer ones give an excerpt, their beginning, for training only). The driver holds
 this sample only.
 
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, blocks, crc_fold, sole
@@ -188,24 +188,18 @@ def cut_long(word: bytes) -> list[bytes]:
 
 
 def sample_rows(labelled: DataFrame, most: int = MAX_DOCUMENTS, chars: int = MAX_CHARS) -> list[tuple[str, str]]:
-    """At most ``most`` (text, lang), evenly over the languages, chosen by a hash of the text."""
-    usable = labelled.where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
-    if not counts:
+    """At most ``most`` (text, lang), one of each language at least: distinct texts, evenly over the languages, chosen by a hash."""
+    usable = labelled.where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").isNotNull()).select("text", "lang", F.xxhash64(F.lit("train"), "text").alias("mark"))
+    langs = usable.select("lang").distinct().count()
+    if not langs:
         return []
-    each = max(1, most // len(counts))
-    point = (F.pmod(F.xxhash64(F.lit("train"), "text"), F.lit(1 << 30)) / float(1 << 30)).alias("point")
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.1 * each / n))).otherwise(share)
-    rows = usable.select(F.substring("text", 1, chars).alias("text"), "lang", point).where(F.col("point") < share).orderBy("point", "text", "lang").limit(2 * most).collect()
-    kept: dict[str, int] = {}
-    out = []
-    for r in rows:
-        kept[r["lang"]] = kept.get(r["lang"], 0) + 1
-        if kept[r["lang"]] <= each:
-            out.append((r["text"], r["lang"]))
-    return out
+    point = F.pmod("mark", F.lit(1 << 30))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(point, "mark"))
+    # copies are one text before places are given
+    chosen = usable.select("lang", "mark").distinct().withColumn("place", place).where(F.col("place") <= max(1, most // langs)).select("lang", "mark")
+    met = usable.join(F.broadcast(chosen) if langs <= most else chosen, ["lang", "mark"])
+    rows = met.groupBy("lang", "mark").agg(F.min(F.substring("text", 1, chars)).alias("text")).collect()
+    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["mark"] % (1 << 30), r["mark"], r["lang"]))]
 
 
 def fit(rows: list[tuple[str, str]], **options) -> tuple[Network, list[str]] | None:

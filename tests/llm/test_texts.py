@@ -192,6 +192,13 @@ def test_long_texts_give_excerpts(spark):
     assert {lang: len(t) for t, lang in rows} == {"en": langid.MAX_CHARS, "de": 11}
 
 
+def test_training_sample_has_every_language_and_no_copies(spark):
+    rows = [(k, "the same text again", "en") for k in range(3000)] + [(3000 + k, f"wh{k} tion", "en") for k in range(3)] + [(4000 + k, f"text of {k}", f"l{k}") for k in range(260)]
+    got = langid.sample_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(set(got)) == len(got) and {lang for _, lang in got} == {"en", *(f"l{k}" for k in range(260))}
+    assert sorted(t for t, lang in got if lang == "en") == ["the same text again", "wh0 tion", "wh1 tion", "wh2 tion"]
+
+
 def paths(lat, s):
     """The weights of all segmentations of a string, one by one."""
     if not s:
