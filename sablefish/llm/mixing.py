@@ -5,7 +5,8 @@ cells' tokens in turn so that the totals by source, by language and by topic eac
 targets, and repeats this ``ROUNDS`` times. The ratio of a cell's raked to its own tokens is
 the weight of its documents; with a common scale and a cap at 1 it becomes the probability to
 keep a document. The scale is found so that the expected tokens are ``fraction`` of all
-(cells at the cap pass their surplus to the others, in ``FILL`` rounds). A document stays where a
+(cells at the cap pass their surplus to the others, in ``FILL`` rounds; they are not raked again, so where cells are full the
+sample keeps the budget and misses the targets). A document stays where a
 uniform number from a hash of its id lies below its probability.
 
 Targets are shares by value and dimension; where none are given, a value's target is its
