@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,20 +16,34 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (a single machine, tests) a local folder is set.
+    Only where the session names none and runs on a single machine (tests) a local folder is set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sablefish-"))
     return context.getCheckpointDir().rstrip("/")
 
 
+_made: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/sablefish-{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/sablefish-{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def discard(spark: SparkSession) -> None:
+    """Removes all tables staged so far; for callers that have stored their results."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -50,8 +65,6 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
-
-
 def blocks(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about ``most_bytes`` of ``column`` each, one row at least."""
     import numpy as np
@@ -66,18 +79,32 @@ def blocks(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Ite
         start, total = stop, int(ends[stop - 1])
 
 
+def _libc():
+    return ctypes.CDLL(None)
+
+
 def release() -> None:
     """Gives memory that this process holds but doesn't use back to the system."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    trim = getattr(_libc(), "malloc_trim", None)  # glibc only
     if trim is not None:
         trim(0)
 
 
+@cache
+def lean() -> None:
+    """Makes this process give large blocks back as soon as they are free, numpy's and Arrow's alike."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    option = getattr(_libc(), "mallopt", None)  # glibc only
+    if option is not None:
+        option(-3, 1 << 20)  # M_MMAP_THRESHOLD; a fixed one, else it grows with what is freed
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run``, with memory given back after each task: Python workers outlive their tasks."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         try:
             yield from run(batches)
         finally:
@@ -86,15 +113,15 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return whole
 
 
-#: Rows of an Arrow batch. Spark's own bound, 10,000 rows, makes tens of MB of texts of a few KB, which both
-#: sides hold at once, several times over while buffers grow.
-BATCH_ROWS = 2000
-_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bounds of an Arrow batch, the same for all operators. Spark's own bound, 10,000 rows, makes tens of MB of texts
+#: of a few KB, which both sides hold at once, several times over while buffers grow.
+BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
-def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, rows: int = BATCH_ROWS) -> DataFrame:
-    """``df.mapInArrow`` with memory given back after tasks; sets the session's rows of an Arrow batch."""
-    df.sparkSession.conf.set(_BATCH_CONF, str(rows))
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` with memory given back after tasks and batches of a few MB."""
+    for key, value in BATCH_CONF.items():
+        df.sparkSession.conf.set(key, value)
     return df.mapInArrow(tidy(run), schema)
 
 

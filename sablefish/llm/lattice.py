@@ -1,31 +1,31 @@
 """Operator 9, language-model scoring by subword lattice likelihood.
 
-A text's tokens are its words (ASCII-lower-cased, between ASCII white space) and one end. A
-word's spelling is the path through a lattice whose arcs are the pieces of an existing
-subword vocabulary. The vocabulary's scores weight the arcs: the file holds ranks (score
--r), which give the weights of a Zipf law 1 / (ZIPF - score), normalised over the pieces;
-characters without a piece take byte arcs of a small share. A forward recursion in log space
-sums over all segmentations, so a word gets its marginal probability ``L(w)``. Segmentations
-don't cross words, so the marginal of a text is the sum of its words' log marginals. The
-training texts adapt the weights by one step of expectation maximisation: the pieces'
-expected numbers over all segmentations of every distinct training word, weighted by the
-vocabulary's scores, are added to ``PRIOR`` pseudo-counts dealt out by these scores. The
-pieces themselves stay as they are.
-
-The training texts add one arc for each whole word they hold, by absolute discounting:
-P(w) = max(c - D, 0) / N + D * V / N * L(w), where c, N and V are the counts of the contract
-and D = n1 / (n1 + 2 n2) from the numbers of words seen once and twice. The end has (c - D) / N.
-
-How it runs: words are counted over all documents in blocks, summed by word in a shuffle, and
-each distinct word goes through its lattice once. Words above a count that at most ``HEAD``
-words reach (so their table is bounded whatever the input) are scored where the texts are
-read. Every other word of a text is joined with the table of words and summed by text; none of
-these is frequent, so no key is hot.
+A text is a lattice, and its score the log of the summed weight of all ways through it. There are three kinds of arcs:
+
+- Pieces. Within a word (ASCII-lower-cased, between ASCII white space) the arcs are the pieces of an existing subword
+  vocabulary, and the vocabulary's scores weight them: the file holds ranks (score -r), which give the weights of a Zipf
+  law 1 / (ZIPF - score). Characters without a piece take byte arcs. One half of a piece's weight (``OWN``) is the
+  vocabulary's own at any size of the corpus; the other half is the piece's share in the training words, its expected number over
+  all segmentations by the vocabulary's weights. A forward recursion in log space sums over all segmentations.
+- Words. A training word has an arc over the whole word, by absolute discounting: (c - D) / N, where c, N and V are
+  the counts of the contract. The segmentations share D * V / N; D = n1 / (n1 + 2 n2) from the numbers of words seen once and
+  twice. The end of a text has (c - D) / N.
+- Lines. A line of a text that other training texts have too has an arc over all its words: ``LINE_SHARE`` * (k - D) / K, with k its
+  occurrences in training texts but this one, K the number of all training lines and D as for words. Each word arc pays
+  1 - ``LINE_SHARE`` in return. A training text's own lines don't count for itself, so its score can be compared with that of a held-out one.
+
+As words and lines bound the ways through, the marginal of a text is the product of its lines' marginals, and a line's the
+sum of its own arc and the product of its words' marginals. The weights of all texts sum to one at most.
+
+How it runs: words and lines are counted over all documents in blocks and summed in a shuffle. Each distinct word goes through
+its lattice once. Words and lines above a count that at most ``HEAD`` of them reach (so their tables are bounded whatever the
+input; they are looked up by hash) are scored where the texts are read. Every other word and line is joined with its table and summed by line
+and text; none of these is frequent, so no key is hot.
 
 Defined results: null and empty texts have the end token only. Without training texts P(w) is
 L(w) / 2 and the end has 1 / 2. Repeated rows get a result each; ids may repeat or be null.
 A text may be of any length: it is one row, its words are handled in arrays. Other
-columns aren't read.
+columns aren't read. Words, lines and rows are told apart by 64-bit hashes where they are looked up.
 """
 
 from __future__ import annotations
@@ -35,54 +35,68 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, blocks, crc_fold, sole, staged
+from .tokens import hashes, line_keys, split_lines
 
 VOCABULARY = "piece_bpe_32k.model"
-ZIPF, BYTE_SHARE, STOP, PRIOR = 2.7, 1e-3, 0.25, 2000.0
+ZIPF, BYTE_SHARE, STOP, OWN, LINE_SHARE = 2.7, 1e-3, 0.25, 0.5, 0.02
 PER_CHARACTER = 20.0
-HEAD = 65_536
-BLOCK_BYTES = 12 << 20
+HEAD = 1 << 17
+BLOCK_BYTES = 2 << 20
 SPACE = "▁"
+LOG10 = math.log(10)
+
+
+def vocabulary_weights(path: str | None = None) -> dict[str, float]:
+    """The share of each piece of a vocabulary file (the public one installed beside Python) by its scores."""
+    import sentencepiece
+
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(VOCABULARY)
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    weights: dict[str, float] = {}
+    for i in range(model.get_piece_size()):
+        score = model.get_score(i)
+        if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i)) and score > -1e8:
+            weights[model.id_to_piece(i)] = 1.0 / (ZIPF - score)
+    total = sum(weights.values())
+    return {k: v / total for k, v in weights.items()}
+
+
+def adapted(weights: dict[str, float], expected: dict[str, float]) -> dict[str, float]:
+    """``OWN`` parts of the vocabulary's own weights and the rest by expected numbers."""
+    total = sum(expected.values())
+    return {k: OWN * v + (1 - OWN) * expected.get(k, 0.0) / total for k, v in weights.items()} if total else weights
 
 
 class Lattice:
-    """Marginal log probabilities of words under a piece vocabulary."""
-
-    def __init__(self, path: str, expected: dict[str, float] | None = None):
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        weights: dict[str, float] = {}
-        for i in range(model.get_piece_size()):
-            score = model.get_score(i)
-            if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i)) and score > -1e8:
-                weights[model.id_to_piece(i)] = 1.0 / (ZIPF - score)
-        total = sum(weights.values())
-        if expected:
-            weights = {k: PRIOR * v / total + expected.get(k, 0.0) for k, v in weights.items()}
-            total = sum(weights.values())
+    """Marginal log probabilities of words under weighted pieces."""
+
+    def __init__(self, weights: dict[str, float]):
         go_on = math.log1p(-STOP)
-        self.arcs: dict[str, float | None] = {k: math.log(v / total * (1 - BYTE_SHARE)) + go_on for k, v in weights.items()}
         self.byte = math.log(BYTE_SHARE / 256) + go_on
         self.end = math.log(STOP) - go_on
-        self.longest = max(map(len, self.arcs))
-        self.weights = {k: math.exp(v) * PER_CHARACTER ** len(k) for k, v in self.arcs.items()}
         self.byte_weight = math.exp(self.byte)
+        self.longest = max(map(len, weights))
+        self.arcs: dict[str, float | None] = {k: math.log(v * (1 - BYTE_SHARE)) + go_on for k, v in weights.items()}
         # None for a beginning of a piece that is none itself; what isn't here begins no piece
-        self.arcs.update(dict.fromkeys({k[:n] for k in self.arcs for n in range(1, len(k))} - self.arcs.keys()))
-        self.weights.update({k: None for k, v in self.arcs.items() if v is None})
+        self.arcs.update(dict.fromkeys({k[:n] for k in weights for n in range(1, len(k))} - weights.keys()))
+
+    def log_probability(self, word: str, share: float = 0.0, own: float | None = None) -> float:
+        """Natural log of the summed weight of all ways through a word.
 
-    def log_probability(self, word: str) -> float:
-        """Natural log of the summed weight of all segmentations of a word."""
+        ``share`` is the log weight of being spelled by pieces, ``own`` that of the arc over the whole word (None: there is none).
+        """
         s = SPACE + word
         n = len(s)
         arcs, longest, byte = self.arcs.get, self.longest, self.byte
         incoming: list[list[float]] = [[] for _ in range(n + 1)]
-        incoming[0].append(0.0)
+        incoming[0].append(share)
         exp, log = math.exp, math.log
         for i in range(n):
             terms = incoming[i]
@@ -101,6 +115,8 @@ class Lattice:
             c = s[i]
             incoming[i + 1].append(here + byte * (1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))))
         terms = incoming[n]
+        if own is not None:
+            terms.append(own - self.end)  # this arc leads past the end
         top = max(terms)
         return top + log(sum([exp(t - top) for t in terms])) + self.end
 
@@ -113,7 +129,7 @@ class Lattice:
         """
         s = SPACE + word
         n = len(s)
-        weights, longest = self.weights.get, self.longest
+        arcs, longest, exp = self.arcs.get, self.longest, math.exp
         alpha = [0.0] * (n + 1)
         alpha[0] = 1.0
         found: list[tuple[int, int, str | None, float]] = []
@@ -121,8 +137,9 @@ class Lattice:
             here = alpha[i]
             for j in range(i + 1, min(n, i + longest) + 1):
                 piece = s[i:j]
-                w = weights(piece, 0)
+                w = arcs(piece, 0)
                 if w:
+                    w = exp(w) * PER_CHARACTER ** (j - i)
                     alpha[j] += here * w
                     found.append((i, j, piece, w))
                 elif w == 0:
@@ -157,54 +174,46 @@ class Lattice:
                 counts[piece] = counts.get(piece, 0.0) + math.exp(alpha[i] + t - alpha[n])
 
 
-def vocabulary_path(path: str | None) -> str:
-    """The given vocabulary file, or the public one installed beside Python."""
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path(VOCABULARY)
-    return path
+def lattice_at(path: str | None = None) -> Lattice:
+    """This process's lattice with a vocabulary's own weights."""
+    return sole(f"lattice {path}", lambda: Lattice(vocabulary_weights(path)))
 
 
-def lattice_at(path: str | None) -> Lattice:
-    """This process's lattice with a vocabulary's own weights."""
-    path = vocabulary_path(path)
-    return sole(f"lattice {path}", lambda: Lattice(path))
+class Discounted:
+    """Absolute discounting over counted units: ``total`` units, ``distinct`` ones, those seen once and twice."""
 
+    def __init__(self, total: int, distinct: int, once: int, twice: int):
+        self.total, self.distinct = total, distinct
+        self.discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+        self.spread = self.discount * distinct / total if total else 0.5
 
-def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """The words of all texts, dictionary-coded, and the offsets of each text in them.
+    def own(self, c: int) -> float | None:
+        """Natural log of a unit's own arc."""
+        return math.log((c - self.discount) / self.total) if c else None
 
-    Splitting may leave empty words at the ends of a text; these are dropped.
-    """
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-    offsets = np.asarray(split.offsets).astype(np.int64)
-    words = split.flatten()
-    offsets -= offsets[0]
-    empty = np.asarray(pc.equal(pc.binary_length(words), 0))
-    if empty.any():
-        dropped = np.concatenate([[0], np.cumsum(empty)])
-        offsets = offsets - dropped[offsets]
-        words = words.filter(pa.array(~empty))
-    return words.dictionary_encode(), offsets
 
+def count_units(rows: DataFrame) -> DataFrame:
+    """Words (``word``) and lines (``line``, a key): c (occurrences in training rows) and n (in all rows)."""
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """word, c (occurrences in training rows) and n (in all rows)."""
+    def counted(codes: np.ndarray, size: int, held: np.ndarray) -> list[pa.Array]:
+        n = np.bincount(codes, minlength=size)
+        return [pa.array(np.bincount(codes[~held], minlength=size), pa.int64()), pa.array(n, pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["word", "line", "c", "n"]
         for batch in batches:
             for part in blocks(batch, "text", BLOCK_BYTES):
-                coded, offsets = split_words(part.column("text"))
-                if not len(coded):
+                coded, starts, text = split_lines(part.column("text"))
+                words, index = coded.dictionary, np.asarray(coded.indices)
+                if not len(words):
                     continue
-                held = np.repeat(np.asarray(part.column("held_out")), np.diff(offsets))
-                index = np.asarray(coded.indices)
-                n = np.bincount(index, minlength=len(coded.dictionary))
-                c = np.bincount(index[~held], minlength=len(coded.dictionary))
-                yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(c, pa.int64()), pa.array(n, pa.int64())], names=["word", "c", "n"])
+                held = np.asarray(part.column("held_out"))[text]
+                yield pa.RecordBatch.from_arrays([words, pa.nulls(len(words), pa.int64()), *counted(index, len(words), np.repeat(held, np.diff(starts)))], names=names)
+                lines, line = np.unique(line_keys(hashes(words)[index], starts), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(lines), pa.string()), pa.array(lines), *counted(line, len(lines), held)], names=names)
 
-    return docs.select("text", "held_out").transform(arrow_map, run, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    units = rows.select("text", "held_out").transform(arrow_map, run, "word string, line long, c long, n long")
+    return units.groupBy("word", "line").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
 def expected_pieces(words: DataFrame, vocabulary: str | None = None) -> dict[str, float]:
@@ -218,135 +227,171 @@ def expected_pieces(words: DataFrame, vocabulary: str | None = None) -> dict[str
                 lattice.expect(word, counts)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.float64())], names=["piece", "n"])
 
-    found = words.where(F.col("c") > 0).select("word").transform(arrow_map, run, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    return {r["piece"]: round(r["n"], 6) for r in found}
+    found = words.where(F.col("c") > 0).select("word").transform(arrow_map, run, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
+    return dict(zip(found.column("piece").to_pylist(), np.round(np.asarray(found.column("n")), 6).tolist(), strict=True))
 
 
-def with_lattice(spark: SparkSession, words: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """``words`` with ``spelled``, the natural log of L(w) under the adapted weights."""
-    expected = spark.sparkContext.broadcast(expected_pieces(words, vocabulary))
+def with_lattice(spark: SparkSession, words: DataFrame, counts: Discounted, vocabulary: str | None = None) -> DataFrame:
+    """``words`` with ``hash`` and ``score``, the log10 of the word's marginal."""
+    weights = adapted(vocabulary_weights(vocabulary), expected_pieces(words, vocabulary))
+    shared, name = spark.sparkContext.broadcast(weights), f"adapted {hash(tuple(weights.values()))}"
+    share = math.log(counts.spread)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(vocabulary_path(vocabulary), expected.value)
+        lattice = sole(name, lambda: Lattice(shared.value))
         for batch in batches:
-            found = np.fromiter(map(lattice.log_probability, batch.column("word").to_pylist()), np.float64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=["word", "c", "n", "spelled"])
+            word, c = batch.column("word"), batch.column("c").to_pylist()
+            found = [lattice.log_probability(w, share, counts.own(k)) / LOG10 for w, k in zip(word.to_pylist(), c, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes(word).view(np.int64)), pa.array(found, pa.float64())], names=["word", "c", "n", "hash", "score"])
 
-    return words.transform(arrow_map, run, "word string, c long, n long, spelled double")
+    return words.select("word", "c", "n").transform(arrow_map, run, "word string, c long, n long, hash long, score double")
 
 
-class Weights:
-    """The learned numbers: N, V, and what turns counts and spellings into log10 probabilities."""
+def least_count(units: DataFrame, most: int) -> float:
+    """A count that at most ``most`` units reach, from a table of at most 64 * 8 rows."""
+    level = F.floor(F.log2("n") * 8).cast("int")
+    levels = sorted(((r["level"], r["k"]) for r in units.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
+    least, reached = math.inf, 0
+    for at, k in levels:
+        reached += k
+        if reached > most:
+            break
+        least = 2 ** ((at - 1e-6) / 8)
+    return least
 
-    def __init__(self, words: int, distinct: int, once: int, twice: int, ends: int):
-        self.ends = ends
-        self.total = words + ends
-        self.distinct = distinct + (ends > 0)
-        self.discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
-        self.spread = self.discount * self.distinct / self.total if self.total else 0.5
 
-    def base(self, c):
-        return np.log10((c + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
+class Table:
+    """Values by a 64-bit key."""
 
-    def word(self, c, spelled):
-        new = np.log10(self.spread) + spelled / math.log(10)
-        if not self.total:
-            return new
-        seen = np.log10(np.maximum(c - self.discount, 1e-300) / self.total)
-        return np.where(c > 0, np.logaddexp2(seen / math.log10(2), new / math.log10(2)) * math.log10(2), new)
+    def __init__(self, found: pa.Table, key: str):
+        keys = np.asarray(found.column(key))
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.values = {k: np.asarray(found.column(k))[order] for k in found.column_names if k != key}
 
-    def end(self) -> float:
-        return math.log10((self.ends - self.discount) / self.total) if self.ends else math.log10(0.5)
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's place, or the number of keys where it isn't here."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, len(self.keys))
 
 
-def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 10, held_out: int = 0, vocabulary: str | None = None, head: int = HEAD) -> DataFrame:
-    """The contract's columns for every row of ``docs``."""
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), (crc_fold("doc_id", folds) == held_out).alias("held_out"), F.col("text").cast("string").alias("text")
-    )
-    words = staged(spark, with_lattice(spark, staged(spark, count_words(rows), "word-counts"), vocabulary), "words")
-    ends = rows.where(~F.col("held_out")).count()
-    sums = words.agg(
-        F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")
-    ).first()
-    weights = Weights(sums["n"], sums["v"], sums["n1"], sums["n2"], ends)
+PARTS = "owner long, line_no int, doc_id long, held_out boolean, word string, times long, line long, k long, own long, n_tokens long, n_known long, base double, score double"
 
-    # the smallest count above which there are at most `head` words, from a table of at most 64 * 8 rows
-    level = F.floor(F.log2("n") * 8).cast("int")
-    levels = sorted(((r["level"], r["k"]) for r in words.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
-    least, reached = None, 0
-    for at, k in levels:
-        reached += k
-        if reached > head:
-            break
-        least = at
-    frequent = words.where(level >= least).select("word", "c", "spelled").collect() if least is not None else []
-    head_c = np.array([r["c"] for r in frequent], dtype=np.float64)
-    head_spelled = np.array([r["spelled"] for r in frequent], dtype=np.float64)
-    shared = spark.sparkContext.broadcast(
-        ({r["word"]: i for i, r in enumerate(frequent)}, head_c > 0, weights.base(head_c), weights.word(head_c, head_spelled))
-    )
-    end_base, end_score, end_known = float(weights.base(weights.ends)), weights.end(), int(weights.ends > 0)
+
+def parts_of(rows: DataFrame, words: Table, lines: Table) -> DataFrame:
+    """What is known of each line of each row: a row for the line, one for the text (line_no -1), and one for each word that isn't in ``words``."""
+    shared = rows.sparkSession.sparkContext.broadcast((words, lines))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, known, base, score = shared.value
-        known, base, score = (np.append(x, 0) for x in (known, base, score))
+        words, lines = shared.value
+        known, base, score = (np.append(words.values[k], 0) for k in ("known", "base", "score"))
+        occurrences = np.append(lines.values["c"], -1)
         for batch in batches:
             for part in blocks(batch, "text", BLOCK_BYTES):
-                coded, offsets = split_words(part.column("text"))
-                distinct = coded.dictionary.to_pylist()
-                place = np.fromiter((places.get(w, -1) for w in distinct), np.int64, len(distinct))
-                index = np.asarray(coded.indices).astype(np.int64)
-                at = place[index] if len(index) else np.zeros(0, np.int64)
-
-                def by_text(values: np.ndarray) -> np.ndarray:
-                    running = np.concatenate([[0], np.cumsum(values[at])])
-                    return running[offsets[1:]] - running[offsets[:-1]]
-
-                n_texts = part.num_rows
-                n_tokens = np.diff(offsets) + 1
-                heads = [
-                    part.column("doc_id"), part.column("mark"), part.column("held_out"), pa.nulls(n_texts, pa.string()), pa.array(np.ones(n_texts, np.int64)), pa.array(n_tokens),
-                    pa.array(by_text(known.astype(np.int64)) + end_known), pa.array(by_text(base) + end_base), pa.array(by_text(score) + end_score),
-                ]
-                yield pa.RecordBatch.from_arrays(heads, schema=arrow)
-                rare = np.flatnonzero(at < 0)
+                coded, starts, text = split_lines(part.column("text"))
+                hashed, index = hashes(coded.dictionary), np.asarray(coded.indices).astype(np.int64)
+                owner, doc, held = (part.column(k) for k in ("owner", "doc_id", "held_out"))
+                line_no = np.arange(len(text)) - np.searchsorted(text, text)
+
+                def rows(of: np.ndarray | None, n: int, owner=owner, doc=doc, held=held, text=text, line_no=line_no, **columns) -> pa.RecordBatch:
+                    at = None if of is None else pa.array(text[of])
+                    taken = [x if at is None else x.take(at) for x in (owner, doc, held)]
+                    place = np.full(n, -1) if of is None else line_no[of]
+                    arrays = {"owner": taken[0], "line_no": pa.array(place, pa.int32()), "doc_id": taken[1], "held_out": taken[2]} | columns
+                    return pa.RecordBatch.from_arrays([arrays.get(f.name, pa.nulls(n, f.type)) for f in arrow], schema=arrow)
+
+                yield rows(None, part.num_rows, n_tokens=pa.array(np.ones(part.num_rows, np.int64)))
+                if not len(text):
+                    continue
+                found = words.find(hashed.view(np.int64))
+                at = found[index]
+                key = line_keys(hashed[index], starts)
+                k = occurrences[lines.find(key)]
+                # a training text's own occurrences of a line
+                order = np.lexsort((key, text))
+                fresh = np.append(True, (np.diff(key[order]) != 0) | (np.diff(text[order]) != 0))
+                group = np.cumsum(fresh) - 1
+                own = np.empty(len(text), np.int64)
+                own[order] = np.bincount(group)[group]
+                own[np.asarray(held)[text]] = 0
+                every = np.arange(len(text))
+                total = lambda x, at=at, starts=starts: pa.array(np.add.reduceat(x[at], starts[:-1]))
+                yield rows(
+                    every, len(text), line=pa.array(key), k=pa.array(k, mask=k < 0), own=pa.array(own), n_tokens=pa.array(np.diff(starts)), n_known=total(known.astype(np.int64)), base=total(base), score=total(score)
+                )
+                rare = np.flatnonzero(at == len(words.keys))
                 if len(rare):
-                    owner = np.repeat(np.arange(n_texts), np.diff(offsets))[rare]
-                    pair, n = np.unique(owner * len(distinct) + index[rare], return_counts=True)
-                    owner, word = pa.array(pair // len(distinct)), pa.array(pair % len(distinct))
-                    zero = pa.array(np.zeros(len(pair)))
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id").take(owner), part.column("mark").take(owner), part.column("held_out").take(owner), coded.dictionary.take(word), pa.array(n, pa.int64()),
-                         pa.nulls(len(pair), pa.int64()), pa.nulls(len(pair), pa.int64()), zero, zero], schema=arrow,
-                    )
-
-    names = ["doc_id", "mark", "held_out", "word", "times", "n_tokens", "n_known", "base", "score"]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    arrow = pa.schema(list(zip(names, kinds, strict=True)))
-    parts = rows.withColumn("mark", F.xxhash64("text")).transform(arrow_map, run, "doc_id long, mark long, held_out boolean, word string, times long, n_tokens long, n_known long, base double, score double")
-
-    total, distinct, discount, spread = float(weights.total), weights.distinct, weights.discount, weights.spread
-    new = F.lit(math.log10(spread)) + F.col("spelled") / math.log(10)
-    if weights.total:
-        seen = F.log10(F.greatest(F.col("c") - discount, F.lit(1e-300)) / total)
-        top = F.greatest(seen, new)
-        score = F.when(F.col("c") > 0, top + F.log10(F.pow(F.lit(10.0), seen - top) + F.pow(F.lit(10.0), new - top))).otherwise(new)
-    else:
-        score = new
-    base = F.log10((F.col("c") + 0.1) / (total + 0.1 * (distinct + 1)))
-    # a text's own row has no word; it passes the join without a partner
-    joined = parts.alias("p").join(words.where(level < least if least is not None else F.lit(True)).select("word", "c", "spelled").alias("w"), "word", "left")
-    summed = joined.groupBy("doc_id", "mark", "held_out").agg(
-        F.count("n_tokens").alias("copies"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.coalesce("n_known", F.when(F.col("c") > 0, F.col("times")).otherwise(0))).alias("n_known"),
-        F.sum(F.col("p.base") + F.coalesce(F.col("times") * base, F.lit(0.0))).alias("base"),
-        F.sum(F.col("p.score") + F.coalesce(F.col("times") * score, F.lit(0.0))).alias("total_score"),
+                    line_of = np.repeat(every, np.diff(starts))[rare]
+                    pair, n = np.unique(line_of * len(hashed) + index[rare], return_counts=True)
+                    yield rows(pair // len(hashed), len(pair), word=coded.dictionary.take(pa.array(pair % len(hashed))), times=pa.array(n, pa.int64()))
+
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
+    arrow = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in PARTS.split(", ")])
+    return rows.transform(arrow_map, run, PARTS)
+
+
+def log_sum(a: Column, b: Column) -> Column:
+    """log10 of the sum of two numbers given by log10."""
+    top = F.greatest(a, b)
+    return top + F.log10(F.pow(F.lit(10.0), a - top) + F.pow(F.lit(10.0), b - top))
+
+
+def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 10, held_out: int = 0, vocabulary: str | None = None, head: int = HEAD) -> DataFrame:
+    """The contract's columns for every row of ``docs``."""
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), (crc_fold("doc_id", folds) == held_out).alias("held_out"), F.col("text").cast("string").alias("text")
+    ).withColumn("owner", F.xxhash64("doc_id", "text"))
+    units = staged(spark, count_units(rows), "units")
+    is_word = F.col("word").isNotNull()
+    ends = rows.where(~F.col("held_out")).count()
+
+    def count(kind: Column, more: int = 0) -> Discounted:
+        sums = units.where(kind).agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
+        return Discounted((sums["n"] or 0) + more, sums["v"] + (more > 0), sums["n1"], sums["n2"])
+
+    words_seen, lines_seen = count(is_word, ends), count(~is_word)
+    total, distinct = words_seen.total, words_seen.distinct
+    words = staged(spark, with_lattice(spark, units.where(is_word), words_seen, vocabulary), "words")
+    # a line matters where another text may have it
+    lines = units.where(~is_word & (F.col("n") > 1) & (F.col("c") > 0)).select("line", "c", "n")
+
+    least_word, least_line = least_count(words, head), least_count(lines, head)
+    top = words.where(F.col("n") >= least_word).select("hash", "c", "score").toArrow()
+    base = lambda c: np.log10((np.asarray(c) + 0.1) / (total + 0.1 * (distinct + 1)))
+    top = pa.table({"hash": top.column("hash"), "known": pa.array(np.asarray(top.column("c")) > 0), "base": base(top.column("c")), "score": top.column("score")})
+    top_lines = lines.where(F.col("n") >= least_line).select("line", "c").toArrow()
+    parts = staged(spark, parts_of(rows, Table(top, "hash"), Table(top_lines, "line")), "parts")
+
+    rare = parts.where(is_word).select("owner", "line_no", "word", "times").join(words.where(F.col("n") < least_word).select("word", "c", "score"), "word")
+    rare_base = F.log10((F.col("c") + 0.1) / (float(total) + 0.1 * (distinct + 1)))
+    null = lambda kind: F.lit(None).cast(kind)
+    rare = rare.select(
+        "owner", "line_no", null("long").alias("doc_id"), null("boolean").alias("held_out"), null("long").alias("line"), null("long").alias("k"), null("long").alias("own"), null("long").alias("n_tokens"),
+        F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("n_known"), (F.col("times") * rare_base).alias("base"), (F.col("times") * F.col("score")).alias("score"),
+    )
+    both = parts.where(~is_word).select(rare.columns).unionByName(rare)
+    # rows equal in id and text come together; copies counts them
+    sums = both.groupBy("owner", "line_no").agg(
+        *[F.max(k).alias(k) for k in ("doc_id", "held_out", "line", "k", "own")], F.count("n_tokens").alias("copies"), *[F.sum(k).alias(k) for k in ("n_tokens", "n_known", "base", "score")]
     )
-    # rows equal in id and text were summed together
-    return summed.select(
-        "doc_id", "held_out", (F.col("n_tokens") / F.col("copies")).cast("long").alias("n_tokens"), (F.col("n_known") / F.col("copies")).cast("long").alias("n_known"),
-        F.lit(int(weights.total)).cast("long").alias("train_tokens"), (F.col("base") / F.col("copies")).alias("base_score"), (F.col("total_score") / F.col("copies")).alias("score"),
+    sums = staged(spark, sums, "lines")
+    asked = F.col("k").isNull() & F.col("line").isNotNull()
+    tail = lines.where(F.col("n") < least_line).select("line", F.col("c").alias("tail_k"))
+    met = sums.where(asked).join(tail, "line", "left").withColumn("k", F.coalesce("k", "tail_k")).select(sums.columns).unionByName(sums.where(~asked))
+
+    whole = F.greatest(F.coalesce(F.col("k") - F.col("own"), F.lit(0)) - lines_seen.discount, F.lit(0.0))
+    spelled = F.col("score") / F.col("copies") + F.col("n_tokens") / F.col("copies") * math.log10(1 - LINE_SHARE)
+    line = F.when(whole > 0, log_sum(F.log10(LINE_SHARE * whole / max(1, lines_seen.total)), spelled)).otherwise(spelled)
+    out = met.groupBy("owner").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("copies").alias("copies"), F.sum(F.col("n_tokens") / F.col("copies")).alias("n_tokens"),
+        F.sum(F.col("n_known") / F.col("copies")).alias("n_known"), F.sum(F.col("base") / F.col("copies")).alias("base"), F.sum(F.when(F.col("line_no") >= 0, line)).alias("score"),
+    )
+    end = words_seen.own(ends)
+    end_score = (math.log(0.5) if end is None else end) / LOG10 + math.log10(1 - LINE_SHARE)
+    return out.select(
+        "doc_id", "held_out", F.round("n_tokens").cast("long").alias("n_tokens"), (F.round(F.coalesce("n_known", F.lit(0))).cast("long") + int(ends > 0)).alias("n_known"),
+        F.lit(int(total)).cast("long").alias("train_tokens"), (F.coalesce("base", F.lit(0.0)) + float(base(ends))).alias("base_score"), (F.coalesce("score", F.lit(0.0)) + end_score).alias("score"),
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
     ).drop("copy")

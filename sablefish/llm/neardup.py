@@ -38,12 +38,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, blocks, sole, staged
-from .lattice import split_words
+from .tokens import MIX, hashes, mix64, split_words
 
 SHINGLE, PERCENT = 5, 75
 HASHES, BANDS, ROWS = 256, 32, 4
@@ -55,30 +54,18 @@ BLOCK, BLOCK_SHINGLES, STARS = 256, 256_000, 2
 BROADCAST_IDS = 200_000
 SEED = 11
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mix64(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit numbers."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingle hashes of each text, one after the other, and the texts' offsets."""
     coded, offsets = split_words(texts)
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    word = hashes[np.asarray(coded.indices)] if len(hashes) else np.empty(0, np.uint64)
+    distinct = hashes(coded.dictionary)
+    word = distinct[np.asarray(coded.indices)] if len(distinct) else np.empty(0, np.uint64)
     n = np.diff(offsets)
     rolling = np.zeros(len(word), np.uint64)
     padded = np.concatenate([word, np.zeros(k, np.uint64)])
     left = np.repeat(n, n) - (np.arange(len(word)) - np.repeat(offsets[:-1], n))  # words from here to the end of the text
     for j in range(k):
         part = padded[j : j + len(word)]
-        rolling = mix64(rolling * _MIX + np.where(left > j, part, 0).astype(np.uint64) + np.uint64(j + 1))
+        rolling = mix64(rolling * MIX + np.where(left > j, part, 0).astype(np.uint64) + np.uint64(j + 1))
     keep = (left >= k) | ((np.repeat(n, n) < k) & (left == np.repeat(n, n)))
     owner = np.repeat(np.arange(len(n)), n)[keep]
     values = rolling[keep]
@@ -170,13 +157,13 @@ def sketched(docs: DataFrame) -> DataFrame:
                 if len(full):
                     starts = offsets[:-1][full]
                     sums[0, full] = np.add.reduceat(mix64(values), starts)
-                    sums[1, full] = np.bitwise_xor.reduceat(mix64(values + _MIX), starts)
+                    sums[1, full] = np.bitwise_xor.reduceat(mix64(values + MIX), starts)
                     sig = signatures(values, np.concatenate([starts, [offsets[-1]]]))
                     low[full] = sig.astype(np.uint8)
                     for k in range(BANDS):
                         key = np.full(len(full), k + 1, np.uint64)
                         for j in range(k * ROWS, (k + 1) * ROWS):
-                            key = mix64(key * _MIX + sig[:, j])
+                            key = mix64(key * MIX + sig[:, j])
                         bands[full, k] = key.view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))
                 yield pa.RecordBatch.from_arrays(
@@ -339,7 +326,7 @@ def block_pairs(grouped: DataFrame, full: DataFrame, skip: bool) -> DataFrame:
                 if found_a:
                     yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
-    return met.select("m", "o").transform(arrow_map, run, "a long, b long", 32).distinct()
+    return met.select("m", "o").transform(arrow_map, run, "a long, b long").distinct()
 
 
 def link(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:

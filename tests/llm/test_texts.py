@@ -215,6 +215,45 @@ def test_lattice_sums_all_segmentations():
     for word in ("the", "x", "über", "thing,", "漢"):
         assert math.isclose(lat.log_probability(word), math.log(sum(map(math.exp, paths(lat, lattice.SPACE + word)))) + lat.end, rel_tol=1e-9)
     assert lat.log_probability("ab" * 3000) < -1000
+    both = math.log(0.25 * math.exp(lat.log_probability("thing,")) + 0.125)
+    assert math.isclose(lat.log_probability("thing,", math.log(0.25), math.log(0.125)), both, rel_tol=1e-9)
+
+
+def test_half_of_the_weights_are_the_vocabularys_own():
+    own = lattice.vocabulary_weights()
+    piece = max(own, key=own.get)
+    got = lattice.adapted(own, {piece: 1e9})
+    assert all(math.isclose(got[k], v / 2 + (k == piece) / 2) for k, v in own.items()) and lattice.adapted(own, {}) is own
+
+
+def brute_scores(rows):
+    """The score of each (id, text) by the model's definition, over whole dictionaries."""
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    split = lambda t: [ws for l in (t or "").split("\n") if (ws := tuple(w.decode() for w in re.findall(rb"[^\x20\x09-\x0D]+", l.encode().lower())))]
+    words, lines, ends = collections.Counter(), collections.Counter(), 0
+    for i, t in rows:
+        if not held(i):
+            ends += 1
+            lines.update(split(t))
+            words.update(w for line in split(t) for w in line)
+    discount = lambda c: max(0.1, min(0.95, sum(k == 1 for k in c) / (sum(k == 1 for k in c) + 2 * sum(k == 2 for k in c))))
+    d, line_d = discount(list(words.values())), discount(list(lines.values()))
+    n, v = sum(words.values()) + ends, len(words) + 1
+    expected: dict = {}
+    own = lattice.vocabulary_weights()
+    for w in words:
+        lattice.lattice_at().expect(w, expected)
+    model = lattice.Lattice(lattice.adapted(own, expected))
+    out = collections.Counter()
+    for i, t in rows:
+        score = math.log10((ends - d) / n) + math.log10(0.98)
+        mine = collections.Counter(split(t)) if not held(i) else {}
+        for line in split(t):
+            spelled = sum(math.log10((words[w] - d if words[w] else 0) / n + d * v / n * math.exp(model.log_probability(w))) + math.log10(0.98) for w in line)
+            whole = 0.02 * max(0, lines[line] - mine.get(line, 0) - line_d) / sum(lines.values())
+            score += spelled + (math.log10(1 + 10 ** (math.log10(whole) - spelled)) if whole and math.log10(whole) - spelled < 300 else math.log10(whole) - spelled if whole else 0)
+        out[i, len(t or ""), round(score, 4)] += 1
+    return out
 
 
 def test_expected_pieces():
@@ -253,6 +292,8 @@ def test_scores(spark, docs, no_docs):
             expected[i, held(i), len(tokens), sum(counts[w] > 0 for w in tokens), n, round(base, 6)] += 1
         assert expected == collections.Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in rows)
         assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in rows)
+        by_id = collections.Counter((i, score) for (i, _, score), n in brute_scores([(i, t) for i, t, _, _ in corpus()]).items() for _ in range(n))
+        assert by_id == collections.Counter((r["doc_id"], round(r["score"], 4)) for r in rows)
         scores = {(r["doc_id"], r["n_tokens"]): round(r["score"], 6) for r in rows}
         if head == 5:
             assert scores == first
