@@ -1,25 +1,27 @@
 """Operator 8, line deduplication by a deletion-neighbourhood join.
 
 Lines count as equal if their words (between white space) are. Of equal lines the earliest stays, by
-document id and line number. A line of at least ``MIN_WORDS`` words also goes where an
-earlier line differs from it by an edit of one word (replaced, inserted or deleted; both lines have
-``MIN_WORDS`` words or more). Shorter lines are compared exactly. Blank lines stay.
-
-The join: a line's variants are its words and all its sequences with one word less, each a
-hashed key. Two lines differ by a replaced word if they share a variant with the same place
-deleted, and by an inserted or deleted word if a variant of one is the other. Per key the
+document id and line number. A line also goes where an earlier line differs from it by one edit (a unit replaced,
+inserted or deleted) of at most one eighth of the line: the units of a line of at least ``LEAST`` words are its
+words, those of a shorter line the characters of its words joined by single spaces, where these are at least ``LEAST``.
+Both lines have the same kind of units. What is shorter still is compared exactly. Blank lines stay.
+
+The join: a line's variants are its units and all its sequences with one unit less, each a
+hashed key. Two lines differ by a replaced unit if they share a variant with the same place
+deleted, and by an inserted or deleted unit if a variant of one is the other. Per key the
 earliest line is found by aggregation, and each line of the key is paired with that one
 only, never all with all: the lines of a (key, place) are all within one edit of each
-other, so the earliest decides. Pairs are then verified on the words.
+other, so the earliest decides. Pairs are then verified on the units.
 
-Before variants are made, lines that can't have a partner are set aside: by the pigeonhole principle two lines within one edit share the first or
-the last half of their words (halves taken for the shorter length), so only lines with a half that another
-line shares go on.
+Before variants are made, lines that can't have a partner are set aside: by the pigeonhole principle two lines within one edit
+share the first or the last half of their units (halves taken for the shorter length), so only lines with a half that another
+line shares go on, and with one half shared the deleted place lies in the other one. Lines that go on are numbered
+in their order, so variants are rows of a few numbers.
 
 Only DataFrame functions. Keys with many lines (a very common line, a half that a third of
 all lines share) are pre-aggregated; where rows go back to their keys, both sides are plain
-tables, so that adaptive execution splits hot keys. Variants of a line of n words come from
-running hashes, n rows of fixed size.
+tables, so that adaptive execution splits hot keys. Variants of a line of n units come from
+running hashes, n rows of fixed size, taken in blocks of ``RUN``; a line of a million words takes some 10^8 steps.
 
 Defined results: a null text stays null, an empty one empty; a text of which no line but blank
 ones stays becomes empty; rows equal in id and text are treated alike (what stays of one stays
@@ -34,30 +36,36 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-MIN_WORDS = 8
-#: Texts with suspect lines up to this number are looked up by broadcast, more by a shuffled join.
+LEAST, RUN = 8, 256
+#: Texts with suspect lines up to this number are looked up by broadcast, more by a shuffled join; the same for keys of many lines.
 BROADCAST_TEXTS = 50_000
-WORDS = "array_remove(split(translate(line, '\t\r\x0b\x0c', '    '), ' '), '')"
+#: A text with plain spaces for white space but line ends; few texts have other.
+SPACED = "IF(text RLIKE '[\\t\\r\\x0B\\f]', translate(text, '\t\r\x0b\x0c', '    '), text)"
+WORDS = "array_remove(split(line, ' '), '')"
+#: Kind 0: words, 1: characters, 2: compared exactly.
+KIND = "IF(size(w) >= {0}, 0, IF(length(array_join(w, ' ')) >= {0}, 1, 2))"
+UNITS = "IF(kind = 1, split(array_join(w, ' '), ''), w)"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
 
 
-def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Every non-blank line: its document, number, two hashes and half keys."""
-    lines = _keyed(docs).selectExpr("doc_id", "mark", "posexplode(split(text, '\\n')) AS (line_no, line)")
+def occurrences(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """Every non-blank line: its document, number, two hashes and half keys (first and last half, for its own length and one less)."""
+    lines = _keyed(docs).selectExpr("doc_id", "mark", f"posexplode(split({SPACED}, '\\n')) AS (line_no, line)")
     # a filter on the words would split every line twice
-    words = lines.where("trim(BOTH ' \t\r\x0b\x0c' FROM line) <> ''").selectExpr("doc_id", "mark", "line_no", f"{WORDS} AS w")
+    words = lines.where("trim(line) <> ''").selectExpr("doc_id", "mark", "line_no", f"{WORDS} AS w")
+    units = words.selectExpr("doc_id", "mark", "line_no", "w", f"{KIND.format(least)} AS kind").selectExpr("*", f"{UNITS} AS u")
 
     def halves(m: str) -> str:
         first = f"CAST(floor(({m}) / 2) AS INT)"
-        return f"xxhash64({m}, 1, slice(w, 1, {first})), xxhash64({m}, 2, slice(w, size(w) - ({m} - {first}) + 1, {m} - {first}))"
+        return f"xxhash64(kind, {m}, 1, slice(u, 1, {first})), xxhash64(kind, {m}, 2, slice(u, size(u) - ({m} - {first}) + 1, {m} - {first}))"
 
-    hashed = words.selectExpr("doc_id", "mark", "line_no", "w", "xxhash64(w) AS h1", f"array({halves('size(w)')}) AS own")
+    hashed = units.selectExpr("doc_id", "mark", "line_no", "kind", "u", "xxhash64(w) AS h1", f"array({halves('size(u)')}) AS own")
     return hashed.selectExpr(
-        "doc_id", "mark", "line_no", "h1", "xxhash64(own) AS h2",
-        f"CASE WHEN size(w) > {min_words} THEN concat(own, array({halves('size(w) - 1')})) WHEN size(w) = {min_words} THEN own END AS halves",
+        "doc_id", "mark", "line_no", "h1", "xxhash64(h1, own) AS h2",
+        f"CASE WHEN kind < 2 AND size(u) > {least} THEN concat(own, array({halves('size(u) - 1')})) WHEN kind < 2 THEN own END AS halves",
     )
 
 
@@ -69,72 +77,87 @@ def distinct_lines(found: DataFrame) -> DataFrame:
 
 
 def suspects(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    """First occurrences of the lines that share a half with another line."""
-    keys = lines.where(F.col("halves").isNotNull()).select("first", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = staged(spark, keys.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half"), "halves")
-    return keys.join(shared, "half").select("first").groupBy("first").agg(F.lit(1).alias("one")).select("first")
+    """First occurrences of the lines that share a half with another line, and whether places in the front, in the rear are to be deleted."""
+    keys = lines.where(F.col("halves").isNotNull()).selectExpr("first", "h1", "posexplode(halves) AS (side, half)").selectExpr("first", "h1", "half", "side % 2 = 1 AS front")
+    shared = keys.groupBy("half").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).where("least <> most").select("half")
+    met = keys.drop("h1").join(staged(spark, shared, "halves"), "half")
+    return met.groupBy("first").agg(F.bool_or("front").alias("front"), F.bool_or(~F.col("front")).alias("rear"))
 
 
-def line_words(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The words of the lines at the given first occurrences."""
-    places = firsts.groupBy("first.doc_id", "first.mark").agg(F.collect_list("first.line_no").alias("places"))
+def line_units(docs: DataFrame, firsts: DataFrame, least: int = LEAST) -> DataFrame:
+    """The units of the lines at the given first occurrences, with a number in the order of the lines."""
+    places = firsts.groupBy("first.doc_id", "first.mark").agg(F.collect_list(F.struct("first.line_no", "front", "rear")).alias("places"))
     places = places.select(F.col("doc_id").alias("p_id"), F.col("mark").alias("p_mark"), "places")
     few = places.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
     texts = _keyed(docs).where(F.col("text").isNotNull())
     met = texts.join(F.broadcast(places) if few else places, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("mark") == F.col("p_mark")))
-    split = met.selectExpr("doc_id", "mark", "places", "split(text, '\\n') AS lines").selectExpr("doc_id", "mark", "lines", "explode(places) AS line_no")
-    rows = split.selectExpr("struct(doc_id, mark, line_no) AS first", "lines[line_no] AS line").selectExpr("first", f"{WORDS} AS w")
-    return rows.dropDuplicates(["first"])  # rows equal in id and text
-
-
-def variants(words: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """key, place (-1 for the line itself) and first occurrence of each variant."""
-    runs = words.selectExpr(
-        "first", "size(w) AS n", "transform(w, (x, j) -> xxhash64(j, x)) AS here", "transform(w, (x, j) -> xxhash64(j - 1, x)) AS moved"
-    ).selectExpr(
-        "first", "n",
-        # exclusive or of all hashes before a place, and from behind a place on
-        "aggregate(here, array(0L), (a, x) -> array_append(a, a[size(a) - 1] ^ x)) AS before",
-        "reverse(aggregate(reverse(moved), array(0L), (a, x) -> array_append(a, a[size(a) - 1] ^ x))) AS behind",
-    )
-    shorter = f"IF(n >= {min_words}, transform(sequence(0, n - 1), i -> struct(xxhash64(before[i] ^ behind[i + 1], n - 1) AS key, i AS place)), CAST(NULL AS ARRAY<STRUCT<key: BIGINT, place: INT>>))"
-    own = "array(struct(xxhash64(before[n], n) AS key, -1 AS place))"
-    return runs.selectExpr("first", f"explode(concat({own}, {shorter})) AS v").selectExpr("first", "v.key", "v.place")
-
-
-def candidate_pairs(spark: SparkSession, made: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """later and earlier first occurrences that share a variant, each line with the earliest of a key only."""
-    spots = made.groupBy("key", "place").agg(F.min("first").alias("earliest"), F.count(F.lit(1)).alias("n"))
+    split = met.selectExpr("doc_id", "mark", "places", f"split({SPACED}, '\\n') AS lines").selectExpr("doc_id", "mark", "lines", "inline(places)")
+    rows = split.selectExpr("struct(doc_id, mark, line_no) AS first", "front", "rear", "lines[line_no] AS line").selectExpr("first", "front", "rear", f"{WORDS} AS w")
+    rows = rows.selectExpr("*", f"{KIND.format(least)} AS kind").selectExpr("first", "front", "rear", "kind", f"{UNITS} AS u")
+    # rows equal in id and text come once; partitions of sorted rows are in order, and so are these numbers
+    return rows.dropDuplicates(["first"]).orderBy("first").withColumn("line", F.monotonically_increasing_id())
+
+
+def variants(units: DataFrame) -> DataFrame:
+    """key, place (-1 for the line itself) and line of each variant."""
+
+    def running(x: str) -> str:
+        """Exclusive ors of all hashes before a place, by blocks."""
+        block = f"transform(sequence(0, CAST((size({x}) - 1) DIV {RUN} AS INT)), k -> aggregate(slice({x}, k * {RUN} + 1, {RUN}), array(0L), (a, h) -> array_append(a, a[size(a) - 1] ^ h)))"
+        return f"transform(array({block}), b -> struct(b AS inner, aggregate(b, array(0L), (a, y) -> array_append(a, a[size(a) - 1] ^ y[size(y) - 1])) AS outer))[0]"
+
+    before = "({0}.outer[CAST({1} DIV {2} AS INT)] ^ {0}.inner[CAST({1} DIV {2} AS INT)][CAST({1} % {2} AS INT)])"
+    at = lambda name, i: before.format(name, i, RUN)
+    runs = units.selectExpr(
+        "line", "kind", "front", "rear", "size(u) AS n", "transform(u, (x, j) -> xxhash64(j, x)) AS here", "transform(u, (x, j) -> xxhash64(j - 1, x)) AS moved"
+    ).selectExpr("line", "kind", "front", "rear", "n", f"{running('concat(here, array(0L))')} AS h", f"{running('concat(moved, array(0L))')} AS m")
+    # with a shared half the deleted place lies in the other one; halves are taken for n and for n - 1 units
+    begin = "IF(front, 0, CAST(floor((n - 1) / 2) AS INT))"
+    stop = "IF(rear, n - 1, CAST(floor(n / 2) AS INT) - 1)"
+    shorter = f"""transform(sequence({begin}, {stop}), i -> struct(
+        xxhash64(kind, {at('h', 'i')} ^ {at('m', 'n')} ^ {at('m', '(i + 1)')}, n - 1) AS key, i AS place))"""
+    own = f"array(struct(xxhash64(kind, {at('h', 'n')}, n) AS key, -1 AS place))"
+    return runs.selectExpr("line", f"explode(concat({own}, {shorter})) AS v").selectExpr("line", "v.key", "v.place")
+
+
+def candidate_pairs(spark: SparkSession, made: DataFrame) -> DataFrame:
+    """later and earlier lines that share a variant, each line with the earliest of a key only."""
+    spots = made.groupBy("key", "place").agg(F.min("line").alias("least"), F.max("line").alias("most"), F.count(F.lit(1)).alias("n"))
     spots = staged(spark, spots, "spots")
-    same = spots.where("place >= 0 AND n > 1").select("key", "place", "earliest")
-    whole = spots.where("place < 0").select("key", F.col("earliest").alias("line"))
-    cut = spots.where("place >= 0").groupBy("key").agg(F.min("earliest").alias("longer"))
+    pair = lambda df, a, b: df.select(F.greatest(a, b).alias("later"), F.least(a, b).alias("earlier"))
+    same = spots.where("place >= 0 AND n > 1")
+    whole = spots.where("place < 0").select("key", F.col("least").alias("line"))
+    cut = spots.where("place >= 0").groupBy("key").agg(F.min("least").alias("longer"), F.max("most").alias("longest"), F.sum("n").alias("n"))
     both = staged(spark, whole.join(cut, "key"), "inserted")
-    deleted = made.where("place >= 0")
-    pairs = deleted.join(same, ["key", "place"]).select(F.col("first").alias("later"), F.col("earliest").alias("earlier"))
-    pairs = pairs.unionByName(deleted.join(both.select("key", "line"), "key").select(F.col("first").alias("later"), F.col("line").alias("earlier")))
-    pairs = pairs.unionByName(both.select(F.col("line").alias("later"), F.col("longer").alias("earlier")))
+    pairs = pair(same, "least", "most").unionByName(pair(both, "line", "longer")).unionByName(pair(both, "line", "longest"))
+    # two lines of a key are known by now; the others go back to theirs
+    for name, many, other, keys in (("same", same.where("n > 2"), "least", ["key", "place"]), ("inserted", both.where("n > 2"), "line", ["key"])):
+        many = staged(spark, many.select(*keys, F.col(other).alias("other")), f"many-{name}")
+        few = many.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
+        met = made.where("place >= 0").join(F.broadcast(many) if few else many, keys)
+        pairs = pairs.unionByName(pair(met, "line", "other"))
     return pairs.where("later > earlier").distinct()
 
 
-def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """The later lines of pairs within an edit of one word: what both ends share leaves at most one word."""
-    a = words.select(F.col("first").alias("later"), F.col("w").alias("a"))
-    b = words.select(F.col("first").alias("earlier"), F.col("w").alias("b"))
+def verified(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    """The later lines of pairs within one edit: what both ends share leaves at most one unit."""
+    a = units.select(F.col("line").alias("later"), F.col("u").alias("a"), F.col("kind").alias("kind_a"), "first")
+    b = units.select(F.col("line").alias("earlier"), F.col("u").alias("b"), F.col("kind").alias("kind_b"))
     first_off = "array_position(zip_with({0}, {1}, (x, y) -> x <=> y), false)"
     shared = f"IF({first_off} = 0, least(size(a), size(b)), {first_off} - 1)"
     front, back = shared.format("a", "b"), shared.format("reverse(a)", "reverse(b)")
-    return pairs.join(a, "later").join(b, "earlier").where(f"abs(size(a) - size(b)) <= 1 AND {front} + {back} >= greatest(size(a), size(b)) - 1").select("later").distinct()
+    near = f"kind_a = kind_b AND abs(size(a) - size(b)) <= 1 AND {front} + {back} >= greatest(size(a), size(b)) - 1"
+    return pairs.join(a, "later").join(b, "earlier").where(near).select("first").distinct()
 
 
-def dropped_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dropped_lines(spark: SparkSession, docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, mark and the numbers of the lines to drop, as ``exact`` and ``near``."""
-    found = staged(spark, occurrences(docs, min_words), "lines")
+    found = staged(spark, occurrences(docs, least), "lines")
     lines = staged(spark, distinct_lines(found), "distinct-lines")
-    words = staged(spark, line_words(docs, staged(spark, suspects(spark, lines), "suspects")), "suspect-words")
-    made = staged(spark, variants(words, min_words), "variants")
-    near = staged(spark, verified(staged(spark, candidate_pairs(spark, made, min_words), "pairs"), words), "near-lines")
-    marked = lines.join(near.select(F.col("later").alias("first"), F.lit(True).alias("is_near")), "first", "left")
+    units = staged(spark, line_units(docs, staged(spark, suspects(spark, lines), "suspects"), least), "suspect-units")
+    made = staged(spark, variants(units), "variants")
+    near = staged(spark, verified(staged(spark, candidate_pairs(spark, made), "pairs"), units), "near-lines")
+    marked = lines.select("h1", "h2", "first", "times").join(near.select("first", F.lit(True).alias("is_near")), "first", "left")
     fate = staged(spark, marked.where("times > 1 OR is_near").select("h1", "h2", "first", F.coalesce("is_near", F.lit(False)).alias("is_near")), "fates")
     gone = found.select("h1", "h2", F.struct("doc_id", "mark", "line_no").alias("own")).join(fate, ["h1", "h2"])
     # equal rows have equal places; one number each is enough
@@ -148,9 +171,9 @@ def dropped_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
     )
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``docs`` with ``text`` without its repeated lines, and ``n_lines``, ``n_exact``, ``n_near``."""
-    gone = staged(spark, dropped_lines(spark, docs, min_words), "dropped")
+    gone = staged(spark, dropped_lines(spark, docs, least), "dropped")
     # the other columns go as one, so that none clashes with those of the join
     others = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near", "text")]
     rows = docs.select(
@@ -160,7 +183,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS
     met = rows.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("mark") == F.col("d_mark")), "left")
     met = met.withColumn("line_array", F.split("text", "\n")).withColumns(
         {
-            "n_lines": F.expr("coalesce(size(filter(line_array, x -> trim(BOTH ' \t\r\x0b\x0c' FROM x) <> '')), 0)"),
+            "n_lines": F.expr(f"coalesce(size(filter(split({SPACED}, '\\n'), x -> trim(x) <> '')), 0)"),
             "n_exact": F.coalesce(F.size("exact"), F.lit(0)),
             "n_near": F.coalesce(F.size("near"), F.lit(0)),
         }
@@ -171,27 +194,30 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS
     return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")], "n_lines", "n_exact", "n_near")
 
 
-def oracle_sql(min_words: int = MIN_WORDS) -> str:
+def oracle_sql(least: int = LEAST) -> str:
     """The same in DuckDB's SQL, with whole variants in place of hashes; document ids are unique there."""
     return f"""
 WITH l AS (
   SELECT doc_id, i AS line_no, lines[i] AS line, list_filter(regexp_split_to_array(lines[i], '[ \\t\\r\\f\\x0B]+'), lambda w: w <> '') AS w
   FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL))
-), o AS (SELECT *, array_to_string(w, ' ') AS words, len(w) AS n, row_number() OVER (ORDER BY doc_id, line_no) AS ord FROM l
-), d AS (SELECT words, any_value(w) AS w, any_value(n) AS n, min(ord) AS ord FROM o WHERE n > 0 GROUP BY words
+), o AS (SELECT *, array_to_string(w, ' ') AS words, len(w) AS n_words, row_number() OVER (ORDER BY doc_id, line_no) AS ord FROM l
+), d AS (
+  SELECT words, any_value(w) AS w, min(ord) AS ord, CASE WHEN any_value(n_words) >= {least} THEN 0 WHEN length(words) >= {least} THEN 1 ELSE 2 END AS kind,
+         CASE WHEN any_value(n_words) >= {least} THEN any_value(n_words) ELSE length(words) END AS n
+  FROM o WHERE n_words > 0 GROUP BY words
 ), v AS (
-  SELECT ord, n, i AS place, array_to_string(list_concat(w[1:i - 1], w[i + 1:n]), ' ') AS variant
-  FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM d WHERE n >= {min_words})
+  SELECT ord, kind, n, i AS place, CASE WHEN kind = 0 THEN array_to_string(list_concat(w[1:i - 1], w[i + 1:n]), ' ') ELSE left(words, i - 1) || substr(words, i + 1) END AS variant
+  FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM d WHERE kind < 2)
 ), near AS (
-  SELECT ord FROM (SELECT ord, min(ord) OVER (PARTITION BY variant, place, n) AS least FROM v) WHERE ord > least
-  UNION SELECT greatest(v.ord, d.ord) FROM v JOIN d ON v.variant = d.words WHERE d.n >= {min_words}
+  SELECT ord FROM (SELECT ord, min(ord) OVER (PARTITION BY variant, place, kind, n) AS least FROM v) WHERE ord > least
+  UNION SELECT greatest(v.ord, d.ord) FROM v JOIN d ON v.variant = d.words AND v.kind = d.kind AND v.n = d.n + 1
 ), f AS (
-  SELECT o.*, n > 0 AND d_ord <> o.ord AND NOT is_near AS exact, n > 0 AND is_near AS near
-  FROM (SELECT o.*, d.ord AS d_ord, d.ord IN (SELECT ord FROM near) AS is_near FROM o LEFT JOIN d ON o.words = d.words AND o.n > 0) o
+  SELECT o.*, n_words > 0 AND d_ord <> o.ord AND NOT is_near AS exact, n_words > 0 AND is_near AS near
+  FROM (SELECT o.*, d.ord AS d_ord, d.ord IN (SELECT ord FROM near) AS is_near FROM o LEFT JOIN d ON o.words = d.words AND o.n_words > 0) o
 ), r AS (
   SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT (coalesce(exact, false) OR coalesce(near, false))), '') AS text,
-         count(*) FILTER (trim(line) <> '') AS n_lines, count(*) FILTER (exact) AS n_exact, count(*) FILTER (near) AS n_near,
-         count(*) FILTER (n > 0 AND NOT (coalesce(exact, false) OR coalesce(near, false))) AS n_kept
+         count(*) FILTER (n_words > 0) AS n_lines, count(*) FILTER (exact) AS n_exact, count(*) FILTER (near) AS n_near,
+         count(*) FILTER (n_words > 0 AND NOT (coalesce(exact, false) OR coalesce(near, false))) AS n_kept
   FROM f GROUP BY doc_id
 )
 SELECT t.doc_id, CASE WHEN t.text IS NULL THEN NULL WHEN r.n_lines > 0 AND r.n_kept = 0 THEN '' ELSE r.text END AS text,

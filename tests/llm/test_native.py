@@ -91,6 +91,11 @@ def edit_at_most_one(x, y):
     return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
 
 
+def units(w, least):
+    """The words of a line, as a list; a shorter line's characters, as a string; None for the shortest."""
+    return w if len(w) >= least else " ".join(w) if len(" ".join(w)) >= least else None
+
+
 def brute_dedup(rows, least):
     """Every line against every earlier one."""
     seen, out = [], {}
@@ -102,8 +107,9 @@ def brute_dedup(rows, least):
             if not w:
                 kept.append(line)
                 continue
-            same = any(w == s for s in seen)
-            near = len(w) >= least and any(len(s) >= least and s != w and edit_at_most_one(w, s) for s in seen[: seen.index(w) if same else len(seen)])
+            same = w in seen
+            u = units(w, least)
+            near = u is not None and any(s != w and units(s, least) is not None and type(units(s, least)) is type(u) and edit_at_most_one(u, units(s, least)) for s in seen[: seen.index(w) if same else len(seen)])
             if not same:
                 seen.append(w)
             if not same and not near:
@@ -115,7 +121,7 @@ def brute_dedup(rows, least):
 
 LINES = [
     (1, "a b c d e f g h\nshort line\na b c d e f g h"), (2, "a b X d e f g h\nshort line\nshort lime"), (3, "a b c d e f g h i\n\n  \nunique words are in this line of mine"),
-    (4, "unique words are in this odd line of mine\nb c d e f g h"), (5, "b c d e f g h i"), (6, "  a  b\tc d e f g h"), (7, None), (8, ""), (9, "short line"), (10, "q w e r t y u i\nq w e r t y u o\nq w e r t y u p p"),
+    (4, "unique words are in this odd line of mine\nb c d e f g h"), (5, "b c d e f g h i"), (6, "  a  b\tc d e f g h"), (7, None), (8, ""), (9, "short line"), (11, "1234567\n1234568\n12345678\n12345679\n123456789\nshort  lines\nshortline\nno spaces漢字\nno spaces漢🎉\nab cd ef gh ij kl mn\nab cd ef gh ij kl mn op"), (10, "q w e r t y u i\nq w e r t y u o\nq w e r t y u p p"),
 ]
 
 
@@ -125,7 +131,8 @@ def test_line_dedup(spark, no_docs):
     assert no_python(out)
     rows = {r["doc_id"]: r["text"] for r in out.collect()}
     assert rows == brute_dedup(LINES, 8)
-    assert rows[9] == "" and rows[2] == "short lime" and rows[7] is None
+    assert rows[9] == rows[2] == "" and rows[7] is None  # "short lime" is a character from "short line"
+    assert rows[11].split("\n") == ["1234567", "1234568", "12345678", "no spaces漢字", "ab cd ef gh ij kl mn", "ab cd ef gh ij kl mn op"]
     assert linededup.dedup_lines(spark, no_docs).count() == 0
 
 
@@ -137,3 +144,12 @@ def test_line_dedup_over_documents(spark, docs, monkeypatch):
     monkeypatch.setattr(linededup, "BROADCAST_TEXTS", 0)
     both = linededup.dedup_lines(spark, docs.where("doc_id = 500 OR doc_id IS NULL")).collect()
     assert [r["text"] for r in both if r["doc_id"] == 500] == ["twice the same row in here"] * 2  # equal rows are treated alike
+
+
+def test_line_dedup_of_long_lines(spark, monkeypatch):
+    words = [f"w{k * 7919 % 1009}" for k in range(1000)]
+    rows = [(k, " ".join(words[:at] + edit + words[at + 1 :])) for k, (at, edit) in enumerate([(0, ["w0"]), (255, ["x"]), (256, []), (512, ["y", "z"]), (999, ["x"]), (600, ["x"])])]
+    rows += [(10, " ".join(words[:300] + ["x", "y"] + words[302:])), (11, "c" * 700), (12, "c" * 699 + "d")]
+    monkeypatch.setattr(linededup, "BROADCAST_TEXTS", 0)
+    out = linededup.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == brute_dedup(rows, 8)
