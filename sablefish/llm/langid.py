@@ -1,27 +1,26 @@
 """Operator 6, language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads UTF-8 bytes, forwards and backwards, and gives every position a
-distribution over the learned languages. It is written and trained in numpy by
-backpropagation through time. Its state starts anew at white space (and every
-``LONGEST`` bytes of a longer word), so a segment's labels depend on the segment alone: the
-labels of a word are computed once and counted for each of its positions in a text, with
-the same result as running over the text. A document's distribution is the mean over all
+The network reads the UTF-8 bytes of a text, forwards and backwards, and gives every position (letters, digits, white
+space alike) a distribution over the learned languages. It is written and trained in numpy by backpropagation through
+time. A text is read in segments of ``SEGMENT`` bytes, each with the ``CONTEXT`` bytes before and behind it, so that many
+segments run side by side and a position's states know at least so much of its surroundings; only the segment's own
+positions are counted, each byte of a text once. A document's distribution is the mean over all
 its positions; the language of the largest share is predicted, with that share as score.
 
 Training data: labelled rows outside the held-out fold, at most ``MAX_DOCUMENTS`` distinct texts
 (one of each language at least), chosen by a hash evenly over the languages, each of at most ``MAX_CHARS``
 characters (longer ones give an excerpt, their beginning, for training only). The driver holds
-this sample only.
+this sample only. Each step draws languages alike, then texts, then a run of ``CROP`` bytes of each.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter; also for
 all texts where there is nothing to learn from (no labelled rows, empty tables). Equal texts
-get equal predictions. Very long texts are read in segments. Only the id, the text and
+get equal predictions (a fixed number of rows runs at a time, so a row's numbers don't depend on other rows; scores have 6 places). Ties go to the first
+language by name. Very long texts are many segments and take memory block by block. Only the id, the text and
 the label are read; predictions use the text alone.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,161 +29,212 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, blocks, crc_fold, sole
+from .common import arrow_map, blocks, crc_fold
 
-LONGEST = 48
-HIDDEN, STEPS, BATCH, RATE, SEED = 16, 500, 1024, 0.01, 7
+SEGMENT, CONTEXT, CROP = 512, 32, 96
+HIDDEN, STEPS, BATCH, RATE, SEED = 8, 400, 96, 0.02, 7
+#: Segments that run side by side, and numbers of a block of distributions.
+ROWS, BLOCK_NUMBERS = 1024, 1 << 21
 MAX_DOCUMENTS, MAX_CHARS = 1200, 20_000
-#: Segments whose labels a Python worker remembers.
-REMEMBERED = 200_000
 UNKNOWN = "und"
 PAD = 256
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
+GATES = "zrn"
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def turned(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(time, rows) numbers with the first ``n[i]`` of column i reversed."""
+    at = np.arange(x.shape[0])[:, None]
+    return np.take_along_axis(x, np.where(at < n, n - 1 - at, at), axis=0)
+
+
 class Network:
-    """Two gated recurrent layers (one a direction) and a softmax over both states."""
+    """Two gated recurrent layers (one a direction) and a softmax over both states.
+
+    Parameters by name: x (bytes to a gate), u (state to a gate) and b (bias of the candidate's state part),
+    each with a gate (z update, r reset, n candidate) and a direction (f, b); o and ob make the labels.
+    """
 
     def __init__(self, n_labels: int, hidden: int = HIDDEN, seed: int = SEED):
         rng = np.random.default_rng(seed)
         self.hidden = hidden
-        self.p = {}
+        self.p: dict[str, np.ndarray] = {}
         for d in "fb":
-            self.p["x" + d] = rng.normal(0, 0.3, (257, 3 * hidden)).astype(np.float32)
-            self.p["u" + d] = rng.normal(0, 1 / np.sqrt(hidden), (hidden, 3 * hidden)).astype(np.float32)
-            self.p["c" + d] = np.zeros(hidden, np.float32)
+            for g in GATES:
+                self.p[f"x{g}{d}"] = rng.normal(0, 0.3, (257, hidden)).astype(np.float32)
+                self.p[f"u{g}{d}"] = rng.normal(0, 1 / np.sqrt(hidden), (hidden, hidden)).astype(np.float32)
+            self.p[f"b{d}"] = np.zeros(hidden, np.float32)
         self.p["o"] = rng.normal(0, 0.3, (2 * hidden, n_labels)).astype(np.float32)
         self.p["ob"] = np.zeros(n_labels, np.float32)
 
-    def _states(self, d: str, x: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States (time, rows, hidden) of one direction over byte rows ``x`` (rows, time)."""
-        k, rows, time = self.hidden, *x.shape
-        inputs, u, c = self.p["x" + d], self.p["u" + d], self.p["c" + d]
-        h = np.zeros((rows, k), np.float32)
-        out = np.empty((time, rows, k), np.float32)
-        for t in range(time):
-            a = inputs[x[:, t]]
-            b = h @ u
-            gates = sigmoid(a[:, : 2 * k] + b[:, : 2 * k])
-            z, r = gates[:, :k], gates[:, k:]
-            inner = b[:, 2 * k :] + c
-            n = np.tanh(a[:, 2 * k :] + r * inner)
-            new = n + z * (h - n)
+    def states(self, d: str, x: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """States (time, rows, hidden) of one direction over bytes ``x`` (time, rows)."""
+        time, rows = x.shape
+        p = self.p
+        kind = p["ob"].dtype
+        # sigmoid(v) is half of tanh(v / 2) and one; the halves go into the parameters
+        tables = [p[f"x{g}{d}"] * (1 if g == "n" else kind.type(0.5)) for g in GATES]
+        us = [p[f"u{g}{d}"] * (1 if g == "n" else kind.type(0.5)) for g in GATES]
+        bias = p[f"b{d}"]
+        out = np.empty((time, rows, self.hidden), kind)
+        h = np.zeros((rows, self.hidden), kind)
+        z, r, n, t = (np.empty_like(h) for _ in range(4))
+        for k in range(time):
+            at = x[k]
+            for gate, table, u in ((z, tables[0], us[0]), (r, tables[1], us[1])):
+                np.take(table, at, axis=0, out=gate, mode="clip")
+                np.matmul(h, u, out=t)
+                gate += t
+                np.tanh(gate, out=gate)
+                gate *= 0.5
+                gate += 0.5
+            inner = np.matmul(h, us[2], out=t)
+            inner += bias
+            if keep is not None:
+                kept = (h.copy(), z.copy(), r.copy(), inner.copy())
+            inner *= r
+            np.take(tables[2], at, axis=0, out=n, mode="clip")
+            n += inner
+            np.tanh(n, out=n)
             if keep is not None:
-                keep.append((h, z, r, inner, n))
-            h = out[t] = new
+                keep.append((*kept, n.copy()))
+            new = out[k]
+            np.subtract(h, n, out=new)
+            new *= z
+            new += n
+            h = new
         return out
 
     def _back(self, d: str, x: np.ndarray, keep: list, dout: np.ndarray, grads: dict) -> None:
-        k = self.hidden
-        u = self.p["u" + d]
-        gx, gu, gc = np.zeros_like(self.p["x" + d]), np.zeros_like(u), np.zeros(k, np.float32)
-        dh = np.zeros(dout.shape[1:], np.float32)
-        for t in range(x.shape[1] - 1, -1, -1):
+        u = {g: self.p[f"u{g}{d}"] for g in GATES}
+        gu = {g: np.zeros_like(u[g]) for g in GATES}
+        gb = np.zeros_like(self.p[f"b{d}"])
+        inputs = {g: np.empty_like(dout) for g in GATES}
+        dh = np.zeros_like(dout[0])
+        for t in range(len(x) - 1, -1, -1):
             h, z, r, inner, n = keep[t]
             dh = dh + dout[t]
             dn = dh * (1 - z) * (1 - n * n)
             dz = dh * (h - n) * z * (1 - z)
             dr = dn * inner * r * (1 - r)
             dinner = dn * r
-            da = np.concatenate([dz, dr, dn], axis=1)
-            db = np.concatenate([dz, dr, dinner], axis=1)
-            np.add.at(gx, x[:, t], da)
-            gu += h.T @ db
-            gc += dinner.sum(axis=0)
-            dh = dh * z + db @ u.T
-        grads["x" + d], grads["u" + d], grads["c" + d] = gx, gu, gc
-
-    @staticmethod
-    def _turn(x: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Index that reverses the first ``n[i]`` places of row i."""
-        at = np.arange(x.shape[1])
-        return np.where(at < n[:, None], n[:, None] - 1 - at, at)
+            for g, v in (("z", dz), ("r", dr), ("n", dn)):
+                inputs[g][t] = v
+            for g, v in (("z", dz), ("r", dr), ("n", dinner)):
+                gu[g] += h.T @ v
+            gb += dinner.sum(axis=0)
+            dh = dh * z + dz @ u["z"].T + dr @ u["r"].T + dinner @ u["n"].T
+        order = np.argsort(x.ravel(), kind="stable")
+        sorted_x = x.ravel()[order]
+        starts = np.flatnonzero(np.diff(sorted_x, prepend=-1))
+        for g in GATES:
+            gx = np.zeros_like(self.p[f"x{g}{d}"])
+            gx[sorted_x[starts]] = np.add.reduceat(inputs[g].reshape(len(order), -1)[order], starts)
+            grads[f"x{g}{d}"], grads[f"u{g}{d}"] = gx, gu[g]
+        grads[f"b{d}"] = gb
 
     def train_step(self, x: np.ndarray, n: np.ndarray, label: np.ndarray) -> tuple[float, dict]:
-        """Mean loss a position, and gradients by backpropagation through time."""
-        turn = self._turn(x, n)
-        back = np.take_along_axis(x, turn, axis=1)
+        """Mean loss a position, and gradients by backpropagation through time; ``x`` is (time, rows)."""
+        back = turned(x, n)
         kf: list = []
         kb: list = []
-        hf = self._states("f", x, kf)
-        hb = np.take_along_axis(self._states("b", back, kb), turn.T[:, :, None], axis=0)
+        time, rows = np.arange(len(x)), np.arange(len(n))
+        turn = np.where(time[:, None] < n, n - 1 - time[:, None], time[:, None])[:, :, None]
+        hf = self.states("f", x, kf)
+        hb = np.take_along_axis(self.states("b", back, kb), turn, axis=0)
         h = np.concatenate([hf, hb], axis=2)
-        logits = h @ self.p["o"] + self.p["ob"]
-        logits -= logits.max(axis=2, keepdims=True)
-        prob = np.exp(logits)
-        prob /= prob.sum(axis=2, keepdims=True)
-        mask = (np.arange(x.shape[1])[:, None] < n[None, :]).astype(np.float32)
+        d = self._distributions(h)
+        mask = (time[:, None] < n).astype(h.dtype)
         total = mask.sum()
-        rows = np.arange(len(n))
-        loss = -(np.log(prob[:, rows, label] + 1e-9) * mask).sum() / total
-        d = prob
+        loss = -(np.log(d[:, rows, label] + 1e-9) * mask).sum() / total
         d[:, rows, label] -= 1
         d *= (mask / total)[:, :, None]
         grads = {"o": np.einsum("trh,trl->hl", h, d, optimize=True), "ob": d.sum(axis=(0, 1))}
         dh = d @ self.p["o"].T
         k = self.hidden
         self._back("f", x, kf, dh[:, :, :k], grads)
-        self._back("b", back, kb, np.take_along_axis(dh[:, :, k:], turn.T[:, :, None], axis=0), grads)
+        self._back("b", back, kb, np.take_along_axis(dh[:, :, k:], turn, axis=0), grads)
         return float(loss), grads
 
-    def train(self, segments: list[bytes], label: np.ndarray, weight: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> float:
+    def _distributions(self, h: np.ndarray) -> np.ndarray:
+        d = h @ self.p["o"] + self.p["ob"]
+        d -= d.max(axis=-1, keepdims=True)
+        np.exp(d, out=d)
+        d /= d.sum(axis=-1, keepdims=True)
+        return d
+
+    def train(self, texts: list[bytes], label: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> float:
+        """Steps of Adam over runs of bytes of the texts."""
         rng = np.random.default_rng(seed)
-        x, n = padded(segments)
-        chance = np.cumsum(weight / weight.sum())
+        whole = np.frombuffer(b"".join(texts) + bytes(CROP), np.uint8).astype(np.int64)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        start = np.cumsum(size) - size
+        order = np.argsort(label, kind="stable")
+        count = np.bincount(label)
+        first = np.cumsum(count) - count
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
+        time = np.arange(CROP)[:, None]
         loss = 0.0
         for step in range(1, steps + 1):
-            pick = np.minimum(np.searchsorted(chance, rng.random(batch)), len(segments) - 1)
-            most = int(n[pick].max())
-            loss, grads = self.train_step(x[pick, :most], n[pick], label[pick])
+            lang = rng.permutation(np.arange(batch) % len(count)) if len(count) <= batch else rng.integers(0, len(count), batch)
+            pick = order[first[lang] + (rng.random(batch) * count[lang]).astype(np.int64)]
+            n = np.minimum(CROP, size[pick])
+            at = start[pick] + (rng.random(batch) * (size[pick] - n + 1)).astype(np.int64)
+            x = np.where(time < n, whole[np.minimum(at + time, len(whole) - 1)], PAD)
+            loss, grads = self.train_step(x, n, label[pick])
             lr = rate * min(1.0, 2 * (1 - (step - 1) / steps))
             for k, g in grads.items():
                 m[k] += 0.1 * (g - m[k])
                 v2[k] += 0.01 * (g * g - v2[k])
-                self.p[k] -= (lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                self.p[k] -= (lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.99**step)) + 1e-8)).astype(self.p[k].dtype)
         return loss
 
-    def label_sums(self, segments: list[bytes]) -> np.ndarray:
-        """For each segment, the sum over its positions of the distribution over labels."""
-        out = np.zeros((len(segments), len(self.p["ob"])), np.float32)
-        length = np.fromiter(map(len, segments), dtype=np.int64, count=len(segments))
-        order = np.argsort(length, kind="stable")
-        cuts = np.flatnonzero(np.diff(length[order])) + 1
-        for same in np.split(order, cuts) if len(order) else []:
-            n = int(length[same[0]])
-            if not n:
-                continue
-            most = max(64, 100_000 // n)
-            for start in range(0, len(same), most):
-                rows = same[start : start + most]
-                x = np.frombuffer(b"".join([segments[i] for i in rows]), dtype=np.uint8).reshape(len(rows), n)
-                hf, hb = self._states("f", x), self._states("b", x[:, ::-1])[::-1]
-                k = self.hidden
-                logits = hf @ self.p["o"][:k] + hb @ self.p["o"][k:] + self.p["ob"]
-                logits -= logits.max(axis=2, keepdims=True)
-                prob = np.exp(logits)
-                prob /= prob.sum(axis=2, keepdims=True)
-                out[rows] = prob.sum(axis=0)
-        return out
-
-
-def padded(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    n = np.fromiter(map(len, segments), dtype=np.int64, count=len(segments))
-    x = np.full((len(segments), int(n.max())), PAD, dtype=np.int16)
-    for i, s in enumerate(segments):
-        x[i, : len(s)] = np.frombuffer(s, dtype=np.uint8)
-    return x, n
-
-
-def cut_long(word: bytes) -> list[bytes]:
-    return [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
+    def shares(self, texts: pa.Array) -> np.ndarray:
+        """(texts, labels): the mean distribution over all positions of each text; zeros for texts without a byte."""
+        size = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+        whole = np.frombuffer(b"".join([t for t in texts.cast(pa.binary()).to_pylist() if t]), np.uint8)
+        start = np.cumsum(size) - size
+        pieces = -(-size // SEGMENT)
+        owner = np.repeat(np.arange(len(size)), pieces)
+        # from, to: a segment's own bytes; low, high: with its context
+        begin = (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SEGMENT
+        stop = np.minimum(begin + SEGMENT, size[owner])
+        low, high = np.maximum(begin - CONTEXT, 0), np.minimum(stop + CONTEXT, size[owner])
+        length = high - low
+        total = np.zeros((len(size), len(self.p["ob"])))
+        order = np.argsort(-length, kind="stable")
+        for k in range(0, len(order), ROWS):
+            some = order[k : k + ROWS]
+            n = np.zeros(ROWS, np.int64)
+            n[: len(some)] = length[some]
+            time = np.arange(int(n.max()))[:, None]
+            at = np.zeros(ROWS, np.int64)
+            at[: len(some)] = (start[owner] + low)[some]
+            x = np.where(time < n, whole[np.minimum(at + time, len(whole) - 1)], np.uint8(0)).astype(np.intp)
+            hf = self.states("f", x)
+            hb = turned_states(self.states("b", turned(x, n)), n)
+            lead, last = np.zeros(ROWS, np.int64), np.zeros(ROWS, np.int64)
+            lead[: len(some)], last[: len(some)] = (begin - low)[some], (stop - low)[some]
+            sums = np.zeros((ROWS, total.shape[1]))
+            each = max(1, BLOCK_NUMBERS // (ROWS * total.shape[1]))
+            for t in range(0, len(time), each):
+                d = self._distributions(np.concatenate([hf[t : t + each], hb[t : t + each]], axis=2))
+                own = (time[t : t + each] >= lead) & (time[t : t + each] < last)
+                sums += np.einsum("trl,tr->rl", d, own.astype(d.dtype))
+            np.add.at(total, owner[some], sums[: len(some)])
+        return total / np.maximum(size, 1)[:, None]
+
+
+def turned_states(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """States (time, rows, hidden) with the first ``n[i]`` of row i in reverse."""
+    at = np.arange(len(h))[:, None]
+    return h[np.where(at < n, n - 1 - at, at), np.arange(h.shape[1])]
 
 
 def sample_rows(labelled: DataFrame, most: int = MAX_DOCUMENTS, chars: int = MAX_CHARS) -> list[tuple[str, str]]:
@@ -204,82 +254,15 @@ def sample_rows(labelled: DataFrame, most: int = MAX_DOCUMENTS, chars: int = MAX
 
 def fit(rows: list[tuple[str, str]], **options) -> tuple[Network, list[str]] | None:
     """A trained network and its languages; None where there is nothing to learn."""
-    langs = sorted({lang for _, lang in rows})
+    given = [(t, lang) for text, lang in rows if (t := text.encode("utf-8", "surrogatepass"))]
+    langs = sorted({lang for _, lang in given})
     if not langs:
         return None
-    counts: dict[tuple[bytes, int], int] = {}
-    for text, lang in rows:
-        k = langs.index(lang)
-        for word in text.encode("utf-8", "surrogatepass").split():
-            for s in cut_long(word):
-                counts[s, k] = counts.get((s, k), 0) + 1
-    if not counts:
-        return None
-    keys = sorted(counts)
-    label = np.array([k for _, k in keys])
-    weight = np.array([counts[x] for x in keys], dtype=np.float64) ** 0.75
-    weight /= np.bincount(label, weights=weight, minlength=len(langs))[label]  # languages count alike
     net = Network(len(langs))
-    net.train([s for s, _ in keys], label, weight, **options)
+    net.train([t for t, _ in given], np.array([langs.index(lang) for _, lang in given]), **options)
     return net, langs
 
 
-class Labeller:
-    """Label distributions of texts, with the distinct segments remembered."""
-
-    def __init__(self, net: Network):
-        self.net = net
-        self.forget()
-
-    def forget(self) -> None:
-        self.places: dict[bytes, int] = {}
-        self.sums = np.zeros((0, len(self.net.p["ob"])), np.float32)
-        self.sizes = np.zeros(0, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        segments, owner = [], []
-        for i, w in enumerate(words):
-            parts = cut_long(w) if len(w) > LONGEST else [w]
-            segments += parts
-            owner += [i] * len(parts)
-        sums = np.zeros((len(words), self.sums.shape[1]), np.float32)
-        np.add.at(sums, np.array(owner, dtype=np.int64), self.net.label_sums(segments))
-        at = len(self.places)
-        self.places.update(zip(words, range(at, at + len(words)), strict=True))
-        self.sums = np.concatenate([self.sums, sums])
-        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, words), np.int64, len(words))])
-
-    def __call__(self, texts: pa.Array) -> np.ndarray:
-        """(texts, labels): mean distribution of each; zeros for texts without a segment."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        offsets = np.asarray(split.offsets).astype(np.int64)
-        offsets -= offsets[0]
-        coded = split.flatten().cast(pa.binary()).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.places]
-        if len(new) + len(self.places) > REMEMBERED:
-            self.forget()
-            new = distinct
-        if new:
-            self._learn(new)
-        place = np.fromiter((self.places[w] for w in distinct), np.int64, len(distinct))
-        word = place[np.asarray(coded.indices)] if len(distinct) else np.zeros(0, np.int64)
-        total = np.zeros((len(texts), self.sums.shape[1]))
-        n = np.zeros(len(texts), np.int64)
-        full = np.flatnonzero(np.diff(offsets))
-        if len(full):
-            starts = offsets[:-1][full]
-            total[full] = np.add.reduceat(self.sums[word], starts, axis=0, dtype=np.float64)
-            n[full] = np.add.reduceat(self.sizes[word], starts)
-        return total / np.maximum(n, 1)[:, None]
-
-
-def labeller(net: Network) -> Labeller:
-    """This process's labeller with these weights, kept between tasks."""
-    key = hashlib.sha1(b"".join(v.tobytes() for _, v in sorted(net.p.items()))).hexdigest()
-    return sole(f"langid {key}", lambda: Labeller(net))
-
-
 def has_letter(texts: pa.Array) -> np.ndarray:
     return np.fromiter((t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()), bool, len(texts))
 
@@ -308,11 +291,10 @@ def predict(df: DataFrame, model: tuple[Network, list[str]] | None, text_col: st
     values = np.array([*langs, UNKNOWN], dtype=object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label = labeller(net)
         for batch in batches:
-            for part in blocks(batch, text_col, 3 << 20):
+            for part in blocks(batch, text_col, 4 << 20):
                 texts = part.column(text_col)
-                share = label(texts)
+                share = net.shares(texts)
                 best = share.argmax(axis=1)
                 letter = has_letter(texts)
                 pred = values[np.where(letter, best, len(langs))]

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sablefish.llm import langid, lattice, media, packing
 
@@ -134,13 +135,22 @@ def test_bins_of_the_plan():
     assert packing.plan_bins({}, 10) == ([], 0)
 
 
+def columns(texts):
+    n = np.array([len(t) for t in texts])
+    x = np.full((n.max(), len(texts)), langid.PAD)
+    for k, t in enumerate(texts):
+        x[: len(t), k] = list(t)
+    return x, n
+
+
 def test_gradients_of_the_network():
     net = langid.Network(3, hidden=4)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    x, n = langid.padded([b"abc", b"de", b"x", b"hello"])
+    x, n = columns([b"abc", b"de", b"x", b"hello"])
     label = np.array([0, 1, 2, 1])
     _, grads = net.train_step(x, n, label)
-    for k, at in {"uf": (1, 5), "ub": (2, 9), "xf": (ord("e"), 3), "xb": (ord("l"), 7), "cf": (2,), "cb": (1,), "o": (5, 1), "ob": (2,)}.items():
+    assert grads.keys() == net.p.keys()
+    for k, at in {"uzf": (1, 3), "urf": (0, 2), "unb": (2, 1), "xzf": (ord("e"), 3), "xrb": (ord("l"), 2), "xnb": (ord("a"), 0), "bf": (2,), "bb": (1,), "o": (5, 1), "ob": (2,)}.items():
         old = net.p[k][at]
         net.p[k][at] = old + 1e-4
         up, _ = net.train_step(x, n, label)
@@ -155,17 +165,66 @@ def trained():
     import random
 
     rng = random.Random(2)
-    return langid.fit([(words(rng, 60, EN), "en") for _ in range(12)] + [(words(rng, 60, DE), "de") for _ in range(12)], steps=60, batch=128)
+    return langid.fit([(words(rng, 60, EN), "en") for _ in range(12)] + [(words(rng, 60, DE), "de") for _ in range(12)], steps=150)
+
+
+def one_direction(p, d, data):
+    """The states of a recurrent layer, byte by byte."""
+    h, out = np.zeros(len(p["bf"])), []
+    for c in data:
+        z, r = (langid.sigmoid(p[f"x{g}{d}"][c] + h @ p[f"u{g}{d}"]) for g in "zr")
+        n = np.tanh(p[f"xn{d}"][c] + r * (h @ p[f"un{d}"] + p[f"b{d}"]))
+        h = (1 - z) * n + z * h
+        out.append(h)
+    return out
+
 
+def distributions(net, data):
+    """The distribution at every byte."""
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    f, b = one_direction(p, "f", data), one_direction(p, "b", data[::-1])[::-1]
+    logits = np.array([np.concatenate(x) @ p["o"] + p["ob"] for x in zip(f, b, strict=True)])
+    e = np.exp(logits - logits.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
 
-def test_words_are_labelled_as_in_their_text(trained):
+
+def test_every_position_is_labelled(trained, monkeypatch):
+    net, _ = trained
+    texts = ["the and whing", "keit the and", "", None, "schung  \n keit über 漢字", "x", "whing " * 40]
+    for segment, context, rows in ((512, 32, 1024), (16, 4, 3), (5, 7, 2)):
+        monkeypatch.setattr(langid, "SEGMENT", segment)
+        monkeypatch.setattr(langid, "CONTEXT", context)
+        monkeypatch.setattr(langid, "ROWS", rows)
+        for text, share in zip(texts, net.shares(pa.array(texts)), strict=True):
+            data, total = (text or "").encode(), np.zeros(2)
+            for k in range(0, len(data), segment):
+                low = max(0, k - context)
+                part = data[low : min(len(data), k + segment + context)]
+                total += distributions(net, part)[k - low : k - low + segment].sum(axis=0)
+            assert np.allclose(share, total / max(1, len(data)), atol=1e-5)
+    # a word's labels depend on what stands beside it
+    assert not np.allclose(distributions(net, b"the keit")[:3], distributions(net, b"the and ")[:3], atol=1e-6)
+
+
+def test_equal_texts_in_other_company(trained):
     net, _ = trained
-    texts = ["the and whing", "x" * 200 + " keit", "", None, "schung  \n keit"]
-    got = langid.Labeller(net)(pa.array(texts))
-    for text, share in zip(texts, got, strict=True):
-        segments = [s for w in (text or "").encode().split() for s in langid.cut_long(w)]
-        total = sum((net.label_sums([s])[0] for s in segments), np.zeros(2))
-        assert np.allclose(share, total / max(1, sum(map(len, segments))), atol=1e-5)
+    texts = [t for _, t, _, _ in corpus()]
+    shares = np.round(net.shares(pa.array(texts)), 6)
+    assert np.array_equal(shares[::-1], np.round(net.shares(pa.array(texts[::-1])), 6))
+    assert np.array_equal(shares[:1], np.round(net.shares(pa.array(texts[:1])), 6))
+
+
+def test_identify(spark, docs):
+    rows = langid.identify(spark, docs).collect()
+    assert langid.identify(spark, docs).columns == ["doc_id", "held_out", "lang_pred", "score"]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0
+    assert collections.Counter((r["doc_id"], r["held_out"]) for r in rows) == collections.Counter((i, held(i)) for i, _, _, _ in corpus())
+    lang = {i: lang for i, t, lang, _ in corpus() if t and lang and len(t) > 60 and i not in (300, 401, 402)}
+    found = [(r["lang_pred"], lang[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in lang]
+    assert len(found) > 5 and sum(a == b for a, b in found) >= 0.9 * len(found)
+    # a label that only held-out rows have is never learned
+    odd = docs.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, "xx").otherwise(F.col("lang")))
+    assert langid.learn(spark, odd, steps=2)[1] == ["de", "en"]
 
 
 def test_language(spark, docs, no_docs, trained):
