@@ -4,16 +4,19 @@ Every run of text in a page is a leaf, reached from the root over a path of tags
 first class or id of each). Leaves with equal paths are pooled: a path's text ratio is its
 text length over its number of leaves, its punctuation ratio the same with punctuation
 marks. Over the leaves in page order both ratios are smoothed by a Gaussian window, fused as
-a product, and compared with a threshold (the mean plus a share of the standard deviation).
-Leaves above it vote, with their text length, for the element whose subtree they are in; the
+a product, and weighted by hints: words in classes and ids that speak of boilerplate lower the weight of what lies below
+(much where the whole name does, a little where other words stand beside them), and so does a form. Leaves above a threshold (the mean
+plus a share of the standard deviation) are content and vote, with their text length, for the elements they are in; the
 deepest one that holds most of the votes and isn't a mere paragraph is the core. The main element
 is the deepest one that covers the core, all leaves that voted and all prose (blocks with punctuation
 and at least ``PROSE`` characters outside links, or a quarter of the longest leaf that voted, if that
-is less), so articles split over several elements stay whole. Its text is the page's main
-text: paths below the threshold inside it (headings, short paragraphs, lists) belong to the
-article; paths that name boilerplate (navigation, footers, asides, forms, adverts, notices,
-comments ...) vote for nothing and are left out wherever they are. Where the core lies in
-``article`` or ``main``, only text in such elements counts.
+is less) of no lower hint than the core's, so articles split over several elements stay whole.
+
+The page's main text are the content leaves of the main element and what belongs to them: paths below the threshold
+(headings, short paragraphs, lists) whose hint isn't much lower than the core's; outside the core only in parts that hold content or prose
+or aren't made of links. Hints above the core count for all alike, so names of a whole page's layout decide nothing.
+What HTML itself declares to be navigation, footers, asides, dialogs, scripts and styles is no content anywhere; headers are none
+outside an article. Where the core lies in ``article`` or ``main``, only text in such elements counts.
 
 Blocks are runs between block-level tags. Character references are decoded, white space
 inside a block becomes one space, empty blocks are dropped and blocks join by two newlines.
@@ -21,7 +24,8 @@ inside a block becomes one space, empty blocks are dropped and blocks join by tw
 Defined results: null, empty and markup-only pages have an empty text; plain text without
 tags is one block; unclosed and stray tags, comments and cut-off pages parse like this: a new
 block-level tag closes open paragraphs, an end tag closes up to its nearest open start or
-nothing, script and style run to their end tag or the end of the page. Repeated rows give
+nothing, script and style run to their end tag or the end of the page. Ties of ratios share their fate, ties of votes go to the deeper element. Very long pages
+are read in one pass over their tags. Repeated rows give
 repeated results, and an empty table an empty one. Only the id, url and html are read.
 """
 
@@ -51,7 +55,9 @@ CLOSES_P = frozenset(
 #: An opening tag of this name closes an open one of these, within the given boundary.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Elements that are never main text, and those that aren't unless they lie in an article.
-NEVER = frozenset("nav footer aside form button dialog menu object audio video canvas map".split()) | RAW
+NEVER = frozenset("nav footer aside button dialog menu object audio video canvas map".split()) | RAW
+#: Of these, the ones that may stand inside a block.
+WITHIN_BLOCK = RAW - {"xmp", "noframes", "noembed"}
 OUTSIDE = frozenset(["header"])
 #: Words in classes, ids and roles that name boilerplate.
 BOILERPLATE = frozenset(
@@ -64,8 +70,13 @@ BOILERPLATE = frozenset(
 GOOD, EXCUSED = frozenset("article main content post entry story body text".split()), frozenset("header masthead side".split())
 #: Boilerplate words whose elements may hold articles that aren't the page's (comments, teasers).
 FOREIGN = frozenset("comment comments commentlist disqus reply replies respond related recommended recommendations ad ads adv advert adverts sponsored promoted".split())
-#: Where less than this share of a page's text is outside boilerplate, class and id names are taken for layout names.
-LEAST_SHARE = 0.05
+#: Words that say nothing about a part's kind.
+GENERIC = GOOD | frozenset(
+    """list lists item items box block container wrapper wrap inner outer section area bar group row col column unit slot zone panel top bottom left right site page pages global
+    posts articles stories links link buttons button form title heading head text""".split()
+)
+#: Weights of elements whose whole name is boilerplate, and of those with other words in it; least hint of what belongs to the core.
+NAMED, MIXED, BELONGS = 0.01, 0.5, 0.5
 SIGMA, RADIUS, LAMBDA, MAJORITY = 1.0, 2, 0.5, 0.6
 #: Characters outside links that make a block with punctuation prose.
 PROSE = 80
@@ -76,22 +87,19 @@ _WORDS = re.compile(r"[A-Za-z]+")
 
 
 class Element:
-    """boiler: boilerplate by tag or by names; hard: by tag; foreign: articles in it aren't the page's."""
+    """path: a number, equal for equal paths; hint: the weight of its text by names; hard: no content by its tag; foreign: articles in it aren't the page's."""
 
-    __slots__ = ("boiler", "content", "depth", "foreign", "hard", "name", "parent", "path", "votes")
+    __slots__ = ("content", "depth", "foreign", "hard", "hint", "name", "parent", "path", "votes")
 
-    def __init__(self, name: str, parent: Element | None, mark: str, hard: bool, named: bool, foreign: bool):
-        self.name, self.parent = name, parent
-        # in deep nestings the innermost tags tell paths apart
-        self.path = ((parent.path if parent else "") + "/" + name + mark)[-400:]
+    def __init__(self, name: str, parent: Element | None, path: int, hard: bool, hint: float, foreign: bool):
+        self.name, self.parent, self.path = name, parent, path
         self.depth = parent.depth + 1 if parent else 0
         self.content = bool(parent and parent.content) or name in ("article", "main")
         self.hard = hard or bool(parent and parent.hard)
         self.foreign = foreign or bool(parent and parent.foreign)
-        named = named or bool(parent and parent.boiler)
-        if name in ("article", "main", "body", "html") and not (self.hard or self.foreign):
-            named = False
-        self.boiler = self.hard or named
+        if name in ("article", "main", "body", "html") and not self.foreign:
+            hint = 1.0
+        self.hint = hint * (parent.hint if parent else 1.0)
         self.votes = 0.0
 
 
@@ -105,9 +113,19 @@ class Leaf:
         self.marks = len(_PUNCTUATION.findall(plain))
 
 
-def _marks(attributes: str) -> tuple[str, bool, bool, bool]:
-    """The path mark of a tag's class or id; whether it is hidden, names boilerplate, names foreign text."""
-    mark, hidden, boiler, foreign = "", False, False, False
+def _hint(name: str) -> tuple[float, bool]:
+    """The weight of one class or id; whether it names foreign text."""
+    words = {w.lower() for w in _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name))}
+    named = words & BOILERPLATE
+    if not named or (words & GOOD and named <= EXCUSED):
+        return 1.0, False
+    rest = {w for w in words - named if len(w) > 1}
+    return (MIXED, False) if rest - GENERIC else (NAMED, bool(named & FOREIGN))
+
+
+def _marks(attributes: str) -> tuple[str, bool, float, bool]:
+    """The path mark of a tag's class or id; whether it is hidden; its hint; whether it names foreign text."""
+    mark, hidden, hint, foreign = "", False, 1.0, False
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden":
@@ -117,18 +135,18 @@ def _marks(attributes: str) -> tuple[str, bool, bool, bool]:
         elif key == "style":
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         else:
-            words = {w.lower() for name in value.split() for w in _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name))}
-            named = words & BOILERPLATE
-            boiler |= bool(named) and not (words & GOOD and named <= EXCUSED)
-            foreign |= bool(words & FOREIGN)
+            for name in value.split():
+                weight, other = _hint(name)
+                hint, foreign = min(hint, weight), foreign or other
             if not mark and value.split():
                 mark = ("#" if key == "id" else ".") + value.split()[0].lower()
-    return mark, hidden, boiler, foreign
+    return mark, hidden, hint, foreign
 
 
 def leaves(html: str) -> list[Leaf]:
     """The page's runs of text in order, with their elements and block numbers."""
-    root = Element("", None, "", False, False, False)
+    root = Element("", None, 0, False, 1.0, False)
+    numbers: dict[tuple[int, str], int] = {}
     stack = [root]
     out: list[Leaf] = []
     block, at = 0, 0
@@ -145,7 +163,8 @@ def leaves(html: str) -> list[Leaf]:
         at = stop
         if name is None:
             continue
-        if name not in INLINE:
+        within = name in INLINE or name in WITHIN_BLOCK
+        if not within:
             block += 1
         if closing:
             for k in range(len(stack) - 1, 0, -1):
@@ -172,18 +191,21 @@ def leaves(html: str) -> list[Leaf]:
             if name == "br" and out and stop < n:
                 out.append(Leaf(" ", stack[-1], block))
             continue
-        mark, hidden, named, foreign = _marks(attributes) if attributes else ("", False, False, False)
+        mark, hidden, hint, foreign = _marks(attributes) if attributes else ("", False, 1.0, False)
         hard = hidden or name in NEVER or (name in OUTSIDE and not stack[-1].content)
         if name in ("body", "html"):
-            hard = named = foreign = False
+            hard, hint, foreign = False, 1.0, False
+        if name == "form":
+            hint = min(hint, NAMED)
         if name in RAW:
             low = low or html.lower()
             end = low.find("</" + name, at)
             at = n if end < 0 else end
             m.skip(at)
-            block += 1
+            block += not within
             continue
-        stack.append(Element(name, stack[-1], mark, hard, named, foreign))
+        path = numbers.setdefault((stack[-1].path, name + mark), len(numbers) + 1)
+        stack.append(Element(name, stack[-1], path, hard, hint, foreign))
     text(at, n)
     return out
 
@@ -231,26 +253,19 @@ def ratios(own: list[Leaf]) -> np.ndarray:
     return _smooth(length) * (_smooth(points) + 0.1)
 
 
-def candidates(found: list[Leaf]) -> list[Leaf]:
-    """Leaves outside boilerplate."""
-    plain = [x for x in found if not x.element.hard]
-    own = [x for x in plain if not x.element.boiler]
-    if sum(x.size for x in own) < LEAST_SHARE * sum(x.size for x in plain):
-        return plain
-    return own
+def voters_of(own: list[Leaf]) -> list[Leaf]:
+    """The leaves whose weighted ratio is above the threshold."""
+    if not own:
+        return []
+    ratio = ratios(own) * np.array([x.element.hint for x in own])
+    threshold = min(ratio.mean() + LAMBDA * ratio.std(), ratio.max() * 0.5)
+    return [leaf for leaf, r in zip(own, ratio, strict=True) if r >= threshold]
 
 
-def core_element(own: list[Leaf]) -> tuple[Element, list[Leaf]] | None:
-    """The deepest element with most of the votes, and the leaves that voted."""
-    own = [x for x in own if x.size]
-    if not own:
-        return None
-    ratio = ratios(own)
-    threshold = min(ratio.max(), ratio.mean() + LAMBDA * ratio.std())
-    threshold = min(threshold, ratio.max() * 0.5)
+def core_element(voters: list[Leaf]) -> Element:
+    """The deepest element with most of the votes."""
     total = 0.0
     elements: set[Element] = set()
-    voters = [leaf for leaf, r in zip(own, ratio, strict=True) if r >= threshold]
     for leaf in voters:
         total += leaf.size
         e = leaf.element
@@ -260,48 +275,41 @@ def core_element(own: list[Leaf]) -> tuple[Element, list[Leaf]] | None:
             e = e.parent
     most = [e for e in elements if e.votes >= MAJORITY * total]
     best = max(most, key=lambda e: e.depth)
-    semantic = [e for e in elements if e.name in ("article", "main") and e.votes >= MAJORITY * total]
+    semantic = [e for e in most if e.name in ("article", "main")]
     if semantic:
-        return max(semantic, key=lambda e: e.depth), voters
+        return max(semantic, key=lambda e: e.depth)
     while best.parent is not None and (best.name in INLINE or best.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "dd", "dt")):
         best = best.parent
-    return best, voters
-
+    return best
 
-def prose(own: list[Leaf], least: float) -> list[Leaf]:
-    """Leaves of blocks with punctuation and ``least`` characters outside links."""
-    linked: dict[Element, bool] = {}
 
-    def in_link(e: Element) -> bool:
-        passed = []
-        found = False
-        while e is not None and e not in linked and not found:
+def linked(leaves: list[Leaf]) -> set[Element]:
+    """The elements of leaves that lie in links."""
+    known: dict[Element, bool] = {}
+    for leaf in leaves:
+        passed, e, found = [], leaf.element, False
+        while e is not None and e not in known and not found:
             passed.append(e)
             found = e.name == "a"
             e = e.parent
-        found = found or bool(e is not None and linked.get(e))
-        linked.update(dict.fromkeys(passed, found))
-        return found
+        known.update(dict.fromkeys(passed, found or bool(e is not None and known.get(e))))
+    return {e for e, found in known.items() if found}
 
+
+def prose(own: list[Leaf], links: set[Element], least: float) -> list[Leaf]:
+    """Leaves of blocks with punctuation and ``least`` characters outside links."""
     size, marks = defaultdict(int), defaultdict(int)
-    plain = [x for x in own if x.size and not in_link(x.element)]
+    plain = [x for x in own if x.element not in links]
     for leaf in plain:
         size[leaf.block] += leaf.size
         marks[leaf.block] += leaf.marks
     return [x for x in plain if marks[x.block] and size[x.block] >= least]
 
 
-def main_element(own: list[Leaf]) -> tuple[Element, bool] | None:
-    """The element of the main text; whether only what lies in ``article`` and ``main`` counts."""
-    core = core_element(own)
-    if core is None:
-        return None
-    best, voters = core
-    top = best
-    content = {x.element for x in voters + prose(own, min(PROSE, max(x.size for x in voters) / 4))}
-    for e in content:
-        if best.content and not e.content:
-            continue
+def cover(core: Element, elements: set[Element]) -> Element:
+    """The deepest element that holds the core and all others."""
+    top = core
+    for e in elements:
         while e.depth > top.depth:
             e = e.parent
         while e is not top:
@@ -309,31 +317,57 @@ def main_element(own: list[Leaf]) -> tuple[Element, bool] | None:
                 top = top.parent
             if e.depth > top.depth:
                 e = e.parent
-    return top, best.content
+    return top
+
+
+def branches(leaves: list[Leaf], top: Element) -> list[Element | None]:
+    """For each leaf, the element below ``top`` that it lies in; None for leaves outside ``top``, ``top`` for its own."""
+    known: dict[Element, Element | None] = {top: top}
+    out = []
+    for leaf in leaves:
+        passed, e = [], leaf.element
+        while e is not None and e not in known:
+            passed.append(e)
+            e = e.parent
+        found = known[e] if e is not None else None
+        if found is top and passed:
+            found = passed[-1]
+        known.update(dict.fromkeys(passed, found))
+        out.append(found)
+    return out
 
 
 def extract(html: str | None) -> str:
     """The main text of a page."""
-    own = candidates(leaves(html or ""))
-    main = main_element(own)
-    if main is None:
+    plain = [x for x in leaves(html or "") if not x.element.hard]
+    own = [x for x in plain if x.size]
+    voters = voters_of(own)
+    if not voters:
         return ""
-    top, marked = main
-    inside: dict[int, bool] = {}
-
-    def within(e: Element | None) -> bool:
-        passed = []
-        while e is not None and e is not top and id(e) not in inside:
-            passed.append(id(e))
-            e = e.parent
-        found = e is not None and (e is top or inside[id(e)])
-        inside.update(dict.fromkeys(passed, found))
-        return found
-
+    core = core_element(voters)
+    least = BELONGS * core.hint
+    links = linked(own)
+    belongs = [x for x in own if x.element.hint >= least]
+    content = {x.element for x in voters + prose(belongs, links, min(PROSE, max(x.size for x in voters) / 4)) if x.element.content or not core.content}
+    top = cover(core, content)
+    chosen = {x.element for x in voters}
+    # the parts of the main element beside the core that are made of links and hold no content are menus
+    branch = dict(zip(map(id, plain), branches(plain, top), strict=True))
+    core_branch = core
+    while core_branch is not top and core_branch.parent is not top:
+        core_branch = core_branch.parent
+    holds = {core_branch} | {branch[id(x)] for x in own if x.element in content}
+    size, in_links = defaultdict(int), defaultdict(int)
+    for x in own:
+        size[branch[id(x)]] += x.size
+        in_links[branch[id(x)]] += x.size * (x.element in links)
     parts: list[str] = []
     last = None
-    for leaf in own:
-        if not within(leaf.element) or (marked and not leaf.element.content):
+    for leaf in plain:
+        e, at = leaf.element, branch[id(leaf)]
+        if at is None or (core.content and not e.content) or (e.hint < least and e not in chosen):
+            continue
+        if at is not top and at not in holds and 2 * in_links[at] > size[at]:
             continue
         if leaf.block == last:
             parts[-1] += leaf.text

@@ -103,6 +103,38 @@ def test_articles_in_several_parts(shape):
     assert htmltext.extract(html).split("\n\n") == expected[:1] + ["Next"] * ("Next" in shape) + expected[1:]
 
 
+@pytest.mark.parametrize(
+    ("part", "text"),
+    [
+        ('<div class="search-results"><p>The search found, after a year, nothing. We go on.</p></div>', "The search found, after a year, nothing. We go on."),
+        ('<p class="related-work">Others have done this, too.</p>', "Others have done this, too."),
+        ("<p>Choose <select><option>one<option>two</select> of these, please.", "Choose of these, please."),
+        ("<p>It was<script>var x;</script> here, yes.", "It was here, yes."),
+        ('<div class="ad-slot-2">Buy now, really.</div>', ""),
+        ('<div id="commentList"><p>I like it, I do. So much, so very much, indeed, every day.</p></div>', ""),
+    ],
+)
+def test_names_are_hints(part, text):
+    expected = CLEAN.replace("Short.", text + "\n\nShort." if text else "Short.")
+    for shape in ("<article>{0}</article>", '<div class="body">{0}</div>', '<form><div class="page sidebar">{0}</div></form>', '<div class="widget"><div>{0}</div></div>'):
+        html = NOISE[0] + shape.format(ARTICLE.replace("<p>Short.", part + "<p>Short.")) + "".join(NOISE[8:])
+        assert htmltext.extract(html) == expected, shape
+
+
+def test_unnamed_menus():
+    menu = "<div><ul>" + "".join(f"<li><a href=/{k}>Topic {k}</a></li>" for k in range(8)) + "</ul></div>"
+    parts = ["<p>" + "Words of this kind of text, and a few more of them. " * n + "</p>" for n in (9, 8)]
+    html = f"<body>{menu}<div>{parts[0]}</div>{menu}<div>{parts[1]}<ul><li><a>own</a></ul></div></body>"
+    assert htmltext.extract(html).split("\n\n") == [parts[0][3:-5], parts[1][3:-5], "own"]
+
+
+def test_paths_of_deep_pages_stay_apart():
+    deep = '<div class="a long name of a class">' * 60
+    html = f"<div id=x>{deep}<p>" + "Text, of an article. " * 9 + f"</p></div></div><div id=y>{deep}<p>no</p></div></div>"
+    found = htmltext.leaves(html)
+    assert found[0].element.path != found[-1].element.path
+
+
 def test_odd_pages():
     for html, text in [(None, ""), ("", ""), ("plain  text", "plain text"), ("<p>a<p>b", "a\n\nb"), ("<script>x", ""), ("<b", ""), ("a &lt; b &#233;&nbsp;c", "a < b é c"), ("<p>x</div></p>y", "x\n\ny"), ("<" * 50, "<" * 50)]:
         assert htmltext.extract(html) == text, html
