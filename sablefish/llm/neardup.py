@@ -17,17 +17,16 @@ Only components matter, so no bucket emits all its pairs:
 2. Blocks: the nodes of a bucket that still lies in several components are compared as
    arrays. A bucket of few nodes is one block. Larger buckets are merged by their largest
    component, and their nodes dealt out to blocks of bounded size; each block of nodes outside the
-   largest component meets each block of all nodes. In a block, signatures are compared in batches, and
-   survivors, most similar first, on their sets of 32-bit hashes, skipping pairs that the block has joined already.
-   Only the pairs that are similar by these leave the block; they are verified on the full sets. Should
-   one fail there, the blocks are done again without skipping. So every pair that shares a bucket is in one
-   component, or was dropped by the bound, or by its sets.
+   largest component meets each block of all nodes. This is done twice: first with the signatures alone (``HASHES`` bytes a node), which are compared in
+   batches and give the nodes that have a survivor in another component; then for these nodes with their full sets, which confirm survivors, most similar first,
+   skipping pairs that the block has joined already. So every pair that shares a bucket is in one
+   component, or was dropped by the bound, or has been tested on its full sets. (Buckets of two nodes were settled by the star.)
 
 Components are found by passing on the smallest label to neighbours with pointer jumping, over tables.
 
 Defined results: texts without words (null, empty, blank) have no shingles and are linked with
 nothing; with fewer than five words, all words are one shingle. Rows equal in id are
-one document. Rows with a null id are linked with nothing, their component is null and they are kept. An
+one document (of different texts, that with the least hashes of its set speaks for it). Rows with a null id are linked with nothing, their component is null and they are kept. An
 empty table gives an empty result. Texts are read whole, one row at a time, in arrays.
 """
 
@@ -141,8 +140,13 @@ def read_bytes(column: pa.Array, width: int) -> np.ndarray:
 # Steps over tables
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, a hash of the text, text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
+
+
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the set, band keys and the signature's bytes."""
+    """doc_id, mark, n_shingles, two hashes of the set, band keys and the signature's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sole("neardup", dict)
@@ -167,19 +171,19 @@ def sketched(docs: DataFrame) -> DataFrame:
                         bands[full, k] = key.view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists, pa.array([r.tobytes() for r in low], pa.binary())],
-                    names=["doc_id", "n_shingles", "f1", "f2", "bands", "sig"],
+                    [part.column("doc_id"), part.column("mark"), pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists, pa.array([r.tobytes() for r in low], pa.binary())],
+                    names=["doc_id", "mark", "n_shingles", "f1", "f2", "bands", "sig"],
                 )
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.transform(arrow_map, run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sig binary")
+    return keyed(docs).transform(arrow_map, run, "doc_id long, mark long, n_shingles long, f1 long, f2 long, bands array<long>, sig binary")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def texts_of(docs: DataFrame, ids: DataFrame, nodes: DataFrame) -> DataFrame:
     """id and text of the documents in ``ids``."""
-    named = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    chosen = nodes.select(F.col("node").alias("id"), F.col("mark").alias("own")).join(ids, "id")
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return named.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
+    met = keyed(docs).join(F.broadcast(chosen) if few else chosen, (F.col("doc_id") == F.col("id")) & (F.col("mark") == F.col("own")))
+    return met.select("id", "text").dropDuplicates(["id"])
 
 
 def with_signatures(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -200,10 +204,10 @@ def prune(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "sig_a", "sig_b").transform(arrow_map, run, "a long, b long, matches long")
 
 
-def verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+def verify(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) whose full sets are similar."""
     ids = staged(spark, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids")
-    texts = staged(spark, texts_of(docs, ids), f"{name}-texts")
+    texts = staged(spark, texts_of(docs, ids, nodes), f"{name}-texts")
     met = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,79 +236,98 @@ def components(spark: SparkSession, links: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def open_groups(spark: SparkSession, members: DataFrame, labels: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
-    """grp, node, comp, outer (not in the group's largest component), and the numbers of blocks: what is to be compared.
+def open_groups(spark: SparkSession, members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """grp, node, comp, n_shingles, outer (not in the group's largest component): what is to be compared.
 
     Buckets of two nodes were settled by the star: their pair was dropped by the bound, verified, or lies in one component.
     """
     known = members.where("n > 2").join(labels.select("node", "comp"), "node", "left").select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    known = staged(spark, known, f"{name}-members")
+    known = staged(spark, known, "known-members")
     sizes = known.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"), F.max("n").alias("n"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("size", (-F.col("comp")).alias("less"))).alias("top"), F.max("n").alias("n"))
-    main = staged(spark, main.where(F.col("top.size") < F.col("n")).select("bucket", (-F.col("top.less")).alias("main")), f"{name}-open")
-    opened = staged(spark, known.join(main, "bucket").join(nodes.select("node", "n_shingles"), "node"), f"{name}-opened")
+    main = staged(spark, main.where(F.col("top.size") < F.col("n")).select("bucket", (-F.col("top.less")).alias("main")), "open")
+    opened = staged(spark, known.join(main, "bucket").join(nodes.select("node", "n_shingles"), "node"), "opened")
     weight = opened.groupBy("bucket").agg(F.sum("n_shingles").alias("w"))
     large = (F.col("n") > BLOCK) | (F.col("w") > BLOCK_SHINGLES)
     # the kind keeps a bucket's key and a component apart
     group = F.when(large, F.struct(F.lit(1).alias("kind"), F.col("main").alias("id"))).otherwise(F.struct(F.lit(0).alias("kind"), F.col("bucket").alias("id")))
-    rows = opened.join(staged(spark, weight, f"{name}-weights"), "bucket").select(group.alias("grp"), "node", "comp", "n_shingles", (F.col("comp") != F.col("main")).alias("outer")).distinct()
-    rows = staged(spark, rows, f"{name}-grouped")
-    blocks_of = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / BLOCK_SHINGLES, F.lit(1))).cast("int")
-    out = F.col("outer")
-    counts = rows.groupBy("grp").agg(
-        blocks_of(F.count(F.lit(1)), F.sum("n_shingles")).alias("n_in"), blocks_of(F.count_if(out), F.coalesce(F.sum(F.when(out, F.col("n_shingles"))), F.lit(0))).alias("n_out")
-    )
-    return rows.join(staged(spark, counts, f"{name}-blocks"), "grp")
+    rows = opened.join(staged(spark, weight, "weights"), "bucket").select(group.alias("grp"), "node", "comp", "n_shingles", (F.col("comp") != F.col("main")).alias("outer")).distinct()
+    return staged(spark, rows, "grouped")
 
 
-def small_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """node and its set as sorted distinct 32-bit hashes."""
+def full_sets(docs: DataFrame, ids: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and its set as sorted distinct hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, "text", 4 << 20):
+            for part in blocks(batch, "text", 2 << 20):
                 values, offsets = shingle_sets(part.column("text"))
-                low = values.astype(np.uint32)
-                sets = [np.unique(low[offsets[i] : offsets[i + 1]]).tobytes() for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], names=["node", "small"])
+                sets = [values[offsets[i] : offsets[i + 1]].tobytes() for i in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], names=["node", "hashes"])
 
-    return texts_of(docs, ids).transform(arrow_map, run, "node long, small binary")
+    return texts_of(docs, ids, nodes).transform(arrow_map, run, "node long, hashes binary")
 
 
-_SIDE = "struct<node:bigint,comp:bigint,sig:binary,small:binary>"
-
-
-def block_pairs(grouped: DataFrame, full: DataFrame, skip: bool) -> DataFrame:
-    """Pairs of different components that are similar by their small sets; with ``skip`` only as many as join them."""
+def dealt(spark: SparkSession, grouped: DataFrame, full: DataFrame, columns: list[str], weighed: bool, name: str) -> DataFrame:
+    """m and o: the blocks of all nodes and of outer nodes that meet, with these columns of ``full``."""
+    weight = F.col("n_shingles") if weighed else F.lit(0)
+    blocks_of = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / BLOCK_SHINGLES, F.lit(1))).cast("int")
+    out = F.col("outer")
+    counts = grouped.groupBy("grp").agg(
+        blocks_of(F.count(F.lit(1)), F.sum(weight)).alias("n_in"), blocks_of(F.count_if(out), F.coalesce(F.sum(F.when(out, weight)), F.lit(0))).alias("n_out")
+    )
+    rows = grouped.join(staged(spark, counts, f"{name}-blocks"), "grp").join(full, "node")
     deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rows = grouped.join(full, "node")
-    side = F.struct("node", "comp", "sig", "small")
-    inner = rows.select("grp", deal("n_in").alias("j"), every("n_out").alias("i"), side.alias("m"), F.lit(None).cast(_SIDE).alias("o"))
-    outer = rows.where("outer").select("grp", every("n_in").alias("j"), deal("n_out").alias("i"), F.lit(None).cast(_SIDE).alias("m"), side.alias("o"))
+    side = F.struct("node", "comp", *columns)
+    none = F.when(F.lit(False), side)
+    inner = rows.select("grp", deal("n_in").alias("j"), every("n_out").alias("i"), side.alias("m"), none.alias("o"))
+    outer = rows.where("outer").select("grp", every("n_in").alias("j"), deal("n_out").alias("i"), none.alias("m"), side.alias("o"))
     met = inner.unionByName(outer).groupBy("grp", "i", "j").agg(F.collect_list("m").alias("m"), F.collect_list("o").alias("o")).where("size(m) > 0 AND size(o) > 0")
+    return met.select("grp", "m", "o")
+
+
+def _surviving(m: pa.Array, o: pa.Array) -> tuple[np.ndarray, ...]:
+    """Nodes and components of two blocks, and (matches, place in o, place in m) of their surviving pairs of different components."""
+    (node_m, comp_m), (node_o, comp_o) = ((np.asarray(x.field("node")), np.asarray(x.field("comp"))) for x in (m, o))
+    sig_m, sig_o = (read_bytes(x.field("sig"), HASHES) for x in (m, o))
+    pairs = [np.zeros((3, 0), np.int64)]
+    for x in range(len(node_o)):
+        other = np.flatnonzero(comp_m != comp_o[x])
+        if len(other):
+            alive, matches = survivors(np.broadcast_to(sig_o[x], (len(other), HASHES)), sig_m[other])
+            pairs.append(np.stack([matches, np.full(len(alive), x), other[alive]]))
+    return node_m, comp_m, node_o, comp_o, np.concatenate(pairs, axis=1)
+
+
+def block_survivors(spark: SparkSession, grouped: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``grouped`` whose node has a survivor of another component, by signatures alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grp, ms, os_ = (batch.column(k) for k in ("grp", "m", "o"))
+            for row in range(batch.num_rows):
+                node_m, _, node_o, _, pairs = _surviving(ms[row].values, os_[row].values)
+                found = np.union1d(node_o[pairs[1]], node_m[pairs[2]])
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([grp.take(pa.array([row] * len(found))), pa.array(found, pa.int64())], names=["grp", "node"])
+
+    met = dealt(spark, grouped, nodes.select("node", "sig"), ["sig"], False, "signed")
+    alive = met.transform(arrow_map, run, f"grp {grouped.schema['grp'].dataType.simpleString()}, node long").distinct()
+    return staged(spark, grouped.join(staged(spark, alive, "alive"), ["grp", "node"]), "surviving")
+
 
-    def opened(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        part = column[row].values
-        sets = [np.frombuffer(b, np.uint32) for b in part.field("small").to_pylist()]
-        return np.asarray(part.field("node")), np.asarray(part.field("comp")), read_bytes(part.field("sig"), HASHES), sets
+def block_links(spark: SparkSession, grouped: DataFrame, full: DataFrame) -> DataFrame:
+    """Links between different components, as many as join what can be joined; tested on full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ms, os_ = batch.column("m"), batch.column("o")
             for row in range(batch.num_rows):
-                (node_m, comp_m, sig_m, set_m), (node_o, comp_o, sig_o, set_o) = opened(ms, row), opened(os_, row)
-                pairs: list[np.ndarray] = []
-                for x in range(len(node_o)):
-                    other = np.flatnonzero(comp_m != comp_o[x])
-                    if len(other):
-                        alive, matches = survivors(np.broadcast_to(sig_o[x], (len(other), HASHES)), sig_m[other])
-                        if len(alive):
-                            pairs.append(np.stack([matches, np.full(len(alive), x), other[alive]]))
-                if not pairs:
-                    continue
-                every_pair = np.concatenate(pairs, axis=1)
-                every_pair = every_pair[:, np.argsort(-every_pair[0], kind="stable")]
+                m, o = ms[row].values, os_[row].values
+                node_m, comp_m, node_o, comp_o, pairs = _surviving(m, o)
+                set_m, set_o = ([np.frombuffer(b, np.uint64) for b in x.field("hashes").to_pylist()] for x in (m, o))
+                pairs = pairs[:, np.argsort(-pairs[0], kind="stable")]
                 root: dict[int, int] = {}
 
                 def find(c: int, root: dict[int, int] = root) -> int:
@@ -314,11 +337,9 @@ def block_pairs(grouped: DataFrame, full: DataFrame, skip: bool) -> DataFrame:
                     return c
 
                 found_a, found_b = [], []
-                for _, x, y in every_pair.T.tolist():
+                for _, x, y in pairs.T.tolist():
                     cx, cy = find(int(comp_o[x])), find(int(comp_m[y]))
-                    if skip and cx == cy:
-                        continue
-                    if similar(set_o[x], set_m[y]):
+                    if cx != cy and similar(set_o[x], set_m[y]):
                         root[max(cx, cy)] = min(cx, cy)
                         a, b = int(node_o[x]), int(node_m[y])
                         found_a.append(min(a, b))
@@ -326,7 +347,8 @@ def block_pairs(grouped: DataFrame, full: DataFrame, skip: bool) -> DataFrame:
                 if found_a:
                     yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
-    return met.select("m", "o").transform(arrow_map, run, "a long, b long").distinct()
+    met = dealt(spark, grouped, full, ["sig", "hashes"], True, "full")
+    return staged(spark, met.select("m", "o").transform(arrow_map, run, "a long, b long").distinct(), "block-links")
 
 
 def link(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -335,41 +357,34 @@ def link(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     sets = staged(spark, full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "sets")
     nodes = full.join(sets.select("f1", "f2", "n_shingles", F.col("node").alias("doc_id")), ["f1", "f2", "n_shingles", "doc_id"], "left_semi")
-    nodes = staged(spark, nodes.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "n_shingles", "bands", "sig"), "nodes")
+    # of different texts with one id, the one with the least hashes
+    several = nodes.groupBy("doc_id").agg(F.min(F.struct("f1", "f2")).alias("least"), F.max(F.struct("f1", "f2")).alias("most")).where("least <> most").select("doc_id", "least")
+    nodes = nodes.join(staged(spark, several, "several"), "doc_id", "left").where("least IS NULL OR struct(f1, f2) = least")
+    nodes = staged(spark, nodes.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "mark", "n_shingles", "bands", "sig"), "nodes")
 
-    keyed = nodes.select("node", F.explode("bands").alias("bucket"))
-    buckets = staged(spark, keyed.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    members = staged(spark, keyed.join(buckets, "bucket"), "members")
+    banded = nodes.select("node", F.explode("bands").alias("bucket"))
+    buckets = staged(spark, banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    members = staged(spark, banded.join(buckets, "bucket"), "members")
 
     stars = staged(spark, members.where("node <> pivot").select(F.col("node").alias("b"), F.col("pivot").alias("a")).distinct(), "stars")
     alive = prune(with_signatures(stars, nodes))
     ranked = alive.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("matches"), "a")))  # at most BANDS rows a node
     ranked = staged(spark, ranked.select("a", "b", "rank"), "ranked")
-    tested = staged(spark, ranked.where(F.col("rank") <= STARS).select("a", "b"), "tested")
-    links = verify(spark, docs, tested, "star")
+    links = verify(spark, docs, nodes, staged(spark, ranked.where(F.col("rank") <= STARS).select("a", "b"), "best"), "star")
     labels = components(spark, links, "star")
     rest = ranked.where(F.col("rank") > STARS).select("a", "b")
     for end in ("a", "b"):
         rest = rest.join(labels.select(F.col("node").alias(end), F.col("comp").alias(f"comp_{end}")), end, "left")
     rest = staged(spark, rest.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b"), "rest")
     if rest.limit(1).count():
-        tested = tested.unionByName(rest)
-        links = links.unionByName(verify(spark, docs, rest, "rest"))
+        links = links.unionByName(verify(spark, docs, nodes, rest, "rest"))
         labels = components(spark, links, "rest")
-    for skip in (True, False):
-        name = "joined" if skip else "all"
-        grouped = staged(spark, open_groups(spark, members, labels, nodes, name), f"{name}-groups")
-        small = small_sets(docs, staged(spark, grouped.select(F.col("node").alias("id")).distinct(), f"{name}-open-ids"))
-        full = staged(spark, small.join(nodes.select("node", "sig"), "node"), f"{name}-sets")
-        fresh = staged(spark, block_pairs(grouped, full, skip).join(tested, ["a", "b"], "left_anti"), f"{name}-pairs")
-        if not fresh.limit(1).count():
-            break
-        tested = tested.unionByName(fresh)
-        found = verify(spark, docs, fresh, name)
-        links = links.unionByName(found)
-        labels = components(spark, links, name)
-        if not fresh.join(found, ["a", "b"], "left_anti").limit(1).count():
-            break
+    grouped = block_survivors(spark, open_groups(spark, members, labels, nodes), nodes)
+    if grouped.limit(1).count():
+        sets_of = full_sets(docs, staged(spark, grouped.select(F.col("node").alias("id")).distinct(), "open-ids"), nodes)
+        found = block_links(spark, grouped, staged(spark, sets_of.join(nodes.select("node", "sig"), "node"), "open-sets"))
+        if found.limit(1).count():
+            labels = components(spark, links.unionByName(found), "all")
     own = rows.select("doc_id", "n_shingles", "f1", "f2").join(sets.where("n > 1").select("f1", "f2", F.col("n_shingles").alias("size"), "node"), ["f1", "f2"], "left")
     own = own.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & (F.col("size") == F.col("n_shingles")), F.col("node")).otherwise(F.col("doc_id")).alias("node"))
     return staged(spark, own, "own"), labels
