@@ -93,11 +93,12 @@ def release() -> None:
 
 @cache
 def lean() -> None:
-    """Makes this process give large blocks back as soon as they are free, numpy's and Arrow's alike."""
+    """Lets numpy and Arrow share one heap, which keeps blocks of usual size for the next use and gives large ones back at once."""
     pa.set_memory_pool(pa.system_memory_pool())
     option = getattr(_libc(), "mallopt", None)  # glibc only
     if option is not None:
-        option(-3, 1 << 20)  # M_MMAP_THRESHOLD; a fixed one, else it grows with what is freed
+        option(-3, 16 << 20)  # M_MMAP_THRESHOLD
+        option(-1, 64 << 20)  # M_TRIM_THRESHOLD
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

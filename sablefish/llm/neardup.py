@@ -68,8 +68,9 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     keep = (left >= k) | ((np.repeat(n, n) < k) & (left == np.repeat(n, n)))
     owner = np.repeat(np.arange(len(n)), n)[keep]
     values = rolling[keep]
-    order = np.lexsort((values, owner))
-    owner, values = owner[order], values[order]
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(n)))]).tolist()
+    for start, stop in zip(bounds, bounds[1:], strict=False):
+        values[start:stop].sort()
     fresh = np.ones(len(values), bool)
     fresh[1:] = (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])
     owner, values = owner[fresh], values[fresh]
@@ -87,8 +88,12 @@ def signatures(values: np.ndarray, offsets: np.ndarray, hashes: int = HASHES) ->
     a, b = coefficients(hashes)
     out = np.empty((len(offsets) - 1, hashes), np.uint32)
     starts = offsets[:-1]
+    mixed = np.empty_like(values)
     for k in range(hashes):
-        out[:, k] = np.minimum.reduceat((values * a[k] + b[k]) >> np.uint64(32), starts)
+        np.multiply(values, a[k], out=mixed)
+        np.add(mixed, b[k], out=mixed)
+        # the high halves are the values: the least number has the least one
+        out[:, k] = np.minimum.reduceat(mixed, starts) >> np.uint64(32)
     return out
 
 
