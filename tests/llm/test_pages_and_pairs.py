@@ -235,8 +235,7 @@ def test_pipeline(spark, docs, no_docs, monkeypatch):
     pipeline = pytest.importorskip("corpus_pipeline")
     from sablefish.llm import langid
 
-    monkeypatch.setattr(langid, "STEPS", 30)
-    monkeypatch.setattr(langid.Network.train, "__defaults__", (30, 128, 0.01, 7))
+    monkeypatch.setattr(langid.Network.train, "__defaults__", (60, 64, 0.02, 7))
     at = {}
     for source in (docs, no_docs):
         frame = source
@@ -255,6 +254,34 @@ def test_pipeline(spark, docs, no_docs, monkeypatch):
     assert set(ids["mixing"]) <= set(ids["near_dedup"]) and set(ids["packing"]) == set(ids["mixing"])
 
 
+def test_rows_of_one_id_in_the_near_duplicate_stage(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, "one text of its own kind", "a"), (1, "another text that is quite unlike", "b"), (2, "twice in here", "a"), (2, "twice in here", "a"), (3, long, "a"), (4, long + " more", "a"), (5, long + " most", "a"), (5, "alone", "b"), (None, "x", "a"), (None, "x", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = pipeline.drop_near_duplicates(spark, df, "")
+    assert out.columns == df.columns
+    got = collections.Counter((r["doc_id"], r["text"]) for r in out.collect())
+    copies = [k for k in got.elements() if k[1].startswith(long)]
+    assert len(copies) == 1
+    del got[copies[0]]
+    assert got == {(1, rows[0][1]): 1, (1, rows[1][1]): 1, (2, rows[2][1]): 1, (5, "alone"): 1, (None, "x"): 2}
+
+
+def test_language_stage_rejects_by_the_network(spark, docs, monkeypatch):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from sablefish.llm import langid
+
+    class Halves:
+        def shares(self, texts):
+            share = np.array([[0.29, 0.2]] * len(texts))
+            share[[t == "word" for t in texts.to_pylist()]] = [0.1, 0.3]
+            return share
+
+    monkeypatch.setattr(langid, "learn", lambda *a: (Halves(), ["de", "en"]))
+    assert [r["doc_id"] for r in pipeline.identify_language(spark, docs, "").collect()] == [304]
+
+
 def test_language_stage_without_labels(spark, docs):
     """Nothing to learn from: only texts without a letter go."""
     import corpus_pipeline
