@@ -15,7 +15,7 @@ values that no document has are ignored, values without a given share get none,
 are scaled to 1.
 
 Only DataFrame functions. Documents are summed to cells before any shuffle, so a source with a third
-of all rows is no hot key; everything after works on cells. Cell probabilities reach the
+of all rows is no hot key; everything after works on cells, all rounds of raking in one plan of windows. Cell probabilities reach the
 documents by broadcast up to ``BROADCAST_CELLS`` cells (counted first), beyond by a join
 whose keys are salted.
 
@@ -27,7 +27,7 @@ empty result. Columns that clash with the added ones are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -56,28 +56,24 @@ def with_cells(docs: DataFrame) -> DataFrame:
 
 def rake(spark: SparkSession, cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, temper: float = TEMPER) -> DataFrame:
     """``cells`` (dimensions and ``tokens``) with ``raked``, a share of all tokens."""
-    goals = {}
+    out, given = cells, targets or {}
     for d in DIMENSIONS:
-        own = cells.groupBy(d).agg(F.sum("tokens").alias("tokens"))
-        given = (targets or {}).get(d)
-        if given is not None:
-            pairs = F.create_map(*[F.lit(x) for kv in given.items() for x in kv])
-            own = own.withColumn("goal", F.coalesce(F.try_element_at(pairs, F.coalesce(F.col(d), F.lit(""))), F.lit(0.0)))
-            own = own.withColumn("goal", F.when(F.col("tokens") > 0, F.col("goal")).otherwise(0.0))
+        every = Window.partitionBy(d)
+        own = F.sum("tokens").over(every)
+        if d in given:
+            pairs = F.create_map(*[F.lit(x) for kv in given[d].items() for x in kv])
+            goal = F.when(own > 0, F.coalesce(F.try_element_at(pairs, F.coalesce(F.col(d), F.lit(""))), F.lit(0.0))).otherwise(0.0)
         else:
-            own = own.withColumn("goal", F.pow(F.col("tokens").cast("double"), F.lit(temper)))
-        goals[d] = staged(spark, own.select(F.col(d).alias("key"), "goal"), f"goal-{d}")
-    scale = {d: goals[d].agg(F.sum("goal")).first()[0] or 1.0 for d in DIMENSIONS}
-    out = cells.withColumn("raked", F.col("tokens").cast("double"))
-    for turn in range(rounds):
+            goal = F.pow(own.cast("double"), F.lit(temper))
+        out = out.withColumn(f"goal_{d}", goal).withColumn(f"part_{d}", F.col(f"goal_{d}") / F.count(F.lit(1)).over(every))
+    out = staged(spark, out, "goals")
+    scale = out.agg(*[F.sum(f"part_{d}").alias(d) for d in DIMENSIONS]).first()
+    out = out.withColumn("raked", F.col("tokens").cast("double"))
+    for _ in range(rounds):
         for d in DIMENSIONS:
-            now = out.groupBy(d).agg(F.sum("raked").alias("now")).withColumnRenamed(d, "key")
-            factor = now.join(goals[d], now["key"].eqNullSafe(goals[d]["key"]), "left").select(
-                now["key"].alias("key"), F.when(F.col("now") > 0, F.col("goal") / scale[d] / F.col("now")).otherwise(0.0).alias("factor")
-            )
-            out = out.join(factor, out[d].eqNullSafe(factor["key"]), "left").withColumn("raked", F.col("raked") * F.col("factor")).drop("key", "factor")
-        out = staged(spark, out, f"raked-{turn}")
-    return out
+            now = F.sum("raked").over(Window.partitionBy(d))
+            out = out.withColumn("now", now).withColumn("raked", F.when(F.col("now") > 0, F.col(f"goal_{d}") / (scale[d] or 1.0) / F.col("now") * F.col("raked")).otherwise(0.0))
+    return staged(spark, out.select(*[F.col(f"`{c}`") for c in cells.columns], "raked"), "raked")
 
 
 def probabilities(spark: SparkSession, raked: DataFrame, fraction: float = FRACTION, fill: int = FILL) -> DataFrame:
