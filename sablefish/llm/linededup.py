@@ -183,7 +183,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, least: int = LEAST) -> Dat
     met = rows.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("mark") == F.col("d_mark")), "left")
     met = met.withColumn("line_array", F.split("text", "\n")).withColumns(
         {
-            "n_lines": F.expr(f"coalesce(size(filter(split({SPACED}, '\\n'), x -> trim(x) <> '')), 0)"),
+            "n_lines": F.expr("coalesce(size(filter(line_array, x -> x RLIKE '[^ \\\\t\\\\r\\\\x0B\\\\f]')), 0)"),
             "n_exact": F.coalesce(F.size("exact"), F.lit(0)),
             "n_near": F.coalesce(F.size("near"), F.lit(0)),
         }
