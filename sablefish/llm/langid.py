@@ -34,8 +34,8 @@ from .common import arrow_map, blocks, crc_fold
 SEGMENT, CONTEXT, CROP = 512, 32, 96
 HIDDEN, STEPS, BATCH, RATE, SEED = 8, 400, 96, 0.02, 7
 #: Segments that run side by side, and numbers of a block of distributions.
-ROWS, BLOCK_NUMBERS = 1024, 1 << 21
-MAX_DOCUMENTS, MAX_CHARS = 1200, 20_000
+ROWS, BLOCK_NUMBERS = 512, 1 << 20
+MAX_DOCUMENTS, MAX_CHARS, SALTS = 1200, 20_000, 16
 UNKNOWN = "und"
 PAD = 256
 
@@ -244,9 +244,11 @@ def sample_rows(labelled: DataFrame, most: int = MAX_DOCUMENTS, chars: int = MAX
     if not langs:
         return []
     point = F.pmod("mark", F.lit(1 << 30))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(point, "mark"))
-    # copies are one text before places are given
-    chosen = usable.select("lang", "mark").distinct().withColumn("place", place).where(F.col("place") <= max(1, most // langs)).select("lang", "mark")
+    each, salt = max(1, most // langs), F.pmod(F.shiftright("mark", 32), F.lit(SALTS))
+    place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(point, "mark"))
+    # copies are one text before places are given; a language is thinned out in parts first, so that none is a hot key
+    chosen = usable.select("lang", "mark").distinct().withColumn("salt", salt).withColumn("place", place("lang", "salt")).where(F.col("place") <= each)
+    chosen = chosen.withColumn("place", place("lang")).where(F.col("place") <= each).select("lang", "mark")
     met = usable.join(F.broadcast(chosen) if langs <= most else chosen, ["lang", "mark"])
     rows = met.groupBy("lang", "mark").agg(F.min(F.substring("text", 1, chars)).alias("text")).collect()
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["mark"] % (1 << 30), r["mark"], r["lang"]))]
