@@ -47,7 +47,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(spark, _packed(docs, "doc_id", "text")).where("NOT (n_lines > 0 AND text = '')")
+    out = linededup.dedup_lines(spark, _packed(docs, "doc_id", "text")).where("NOT (n_lines > 0 AND n_exact + n_near = n_lines)")
     out = _unpacked(out, docs, "doc_id", "text")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
