@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixed import RESERVED, RESTRICTED
 from . import relational as R
 from .facts import enclosing, of
 
@@ -28,27 +29,22 @@ ADVICE = {
     "MOD-001": "Use FwLogMsg.", "MOD-002": "Don't declare PUBLIC variables.", "MOD-003": "Make the functions a class.", "MOD-004": "Use MVC.",
 }
 
-# Framework variables, variables that may be Private, restricted functions.
-RESERVED = "cFilAnt cEmpAnt cUserName cModulo cTransac nProgAnt dDataBase cFunBkp cFunName oMainWnd __cInternet __Language nUsado PARAMIXB aRotina lMsErroAuto lMsHelpAuto lAutoErrNoFile INCLUI ALTERA"
-RESTRICTED = """StaticCall|PTInternal|VALIDAAUTONFE|MA410IMPOS|MALIBDOFAT|TFONTEX|NFEPROCNFE|AVCPYFILE|F_OPCOES|AUTONFEENV|MASAPREREQ|FTVDVENDA|MAALCDOC|FISA022TRS|FGX_STATF2|NG400TAR|CODSITRI|IW_MULTILINE|
-FWCHKFUNCACCESS|WSNFESBRA|SPEDDANFE|SPEDPEXP|WebService NFESBra|CBGrvEti|A460ESTORNA|GETNUMSC7|ISCAIXALOJA|XNUMCAIXA|CALCEST / CALCESTL|FRTGERASL|MSCLEARBUFFER|CA100INCL|SPEDNFERE2|FCARRTAB|SALDOTERC|
-FABAIXACR|A093PROD|OOBJ:GETDATA|AVSTACTION|VTGETSENHA|A450GRAVA|OPENSXS|FINA110|A410INCLUI|FP_CODFOL|NFECABDOC|OPENSRC|EXTRACT|INCNOTA|MOVIMENTO|ATFA050|PLSQUERY|PROXNUM|FILE2PRINTER|SPF_SEEK|SPF_UPDATE|
-FWSQLUsrFilial|APPEND FROM|ACPORET|FBUSCACPO|LASTKEY|RPCSETYPE|WFPREPENV|SALDOB2|TMSA050EDI|GERATMP|A103ATUSE2|CTBANFS|WAITRUNSRV|A103CONSNFESEF|SPDCRIATRB|A103NFISCAL|TTPVIEWER|MACANDELF2|MADELNFS|
-RET_CBARRA|A440LIBERA|RFMASHUPS|FWJWT2BEAR|CTGERPLAN|NXTSX5NOTA|FMONTA_TPR|COPY TO|FDIASAFASPERIODO|CBCHKTEMPLATE|MsExcel|ENGSX3117|FWLOOKUP|FRETAFASBRA|FWMVCROTAUTO|MontaBlock|A94EXLIBER|ESTRUT|
-A030ALTERA|MSFCREATE|TMSA200PRC|HEADPROVA|DETPROVA|PARAMBOX|FWUIWORKSHEET|CrdXTitAtr|MA410RODAP|WRITEPROFDEF|FINDPROFDEF|CBOPENPORT|FATATUEMPN|MAAVALSC9|VLDLOCALIZ|A410MultT|PivotTable|A381Manut|
-MATXFIS|MaFisAdd|CTGercomp|WFNotifyAdmin|a260Processa|a415Tabela|MaAvalCred|A100Distri|__SaveParam()|A110APROV|MDeMata103|BuscaTaxa()|CriaVar|E_FIELD|ApOleClient|GetServerPort|CheckStation|CTBAFIN|
-A415DESCAB|A410RECALC|X31UPDTABLE|FA050Venc|A097ProcLib|MaAvLibPed|A120Pedido|LoadLayout()|FtNfDevol|FtNfVendas|TK271CallCenter|LJ7VENDA|MA020PcCgc|A140NFiscal|procMonitorDoc|ProxDoc|PutMarcacoes|
-Fa050Visua|SaldoCt7|F4LOTE|CBRetEtiEan|RetSldEnd|A310Proc|SpedNFeTrf|SetPrvt|TK273GRVPTC|APPEXCEL|VTNewEmpr|TWFMAIL|MaColsToFis|FWAUTHUSER|fBuscaSal|XFUNWizard|A410Altera|MC050CON|AVGXML2DBF|MaLiberOk|
-MaRgrDesc|ApiForCli|A415Baixa|INFImpBMP|STBCalcSald|FVALBENNIF|A450F4Con|EECView|CALLPROC|TWorkspace|TWorkspaceFolder|ExplEstr|RetFldProd|STWMANAGREPORTPRINT|CN300VlCli|OpenFile|__CopyFile|MATFilCalc|
-A161MapCot|INFCodeBare|INFTexto|CallRM|DistanciaGPS|TECGtCoord|NG420GRAVA|RetSem|nBIWeekOfYear|TAvPrinter"""
-RESTRICTED_NAMES = sorted({x.strip().upper() for x in RESTRICTED.replace("\n", "").split("|")})
-# Personal data by variable, field and literal.
-PII_VARIABLE = r"\b[a-z]?(?:Cpf|Cnpj|Senha|Password|Token|Cartao|Cvv|ApiKey|Api_Key|Secret)\w*\b|\bc(?:Pwd|Rg|Pin|Card|Pass)(?:[A-Z]\w*)?\b"
-PII_FIELD = (
-    r"(?i)\b(?:A1_CGC|A1_CPF|A1_NOME|A1_NREDUZ|A1_EMAIL|A1_TEL|A1_END|A1_DDD|A2_CGC|A2_CPFRG|A2_NOME|A2_NREDUZ|A2_EMAIL|A2_TEL|A2_END|A2_DDD"
-    r"|RA_CIC|RA_RG|RA_NOMECMP|RA_EMAIL|RA_NUMCP|RA_TELEFON|RH_CPFDEP|RH_NOMEDEP|RH_RGDEP)\b"
-)
-PII_LITERAL = r"\b\d{3}\.\d{3}\.\d{3}-\d{2}\b|\b\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}\b"
+RESTRICTED_NAMES = sorted({x.upper() for x in RESTRICTED})
+
+
+def _either(names: str) -> str:
+    return "(?:" + "|".join(names.split()) + ")"
+
+
+# What counts as personal data: parts of variables' names, prefixed ones, fields by table, numbers as they are printed.
+PII_PARTS = "Cpf Cnpj Senha Password Token Cartao Cvv ApiKey Api_Key Secret"
+PII_SHORT = "Pwd Rg Pin Card Pass"
+PII_FIELDS = {"A1": "CGC CPF NOME NREDUZ EMAIL TEL END DDD", "A2": "CGC CPFRG NOME NREDUZ EMAIL TEL END DDD", "RA": "CIC RG NOMECMP EMAIL NUMCP TELEFON", "RH": "CPFDEP NOMEDEP RGDEP"}
+PII_SHAPES = ("999.999.999-99", "99.999.999/9999-99")
+
+PII_VARIABLE = rf"\b[a-z]?{_either(PII_PARTS)}\w*\b|\bc{_either(PII_SHORT)}(?:[A-Z]\w*)?\b"
+PII_FIELD = r"(?i)\b(?:" + "|".join(f"{table}_{_either(fields)}" for table, fields in PII_FIELDS.items()) + r")\b"
+PII_LITERAL = "|".join(r"\b" + shape.replace(".", r"\.").replace("9", r"\d") + r"\b" for shape in PII_SHAPES)
 # Accepted names of user functions.
 CLIENT_PREFIX, ENTRY_POINT = r"(?i)^(MGF|MZF|ZZF|ZF|XX|XYZ|CLI)", r"^[A-Z]{2,4}\d{2,4}[A-Z_]*$"
 MOST_PARAMETERS, DOC_WINDOW, CHECK_WINDOW, QUESTION_WINDOW = 6, 30, 10, 5
@@ -95,7 +91,7 @@ _SINGLE: dict[str, str] = {
     "SEC-003": f"transform(filter({of('log_any')}, f -> rlike({_BARE_ARGS}, {_q(PII_VARIABLE)}) OR rlike({_BARE_ARGS}, {_q(PII_FIELD)}) OR rlike({_ARGS}, {_q(PII_LITERAL)})), f -> f.line)",
     "SEC-004": f"transform({of('credential')}, f -> f.line)",
     "SEC-005": f"""array_distinct(transform(filter({of('any_call')}, f -> array_contains(restricted, upper(f.g[0])) AND NOT exists(functions, r -> upper(r.name) = upper(f.g[0]))
-        AND NOT exists(facts, d -> d.kind IN ('function', 'method', 'signature') AND d.line = f.line)), f -> f.line))""",
+        AND NOT exists(facts, d -> d.kind IN ('function', 'method', 'signature') AND d.line = f.line AND d.start <= f.start AND f.start < d.stop)), f -> struct(f.line AS line, upper(f.g[0]) AS name)))""",
     "PERF-001": f"transform(filter({of('sql')}, f -> rlike(f.g[0], {_q(r'(?i)\bSELECT\s+\*')})), f -> f.line)",
     "PERF-002": f"transform(filter({of('sql')}, f -> {_ERP_SQL} AND NOT rlike(f.g[0], '(?i)%notDel%')), f -> f.line)",
     "PERF-003": f"transform(filter({of('sql')}, f -> {_ERP_SQL} AND NOT rlike(f.g[0], {_q(r'(?i)%xfilial(?:[: ]\w*)?%')})), f -> f.line)",
@@ -112,16 +108,27 @@ def advice(rule: str) -> str:
     return ADVICE.get(rule, "Mend the dictionary entry.")
 
 
-def lint_sources(sources: DataFrame) -> DataFrame:
-    """The findings of all single-source rules."""
-    reserved = F.array(*[F.lit(x.upper()) for x in RESERVED.split()])
+def lint_sources(sources: DataFrame, alternatives: dict[str, str] | None = None) -> DataFrame:
+    """The findings of all single-source rules; ``alternatives`` are what to use in place of restricted functions, by name.
+
+    A restricted function gives one finding a line and name. Catalog names that no call can have (with blanks, brackets, slashes) match nothing.
+    """
+    reserved = F.array(*[F.lit(x.upper()) for x in RESERVED])
     restricted = F.array(*[F.lit(x) for x in RESTRICTED_NAMES])
     rows = sources.select("arquivo", "text", "functions", "facts", reserved.alias("reserved"), restricted.alias("restricted"))
-    every = ", ".join(f"transform({sql}, l -> struct('{rule}' AS rule, '{SEVERITY[rule]}' AS severity, l AS line))" for rule, sql in _SINGLE.items())
+    one = "struct('{0}' AS rule, '{1}' AS severity, {2} AS line, {3} AS name)"
+    every = ", ".join(
+        f"transform({sql}, l -> {one.format(rule, SEVERITY[rule], *(('l.line', 'l.name') if rule == 'SEC-005' else ('l', 'CAST(NULL AS STRING)')))})" for rule, sql in _SINGLE.items()
+    )
     found = rows.selectExpr("arquivo", "functions", "split(text, '\\n') AS lines", f"explode(flatten(array({every}))) AS x")
     fix = F.create_map(*[F.lit(v) for r in _SINGLE for v in (r, advice(r))])
-    out = found.selectExpr("arquivo", f"{enclosing('x.line')} AS funcao", "x.line AS linha", "x.rule AS regra_id", "x.severity AS severidade", "substring(trim(lines[x.line - 1]), 1, 200) AS snippet")
-    return out.withColumn("snippet", R.redact(F.col("snippet"))).withColumn("sugestao_fix", F.try_element_at(fix, F.col("regra_id")))
+    out = found.selectExpr(
+        "arquivo", f"{enclosing('x.line')} AS funcao", "x.line AS linha", "x.rule AS regra_id", "x.severity AS severidade", "substring(trim(lines[x.line - 1]), 1, 200) AS snippet", "x.name AS name"
+    )
+    other = F.create_map(*[F.lit(v) for k, a in (alternatives or {"": ""}).items() for v in (k.upper(), a)])
+    other = F.try_element_at(other, F.coalesce("name", F.lit("")))
+    fix = F.concat(F.try_element_at(fix, F.col("regra_id")), F.when(F.col("name").isNotNull(), F.concat(F.lit(" ("), "name", F.lit(")"))).otherwise(""), F.when(other != "", F.concat(F.lit(" Use instead: "), other)).otherwise(""))
+    return out.withColumns({"snippet": R.redact(F.col("snippet")), "sugestao_fix": fix}).drop("name")
 
 
 # Across tables
@@ -163,16 +170,27 @@ def sx004(perguntas: DataFrame, used: DataFrame) -> DataFrame:
     return _found(rows, "SX-004", "SX1", F.col("grupo"), F.col("grupo"))
 
 
+#: Characters by which a name meets the words that hold it.
+GRAM = 5
+
+
 def sx005(campos: DataFrame, chunks: DataFrame, gatilhos: DataFrame) -> DataFrame:
-    """Custom fields whose name occurs nowhere: by words first, and only what is left by substring."""
+    """Custom fields whose name occurs nowhere: by words first, and only what is left by substring.
+
+    A name inside a longer word counts as used. Both meet by equality on the name's last characters (``GRAM`` at most), which every
+    word that holds the name has somewhere.
+    """
     custom = campos.where("custom").select("tabela", "campo", "titulo").distinct()
     texts = chunks.select(F.upper("content").alias("t"))
     texts = texts.unionByName(_expressions(campos).select(F.upper("expr").alias("t")))
     texts = texts.unionByName(gatilhos.select(F.upper(F.concat_ws(" ", "regra", "condicao", "chave")).alias("t")))
     words = texts.select(F.explode(F.regexp_extract_all("t", F.lit(r"\w+"), F.lit(0))).alias("w")).distinct()
     left = custom.join(words, F.upper("campo") == F.col("w"), "left_anti")
-    # distinct words are far fewer than texts; a name inside a longer word counts as used
-    inside = left.join(words, F.contains(F.col("w"), F.upper("campo")), "left_semi").select("tabela", "campo")
+    left = left.withColumn("name", F.upper("campo")).withColumn("gram", F.expr(f"right(name, {GRAM})"))
+    windows = f"flatten(transform(sequence(1, least({GRAM}, length(w))), n -> array_distinct(transform(sequence(1, length(w) - n + 1), i -> substring(w, i, n)))))"
+    spread = words.select("w", F.expr(f"explode({windows})").alias("gram"))
+    inside = left.join(spread, "gram").where(F.contains("w", "name")).select("tabela", "campo").distinct()
+    left = left.drop("name", "gram")
     rows = left.join(inside, ["tabela", "campo"], "left_anti")
     return _found(rows, "SX-005", F.col("tabela"), F.col("campo"), F.col("titulo"))
 
@@ -196,7 +214,17 @@ def sx008(campos: DataFrame, tabelas: DataFrame) -> DataFrame:
     return _found(rows, "SX-008", F.col("tabela"), F.col("campo"), F.concat_ws(" ", "validacao", "vlduser"))
 
 
-EMPTY = r"""(?i)(['"])\s*\1|\bSpace\s*\(\s*\d+\s*\)|\bCToD\s*\(\s*['"]\s*['"]\s*\)|\bNil\b|(?<![A-Za-z0-9_])\.F\.(?![A-Za-z0-9_])|\b0\s*$"""  # fixed value
+# What an initialiser may be that leaves a field empty.
+EMPTY = "(?i)" + "|".join(
+    (
+        r"([\"'])\s*\1",  # an empty text
+        r"\bSpace\s*\(\s*\d+\s*\)",
+        r"\bCToD\s*\(\s*[\"']\s*[\"']\s*\)",
+        r"\bNil\b",
+        r"(?<!\w)\.F\.(?!\w)",
+        r"\b0\s*$",
+    )
+)
 
 
 def sx009(campos: DataFrame) -> DataFrame:
@@ -259,6 +287,12 @@ def cross_rules(tables: dict[str, DataFrame], sources: dict[str, DataFrame], res
     return out
 
 
+def with_rules(findings: DataFrame, rules: DataFrame) -> DataFrame:
+    """Findings with what the rule catalog says of their rule; the catalog has a row a rule."""
+    known = rules.select("regra_id", F.col("categoria").alias("categoria"), F.col("fix_guidance").alias("fix_guidance"), "cross_file")
+    return findings.join(known, "regra_id").orderBy("arquivo", "linha", "regra_id")
+
+
 def persist(existing: DataFrame, fresh: DataFrame, rules: list[str]) -> DataFrame:
     """Stored findings with those of some rules replaced."""
     return existing.where(~F.col("regra_id").isin(rules)).unionByName(fresh.withColumn("snippet", F.substring("snippet", 1, 500)))

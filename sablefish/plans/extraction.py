@@ -74,7 +74,7 @@ QUERIES["sx_missing_destination"] = _sx(lambda t, s: lint.sx002(t["gatilhos"], t
 ORACLES["sx_missing_destination"] = f"""SELECT 'SX:SX7' AS arquivo, X7_CAMPO || '#' || X7_SEQUENC AS funcao, 'SX-002' AS regra_id, 'error' AS severidade FROM {_SX7}
 WHERE X7_CDOMIN <> '' AND X7_CDOMIN NOT IN (SELECT X3_CAMPO FROM {_SX3})"""
 QUERIES["sx_unused_parameter"] = _sx(lambda t, s: lint.sx003(t["parametros"], facts.parameters(s)))
-ORACLES["sx_unused_parameter"] = f"""SELECT 'SX:SX6' AS arquivo, X6_VAR AS funcao, 'SX-003' AS regra_id, 'warning' AS severidade FROM {X.values_sql('sx6')} WHERE X6_PROPRI <> 'S' AND X6_VAR NOT IN ('MV_XURL')"""
+ORACLES["sx_unused_parameter"] = f"""SELECT 'SX:SX6' AS arquivo, X6_VAR AS funcao, 'SX-003' AS regra_id, 'warning' AS severidade FROM {X.values_sql('sx6')} WHERE X6_PROPRI <> 'S' AND X6_VAR NOT IN (SELECT upper(unnest(regexp_extract_all(text, '(?i)(?:GetMV|PutMV)\\w*\\(\\s*["''](MV_\\w+)', 1))) FROM {X.sources_sql()})"""
 QUERIES["sx_sql_in_validation"] = _sx(lambda t, s: lint.sx006(t["campos"]))
 ORACLES["sx_sql_in_validation"] = f"""SELECT 'SX:' || X3_ARQUIVO AS arquivo, X3_CAMPO AS funcao, 'SX-006' AS regra_id, 'warning' AS severidade FROM {_SX3}
 WHERE regexp_matches(X3_VALID || ' ' || X3_VLDUSER, '(?i)\\b(BeginSql|TCQuery|TCSqlExec|MPSysOpenQuery)\\b')"""
@@ -92,17 +92,17 @@ ORACLES["sx_field_groups"] = f"""SELECT XG_GRUPO AS grupo, CAST(XG_TAMANHO AS IN
 
 def fixture_impact(spark, d):
     tables, _ = X.dictionary(spark)
-    return commands.impact(facts.chunks(X.sources(spark)), tables["campos"], tables["gatilhos"], tables["perguntas"].withColumns({"f3": F.col("f3")}), "A1_COD")
+    return commands.impact(facts.chunks(X.sources(spark)), tables["campos"], tables["gatilhos"], tables["perguntas"].withColumns({"f3": F.col("f3")}), "Z5_PLACA")
 
 
 def fixture_cascade(spark, d):
-    return commands.trigger_cascade(X.dictionary(spark)[0]["gatilhos"], "A1_NREDUZ")
+    return commands.trigger_cascade(X.dictionary(spark)[0]["gatilhos"], "Z6_NUM")
 
 
 QUERIES["fixture_impact"] = fixture_impact
 QUERIES["fixture_cascade"] = fixture_cascade
-ORACLES["fixture_cascade"] = f"""WITH g AS {_SX7}, near AS (SELECT 'A1_NREDUZ' AS node, 0 AS level), one AS (SELECT X7_CDOMIN AS node FROM g WHERE X7_CAMPO = 'A1_NREDUZ' UNION SELECT X7_CAMPO FROM g WHERE X7_CDOMIN = 'A1_NREDUZ'),
-lv AS (SELECT * FROM near UNION ALL SELECT node, 1 FROM one UNION ALL (SELECT DISTINCT x, 2 FROM (SELECT X7_CDOMIN AS x FROM g WHERE X7_CAMPO IN (SELECT node FROM one) UNION SELECT X7_CAMPO FROM g WHERE X7_CDOMIN IN (SELECT node FROM one)) WHERE x NOT IN (SELECT node FROM one) AND x <> 'A1_NREDUZ')),
+ORACLES["fixture_cascade"] = f"""WITH g AS {_SX7}, near AS (SELECT 'Z6_NUM' AS node, 0 AS level), one AS (SELECT X7_CDOMIN AS node FROM g WHERE X7_CAMPO = 'Z6_NUM' UNION SELECT X7_CAMPO FROM g WHERE X7_CDOMIN = 'Z6_NUM'),
+lv AS (SELECT * FROM near UNION ALL SELECT node, 1 FROM one UNION ALL (SELECT DISTINCT x, 2 FROM (SELECT X7_CDOMIN AS x FROM g WHERE X7_CAMPO IN (SELECT node FROM one) UNION SELECT X7_CAMPO FROM g WHERE X7_CDOMIN IN (SELECT node FROM one)) WHERE x NOT IN (SELECT node FROM one) AND x <> 'Z6_NUM')),
 t AS (SELECT level + 1 AS nivel, X7_CAMPO, X7_CDOMIN, node AS via FROM g JOIN lv ON node = X7_CAMPO UNION ALL SELECT level + 1, X7_CAMPO, X7_CDOMIN, node FROM g JOIN lv ON node = X7_CDOMIN),
 b AS (SELECT *, row_number() OVER (PARTITION BY X7_CAMPO, X7_CDOMIN ORDER BY nivel, via) AS k FROM t)
 SELECT nivel, g.X7_CAMPO AS origem, X7_SEQUENC AS sequencia, g.X7_CDOMIN AS destino, X7_REGRA AS regra, X7_CONDIC AS condicao, X7_TIPO AS tipo, X7_ALIAS AS alias, X7_SEEK AS seek, via
@@ -126,21 +126,23 @@ ORACLES["fixture_functions"] = f"""WITH l AS ({_LINES}), f AS (
 ORACLES["fixture_includes"] = f"""SELECT DISTINCT arquivo, regexp_extract(line, '(?i)^\\s*#Include\\s+["'']([^"'']+)["'']', 1) AS include FROM ({_LINES}) WHERE regexp_matches(line, '(?i)^\\s*#Include\\s+["'']')"""
 ORACLES["fixture_namespaces"] = f"""SELECT arquivo, regexp_extract(text, '(?im)^[ \\t]*Namespace[ \\t]+([A-Za-z_][\\w.]*)', 1) AS namespace FROM {X.sources_sql()}"""
 ORACLES["fixture_endpoints"] = f"""SELECT arquivo, regexp_extract(line, '(?i)WSSERVICE[ \\t]+(\\w+)', 1) AS classe, '' AS funcao, upper(regexp_extract(line, '(?i)^[ \\t]*(?:WSMETHOD[ \\t]+|@)(GET|POST|PUT|DELETE|PATCH)', 1)) AS verbo,
-  regexp_extract(line, '^[ \\t]*@\\w+\\("([^"]+)"', 1) AS path, CASE WHEN line LIKE '%@%' THEN '@verb_tlpp' ELSE 'wsmethod_restful' END AS annotation_style, linha FROM ({_LINES})
+  regexp_extract(line, '^[ \\t]*@\\w+\\(["'']([^"'']+)["'']', 1) AS path, CASE WHEN line LIKE '%@%' THEN '@verb_tlpp' ELSE 'wsmethod_restful' END AS annotation_style, linha FROM ({_LINES})
 WHERE regexp_matches(line, '(?i)^[ \\t]*(WSMETHOD[ \\t]+(GET|POST|PUT|DELETE|PATCH)[ \\t]+WSSERVICE[ \\t]+\\w|@(Get|Post|Put|Delete|Patch)\\()')"""
 ORACLES["fixture_questions"] = f"""SELECT DISTINCT arquivo, upper(regexp_extract(line, '(?i)(?:Pergunte|FWGetSX1)\\s*\\(\\s*["''](\\w+)["'']', 1)) AS grupo FROM ({_LINES}) WHERE regexp_matches(line, '(?i)(?:Pergunte|FWGetSX1)\\s*\\(\\s*["'']\\w')"""
 ORACLES["fixture_parameters"] = f"""WITH p AS (SELECT arquivo, linha, upper(regexp_extract(line, '"(MV_\\w+)"', 1)) AS parametro, regexp_matches(line, '(?i)PutMV') AS w, regexp_extract(line, '(?i)SuperGetMV\\("\\w+", [^,]+, "([^"]*)"', 1) AS d
   FROM ({_LINES}) WHERE regexp_matches(line, '(?i)(SuperGetMV|GetMv|PutMV)\\("MV_'))
 SELECT arquivo, parametro, CASE WHEN bool_or(w) AND bool_or(NOT w) THEN 'read_write' WHEN bool_or(w) THEN 'write' ELSE 'read' END AS modo, coalesce(arg_min(d, linha) FILTER (d <> ''), '') AS default_decl FROM p GROUP BY ALL"""
-ORACLES["fixture_http"] = f"""SELECT arquivo, 'ZHTTPCLI' AS funcao, linha, CASE lower(regexp_extract(line, '(?i)\\b(HttpPost|HttpGet)\\(', 1)) WHEN 'httppost' THEN 'HttpPost' ELSE 'HttpGet' END AS metodo,
-  regexp_replace(regexp_extract(line, '(?i)\\bHttp\\w+\\("([^"]+)"', 1), 'https?://[^\\s:@/]+:[^\\s@/]+@', 'https://[REDACTED]@') AS url_literal FROM ({_LINES}) WHERE regexp_matches(line, '(?i)\\b(HttpPost|HttpGet)\\("')"""
-ORACLES["fixture_env_openers"] = f"""SELECT arquivo, 'ZJOBSYNC' AS funcao, linha, '' AS empresa, '' AS filial, regexp_extract(line, 'RpcSetEnv\\([^,]*,[^,]*,[^,]*,[^,]*, "([^"]*)"', 1) AS environment,
-  regexp_extract(line, 'RpcSetEnv\\([^,]*,[^,]*,[^,]*,[^,]*,[^,]*, "([^"]*)"', 1) AS modulo FROM ({_LINES}) WHERE regexp_matches(line, 'RpcSetEnv\\(')"""
+_OWNER = f"""SELECT l.*, coalesce(f.nome, '') AS funcao FROM ({_LINES}) l LEFT JOIN ({ORACLES['fixture_functions']}) f ON f.arquivo = l.arquivo AND l.linha BETWEEN f.linha_inicio AND f.linha_fim"""
+ORACLES["fixture_http"] = f"""SELECT arquivo, funcao, linha, CASE lower(regexp_extract(line, '(?i)\\b(HttpPost|HttpGet)\\(', 1)) WHEN 'httppost' THEN 'HttpPost' ELSE 'HttpGet' END AS metodo,
+  regexp_replace(regexp_extract(line, '(?i)\\bHttp\\w+\\(["'']([^"'']+)["'']', 1), 'https?://[^\\s:@/]+:[^\\s@/]+@', 'https://[REDACTED]@') AS url_literal FROM ({_OWNER}) WHERE regexp_matches(line, '(?i)\\b(HttpPost|HttpGet)\\(["'']')"""
+_ENV = "'(?i)RpcSetEnv\\(" + ", *".join(['"([^"]*)"'] * 6) + "'"
+ORACLES["fixture_env_openers"] = f"""SELECT arquivo, funcao, linha, regexp_extract(line, {_ENV}, 1) AS empresa, regexp_extract(line, {_ENV}, 2) AS filial, regexp_extract(line, {_ENV}, 5) AS environment,
+  regexp_extract(line, {_ENV}, 6) AS modulo FROM ({_OWNER}) WHERE regexp_matches(line, '(?i)RpcSetEnv\\(')"""
 ORACLES["sx_lost_rows"] = f"""SELECT 'tabelas' AS table_name, count(*) - count(DISTINCT X2_CHAVE) AS lost FROM {X.values_sql('sx2')} UNION ALL SELECT 'campos', count(*) - count(DISTINCT (X3_ARQUIVO, X3_CAMPO)) FROM {_SX3}
 UNION ALL SELECT 'indices', count(*) - count(DISTINCT (INDICE, ORDEM)) FROM {X.values_sql('six')} UNION ALL SELECT 'gatilhos', count(*) - count(DISTINCT (X7_CAMPO, X7_SEQUENC)) FROM {_SX7}
 UNION ALL SELECT 'parametros', count(*) - count(DISTINCT (X6_FIL, X6_VAR)) FROM {X.values_sql('sx6')} UNION ALL SELECT 'perguntas', count(*) - count(DISTINCT (X1_GRUPO, X1_ORDEM)) FROM {X.values_sql('sx1')}
 UNION ALL SELECT 'consultas', count(*) - count(DISTINCT (XB_ALIAS, XB_TIPO, XB_SEQ, XB_COLUNA)) FROM {X.values_sql('sxb')} UNION ALL SELECT 'grupos_campo', count(*) - count(DISTINCT XG_GRUPO) FROM {X.values_sql('sxg')}"""
-_CODE = f"(SELECT arquivo, regexp_replace(text, '//[^\\n]*', '', 'g') AS code FROM {X.sources_sql()})"
+_CODE = f"(SELECT arquivo, regexp_replace(regexp_replace(text, '/\\*.*?\\*/', '', 'gs'), '//[^\\n]*', '', 'g') AS code FROM {X.sources_sql()})"
 
 
 def _all(pattern: str) -> str:
@@ -161,5 +163,27 @@ FROM ({_LINES}) WHERE regexp_matches(line, '(?i)^#DEFINE')"""
 _SIGNATURE = r"(?i)WSMETHOD[ \t]+(\w+)[ \t]+WSRECEIVE[ \t]+(\w+)[ \t]+WSSEND[ \t]+(\w+)[ \t]+WSSERVICE[ \t]+(\w+)"
 _PARTS = ", ".join(f"regexp_extract(line, '{_SIGNATURE}', {k}) AS {n}" for k, n in enumerate(("nome", "receive", "send", "service"), 1))
 ORACLES["fixture_ws_signatures"] = f"SELECT arquivo, {_PARTS} FROM ({_LINES}) WHERE regexp_matches(line, '(?i)WSRECEIVE')"
-ORACLES["fixture_logs"] = rf"""WITH f AS ({ORACLES['fixture_functions']}), l AS (SELECT arquivo, linha FROM ({_LINES}) WHERE regexp_matches(line, '(?i)\bConOut\('))
-SELECT l.arquivo, coalesce(nome, '') AS funcao, linha, 'conout' AS nivel, '' AS categoria FROM l LEFT JOIN f ON f.arquivo = l.arquivo AND linha BETWEEN linha_inicio AND linha_fim"""
+_LOG = "'(?i)FwLogMsg\\(\"(\\w+)\", *, *\"\\w*\", *\"(\\w+)\"'"
+ORACLES["fixture_logs"] = f"""SELECT arquivo, funcao, linha, 'conout' AS nivel, '' AS categoria FROM ({_OWNER}) WHERE regexp_matches(line, '(?i)\\bConOut\\(')
+UNION ALL SELECT arquivo, funcao, linha, regexp_extract(line, {_LOG}, 1), regexp_extract(line, {_LOG}, 2) FROM ({_OWNER}) WHERE regexp_matches(line, '(?i)FwLogMsg\\(')"""
+# calls: by what stands before the bracket, or in the block of an automatic routine
+_CONTEXT = "regexp_replace(line, '//.*', '')"
+ORACLES["fixture_calls"] = f"""WITH l AS (SELECT *, {_CONTEXT} AS code FROM ({_OWNER}) WHERE NOT regexp_matches(line, '^ *RecLock[^ ]* comentado')), c AS (
+  SELECT arquivo, funcao, linha, 'user_func' AS tipo, unnest(regexp_extract_all(code, '(?i)\\bU_(\\w+)\\s*\\(', 1)) AS destino FROM l
+  UNION ALL SELECT arquivo, funcao, linha, 'execauto', unnest(regexp_extract_all(code, '(?i)MsExecAuto\\(\\{{\\|[^|]*\\|\\s*(\\w+)\\(', 1)) FROM l
+  UNION ALL SELECT arquivo, funcao, linha, 'method', unnest(regexp_extract_all(regexp_replace(code, '"[^"]*"', '""', 'g'), '\\b([A-Za-z]\\w*:[A-Za-z]\\w*)\\s*\\(', 1)) FROM l
+  UNION ALL SELECT arquivo, funcao, linha, 'mvc_hook', unnest(regexp_extract_all(code, '(?i)\\b(bCommit|bCancel|bTudoOk|bLineOk|bPosVld|bPreVld|bWhen|bValid|bLoad)\\s*:=', 1)) FROM l
+) SELECT arquivo AS arquivo_origem, funcao AS funcao_origem, linha AS linha_origem, tipo, destino, upper(destino) AS destino_norm FROM c"""
+QUERIES["fixture_calls"] = lambda spark, d: facts.calls(X.sources(spark)).drop("contexto")
+_BLOCK = r"(?is)\bBeginSql\b\s+Alias\s+\"\w+\"\s*(.*?)\bEndSql\b|\b(?:TCQuery|TCSqlExec)\(\"([^\"']+)"
+ORACLES["fixture_sql"] = f"""WITH s AS (SELECT arquivo, text, unnest(regexp_extract_all(text, '{_BLOCK.replace("'", "''")}')) AS whole FROM {X.sources_sql()}),
+b AS (SELECT arquivo, len(string_split(left(text, strpos(text, whole)), chr(10))) AS linha, trim(regexp_extract(whole, '{_BLOCK.replace("'", "''")}', 1) || regexp_extract(whole, '{_BLOCK.replace("'", "''")}', 2), ' ' || chr(10)) AS snippet FROM s)
+SELECT b.arquivo, f.nome AS funcao, linha, lower(regexp_extract(snippet, '^(\\w+)', 1)) AS operacao, list_sort(list_distinct(regexp_extract_all(snippet, '(?i)\\b(?:FROM|JOIN|INTO|UPDATE)\\s+(\\w+)', 1))) AS tabelas, snippet
+FROM b JOIN ({ORACLES['fixture_functions']}) f ON f.arquivo = b.arquivo AND linha BETWEEN linha_inicio AND linha_fim"""
+QUERIES["fixture_sql"] = lambda spark, d: facts.sql_blocks(X.sources(spark)).withColumn("tabelas", F.sort_array("tabelas"))
+_ROUTINES = ", ".join(f"('{r}', '{m}', '{k}', {t!r})" for r, m, k, t in facts.ROUTINES)
+ORACLES["fixture_execautos"] = f"""WITH e AS (SELECT arquivo, funcao, linha, nullif(upper(regexp_extract(line, '\\|\\s*(\\w+)\\(', 1)), '') AS routine, try_cast(regexp_extract(line, ', *(\\d+)\\)', 1) AS INTEGER) AS op_code
+  FROM ({_OWNER}) WHERE regexp_matches(line, '(?i)MsExecAuto\\('))
+SELECT arquivo, funcao, linha, e.routine, module, routine_type, op_code, CASE op_code WHEN 3 THEN 'inclusao' WHEN 4 THEN 'alteracao' WHEN 5 THEN 'exclusao' END AS op_label, coalesce(tables, []) AS tables_resolved, e.routine IS NULL AS dynamic_call
+FROM e LEFT JOIN (VALUES {_ROUTINES}) r(routine, module, routine_type, tables) ON r.routine = e.routine"""
+QUERIES["fixture_execautos"] = lambda spark, d: facts.execauto_calls(X.sources(spark)).drop("arg_count", "snippet")
