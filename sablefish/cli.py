@@ -6,9 +6,10 @@ import argparse
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import __version__
-from .operators import commands, facts, lint, render
+from .operators import commands, cookbook, facts, lint, render, search
 from .sources import catalogs, dictionary, files
 from .streaming import refresh
 
@@ -32,7 +33,7 @@ class Store:
         path = f"{self.folder}/_current"
         if not self._exists(path):
             return {}
-        return {r["name"]: r["path"] for r in self.spark.read.json(path).collect()}
+        return {r["name"]: r["path"] for r in self.spark.read.schema("name string, path string").json(path).collect()}
 
     def table(self, name: str) -> DataFrame:
         known = self.versions()
@@ -52,16 +53,20 @@ class Store:
         rows.write.mode("overwrite").json(f"{self.folder}/_current")
 
 
-def ingest(store: Store, root: str, incremental: bool = False) -> DataFrame:
-    """All sources of a tree, or only new and changed ones, into the store."""
+def ingest(store: Store, root: str, incremental: bool = False, only: str | None = None, with_content: bool = True) -> DataFrame:
+    """All sources of a tree, only new and changed ones, or ``only`` one by name, into the store; with a word index of their texts."""
     found = files.scan(store.spark, root)
+    incremental = incremental or only is not None
+    if only is not None:
+        found = found.where(F.lower("arquivo") == only.lower())
     known = store.versions()
     old = {n: store.table(n) for n in known if n in refresh.FACT_TABLES} if incremental else {}
-    if incremental and "arquivos" in known:
+    if incremental and only is None and "arquivos" in known:
         found = files.changed(found, store.table("arquivos"))
     sources = facts.scan_sources(found).cache()
-    tables = refresh.refresh(old, sources) if old else refresh.build(sources)
-    listing = sources.select("arquivo", "caminho_relativo", "tipo_arquivo", "mtime_ns", "size_bytes", "encoding", "error")
+    tables = refresh.refresh(old, sources, with_content) if old else refresh.build(sources, with_content)
+    listing = sources.select("arquivo", "caminho_relativo", "tipo_arquivo", "mtime_ns", "size_bytes", "encoding", "error").withColumn("indexed_at", F.current_timestamp())
+    tables["palavras"] = search.token_table(tables["fonte_chunks"].where("content <> ''"), "id", "content")
     names = sources.select("arquivo")
     findings = lint.lint_sources(sources)
     from .operators import relational as R
@@ -113,7 +118,10 @@ def parser() -> argparse.ArgumentParser:
         return c
 
     command("version")
-    command("ingest", "root", incremental={"action": "store_true"})
+    command("init")
+    command("ingest", "root", incremental={"action": "store_true"}, no_content={"action": "store_true"})
+    command("reindex", "root", "name")
+    command("sql", "statement")
     command("ingest-sx", "folder")
     command("status", check_stale={"metavar": "ROOT"})
     command("sx-status")
@@ -137,7 +145,14 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame | str:
     if c == "version":
         return __version__
     if c == "ingest":
-        return ingest(store, args.root, args.incremental)
+        return ingest(store, args.root, args.incremental, with_content=not args.no_content)
+    if c == "init":
+        store.write({})
+        return store.folder
+    if c == "reindex":
+        return ingest(store, args.root, only=args.name)
+    if c == "sql":
+        return cookbook.run(spark, {n: t(n) for n in store.versions()}, args.statement)
     if c == "ingest-sx":
         lost, failed = ingest_dictionary(store, args.folder)
         for name, why in failed.items():
@@ -152,7 +167,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame | str:
     if c == "sx-status":
         return commands.status({e.table: t(e.table) for e in dictionary.EXPORTS.values() if e.table in store.versions()})
     if c == "doctor":
-        return commands.doctor(t("arquivos"), t("fonte_chunks"))
+        return commands.doctor(t("arquivos"), t("fonte_chunks"), t("palavras"))
     if c == "find":
         return commands.find(t("fonte_chunks"), t("arquivos"), args.name)
     if c == "callers":
@@ -170,7 +185,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame | str:
             cross_lint(store)
         return commands.lint(t("lint_findings"), args.file, args.severity, args.rule)
     if c == "grep":
-        return commands.grep(t("fonte_chunks"), args.pattern, args.mode, args.limit)
+        return commands.grep(t("fonte_chunks"), args.pattern, args.mode, args.limit, t("palavras") if args.mode == "fts" else None)
     if c == "impacto":
         return commands.impact(t("fonte_chunks"), t("campos"), t("gatilhos"), t("perguntas"), args.field, args.depth)
     if c == "gatilho":

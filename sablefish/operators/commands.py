@@ -105,13 +105,14 @@ def doctor(files: DataFrame, chunks: DataFrame, tokens: DataFrame | None = None)
     return out
 
 
-def grep(chunks: DataFrame, pattern: str, mode: str = "literal", limit: int = 0) -> DataFrame:
-    """arquivo, funcao and snippet: by ``literal`` text, ``identifier`` or ``fts`` search; 50 rows unless said otherwise."""
+def grep(chunks: DataFrame, pattern: str, mode: str = "literal", limit: int = 0, tokens: DataFrame | None = None) -> DataFrame:
+    """arquivo, funcao and snippet: by ``literal`` text, ``identifier`` or ``fts`` search (over stored ``tokens`` where given); 50 rows unless said otherwise."""
     from . import search
 
     if mode == "fts":
         words = [w for n in _terms(search.parse(pattern)) for w in n]
-        rows = search.search(chunks, "content", pattern).withColumn("snippet", search.highlight(F.col("content"), words))
+        hits = search.search(chunks, "content", pattern) if tokens is None else chunks.join(search.indexed(tokens, "id", pattern), "id", "left_semi")
+        rows = hits.withColumn("snippet", search.highlight(F.col("content"), words))
     elif mode == "identifier":
         rows = chunks.where(F.contains(F.upper("content"), F.lit(normalize(pattern)))).withColumn("snippet", F.substring("content", 1, 200))
     elif mode == "literal":

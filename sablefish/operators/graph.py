@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 MOST_LEVELS = 3
 
 
@@ -16,19 +18,23 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int = MOST_LEVELS, both_way
     """node, level and via (the smallest parent on the level before) of every node within ``depth`` steps.
 
     ``edges`` has src and dst, ``seeds`` has node. Each level is one equi-join of the frontier with
-    the edges, deduplicated by aggregation, and an anti join with the nodes seen so far; at most three levels,
-    so the plan stays small. Seeds have level 0 and no parent.
+    the edges, deduplicated by aggregation, and an anti join with the nodes seen so far. The edges and each frontier are
+    staged, so no level computes another again; an empty frontier ends the search. Seeds have level 0 and no parent.
     """
     step = edges.select("src", "dst")
     if both_ways:
         step = step.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    step = step.where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    spark = edges.sparkSession
+    step = staged(spark, step.where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
     seen = seeds.select("node").distinct().select("node", F.lit(0).alias("level"), F.lit(None).cast(seeds.schema["node"].dataType).alias("via"))
+    seen = staged(spark, seen, "seeds")
     frontier = seen
     for level in range(1, clamp_depth(depth) + 1):
         out = step.join(frontier.select(F.col("node").alias("src")), "src").groupBy("dst").agg(F.min("src").alias("via"))
         fresh = out.join(seen.select(F.col("node").alias("dst")), "dst", "left_anti")
-        frontier = fresh.select(F.col("dst").alias("node"), F.lit(level).alias("level"), "via")
+        frontier = staged(spark, fresh.select(F.col("dst").alias("node"), F.lit(level).alias("level"), "via"), f"frontier-{level}")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 

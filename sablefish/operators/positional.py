@@ -34,7 +34,8 @@ def exists_behind(flag: Column, scope: Sequence[str], order: Sequence[Column], r
 
 def next_following(df: DataFrame, scope: Sequence[str], position: str, wanted: Column, cap: int, name: str) -> DataFrame:
     """The position of the nearest later row that is wanted, where it is at most ``cap`` away."""
-    later = Window.partitionBy(*scope).orderBy(position).rowsBetween(1, Window.unboundedFollowing)
+    # in descending order what follows is what came before: a growing frame, which is summed as it goes
+    later = Window.partitionBy(*scope).orderBy(F.desc(position)).rowsBetween(Window.unboundedPreceding, -1)
     found = F.min(F.when(wanted, F.col(position))).over(later)
     return df.withColumn(name, F.when(found - F.col(position) <= cap, found))
 

@@ -1,6 +1,6 @@
 """Renderers of small results: JSON envelope, Markdown and console tables, doc pages.
 
-These end a query: they fetch the rows of one page (at most ``limit``) to the driver.
+These end a query: they fetch the rows of one page to the driver, ``MOST_ROWS`` at most where no limit is given, and say how many there are.
 """
 
 from __future__ import annotations
@@ -10,10 +10,13 @@ import json
 from pyspark.sql import DataFrame, Row
 
 
+MOST_ROWS = 10_000
+
+
 def one_page(df: DataFrame, limit: int = 0, offset: int = 0) -> tuple[list[dict], int]:
     """Rows of a page as dictionaries, and the number of all rows."""
     total = df.count()
-    rows = df.offset(offset).limit(limit) if limit else df.offset(offset)
+    rows = df.offset(offset).limit(limit or MOST_ROWS)
     return [r.asDict(recursive=True) for r in rows.collect()], total
 
 

@@ -153,6 +153,24 @@ def search(df: DataFrame, text: str, query: str) -> DataFrame:
     return df.where(matches(query, token_array(text)))
 
 
+def indexed(tokens: DataFrame, key: str, query: str | Node) -> DataFrame:
+    """The keys whose texts satisfy a search, from a stored token table: one equi-join or set operation a part, no text is read."""
+    node = parse(query) if isinstance(query, str) else query
+    if node.kind in ("and", "or", "not"):
+        first, *rest = (indexed(tokens, key, p) for p in node.parts)
+        for other in rest:
+            first = first.join(other, key, "left_semi" if node.kind == "and" else "left_anti") if node.kind != "or" else first.unionByName(other).distinct()
+        return first
+    if node.kind == "prefix":
+        found = tokens.where(F.col("token").startswith(node.words[-1]))
+    else:
+        found = tokens.where(F.col("token") == node.words[0])
+        for k, word in enumerate(node.words[1:], 1):
+            at = tokens.where(F.col("token") == word).select(key, (F.col("pos") - k).alias("pos"))
+            found = found.join(at, [key, "pos"], "left_semi")
+    return found.select(key).distinct()
+
+
 def phrase_count(tokens: Column, phrase: str) -> Column:
     """How often a phrase occurs, overlaps of its last and first word not counted twice."""
     joined = F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" "))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import facts
 from ..operators import relational as R
@@ -18,39 +19,56 @@ FACT_TABLES: dict[str, Callable[[DataFrame], DataFrame]] = {
 _KEYS = {"chamadas_funcao": "arquivo_origem"}
 
 
-def build(sources: DataFrame) -> dict[str, DataFrame]:
-    """All fact tables of scanned sources."""
-    return {name: make(sources) for name, make in FACT_TABLES.items()}
+def build(sources: DataFrame, with_content: bool = True) -> dict[str, DataFrame]:
+    """All fact tables of scanned sources; chunks without their text where ``with_content`` is False."""
+    out = {name: make(sources) for name, make in FACT_TABLES.items()}
+    return out if with_content else out | {"fonte_chunks": facts.chunks(sources, with_content=False)}
 
 
-def refresh(stored: dict[str, DataFrame], sources: DataFrame) -> dict[str, DataFrame]:
+def refresh(stored: dict[str, DataFrame], sources: DataFrame, with_content: bool = True) -> dict[str, DataFrame]:
     """Stored fact tables with all rows of the given sources replaced."""
     names = sources.select("arquivo")
     out = {}
-    for name, fresh in build(sources).items():
+    for name, fresh in build(sources, with_content).items():
         key = _KEYS.get(name, "arquivo")
         out[name] = R.replace_by_key(stored[name], fresh, key, names.withColumnRenamed("arquivo", key)) if name in stored else fresh
     return out
 
 
+def _last_version(spark: SparkSession, folder: str, before: int) -> int | None:
+    """The largest version below ``folder`` that is less than ``before``."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{next(reversed(FACT_TABLES))}")
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        return None
+    numbers = [int(n.removeprefix("version=")) for x in system.listStatus(place) if (n := x.getPath().getName()).startswith("version=")]
+    return max((n for n in numbers if n < before), default=None)
+
+
 def write(spark: SparkSession, sources: DataFrame, folder: str, version: int) -> None:
-    """One version of all fact tables below ``folder``; readers switch by the largest version."""
-    for name, df in build(sources).items():
+    """A version of all fact tables below ``folder``: the last one with all rows of the given sources replaced.
+
+    Readers take the largest version. A version is a whole copy, so that it can be read while the next is written; a batch that is
+    run again replaces its own version, from the one before it.
+    """
+    last = _last_version(spark, folder, version)
+    stored = {name: spark.read.parquet(f"{folder}/{name}/version={last}") for name in FACT_TABLES} if last is not None else {}
+    for name, df in refresh(stored, sources).items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}/version={version}")
 
 
 def stream(spark: SparkSession, root: str, folder: str, checkpoint: str):
-    """A stream over new files of a tree: each batch's sources become a new version. Runs what is there, then stops."""
+    """A stream over new files of a tree: each batch's sources replace theirs in a new version. Runs what is there, then stops."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     found = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(root)
 
     def each(batch: DataFrame, number: int) -> None:
-        from pyspark.sql import functions as F
-
         name = F.element_at(F.split("path", "/"), -1)
         rows = batch.where(F.lower(name).rlike(rf"\.({'|'.join(files.EXTENSIONS)})$") & (F.col("length") > 0) & (F.col("length") <= files.MOST_BYTES))
         rows = rows.select(name.alias("arquivo"), F.col("path").alias("caminho_relativo"), "content")
-        if rows.limit(1).count():
-            write(spark, facts.scan_sources(rows), folder, number)
+        if not rows.isEmpty():
+            sources = facts.scan_sources(rows).persist()
+            write(batch.sparkSession, sources, folder, number)
+            sources.unpersist()
 
     return found.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -24,23 +24,31 @@ def test_commands(spark, tmp_path, capsys):
     assert call("callers", "x")[0] == 2
     assert {r["chave"]: r["n"] for r in call("ingest", str(root))}["arquivos"] == len(fixtures.SOURCES)
     assert {r["table_name"]: r["lost"] for r in call("ingest-sx", str(sx))}["consultas"] == 1
-    assert [r["funcao"] for r in call("callers", "U_ZTASK01")] == ["ZJOBSYNC"]
-    assert [r["tabela"] for r in call("tables", "sa1", "--mode", "write")] == ["SA1"]
-    assert {r["regra_id"] for r in call("lint", "--cross-file", "--severity", "error")} >= {"SX-002", "SX-010", "SX-011", "BP-003"}
+    assert [r["funcao"] for r in call("callers", "U_LOCMULTA")] == ["LOCROBO"]
+    assert [r["tabela"] for r in call("tables", "sz6", "--mode", "write")] == ["SZ6", "SZ6"]
+    assert {r["regra_id"] for r in call("lint", "--cross-file", "--severity", "error")} >= {"SX-002", "SX-010", "SX-011", "PERF-002"}
     assert call("lint", "--cross-file", "--rule", "SX-002") == call("lint", "--rule", "SX-002") != []
-    assert len(call("impacto", "A1_COD")) == 5 and len(call("gatilho", "A1_COD", "--depth", "1")) == 2
-    assert call("execauto", "--op", "inc")[0]["routine"] == "MATA103" and call("workflow", "--kind", "schedule")[0]["target"] == "GRP01"
-    assert call("docs", "--module", "sigafat") == [] and len(call("docs")) == 1 and "# ANCTB102GR" in call("docs", "--show", "anctb102gr")[1]
+    assert len(call("impacto", "Z5_PLACA")) == 6 and len(call("gatilho", "Z6_XPLACA", "--depth", "1")) == 2
+    assert call("execauto", "--op", "alt")[0]["routine"] == "MATA410" and call("workflow", "--kind", "schedule")[0]["target"] == "LOCREL"
+    assert call("docs", "--module", "sigafat") == [] and len(call("docs")) == 1 and "# LOC020OK" in call("docs", "--show", "loc020ok")[1]
     assert call("status", "--check-stale", str(root)) == []
     assert {r["status"] for r in call("doctor")} == {"ok"} and call("version")[1].strip()
-    (root / "pubvars.prw").write_text("User Function ZNEW()\nReturn\n")
+    assert [r["funcao"] for r in call("grep", "aviso AND multa", "--mode", "fts")] == [] and [r["funcao"] for r in call("grep", "\"reclock sz6\" NOT comentado", "--mode", "fts")] == ["LOCGRAVA"]
+    assert [r["arquivo"] for r in call("sql", "locks")] == ["baixa_dupla.prw", "cliente_grava.prw"] and call("sql", "orphan-calls") == []
+    assert {r["categoria"] for r in call("sql", "findings-with-rules")} >= {"BP", "SEC"} and call("sql", "SELECT count(*) AS n FROM fontes")[0]["n"] == len(fixtures.SOURCES)
+    counts = call("sql", "index-counts")[0]
+    assert counts["chunks"] == counts["indexed"] > 0
+    (root / "legado.prw").write_text("User Function ZOLD()\nReturn\n")
+    call("reindex", str(root), "LEGADO.prw")
+    assert call("find", "zold")[0]["_kind"] == "funcao" and len(call("find", "LOCGRAVA")) == 1
+    (root / "legado.prw").write_text("User Function ZNEW()\nReturn\n")
     import os
 
-    os.utime(root / "pubvars.prw", (2_000_000_000, 2_000_000_000))
-    assert [(r["arquivo"], r["status"]) for r in call("status", "--check-stale", str(root))] == [("pubvars.prw", "stale")]
+    os.utime(root / "legado.prw", (2_000_000_000, 2_000_000_000))
+    assert [(r["arquivo"], r["status"]) for r in call("status", "--check-stale", str(root))] == [("legado.prw", "stale")]
     call("ingest", str(root), "--incremental")
-    assert call("find", "znew")[0]["_kind"] == "funcao" and call("find", "pedA")[0]["_kind"] != "funcao" if call("find", "pedA") else True
-    assert call("status", "--check-stale", str(root)) == [] and len(call("find", "ZRECOK")) == 1
+    assert call("find", "znew")[0]["_kind"] == "funcao" and call("find", "StaticCall") == []
+    assert call("status", "--check-stale", str(root)) == [] and len(call("find", "LOCGRAVA")) == 1
 
 
 def test_catalogs(spark, tmp_path):

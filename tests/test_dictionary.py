@@ -35,20 +35,20 @@ def test_wrong_shapes(spark, tmp_path):
 
 def test_typed_flags(tables):
     campos = {r["campo"]: r for r in tables["campos"].collect()}
-    assert campos["A1_XCUSTOM"]["custom"] and not campos["A1_COD"]["custom"] and campos["A1_XOBRIG"]["obrigatorio"]
-    assert campos["A1_XCUSTOM"]["inicializador"] == "Space(10)" and campos["A1_COD"]["tamanho"] == 6
-    assert [r["codigo"] for r in tables["tabelas"].collect() if r["custom"]] == ["ZA1"]
-    assert "SX7" not in {r["codigo"] for r in tables["tabelas"].collect()}
-    assert [r["total_campos"] for r in tables["grupos_campo"].collect()] == [1]
+    assert campos["Z5_XCHASSI"]["custom"] and not campos["Z5_PLACA"]["custom"] and campos["Z5_XPESO"]["obrigatorio"]
+    assert campos["Z5_XCHASSI"]["inicializador"] == "Space(17)" and campos["Z5_PLACA"]["tamanho"] == 7
+    assert sorted(r["codigo"] for r in tables["tabelas"].collect() if r["custom"]) == ["SZ5", "SZ6", "ZLX"]
+    assert "SZ8" not in {r["codigo"] for r in tables["tabelas"].collect()}
+    assert [r["total_campos"] for r in tables["grupos_campo"].collect()] == [2]
 
 
 def test_cross_rules(spark):
     found = {(r["regra_id"], r["funcao"]) for r in extraction.cross_lint(spark).collect()}
     assert {
-        ("SX-001", "A1_XCUSTOM"), ("SX-002", "A1_COD#02"), ("SX-003", "MV_XYZDEAD"), ("SX-004", "MGFDEAD"), ("SX-005", "A1_XCUSTOM"), ("SX-006", "ZA1_COD"), ("SX-007", "A1_XOBRIG"),
-        ("SX-008", "A1_NREDUZ"), ("SX-009", "A1_XOBRIG"), ("SX-010", "A1_COD#02"), ("SX-010", "A1_NREDUZ#01"), ("SX-011", "A1_XOBRIG"), ("MOD-003", ""), ("PERF-006", "ZSQLMIX"),
+        ("SX-001", "Z5_XCHASSI"), ("SX-002", "Z6_XPLACA#02"), ("SX-003", "MV_LOCDIA"), ("SX-004", "LOCSEM"), ("SX-005", "Z5_XNUNCA"), ("SX-006", "Z6_XPLACA"), ("SX-007", "Z5_XPESO"),
+        ("SX-008", "Z5_ANO"), ("SX-009", "Z5_XPESO"), ("SX-010", "Z6_XPLACA#02"), ("SX-010", "Z6_NUM#01"), ("SX-011", "Z5_XPESO"), ("MOD-003", ""), ("PERF-006", "LOCBUSCA"),
     } <= found
-    assert ("SX-003", "MV_XURL") not in found
+    assert ("SX-003", "MV_LOCURL") not in found and ("SX-005", "Z6_XPLACA") not in found
 
 
 def test_rules_without_a_dictionary_are_skipped(spark):
@@ -60,27 +60,27 @@ def test_rules_without_a_dictionary_are_skipped(spark):
 
 def test_impact_and_cascade(spark, tables):
     chunks = facts.chunks(fixtures.sources(spark))
-    found = [tuple(r)[:2] for r in commands.impact(chunks, tables["campos"], tables["gatilhos"], tables["perguntas"], "A1_COD").collect()]
-    assert found == [("SX7", "A1_COD#01"), ("SX7", "A1_COD#02"), ("SX7", "A1_NREDUZ#01"), ("SX3", "SA1.A1_COD"), ("fonte", "sql_embedded.prw::ZSQLMIX")]
-    one = [(r["nivel"], r["origem"], r["destino"]) for r in commands.trigger_cascade(tables["gatilhos"], "a1_cod", 1).collect()]
-    assert one == [(1, "A1_COD", "A1_NREDUZ"), (1, "A1_COD", "A1_FANTASMA")] or one == [(1, "A1_COD", "A1_FANTASMA"), (1, "A1_COD", "A1_NREDUZ")]
+    found = [tuple(r)[:2] for r in commands.impact(chunks, tables["campos"], tables["gatilhos"], tables["perguntas"], "Z5_PLACA").collect()]
+    assert found == [("SX7", "Z5_ANO#01"), ("SX7", "Z6_NUM#01"), ("SX7", "Z6_XPLACA#01"), ("SX7", "Z6_XPLACA#02"), ("SX3", "SZ5.Z5_PLACA"), ("fonte", "consultas.prw::LOCBUSCA")]
+    one = [(r["nivel"], r["origem"], r["destino"]) for r in commands.trigger_cascade(tables["gatilhos"], "z6_xplaca", 1).collect()]
+    assert sorted(one) == [(1, "Z6_XPLACA", "Z6_NUM"), (1, "Z6_XPLACA", "Z6_PERDIDO")]
 
 
 def test_commands(spark):
     src = fixtures.sources(spark)
     chunks, calls, found = facts.chunks(src), facts.calls(src), facts.execauto_calls(src)
     listing = src.select("arquivo", "caminho_relativo", "encoding", "error")
-    assert [r["_kind"] for r in commands.find(chunks, listing, "U_ZRECOK").collect()] == ["funcao"]
-    assert [r["arquivo"] for r in commands.find(chunks, listing, "mvc_h").collect()] == ["mvc_hooks.prw"]
-    assert [r["_kind"] for r in commands.find(chunks, listing, "atualizado").collect()] == ["texto"]
-    assert [(r["funcao"], r["is_self_call"]) for r in commands.callers(calls, "ztask01").collect()] == [("ZJOBSYNC", False)]
-    assert [r["destino"] for r in commands.callees(calls, "EXEC_AUTO.PRW").collect()] == ["MATA103"]
-    assert commands.execautos(found, op="inc").count() == 1 and commands.execautos(found, op="nope").count() == 0
+    assert [r["_kind"] for r in commands.find(chunks, listing, "U_LOCGRAVA").collect()] == ["funcao"]
+    assert [r["arquivo"] for r in commands.find(chunks, listing, "lo_mvc").collect()] == ["veiculo_mvc.prw"]
+    assert [r["_kind"] for r in commands.find(chunks, listing, "gerente@loja").collect()] == ["texto"]
+    assert [(r["funcao"], r["is_self_call"]) for r in commands.callers(calls, "locmulta").collect()] == [("LOCROBO", False)]
+    assert [r["destino"] for r in commands.callees(calls, "PEDIDO_AUTO.PRW").collect()] == ["MATA410"]
+    assert commands.execautos(found, op="alt").count() == 1 and commands.execautos(found, op="nope").count() == 0
     assert commands.triggers(facts.execution_triggers(src), "nope").count() == 0
-    assert [r["tables_via_execauto"] for r in commands.arch(facts.summaries(src), found, "EXEC_AUTO.prw").collect()] == [["SD1", "SE2", "SF1", "SF4"]]
+    assert [r["tables_via_execauto"] for r in commands.arch(facts.summaries(src), found, "PEDIDO_AUTO.prw").collect()] == [["SB1", "SC5", "SC6", "SF4"]]
     assert [r["status"] for r in commands.doctor(listing, chunks).collect()] == ["ok", "ok", "ok"]
-    assert commands.grep(chunks, "reclock(", "literal").count() == 2 and commands.grep(chunks, "U_ZTASK01", "identifier").count() == 2
-    assert "[RecLock" in commands.grep(chunks, "reclock NOT zh3", "fts").first()["snippet"]
+    assert commands.grep(chunks, "reclock(", "literal").count() == 2 and sorted(r["funcao"] for r in commands.grep(chunks, "U_LOCMULTA", "identifier").collect()) == ["LOCMULTA", "LOCMULTAS", "LOCROBO"]
+    assert "[RecLock" in commands.grep(chunks, "reclock NOT comentado", "fts").first()["snippet"]
 
 
 def test_scan_and_refresh(spark, tmp_path):
@@ -106,9 +106,46 @@ def test_scan_and_refresh(spark, tmp_path):
 
 
 def test_stream(spark, tmp_path):
+    """Batches replace their own sources only."""
     root = tmp_path / "in"
     root.mkdir()
-    (root / "a.prw").write_text("User Function A()\nReturn\n")
-    q = refresh.stream(spark, str(root), str(tmp_path / "out"), str(tmp_path / "check"))
-    q.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out" / "fonte_chunks")).select("funcao").collect()[0][0] == "A"
+
+    def run(name, text):
+        (root / name).write_text(text)
+        q = refresh.stream(spark, str(root), str(tmp_path / "out"), str(tmp_path / "check"))
+        q.awaitTermination(120)
+        found = spark.read.parquet(str(tmp_path / "out" / "fonte_chunks"))
+        last = found.agg({"version": "max"}).first()[0]
+        return sorted(r["funcao"] for r in found.where(f"version = {last}").collect())
+
+    assert run("a.prw", "User Function A()\nReturn\n") == ["A"]
+    assert run("b.prw", "User Function B()\nReturn\n") == ["A", "B"]
+    (root / "sub").mkdir()
+    assert run("sub/a.prw", "User Function A2()\nReturn\n") == ["A2", "B"]
+
+
+def test_paths_are_relative_to_the_folder_given(spark, tmp_path):
+    root = tmp_path / "src" / ".git" / "app" / "src"
+    (root / "x" / "node_modules").mkdir(parents=True)
+    (root / "x" / "A.PRW").write_text("User Function A()\n")
+    (root / "x" / "node_modules" / "b.prw").write_text("x")
+    assert [r["caminho_relativo"] for r in files.scan(spark, str(root) + "/").collect()] == ["x/A.PRW"]
+
+
+def test_names_inside_longer_words(spark):
+    from sablefish.operators import lint
+
+    campos = spark.createDataFrame([("SZ5", c, c, True) for c in ("Z5_XA", "Z5_XB", "Z5_XLONGER", "AB")], "tabela string, campo string, titulo string, custom boolean")
+    campos = campos.selectExpr("*", "'' AS validacao", "'' AS vlduser", "'' AS when_expr", "'' AS inicializador")
+    chunks = spark.createDataFrame([("M->z5_xa + 1",), ("cZ5_XLONGERNAME",), ("xABx",)], "content string")
+    none = spark.createDataFrame([], "regra string, condicao string, chave string")
+    assert [r["funcao"] for r in lint.sx005(campos, chunks, none).collect()] == ["Z5_XB"]
+
+
+def test_needles_inside_texts(spark):
+    texts = ["one two three four five six", "xone two threex", "", None, "alone", "tab\ttwo three four", "two  blanks here now"]
+    needles = ["two three four five", "one two three", "ne two th", "lon", "two three", "tab\ttwo three", "four  five", "six one", "o  blanks he", " ", "two three four five six"]
+    a = spark.createDataFrame(list(enumerate(needles)), "k int, needle string")
+    b = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["k"] for r in R.found_inside(a, "k", "needle", b, "i", "t").collect()}
+    assert got == {k for k, n in enumerate(needles) if any(n in (t or "") for t in texts)}
