@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -12,49 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import discard, shared_dir, shared_path, staged
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none and runs on a single machine (tests) a local folder is set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="sablefish-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
-_made: list[str] = []
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    _made.append(f"{shared_dir(spark)}/sablefish-{name}-{uuid.uuid4().hex}")
-    return _made[-1]
-
-
-def discard(spark: SparkSession) -> None:
-    """Removes all tables staged so far; for callers that have stored their results."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
-def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again.
-
-    Cuts the lineage, so a lost executor costs only the tasks of the current step, and
-    puts a plain scan under later joins, which lets adaptive execution split hot keys.
-    """
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["arrow_map", "blocks", "crc_fold", "discard", "documents", "pages", "shared_dir", "shared_path", "sole", "staged"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
