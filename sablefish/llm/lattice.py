@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, blocks, crc_fold, sole, staged
-from .tokens import hashes, line_keys, split_lines
+from .tokens import MIX, hashes, line_keys, split_lines
 
 VOCABULARY = "piece_bpe_32k.model"
 ZIPF, BYTE_SHARE, STOP, OWN, LINE_SHARE = 2.7, 1e-3, 0.25, 0.5, 0.02
@@ -74,6 +74,39 @@ def adapted(weights: dict[str, float], expected: dict[str, float]) -> dict[str,
     return {k: OWN * v + (1 - OWN) * expected.get(k, 0.0) / total for k, v in weights.items()} if total else weights
 
 
+#: Words of one length that are few go through the lattice one by one, others side by side.
+FEW, SLOT_BITS, WORDS = 24, 20, 1 << 15
+
+
+def _onward(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The hashes of beginnings that are a character longer."""
+    h = (h + c + np.uint64(1)) * MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words of equal length: their places and (words, characters) code points."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(size, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
+        if len(at):
+            codes = np.frombuffer("".join([words[k] for k in at]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            yield at, codes.reshape(len(at), -1).astype(np.uint64)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = WORDS) -> Iterator[pa.Table]:
+    """Batches put together to about so many rows."""
+    some, n = [], 0
+    for batch in batches:
+        some.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(some)
+            some, n = [], 0
+    if some:
+        yield pa.Table.from_batches(some)
+
+
 class Lattice:
     """Marginal log probabilities of words under weighted pieces."""
 
@@ -86,6 +119,7 @@ class Lattice:
         self.arcs: dict[str, float | None] = {k: math.log(v * (1 - BYTE_SHARE)) + go_on for k, v in weights.items()}
         # None for a beginning of a piece that is none itself; what isn't here begins no piece
         self.arcs.update(dict.fromkeys({k[:n] for k in weights for n in range(1, len(k))} - weights.keys()))
+        self._table()
 
     def log_probability(self, word: str, share: float = 0.0, own: float | None = None) -> float:
         """Natural log of the summed weight of all ways through a word.
@@ -160,6 +194,97 @@ class Lattice:
             if piece is not None:
                 counts[piece] = counts.get(piece, 0.0) + alpha[i] * t
 
+    def _table(self) -> None:
+        """All beginnings of pieces by the hash of their characters: slots of neighbouring entries."""
+        entries = list(self.arcs)
+        self._piece_weight = np.array([np.nan if w is None else w for w in self.arcs.values()])
+        self._names = entries
+        keys = np.empty(len(entries), np.uint64)
+        for at, chars in _by_length(entries):
+            h = np.zeros(len(at), np.uint64)
+            for k in range(chars.shape[1]):
+                h = _onward(h, chars[:, k])
+            keys[at] = h
+        order = np.argsort(keys)
+        self._keys, self._order = keys[order], order
+        slots = np.searchsorted(self._keys, np.arange(1 << SLOT_BITS, dtype=np.uint64) << np.uint64(64 - SLOT_BITS))
+        self._start, self._count = slots, np.diff(np.append(slots, len(keys)))
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash among the sorted keys, or -1."""
+        slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        start, left = self._start[slot], self._count[slot]
+        found = np.where((left > 0) & (self._keys[np.minimum(start, len(self._keys) - 1)] == h), start, -1)
+        step = 1
+        rest = np.flatnonzero((left > step) & (found < 0))
+        while len(rest):
+            at = start[rest] + step
+            hit = self._keys[at] == h[rest]
+            found[rest[hit]] = at[hit]
+            step += 1
+            rest = rest[~hit & (left[rest] > step)]
+        return found
+
+    def _forward(self, chars: np.ndarray, share: float = 0.0, arcs: list | None = None) -> np.ndarray:
+        """(places, words) log sums of all ways from the beginning, for words of one length; ``arcs`` gets the pieces' arcs."""
+        m, n = chars.shape
+        byte = self.byte * (1 + (chars > 0x7F).astype(np.int64) + (chars > 0x7FF) + (chars > 0xFFFF))
+        alpha = np.full((n + 1, m), -np.inf)
+        alpha[0] = share
+        for i in range(n):
+            a = alpha[i]
+            alpha[i + 1] = np.logaddexp(alpha[i + 1], a + byte[:, i])
+            rows, h = np.arange(m), np.zeros(m, np.uint64)
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                h = _onward(h, chars[rows, j - 1])
+                at = self._find(h)
+                alive = at >= 0
+                rows, h, at = rows[alive], h[alive], at[alive]
+                if not len(rows):
+                    break
+                entry = self._order[at]
+                w = self._piece_weight[entry]
+                real = w == w
+                r, w = rows[real], w[real]
+                alpha[j, r] = np.logaddexp(alpha[j, r], a[r] + w)
+                if arcs is not None:
+                    arcs.append((i, j, r, entry[real], w))
+        return alpha
+
+    def log_probabilities(self, words: list[str], share: float = 0.0, own: np.ndarray | None = None) -> np.ndarray:
+        """``log_probability`` of many words; ``own`` has -inf where a word has no arc of its own."""
+        out = np.empty(len(words))
+        own = np.full(len(words), -np.inf) if own is None else own
+        for at, chars in _by_length([SPACE + w for w in words]):
+            if len(at) < FEW:
+                out[at] = [self.log_probability(words[k], share, None if own[k] == -np.inf else own[k]) for k in at]
+            else:
+                out[at] = np.logaddexp(self._forward(chars, share)[-1] + self.end, own[at])
+        return out
+
+    def expect_all(self, words: list[str], counts: dict[str, float]) -> None:
+        """``expect`` of many words."""
+        total = np.zeros(len(self._names))
+        for at, chars in _by_length([SPACE + w for w in words]):
+            if len(at) < FEW:
+                for k in at:
+                    self.expect(words[k], counts)
+                continue
+            arcs: list = []
+            alpha = self._forward(chars, 0.0, arcs)
+            beta = np.full(alpha.shape, -np.inf)
+            beta[-1] = -alpha[-1]
+            byte = self.byte * (1 + (chars > 0x7F).astype(np.int64) + (chars > 0x7FF) + (chars > 0xFFFF))
+            for i in range(len(alpha) - 2, -1, -1):
+                beta[i] = byte[:, i] + beta[i + 1]
+                while arcs and arcs[-1][0] == i:
+                    _, j, r, entry, w = arcs.pop()
+                    t = w + beta[j, r]
+                    beta[i, r] = np.logaddexp(beta[i, r], t)
+                    total += np.bincount(entry, np.exp(alpha[i, r] + t), len(total))
+        for k in np.flatnonzero(total):
+            counts[self._names[k]] = counts.get(self._names[k], 0.0) + float(total[k])
+
     @staticmethod
     def _expect_logs(s: str, found: list[tuple[int, int, str | None, float]], counts: dict[str, float]) -> None:
         n = len(s)
@@ -222,9 +347,8 @@ def expected_pieces(words: DataFrame, vocabulary: str | None = None) -> dict[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = lattice_at(vocabulary)
         counts: dict[str, float] = {}
-        for batch in batches:
-            for word in batch.column("word").to_pylist():
-                lattice.expect(word, counts)
+        for some in gathered(batches):
+            lattice.expect_all(some.column("word").to_pylist(), counts)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.float64())], names=["piece", "n"])
 
     found = words.where(F.col("c") > 0).select("word").transform(arrow_map, run, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
@@ -239,10 +363,14 @@ def with_lattice(spark: SparkSession, words: DataFrame, counts: Discounted, voca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = sole(name, lambda: Lattice(shared.value))
-        for batch in batches:
-            word, c = batch.column("word"), batch.column("c").to_pylist()
-            found = [lattice.log_probability(w, share, counts.own(k)) / LOG10 for w, k in zip(word.to_pylist(), c, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes(word).view(np.int64)), pa.array(found, pa.float64())], names=["word", "c", "n", "hash", "score"])
+        for some in gathered(batches):
+            some = some.combine_chunks()
+            c = np.asarray(some.column("c"))
+            with np.errstate(divide="ignore"):
+                own = np.log(np.where(c > 0, c - counts.discount, 0) / max(1, counts.total))
+            found = lattice.log_probabilities(some.column("word").to_pylist(), share, own) / LOG10
+            whole = some.append_column("hash", pa.array(hashes(some.column("word")).view(np.int64))).append_column("score", pa.array(found, pa.float64()))
+            yield from whole.to_batches()
 
     return words.select("word", "c", "n").transform(arrow_map, run, "word string, c long, n long, hash long, score double")
 

@@ -316,21 +316,33 @@ def brute_scores(rows):
 
 
 def test_expected_pieces():
-    lat = lattice.lattice_at(None)
+    weights = lattice.vocabulary_weights()
+    lat = lattice.Lattice(weights)
     for word in ("thing", "ab" * 400):
         counts = {}
         lat.expect(word, counts)
         assert abs(sum(len(k) * v for k, v in counts.items()) - len(word) - 1) < 0.5
-        low, step = {}, 1e-5
-        lat.expect(word[:6], low)
-        piece = max(low, key=low.get)
-        old = lat.arcs[piece]
-        lat.arcs[piece] = old + step
-        up = lat.log_probability(word[:6])
-        lat.arcs[piece] = old - step
-        down = lat.log_probability(word[:6])
-        lat.arcs[piece] = old
-        assert abs((up - down) / (2 * step) - low[piece]) < 1e-4  # the gradient of the log sum
+    low, step = {}, 1e-5
+    lat.expect("thingab", low)
+    piece = max(low, key=low.get)
+    up, down = (lattice.Lattice(weights | {piece: weights[piece] * math.exp(x)}).log_probability("thingab") for x in (step, -step))
+    assert abs((up - down) / (2 * step) - low[piece]) < 1e-4  # the gradient of the log sum
+
+
+def test_many_words_side_by_side():
+    import random
+
+    rng = random.Random(4)
+    some = sorted({"".join(rng.choice([*EN, *DE, "é", "漢", "🎉", "x", "7"]) for _ in range(rng.randint(1, 4))) for _ in range(600)}) + ["ab" * 900]
+    lat = lattice.lattice_at()
+    own = np.array([-np.inf if k % 3 else -5.0 - k % 7 for k in range(len(some))])
+    one = [lat.log_probability(w, -1.5, None if o == -np.inf else o) for w, o in zip(some, own, strict=True)]
+    assert np.allclose(lat.log_probabilities(some, -1.5, own), one, rtol=1e-10)
+    counts, each = {}, {}
+    lat.expect_all(some, counts)
+    for w in some:
+        lat.expect(w, each)
+    assert all(math.isclose(counts.get(k, 0), v, rel_tol=1e-6, abs_tol=1e-9) for k, v in each.items()) and len(counts) <= len(each)
 
 
 def test_scores(spark, docs, no_docs):
