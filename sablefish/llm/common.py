@@ -37,6 +37,20 @@ def blocks(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Ite
         start, total = stop, int(ends[stop - 1])
 
 
+def regrouped(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about so many bytes, where larger blocks save work."""
+    some: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if some and size + batch.nbytes > most_bytes:
+            yield from pa.Table.from_batches(some).combine_chunks().to_batches()
+            some, size = [], 0
+        some.append(batch)
+        size += batch.nbytes
+    if some:
+        yield from pa.Table.from_batches(some).combine_chunks().to_batches()
+
+
 def _libc():
     return ctypes.CDLL(None)
 

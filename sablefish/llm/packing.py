@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, blocks, sole, staged
+from .common import arrow_map, blocks, regrouped, sole, staged
 
 CAPACITY, END_ID, VOCABULARY = 2048, 0, "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers.
@@ -155,8 +155,8 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_at(vocabulary)
-        for batch in batches:
-            for part in blocks(batch, "text", 6 << 20):
+        for batch in regrouped(batches, 8 << 20):
+            for part in blocks(batch, "text", 8 << 20):
                 yield piece_rows(part.column(0), part.column(1), tokenizer, capacity)
 
     narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
