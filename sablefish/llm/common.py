@@ -69,8 +69,8 @@ def lean() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
     option = getattr(_libc(), "mallopt", None)  # glibc only
     if option is not None:
-        option(-3, 16 << 20)  # M_MMAP_THRESHOLD
-        option(-1, 64 << 20)  # M_TRIM_THRESHOLD
+        option(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        option(-1, 16 << 20)  # M_TRIM_THRESHOLD
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -155,8 +155,8 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_at(vocabulary)
-        for batch in regrouped(batches, 8 << 20):
-            for part in blocks(batch, "text", 8 << 20):
+        for batch in regrouped(batches, 4 << 20):
+            for part in blocks(batch, "text", 4 << 20):
                 yield piece_rows(part.column(0), part.column(1), tokenizer, capacity)
 
     narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
