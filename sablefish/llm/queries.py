@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archives, htmltext, langid, lattice, linededup, media, mixing, neardup, packing, sketches
+from . import archives, htmltext, langid, lattice, linededup, media, merkle, mixing, neardup, packing, sketches
 from .common import documents, pages
 
 
@@ -46,6 +46,10 @@ def op10_minhash_near_dedup(spark, sf_dir):
     return neardup.classes(spark, documents(spark, sf_dir))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle.manifest(spark, documents(spark, sf_dir))
+
+
 QUERIES = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op8_line_dedup": op8_line_dedup,
@@ -57,6 +61,7 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_language_id": op6_language_id,
     "op9_lm_scoring": op9_lm_scoring,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 OP2_SQL = """
 WITH p AS (
@@ -70,4 +75,4 @@ SELECT page_id, n AS payload_bytes, p.digest AS payload_digest,
 FROM p LEFT JOIN last ON p.digest = last.digest
 """
 
-ORACLES: dict[str, str] = {"op1_mixing": mixing.oracle_sql(), "op2_warc": OP2_SQL, "op8_line_dedup": linededup.oracle_sql()}
+ORACLES: dict[str, str] = {"op1_mixing": mixing.oracle_sql(), "op2_warc": OP2_SQL, "op8_line_dedup": linededup.oracle_sql(), "op11_merkle_manifest": merkle.oracle_sql()}
