@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archives, htmltext, langid, lattice, linededup, media, merkle, mixing, neardup, packing, sketches
+from . import archives, htmltext, langid, lattice, linededup, media, merkle, mixing, neardup, packing, quality, sketches
 from .common import documents, pages
 
 
@@ -50,6 +50,10 @@ def op11_merkle_manifest(spark, sf_dir):
     return merkle.manifest(spark, documents(spark, sf_dir))
 
 
+def op12_quality_classifier(spark, sf_dir):
+    return quality.classify(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op8_line_dedup": op8_line_dedup,
@@ -62,6 +66,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op9_lm_scoring": op9_lm_scoring,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_quality_classifier": op12_quality_classifier,
 }
 OP2_SQL = """
 WITH p AS (
