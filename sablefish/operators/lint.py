@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import RESERVED, RESTRICTED
+from . import multipattern
 from . import relational as R
 from .facts import enclosing, of
 
@@ -175,23 +176,12 @@ GRAM = 5
 
 
 def sx005(campos: DataFrame, chunks: DataFrame, gatilhos: DataFrame) -> DataFrame:
-    """Custom fields whose name occurs nowhere: by words first, and only what is left by substring.
-
-    A name inside a longer word counts as used. Both meet by equality on the name's last characters (``GRAM`` at most), which every
-    word that holds the name has somewhere.
-    """
-    custom = campos.where("custom").select("tabela", "campo", "titulo").distinct()
+    """Custom fields whose name occurs nowhere, ignoring case; a name inside a longer word counts as used. One pass over the texts for all names."""
+    custom = campos.where("custom").select("tabela", "campo", "titulo", F.upper("campo").alias("name")).distinct()
     texts = chunks.select(F.upper("content").alias("t"))
     texts = texts.unionByName(_expressions(campos).select(F.upper("expr").alias("t")))
     texts = texts.unionByName(gatilhos.select(F.upper(F.concat_ws(" ", "regra", "condicao", "chave")).alias("t")))
-    words = texts.select(F.explode(F.regexp_extract_all("t", F.lit(r"\w+"), F.lit(0))).alias("w")).distinct()
-    left = custom.join(words, F.upper("campo") == F.col("w"), "left_anti")
-    left = left.withColumn("name", F.upper("campo")).withColumn("gram", F.expr(f"right(name, {GRAM})"))
-    windows = f"flatten(transform(sequence(1, least({GRAM}, length(w))), n -> array_distinct(transform(sequence(1, length(w) - n + 1), i -> substring(w, i, n)))))"
-    spread = words.select("w", F.expr(f"explode({windows})").alias("gram"))
-    inside = left.join(spread, "gram").where(F.contains("w", "name")).select("tabela", "campo").distinct()
-    left = left.drop("name", "gram")
-    rows = left.join(inside, ["tabela", "campo"], "left_anti")
+    rows = custom.join(multipattern.found_needles(custom, "name", texts, "t"), "name", "left_anti")
     return _found(rows, "SX-005", F.col("tabela"), F.col("campo"), F.col("titulo"))
 
 

@@ -71,25 +71,6 @@ def unused(declared: DataFrame, used: DataFrame, key: str, used_key: str | None
     return declared.join(other, F.upper(F.col(key).cast("string")) == F.col("used_key"), "left_anti")
 
 
-def found_inside(needles: DataFrame, key: str, needle: str, texts: DataFrame, text_key: str, text: str, run: int = 4) -> DataFrame:
-    """Keys of the needles that occur inside some text.
-
-    No nested loop: a text that holds a needle holds the words between the needle's blanks as whole words, so both meet by
-    equality on the hash of the first ``run`` inner words (of those there are; texts give runs of every such length), and only pairs that meet are
-    compared. Needles without an inner word meet every text, which only their own pairs pay for.
-    """
-    inner = F.expr(f"slice(split({needle}, ' '), 2, greatest(size(split({needle}, ' ')) - 2, 0))")
-    asked = needles.select(key, F.col(needle).alias("_needle"), F.slice(inner, 1, run).alias("_run")).where("_needle IS NOT NULL")
-    asked = asked.select(key, "_needle", F.size("_run").alias("_n"), F.xxhash64("_run").alias("_hash"))
-    words = F.split(text, " ")
-    runs = F.transform(F.sequence(F.lit(1), F.lit(run)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, n))))
-    keys = texts.select(text_key, F.explode(F.array_distinct(F.flatten(runs))).alias("_hash"))
-    met = keys.join(asked.where("_n > 0").select(key, "_hash"), "_hash").select(text_key, key).distinct()
-    loose = texts.select(text_key).join(asked.where("_n = 0").select(key).distinct(), F.lit(True))
-    pairs = met.unionByName(loose).join(texts.select(text_key, text), text_key).join(asked.select(key, "_needle"), key)
-    return pairs.where(F.contains(text, "_needle")).select(key).distinct()
-
-
 def missing_target(df: DataFrame, target: str, known: DataFrame, known_key: str) -> DataFrame:
     """Rows whose target isn't known; none where nothing at all is known (an empty catalog says nothing)."""
     keys = known.select(F.col(known_key).alias("known_key")).where("known_key IS NOT NULL").distinct()

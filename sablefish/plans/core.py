@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, positional, search
+from ..operators import graph, multipattern, positional, search
 from ..operators import relational as R
 from ..sources import TABLES, table
 
@@ -287,11 +287,21 @@ def dimension_lookup(spark, d):
 def substring_unused(spark, d):
     """Declared texts that occur whole inside no other text."""
     declared = table(spark, d, "benchmark").select("item_id", F.col("text").alias("needle"))
-    texts = table(spark, d, "documents").select("doc_id", "text")
-    used = R.found_inside(declared, "item_id", "needle", texts, "doc_id", "text")
+    texts = table(spark, d, "documents").select("text")
+    used = multipattern.found_inside(declared, "item_id", "needle", texts, "text")
     return declared.join(used, "item_id", "left_anti").select("item_id")
 
 
+@query("""SELECT b.item_id, d.doc_id, len(list_filter(range(1, length(d.text) - length(b.text) + 2), lambda i: substr(d.text, i, length(b.text)) = b.text)) AS n,
+strpos(d.text, b.text) AS first_place FROM benchmark b JOIN documents d ON b.text <> '' AND contains(d.text, b.text)""")
+def substring_places(spark, d):
+    """Where each declared text occurs: the texts that hold it, how often, and first where."""
+    declared = table(spark, d, "benchmark").where("text <> ''").select("item_id", F.col("text").alias("needle"))
+    found = multipattern.occurrences(declared, "needle", table(spark, d, "documents").select("doc_id", "text"), "text")
+    rows = found.select("doc_id", "needle", F.size("places").cast("long").alias("n"), F.array_min("places").alias("first_place"))
+    return rows.join(declared, "needle").select("item_id", "doc_id", "n", "first_place")
+
+
 # Aggregates
 
 

@@ -142,10 +142,20 @@ def test_names_inside_longer_words(spark):
     assert [r["funcao"] for r in lint.sx005(campos, chunks, none).collect()] == ["Z5_XB"]
 
 
-def test_needles_inside_texts(spark):
-    texts = ["one two three four five six", "xone two threex", "", None, "alone", "tab\ttwo three four", "two  blanks here now"]
-    needles = ["two three four five", "one two three", "ne two th", "lon", "two three", "tab\ttwo three", "four  five", "six one", "o  blanks he", " ", "two three four five six"]
-    a = spark.createDataFrame(list(enumerate(needles)), "k int, needle string")
-    b = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    got = {r["k"] for r in R.found_inside(a, "k", "needle", b, "i", "t").collect()}
-    assert got == {k for k, n in enumerate(needles) if any(n in (t or "") for t in texts)}
+@pytest.mark.parametrize("most_bytes", [None, 150])
+def test_needles_inside_texts(spark, most_bytes):
+    from sablefish.operators import multipattern
+
+    texts = ["one two three four five six", "xone two threex", "", None, "alone", "tab\ttwo three four", "two  blanks here now", "aaaa", "漢字 été", "long " * 3000 + "end"]
+    needles = ["two three four five", "one two three", "ne two th", "lon", "two three", "tab\ttwo three", "four  five", "six one", "o  blanks he", " ", "two three four five six", None, "aa", "aaa", "字 é", "g end", "lon"]
+    a = spark.createDataFrame(list(enumerate(needles)), "k int, needle string").repartition(3)
+    b = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    got = {r["k"] for r in multipattern.found_inside(a, "k", "needle", b, "t", most_bytes).collect()}
+    assert got == {k for k, n in enumerate(needles) if n is not None and any(n in (t or "") for t in texts)}
+    places = {(r["i"], r["needle"]): r["places"] for r in multipattern.occurrences(a, "needle", b, "t", most_bytes).collect()}
+    wanted = {(i, n): [p + 1 for p in range(len(t)) if t.startswith(n, p)] for i, t in enumerate(texts) for n in needles if n and t is not None and n in t}
+    assert places == wanted
+    none = a.where("false")
+    assert multipattern.found_inside(none, "k", "needle", b, "t").count() == multipattern.occurrences(none, "needle", b, "t").count() == 0
+    everywhere = spark.createDataFrame([(1, "")], "k int, needle string")
+    assert multipattern.found_inside(everywhere, "k", "needle", b, "t").count() == 1 and multipattern.occurrences(everywhere, "needle", b, "t").count() == 9
