@@ -9,7 +9,7 @@ its positions; the language of the largest share is predicted, with that share a
 
 Training data: labelled rows outside the held-out fold, at most ``MAX_DOCUMENTS`` distinct texts
 (one of each language at least), chosen by a hash evenly over the languages, each of at most ``MAX_CHARS``
-characters (longer ones give an excerpt, their beginning, for training only). The driver holds
+characters (longer ones give an excerpt from a place that the hash chooses, anywhere in the text, for training only). The driver holds
 this sample only. Each step draws languages alike, then texts, then a run of ``CROP`` bytes of each.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter; also for
@@ -250,7 +250,8 @@ def sample_rows(labelled: DataFrame, most: int = MAX_DOCUMENTS, chars: int = MAX
     chosen = usable.select("lang", "mark").distinct().withColumn("salt", salt).withColumn("place", place("lang", "salt")).where(F.col("place") <= each)
     chosen = chosen.withColumn("place", place("lang")).where(F.col("place") <= each).select("lang", "mark")
     met = usable.join(F.broadcast(chosen) if langs <= most else chosen, ["lang", "mark"])
-    rows = met.groupBy("lang", "mark").agg(F.min(F.substring("text", 1, chars)).alias("text")).collect()
+    start = F.pmod(F.shiftright("mark", 16), F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int") + 1
+    rows = met.groupBy("lang", "mark").agg(F.min(F.substr("text", start, F.lit(chars))).alias("text")).collect()
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["mark"] % (1 << 30), r["mark"], r["lang"]))]
 
 
