@@ -1,18 +1,14 @@
 """Operator 1, mixing sources to target weights by raking (iterative proportional fitting).
 
-Documents fall into cells (source, language, topic) that hold token totals. Raking scales the
-cells' tokens in turn so that the totals by source, by language and by topic each meet their
-targets, and repeats this ``ROUNDS`` times. The ratio of a cell's raked to its own tokens is
-the weight of its documents; with a common scale and a cap at 1 it becomes the probability to
-keep a document. The scale is found so that the expected tokens are ``fraction`` of all
-(cells at the cap pass their surplus to the others, in ``FILL`` rounds; they are not raked again, so where cells are full the
-sample keeps the budget and misses the targets). A document stays where a
-uniform number from a hash of its id lies below its probability.
-
-Targets are shares by value and dimension; where none are given, a value's target is its
-share of tokens to the power ``TEMPER``, which raises small values and lowers large ones. Given
-values that no document has are ignored, values without a given share get none, and shares
-are scaled to 1.
+Documents fall into cells (source, language, topic) that hold token totals. A sample keeps each document of a cell with the cell's
+probability, so the cell gives probability times tokens to the sample in expectation. Raking scales the cells' probabilities in turn so that the
+expected tokens by source, by language and by topic each meet their targets, and repeats this ``ROUNDS`` times. No probability is above 1: a step finds, for each
+value of its dimension, the factor with which the cells below 1 make up for those that are full.
+
+Targets are shares by value and dimension of a sample with ``fraction`` of all tokens; where none are given, a value's target is its
+share of tokens to the power ``TEMPER``, which raises small values and lowers large ones. A target above all the tokens that a value has can't be met by any sample: such a value is
+taken whole, and the others share the rest in proportion (``FILL`` rounds). Given values that no document has are ignored, values without a given share get none, and shares
+are scaled to 1. A document stays where a uniform number from a hash of its id lies below its probability.
 
 Only DataFrame functions. Documents are summed to cells before any shuffle, so a source with a third
 of all rows is no hot key; everything after works on cells, all rounds of raking in one plan of windows. Cell probabilities reach the
@@ -54,39 +50,55 @@ def with_cells(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"topic": topic_of(F.col("text")), "n_tokens": F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")})
 
 
-def rake(spark: SparkSession, cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, temper: float = TEMPER) -> DataFrame:
-    """``cells`` (dimensions and ``tokens``) with ``raked``, a share of all tokens."""
-    out, given = cells, targets or {}
-    for d in DIMENSIONS:
-        every = Window.partitionBy(d)
-        own = F.sum("tokens").over(every)
-        if d in given:
-            pairs = F.create_map(*[F.lit(x) for kv in given[d].items() for x in kv])
-            goal = F.when(own > 0, F.coalesce(F.try_element_at(pairs, F.coalesce(F.col(d), F.lit(""))), F.lit(0.0))).otherwise(0.0)
-        else:
-            goal = F.pow(own.cast("double"), F.lit(temper))
-        out = out.withColumn(f"goal_{d}", goal).withColumn(f"part_{d}", F.col(f"goal_{d}") / F.count(F.lit(1)).over(every))
-    out = staged(spark, out, "goals")
-    scale = out.agg(*[F.sum(f"part_{d}").alias(d) for d in DIMENSIONS]).first()
-    out = out.withColumn("raked", F.col("tokens").cast("double"))
-    for _ in range(rounds):
-        for d in DIMENSIONS:
-            now = F.sum("raked").over(Window.partitionBy(d))
-            out = out.withColumn("now", now).withColumn("raked", F.when(F.col("now") > 0, F.col(f"goal_{d}") / (scale[d] or 1.0) / F.col("now") * F.col("raked")).otherwise(0.0))
-    return staged(spark, out.select(*[F.col(f"`{c}`") for c in cells.columns], "raked"), "raked")
+def _shares(d: str, own: Column, targets: dict[str, dict[str, float]], temper: float) -> Column:
+    """What a value of a dimension is to get, up to a common scale, from its own tokens."""
+    if d not in targets:
+        return F.pow(own.cast("double"), F.lit(temper))
+    pairs = F.create_map(*[F.lit(x) for kv in targets[d].items() for x in kv])
+    return F.when(own > 0, F.coalesce(F.try_element_at(pairs, F.coalesce(F.col(d), F.lit(""))), F.lit(0.0))).otherwise(0.0)
 
 
-def probabilities(spark: SparkSession, raked: DataFrame, fraction: float = FRACTION, fill: int = FILL) -> DataFrame:
-    """``raked`` with ``prob``: proportional to raked over own tokens, at most 1, and ``fraction`` of all tokens in expectation."""
-    sized = raked.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(0.0))
-    total = sized.agg(F.sum("tokens")).first()[0] or 0
-    scale = fraction * total
+def goals(spark: SparkSession, cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, fraction: float = FRACTION, temper: float = TEMPER, fill: int = FILL) -> DataFrame:
+    """``cells`` with ``goal_`` each dimension: the tokens that a sample is to hold of the cell's value, at most all it has."""
+    values = None
+    for d in DIMENSIONS:
+        one = cells.groupBy(d).agg(F.sum("tokens").alias("own")).select(F.lit(d).alias("dim"), "own", _shares(d, F.col("own"), targets or {}, temper).alias("share"))
+        values = one if values is None else values.unionByName(one)
+    values = staged(spark, values, "marginals")
+    # the scale of each dimension's shares: values that are taken whole leave the rest to the others
+    scales = dict.fromkeys(DIMENSIONS, 0.0)
     for _ in range(fill):
-        full = F.col("ratio") * scale >= 1
-        sums = sized.agg(F.sum(F.when(full, F.col("tokens"))).alias("full"), F.sum(F.when(~full, F.col("raked"))).alias("rest")).first()
-        if sums["rest"]:
-            scale = max(scale, (fraction * total - (sums["full"] or 0)) / sums["rest"])
-    return sized.withColumn("prob", F.least(F.lit(1.0), F.col("ratio") * scale))
+        scale = F.create_map(*[F.lit(x) for kv in scales.items() for x in kv])[F.col("dim")]
+        full = (F.col("share") * scale >= F.col("own")) & (scale > 0)
+        sums = values.groupBy("dim").agg(F.sum("own").alias("all"), F.sum(F.when(full, F.col("own"))).alias("full"), F.sum(F.when(~full, F.col("share"))).alias("rest")).collect()
+        for r in sums:
+            if r["rest"]:
+                scales[r["dim"]] = max(scales[r["dim"]], (fraction * r["all"] - (r["full"] or 0)) / r["rest"])
+    out = cells
+    for d in DIMENSIONS:
+        own = F.sum("tokens").over(Window.partitionBy(d))
+        out = out.withColumn(f"goal_{d}", F.least(own.cast("double"), _shares(d, own, targets or {}, temper) * scales[d]))
+    return out
+
+
+def rake(spark: SparkSession, cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, fraction: float = FRACTION, rounds: int = ROUNDS, temper: float = TEMPER) -> DataFrame:
+    """``cells`` (dimensions and ``tokens``) with ``goal_`` each dimension and ``prob``."""
+    out = staged(spark, goals(spark, cells, targets, fraction, temper), "goals").withColumn("f", F.lit(fraction))
+    for _ in range(rounds):
+        for d in DIMENSIONS:
+            every = Window.partitionBy(d)
+            order = every.orderBy(F.desc("f"), *DIMENSIONS)
+            # with the cells before this one full, the others meet the goal by this factor; the first cell that it leaves below 1 tells
+            before = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            rest = F.sum(F.col("tokens") * F.col("f")).over(order.rowsBetween(0, Window.unboundedFollowing))
+            out = out.withColumns({"place": F.row_number().over(order), "by": F.when(rest > 0, (F.col(f"goal_{d}") - before) / rest)})
+            fits = F.when(F.col("f") * F.col("by") <= 1, F.struct("place", "by"))
+            least = F.min(F.when(F.col("f") > 0, F.col("f"))).over(every)
+            out = out.withColumns({"first": F.min(fits).over(every), "least": least})
+            # none fits where all there is has to be taken
+            out = out.withColumn("f", F.col("f") * F.coalesce(F.when(F.col("first.by") < 0, 0.0).otherwise(F.col("first.by")), 1 / F.col("least"), F.lit(0.0))).drop("place", "by", "first", "least")
+    out = out.withColumn("prob", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("f"))).otherwise(0.0)).drop("f")
+    return staged(spark, out, "raked")
 
 
 def uniform(id_col: str = "doc_id", seed: str = "mix") -> Column:
@@ -101,7 +113,7 @@ def mix(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, float
     others = [c for c in docs.columns if c not in (*needed, "topic", "n_tokens", "prob")]
     rows = with_cells(docs.select(F.struct(*([F.col(f"`{c}`") for c in others] or [F.lit(1).alias("none")])).alias("row"), *needed))
     cells = staged(spark, rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    table = probabilities(spark, rake(spark, cells, targets), fraction).select(*[F.col(d).alias(f"cell_{d}") for d in DIMENSIONS], "prob")
+    table = rake(spark, cells, targets, fraction).select(*[F.col(d).alias(f"cell_{d}") for d in DIMENSIONS], "prob")
     match = [F.col(d).eqNullSafe(F.col(f"cell_{d}")) for d in DIMENSIONS]
     if cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
         joined = rows.join(F.broadcast(table), match, "inner")
@@ -121,26 +133,33 @@ def oracle_sql(rounds: int = ROUNDS, fill: int = FILL, temper: float = TEMPER, f
         f"""docs AS (SELECT doc_id, source, lang, {w} AS n_tokens, CASE WHEN {w} = 0 THEN 'empty'
             WHEN contains(text, ' License') OR contains(text, 'Licensed under') OR contains(text, 'rights reserved') THEN 'legal'
             WHEN contains(text, '@') THEN 'contact' WHEN contains(text, ' | ') THEN 'table' ELSE 'prose' END AS topic FROM documents)""",
-        "r0 AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens, sum(n_tokens)::DOUBLE AS raked FROM docs GROUP BY ALL)",
+        "cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM docs GROUP BY ALL)",
     ]
     for d in DIMENSIONS:
-        parts.append(f"g_{d} AS (SELECT {d} AS key, pow(sum(tokens), {temper}) / sum(pow(sum(tokens), {temper})) OVER () AS goal FROM r0 GROUP BY {d})")
+        parts.append(f"v_{d} AS (SELECT {d} AS key, sum(tokens) AS own, pow(sum(tokens), {temper}) AS share FROM cells GROUP BY {d})")
+        parts.append(f"s_{d}_0 AS (SELECT 0.0::DOUBLE AS scale)")
+        for k in range(fill):
+            parts.append(
+                f"""s_{d}_{k + 1} AS MATERIALIZED (SELECT coalesce(greatest(any_value(scale), ({fraction} * sum(own) - coalesce(sum(own) FILTER (share * scale >= own AND scale > 0), 0))
+                / nullif(sum(share) FILTER (NOT (share * scale >= own AND scale > 0)), 0)), any_value(scale)) AS scale FROM v_{d}, s_{d}_{k})"""
+            )
+        parts.append(f"g_{d} AS (SELECT key, least(own, share * scale) AS goal FROM v_{d}, s_{d}_{fill})")
+    joins = " ".join(f"JOIN g_{d} ON c.{d} IS NOT DISTINCT FROM g_{d}.key" for d in DIMENSIONS)
+    parts.append(f"r0 AS MATERIALIZED (SELECT c.*, {', '.join(f'g_{d}.goal AS goal_{d}' for d in DIMENSIONS)}, {fraction}::DOUBLE AS f FROM cells c {joins})")
     at = 0
     for _ in range(rounds):
         for d in DIMENSIONS:
+            order = f"PARTITION BY {d} ORDER BY f DESC, {', '.join(f'{x} NULLS FIRST' for x in DIMENSIONS)}"
+            parts.append(
+                f"""t{at} AS MATERIALIZED (SELECT *, row_number() OVER ({order}) AS place,
+                (goal_{d} - coalesce(sum(tokens) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / nullif(sum(tokens * f) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS by_f FROM r{at})"""
+            )
             parts.append(
-                f"""r{at + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, raked * CASE WHEN sum(raked) OVER (PARTITION BY {d}) > 0
-                THEN goal / sum(raked) OVER (PARTITION BY {d}) ELSE 0 END AS raked FROM r{at} JOIN g_{d} ON r{at}.{d} IS NOT DISTINCT FROM g_{d}.key)"""
+                f"""r{at + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, goal_source, goal_lang, goal_topic,
+                f * coalesce(arg_min(CASE WHEN by_f < 0 THEN 0 ELSE by_f END, place) FILTER (f * by_f <= 1) OVER (PARTITION BY {d}), 1 / min(f) FILTER (f > 0) OVER (PARTITION BY {d}), 0) AS f FROM t{at})"""
             )
             at += 1
-    parts.append(f"c AS MATERIALIZED (SELECT *, CASE WHEN tokens > 0 THEN raked / tokens ELSE 0 END AS ratio, {fraction} * sum(tokens) OVER () AS budget FROM r{at})")
-    parts.append("s0 AS (SELECT any_value(budget) AS scale FROM c)")
-    for k in range(fill):
-        parts.append(
-            f"""s{k + 1} AS MATERIALIZED (SELECT coalesce(greatest(any_value(scale), (any_value(budget) - coalesce(sum(tokens) FILTER (ratio * scale >= 1), 0))
-            / nullif(sum(raked) FILTER (ratio * scale < 1), 0)), any_value(scale)) AS scale FROM c, s{k})"""
-        )
-    parts.append(f"p AS (SELECT source, lang, topic, least(1.0, ratio * scale) AS prob FROM c, s{fill})")
+    parts.append(f"p AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN least(1.0, f) ELSE 0 END AS prob FROM r{at})")
     return f"""WITH {', '.join(parts)}
 SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round(prob, 6) AS prob FROM docs d
 JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.lang IS NOT DISTINCT FROM p.lang AND d.topic = p.topic

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,20 +17,46 @@ def no_python(df):
     return not any(w in plan for w in ("Python", "Pandas", "Arrow"))
 
 
+def marginals(rows, d):
+    out = {r[d]: 0.0 for r in rows}
+    for r in rows:
+        out[r[d]] += r["prob"] * r["tokens"]
+    return out
+
+
 def test_raking_meets_the_marginals(spark):
     rows = [(s, lang, t, n) for k, (s, lang, t) in enumerate((s, lang, t) for s in ("a", "b", None) for lang in ("en", "de") for t in ("x", "y")) for n in [10 * (k + 1) ** 2]]
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
     targets = {"lang": {"en": 3.0, "de": 1.0, "absent": 5.0}, "topic": {"x": 0.5, "y": 0.5}, "source": {"a": 0.2, "b": 0.5}}
-    out = mixing.rake(spark, cells, targets, rounds=15).collect()
-    by = lambda d: {k: sum(r["raked"] for r in out if r[d] == k) for k in {r[d] for r in out}}
+    budget = 0.02 * sum(n for *_, n in rows)
+    out = mixing.rake(spark, cells, targets, 0.02, rounds=15).collect()
+    by = lambda d: {k: v / budget for k, v in marginals(out, d).items()}
     assert by("topic") == pytest.approx({"x": 0.5, "y": 0.5}, abs=1e-6)
     assert by("source") == pytest.approx({"a": 2 / 7, "b": 5 / 7, None: 0.0}, abs=1e-3)
     assert by("lang")["en"] / by("lang")["de"] == pytest.approx(3, rel=1e-2)
-    probs = mixing.probabilities(spark, mixing.rake(spark, cells, None), 0.5).collect()
+    probs = mixing.rake(spark, cells, None, 0.5).collect()
     assert sum(r["prob"] * r["tokens"] for r in probs) == pytest.approx(0.5 * sum(r["tokens"] for r in probs), rel=1e-3)
     assert all(0 <= r["prob"] <= 1 for r in probs)
 
 
+@pytest.mark.parametrize("fraction", [0.1, 0.5, 0.9])
+def test_raking_under_the_cap_meets_feasible_targets(spark, fraction):
+    rng = random.Random(4)
+    # rare sources and topics, whose targets are above all they have
+    rows = [(s, lang, t, int(rng.randint(50, 150) * ws * wl * wt)) for s, ws in (("a", 100), ("b", 30), ("c", 1)) for lang, wl in (("en", 10), ("de", 3)) for t, wt in (("x", 40), ("y", 9), ("z", 1))]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    out = mixing.rake(spark, cells, None, fraction).collect()
+    assert all(0 <= r["prob"] <= 1 for r in out)
+    for d in mixing.DIMENSIONS:
+        own = {r[d]: sum(x["tokens"] for x in out if x[d] == r[d]) for r in out}
+        goal = {r[d]: r[f"goal_{d}"] for r in out}
+        assert sum(goal.values()) == pytest.approx(fraction * sum(own.values()), rel=1e-6) and all(goal[k] <= own[k] for k in own)
+        # those below all they have keep the proportions of their targets
+        free = [goal[k] / own[k] ** mixing.TEMPER for k in own if goal[k] < own[k]]
+        assert max(free) == pytest.approx(min(free), rel=1e-6)
+        assert marginals(out, d) == pytest.approx(goal, rel=0.01)
+
+
 def test_mixing_over_a_table(spark, docs, no_docs, monkeypatch):
     out = mixing.mix(spark, docs)
     assert no_python(out)
