@@ -30,9 +30,11 @@ def token_table(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def trigrams(column: Column | str) -> Column:
-    """The distinct three-character substrings of a text, folded."""
+    """The distinct three-character substrings of a text in lower case, in time linear in its length."""
     low = F.lower(column)
-    return F.when(F.length(low) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substr(low, i, F.lit(3))))).otherwise(F.array())
+    # the characters are bound once: a column used inside a lambda would be worked out again for each place
+    runs = F.transform(F.array(F.split(low, "")), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(c[i], c[i + 1], c[i + 2])))[0]
+    return F.when(F.length(low) >= 3, F.array_distinct(runs)).otherwise(F.array())
 
 
 @dataclass(frozen=True)

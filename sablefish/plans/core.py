@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, multipattern, positional, search
+from ..operators import graph, multipattern, positional, postings, search
 from ..operators import relational as R
 from ..sources import TABLES, table
 
@@ -116,6 +116,34 @@ def trigram_index(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(search.trigrams("url")).cast("long").alias("n_trigrams"))
 
 
+_TRIGRAMS = "list_distinct(list_transform(range(1, greatest(length({0}) - 1, 1)), lambda i: substr(lower({0}), i, 3)))"
+
+
+@query("""SELECT b.item_id, d.doc_id FROM (SELECT item_id, lower(substr(text, 20, 24)) AS needle FROM benchmark) b JOIN documents d ON contains(lower(d.text), b.needle)""")
+def trigram_search(spark, d):
+    """Which texts hold a part of a declared text in any case, by the trigram postings of all texts."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    asked = table(spark, d, "benchmark").select("item_id", F.substring("text", 20, 24).alias("needle"))
+    return postings.substring_search(spark, postings.trigram_postings(docs, "doc_id", "text"), docs, "doc_id", "text", asked, "item_id", "needle")
+
+
+@query(f"""SELECT gram, count(*) AS n FROM (SELECT unnest({_TRIGRAMS.format('text')}) AS gram FROM documents WHERE length(text) >= 3) GROUP BY gram""")
+def trigram_counts(spark, d):
+    """How many texts have each trigram."""
+    found = postings.trigram_postings(table(spark, d, "documents"), "doc_id", "text")
+    return found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_TOKENS} AS k FROM documents), l AS (SELECT count(*) AS n, avg(coalesce(len(k), 0)) AS mean FROM t),
+p AS (SELECT doc_id, token, count(*) AS tf, any_value(size) AS size FROM (SELECT doc_id, len(k) AS size, unnest(k) AS token FROM t) WHERE token IN ('license', 'rights', 'the', 'und') GROUP BY doc_id, token),
+f AS (SELECT token, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, l GROUP BY token)
+SELECT doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)) ORDER BY token), 6) AS score FROM p JOIN f USING (token), l GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 50""")
+def bm25_top(spark, d):
+    """The fifty best texts for some words by BM25."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return postings.bm25(postings.word_postings(docs, "doc_id", "text"), postings.lengths(docs, "doc_id", "text"), "doc_id", ["License", "rights", "the", "und"], 50)
+
+
 # Calls and impact
 
 _CALLS = r"""SELECT page_id, url, i AS line, unnest(regexp_extract_all(lines[i], 'href="/([^"]*)"', 1)) AS target

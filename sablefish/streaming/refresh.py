@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators import facts
 from ..operators import relational as R
+from ..operators import search
 from ..sources import files
+from . import batches
 
 FACT_TABLES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "fontes": facts.summaries, "fonte_chunks": facts.chunks, "chamadas_funcao": facts.calls, "fonte_tabela": facts.tables, "parametros_uso": facts.parameters, "perguntas_uso": facts.questions,
@@ -17,6 +19,7 @@ FACT_TABLES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "execution_triggers": facts.execution_triggers, "execauto_calls": facts.execauto_calls, "protheus_docs": facts.doc_blocks,
 }
 _KEYS = {"chamadas_funcao": "arquivo_origem"}
+WORDS = "palavras"
 
 
 def build(sources: DataFrame, with_content: bool = True) -> dict[str, DataFrame]:
@@ -35,30 +38,24 @@ def refresh(stored: dict[str, DataFrame], sources: DataFrame, with_content: bool
     return out
 
 
-def _last_version(spark: SparkSession, folder: str, before: int) -> int | None:
-    """The largest version below ``folder`` that is less than ``before``."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{next(reversed(FACT_TABLES))}")
-    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(place):
-        return None
-    numbers = [int(n.removeprefix("version=")) for x in system.listStatus(place) if (n := x.getPath().getName()).startswith("version=")]
-    return max((n for n in numbers if n < before), default=None)
+def write(sources: DataFrame, folder: str, batch: int) -> None:
+    """A batch of all fact tables below ``folder`` and of their word index: the rows of the given sources only, which replace those of earlier batches.
 
+    A batch that is run again replaces itself.
+    """
+    tables = build(sources)
+    words = search.token_table(tables["fonte_chunks"].where("content <> ''").withColumn("chunk", F.struct("arquivo", "id")), "chunk", "content")
+    tables[WORDS] = words.select("chunk.arquivo", "chunk.id", "pos", "token")
+    batches.put(tables, sources.select("arquivo").distinct(), folder, batch)
 
-def write(spark: SparkSession, sources: DataFrame, folder: str, version: int) -> None:
-    """A version of all fact tables below ``folder``: the last one with all rows of the given sources replaced.
 
-    Readers take the largest version. A version is a whole copy, so that it can be read while the next is written; a batch that is
-    run again replaces its own version, from the one before it.
-    """
-    last = _last_version(spark, folder, version)
-    stored = {name: spark.read.parquet(f"{folder}/{name}/version={last}") for name in FACT_TABLES} if last is not None else {}
-    for name, df in refresh(stored, sources).items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}/version={version}")
+def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A fact table, or the word index, as the batches so far leave it."""
+    return batches.current(spark, folder, name, "arquivo", _KEYS.get(name, "arquivo")).drop("batch")
 
 
 def stream(spark: SparkSession, root: str, folder: str, checkpoint: str):
-    """A stream over new files of a tree: each batch's sources replace theirs in a new version. Runs what is there, then stops."""
+    """A stream over new files of a tree: each batch's sources replace theirs. Runs what is there, then stops."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     found = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(root)
 
@@ -68,7 +65,7 @@ def stream(spark: SparkSession, root: str, folder: str, checkpoint: str):
         rows = rows.select(name.alias("arquivo"), F.col("path").alias("caminho_relativo"), "content")
         if not rows.isEmpty():
             sources = facts.scan_sources(rows).persist()
-            write(batch.sparkSession, sources, folder, number)
+            write(sources, folder, number)
             sources.unpersist()
 
     return found.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -114,9 +114,10 @@ def test_stream(spark, tmp_path):
         (root / name).write_text(text)
         q = refresh.stream(spark, str(root), str(tmp_path / "out"), str(tmp_path / "check"))
         q.awaitTermination(120)
-        found = spark.read.parquet(str(tmp_path / "out" / "fonte_chunks"))
-        last = found.agg({"version": "max"}).first()[0]
-        return sorted(r["funcao"] for r in found.where(f"version = {last}").collect())
+        words = {r["token"] for r in refresh.load(spark, str(tmp_path / "out"), "palavras").select("token").collect()}
+        out = sorted(r["funcao"] for r in refresh.load(spark, str(tmp_path / "out"), "fonte_chunks").collect())
+        assert words == {*(x.lower() for x in out), "user", "function", "return"}
+        return out
 
     assert run("a.prw", "User Function A()\nReturn\n") == ["A"]
     assert run("b.prw", "User Function B()\nReturn\n") == ["A", "B"]
