@@ -1,7 +1,7 @@
-"""Extraction: sources to an array of found pattern occurrences, and fact tables from these.
+"""Extraction: sources to an array of found occurrences, and fact tables from these.
 
-One Arrow pass over the sources blanks comments and strings once and runs a catalog of
-patterns; it gives each source an array of occurrences (kind, line, offsets, groups and, for
+One Arrow pass over the sources turns each into tokens (``functions.scanner``) and runs a catalog of
+rules over them; it gives each source an array of occurrences (kind, line, offsets, what the rule keeps and, for
 calls, the arguments). Everything after that (functions and their ranges, calls, tables,
 parameters, endpoints, SQL, triggers, doc blocks, capabilities, lint) is array expressions
 over a row or relational operators, without another look at Python.
@@ -9,8 +9,9 @@ over a row or relational operators, without another look at Python.
 
 from __future__ import annotations
 
-import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,216 +19,248 @@ from pyspark.sql import functions as F
 
 from ..functions import source_text as T
 from ..functions.fixed import OPERATIONS, ROUTINES
+from ..functions.personal import names_a_person
+from ..functions.scanner import Rule, Scanner, Shape
 from . import relational as R
 
 OCCURRENCE = "struct<kind:string,line:int,start:int,stop:int,g:array<string>,args:array<string>>"
-#: CODE is KEEP for what doesn't itself begin inside a string.
-STRICT, KEEP, RAW, CODE = "strict", "keep", "raw", "code"
 
-NAME, VALUE, GAP = r"(\w+)", r"[^\"']+", r"[ \t]+"
 
+def _word(s: str) -> bool:
+    return bool(s) and s.replace("_", "a").isalnum()
 
-def words(names: str) -> str:
-    """Any of some whole words."""
-    return r"\b(?:" + "|".join(names.split()) + r")\b"
 
+def _when(test) -> Shape:
+    return lambda s: s if test(s) else None
 
-def quoted(inside: str = VALUE) -> str:
-    """A group in quotes of either kind."""
-    return rf"""["']({inside})["']"""
 
+def _plain(s: str) -> bool:
+    """No quote of the other kind inside."""
+    return '"' not in s and "'" not in s
 
-def line(*parts: str) -> str:
-    """Parts at the beginning of a line."""
-    return r"^[ \t]*" + GAP.join(parts)
 
+def _table_name(s: str) -> bool:
+    return len(s) == 3 and s[0].upper() in "SZQND" and s[1].isascii() and s[1].isalpha() and s[2].isascii() and s[2].isalnum()
 
-def call(names: str, *arguments: str) -> str:
-    """An opened call of one of some functions, with its first arguments."""
-    return r"\b(?:" + "|".join(names.split()) + r")\s*\(" + r"\s*,".join(r"\s*" + a for a in arguments)
 
+def _field_name(s: str) -> bool:
+    return len(s) > 3 and s[0].isalpha() and s[1].isalnum() and s[2] == "_" and s.isascii()
 
-def member(name: str, value: str) -> str:
-    """A value given to an object's member."""
-    return rf":\s*{name}\s*:=\s*{value}"
 
+def _numbered(prefix: str) -> Shape:
+    return _when(lambda s: s.upper().startswith(prefix) and s[len(prefix) :].isdigit())
 
-def between(start: str, stop: str) -> str:
-    """A group from one thing to the next other, over lines."""
-    return start + r"((?s:.*?))" + stop
 
+#: Shapes of names and of strings' contents.
+SHAPES: dict[str, Shape] = {
+    "name": _when(lambda s: True), "word": _when(_word), "ident": _when(lambda s: not s[0].isdigit()), "alias": _when(lambda s: _word(s) and 2 <= len(s) <= 3), "alias7": _when(lambda s: _word(s) and 2 <= len(s) <= 7),
+    "table": _when(_table_name), "field": _when(_field_name), "any": _when(lambda s: bool(s) and _plain(s)), "any0": _when(_plain), "start": lambda s: s.replace("'", '"').partition('"')[0] or None, "pr": _when(lambda s: s.upper() in ("P", "R")),
+    "mv": _when(lambda s: s.upper().startswith("MV_") and len(s) > 3 and _word(s)), "mvpar": _numbered("MV_PAR"), "mvrel": _when(lambda s: s.upper().startswith("MV_REL") and s[6:].isalpha()),
+    "user": lambda s: s[2:] if s[:2].upper() == "U_" and len(s) > 2 else None, "text": _when(lambda s: s[:1] == "c" and s[1:2].isupper() and s.isascii()),
+    "endws": lambda s: s[3:] if s.upper() in ("ENDWSSTRUCT", "ENDWSSERVICE", "ENDWSRESTFUL") else None, "pair": _when(lambda s: _plain(s) and 0 < s.find(":") < len(s) - 1 and s.count(":") == 1),
+}
 
 # The language's words.
+READERS = "DbSelectArea|xFilial|FwxFilial|Posicione|MsSeek|dbSetOrder|ChkFile"
+GETTERS = "SuperGetMV|GetMv|GetNewPar|GetMVDef|FWMVPar"
+HOOKS = "bCommit|bCancel|bTudoOk|bLineOk|bPosVld|bPreVld|bWhen|bValid|bLoad"
 VERBS = "GET|POST|PUT|DELETE"
-EVERY_VERB = VERBS + "|PATCH"
-SCOPE_WORD, ALIAS, ANY = r"(?:(Static|User|Main)[ \t]+)?", r"\w{2,3}", r"[^,()]+"
-TABLE_ALIAS, FIELD = r"[SZQND][A-Z][0-9A-Z]", r"[A-Z][A-Z0-9]_\w+"
-READERS = "DbSelectArea xFilial FwxFilial Posicione MsSeek dbSetOrder ChkFile"
-GETTERS = "SuperGetMV GetMv GetNewPar GetMVDef FWMVPar"
-HOOKS = "bCommit bCancel bTudoOk bLineOk bPosVld bPreVld bWhen bValid bLoad"
-DOC_MARK = r"/\*/\s*\{\s*Protheus\.doc\s*\}"
-LITERAL_OR_NAME = r"""(?:\w+|["'][^"']*["'])"""
-SECRET = r"""["'][^"']+["']"""
-FILLED = r"(?:>\s*0|>=\s*1|!=\s*0|<>\s*0)"
-
-#: Constructs that count as facts: kind, the text they are sought in, pattern. All ignore case; ^ and $ are line ends.
-CATALOG: list[tuple[str, str, str]] = [
-    # declarations
-    ("function", STRICT, line(SCOPE_WORD + "Function", NAME)),
-    ("signature", STRICT, line("(?:(?:Static|User|Main)[ \\t]+)?Function", NAME + r"[ \t]*\(([^)]*)\)")),
-    ("method", STRICT, line("METHOD", NAME + r"[ \t]*\([^)]*\)[ \t]*CLASS", NAME)),
-    ("ws_method", STRICT, line("WSMETHOD", rf"(?:({VERBS})[ \t]+)?" + NAME, "WS(?:RECEIVE|SEND|SERVICE)")),
-    ("include", KEEP, line("#Include", quoted())),
-    ("define", KEEP, line("#DEFINE", NAME, "(.+)$")),
-    ("namespace", STRICT, line("Namespace", r"([A-Za-z_][\w.]*)")),
-    # tables
-    ("table_read", KEEP, call(READERS, quoted(ALIAS))),
-    ("table_read", STRICT, rf"\b({TABLE_ALIAS})\s*->"),
-    ("table_lock", KEEP, call("RecLock", quoted(ALIAS))),
-    ("table_lock", STRICT, rf"\b({ALIAS})\s*->\s*\(\s*RecLock\b"),
-    ("table_write", STRICT, rf"\b({ALIAS})\s*->\s*\(\s*db(?:Append|Delete)\b"),
-    ("field", STRICT, rf"\b{ALIAS}->({FIELD})"),
-    ("field", STRICT, rf"\bReplace\s+({FIELD})"),
-    # parameters and question groups: the default is the second argument, or the third
-    ("param_read", KEEP, call(GETTERS, quoted(r"MV_\w+")) + r"(?:\s*,\s*" + quoted("[^\"']*") + r"\s*\)|\s*,[^,)]+,\s*" + quoted("[^\"']*") + ")?"),
-    ("param_write", KEEP, call("PutMV PutMvFil", quoted(r"MV_\w+"))),
-    ("question", KEEP, call("Pergunte FWGetSX1", quoted(r"\w+"))),
-    # calls
-    ("call_user_func", STRICT, r"\bU_(\w+)\s*\("),
-    ("call_execauto", STRICT, call("MsExecAuto", r"\{\s*\|[^|]*\|\s*" + NAME + r"\s*\(")),
-    ("call_execblock", KEEP, call("ExecBlock", quoted(r"\w+"))),
-    ("call_fwloadmodel", KEEP, call("FWLoadModel", quoted(r"\w+"))),
-    ("call_fwexecview", KEEP, call("FWExecView", "[^,)]+", quoted(r"\w+"))),
-    ("call_method", STRICT, r"\b(\w+:[A-Za-z_]\w*)\s*\("),
-    ("call_method", STRICT, r"(::[A-Za-z_]\w*)\s*\("),
-    ("call_mvc_hook", STRICT, r"\b(" + "|".join(HOOKS.split()) + r")\s*:?="),
-    # services
-    ("rest_classic", KEEP, line("WSMETHOD", f"({EVERY_VERB})", NAME, "WSSERVICE", NAME)),
-    ("rest_bare", KEEP, line("WSMETHOD", f"({EVERY_VERB})", "WSSERVICE", NAME)),
-    ("rest_annotation", KEEP, line(rf"@({EVERY_VERB})\s*\(\s*" + quoted())),
-    ("http", KEEP, r"\b(HttpPost|HttpGet|HttpsPost|HttpsGet|MsAGetUrl)\s*\(\s*" + quoted()),
-    ("ws_struct", KEEP, line("WSSTRUCT", NAME)),
-    ("ws_service", KEEP, line("WSSERVICE", NAME)),
-    ("ws_restful", KEEP, line("WSRESTFUL", NAME)),
-    ("ws_end", KEEP, line(r"END[ \t]*(WSSTRUCT|WSSERVICE|WSRESTFUL)")),
-    ("ws_data", KEEP, line("WSDATA", NAME, "AS", NAME)),
-    ("ws_member", KEEP, line("WSMETHOD", NAME)),
-    ("ws_full", KEEP, r"\b" + GAP.join(f"{w}{GAP}{NAME}" for w in ("WSMETHOD", "WSRECEIVE", "WSSEND", "WSSERVICE"))),
-    # SQL
-    ("sql", KEEP, between(r"\bBeginSql\b(?:\s+Alias\s+[\"']?\w+[\"']?)?\s*", r"\bEndSql\b")),
-    ("sql", KEEP, call("TCQuery TCSqlExec", quoted())),
-    # doc blocks
-    ("doc", RAW, between(DOC_MARK + r"[ \t]*([\w:]+)?", r"^[ \t]*/\*/[ \t]*$")),
-    ("doc_open", RAW, DOC_MARK),
-    ("declaration", RAW, r"^\s*(?:(?:(?:User|Static|Main)\s+)?Function|Method)\s+(\w+)\s*\("),
-    # flags
-    ("has_browse", KEEP, words("FWFormBrowse FWBrowse")),
-    ("has_dialog", KEEP, words("MsDialog TDialog FwDialogModal")),
-    ("has_modeldef", KEEP, words("ModelDef ViewDef")),
-    ("has_schedule", KEEP, words("FWSchedule StartSchedTask")),
-    ("has_workflow", KEEP, words("WFPrepEnv MsWorkflow MailAuto")),
-    ("has_webview", KEEP, words("TWebEngine TWebChannel")),
-    ("has_report", KEEP, call("TReport") + r"\s*\)\s*:\s*New"),
-    ("has_report", KEEP, r"oReport\s*:\s*Print"),
-    ("has_upd_var", KEEP, words("__cUpdName")),
-    ("has_unit_test", KEEP, r"@Test\b|tlpp\.unit\b"),
-    ("has_json", KEEP, call("JsonObject") + r"\s*\)\s*:\s*New\b"),
-    ("has_json", KEEP, words("FWJsonSerialize FWJsonDeserialize")),
-    ("has_multi_filial", KEEP, words("xFilial FwxFilial cFilAnt cEmpAnt")),
-    ("paramixb", STRICT, r"\bPARAMIXB\s*\["),
-    # workflow, schedule, job and mail
-    ("wf_process", KEEP, call("TWFProcess") + r"\s*\)\s*:\s*New\s*\(\s*" + quoted("[^\"']*") + r"(?:\s*,\s*" + quoted("[^\"']*") + ")?"),
-    ("wf_legacy", KEEP, call("MsWorkflow")),
-    ("wf_prepenv", KEEP, call("WFPrepEnv")),
-    ("wf_callback", KEEP, member("(bReturn|bTimeOut)", r"\{\s*\|[^|]*\|\s*([A-Za-z_]\w*)\s*\(")),
-    ("wf_task", KEEP, r":\s*NewTask\s*\(\s*" + quoted("[^\"']*") + r"\s*,\s*" + quoted("[^\"']*")),
-    ("wf_to", KEEP, member("cTo", quoted("[^\"']*"))),
-    ("wf_subject", KEEP, member("cSubject", quoted("[^\"']*"))),
-    ("schedule", KEEP, line(r"Static\s+Function\s+SchedDef\s*\(\s*\)")),
-    ("schedule_array", KEEP, r"\{\s*" + r"\s*,\s*".join([quoted("[PR]"), quoted("[^\"']*"), quoted("[^\"']*"), r"\{([^}]*)\}", quoted("[^\"']*")]) + r"\s*\}"),
-    ("job_main", KEEP, line(r"Main\s+Function\s+(\w+)\s*\(")),
-    ("job_no_licence", KEEP, call("RpcSetType", r"3\s*\)")),
-    ("job_sleep", KEEP, call("Sleep", r"(\d+)(?:\s*\*\s*(\d+))?\s*\)")),
-    ("job_stop", KEEP, call("File", quoted("[^\"']*") + r"\s*\)")),
-    ("mail_auto", KEEP, call("MailAuto")),
-    ("mail_udc", KEEP, line(r"SEND\s+MAIL\b")),
-    ("mail_message", KEEP, call("TMailMessage")),
-    ("mail_manager", KEEP, call("TMailManager")),
-    ("mail_attach", KEEP, words("ATTACHMENT")),
-    ("mail_attach", KEEP, r":\s*AttachFile\s*\("),
-    ("mail_mv_rel", KEEP, r"\bMV_REL[A-Z]+\b"),
-    # lint
-    ("lock_open", CODE, call("RecLock", quoted(r"\w{2,7}"))),
-    ("lock_open", STRICT, call("RecLock", r"([A-Za-z_]\w*)\s*[,)]")),
-    ("lock_open", STRICT, r"\b(\w{2,7})\s*->\s*\(\s*RecLock\b"),
-    ("lock_close", STRICT, call("MsUnlock")),
-    ("trans_open", STRICT, r"\bBEGIN\s+TRANSACTION\b"),
-    ("trans_close", STRICT, r"\bEND\s+TRANSACTION\b"),
-    ("exec_auto_open", STRICT, call("MsExecAuto")),
-    ("error_check", STRICT, words("lMsErroAuto")),
-    ("question_silent", KEEP, call("Pergunte", r"[\"']\w+[\"']\s*", r"\.F\.\s*\)")),
-    ("mv_par", STRICT, r"\bMV_PAR\d+\b"),
-    ("raw_lock", STRICT, call("DbRLock")),
-    ("raw_lock", STRICT, call("dbAppend", r"\)")),
-    ("rest_class", STRICT, line("CLASS", r"\w+", "FROM", r"WSRESTFUL\b")),
-    ("class_end", STRICT, line(r"END\s*CLASS\b")),
-    ("credential", KEEP, call("RpcSetEnv", LITERAL_OR_NAME + r"\s*", LITERAL_OR_NAME + r"\s*", quoted() + r"\s*", quoted())),
-    ("credential", KEEP, r"\bPREPARE\s+ENVIRONMENT\b(?s:.*?)\bPASSWORD\s+" + quoted()),
-    ("credential", KEEP, call("SMTPAuth MailAuth", SECRET + r"\s*", SECRET)),
-    ("credential", KEEP, call("Encode64", r"""["'][^"':]+:[^"']+["']""")),
-    ("private", STRICT, line("Private", "(.+)$")),
-    ("public", STRICT, line("PUBLIC", r"\w")),
-    ("variables", STRICT, line("(Local|Static|Private|Public)", "(.+)$")),
-    ("legacy_ui", STRICT, r"(?<![:.])" + call("(AxCadastro|Modelo2|Modelo3|MsNewGetDados)")),
-    ("any_call", STRICT, r"(?<![:.])\b([A-Za-z_]\w*)\s*\("),
-    ("count_check", STRICT, call("RecCount LastRec", r"\)\s*\)?\s*" + FILLED + r"(?!\d)")),
-]
-#: Constructs whose case counts: text put to the end of a character variable.
-CHARACTER_VARIABLE = r"\bc[A-Z]\w*"
-CASED: list[tuple[str, str, str]] = [("concat", STRICT, CHARACTER_VARIABLE + r"\s*\+="), ("concat", STRICT, rf"({CHARACTER_VARIABLE})\s*:=\s*\1\s*\+")]
-#: Calls whose arguments are kept: kind, text, names.
-CALLS: list[tuple[str, str, str]] = [
-    ("env_open", KEEP, "RpcSetEnv"),
-    ("log_message", KEEP, "FwLogMsg"),
-    ("log_console", KEEP, "ConOut"),
-    ("log_any", KEEP, "ConOut FwLogMsg MsgLog LogMsg UserException"),
-    ("exec_auto", STRICT, "MsExecAuto ExecAuto"),
-]
-_COMPILED = (
-    [(k, v, re.compile(p, re.I | re.M), False) for k, v, p in CATALOG]
-    + [(k, v, re.compile(p, re.M), False) for k, v, p in CASED]
-    + [(k, v, re.compile(call(p), re.I), True) for k, v, p in CALLS]
-)
+SCOPE = "[ <Static|User|Main> ] Function"
+
+#: Constructs that count as facts: kind, where they are sought (``code``, or ``text``: inside strings too), steps.
+CATALOG = rf"""
+function         code  ^ {SCOPE} $name
+signature        code  ^ [ Static|User|Main ] Function $name ()
+declaration      code  ^ [ Static|User|Main ] Function $name (
+declaration      code  ^ Method $name (
+method           code  ^ Method $name () Class $name
+ws_method        code  ^ WsMethod [ <{VERBS}> ] $name WsReceive|WsSend|WsService
+include          text  ^ \# Include 'any'
+define           text  ^ \# Define $name *rest
+namespace        code  ^ Namespace $dotted
+
+table_read       text  {READERS} ( 'alias'
+table_read       code  $table ->
+table_lock       text  RecLock ( 'alias'
+table_lock       code  $alias -> ( RecLock
+table_write      code  $alias -> ( dbAppend|dbDelete
+field            code  &alias -> $field
+field            code  Replace $field
+
+param_read       text  {GETTERS} ( 'mv' , 'any0' )
+param_read/third text  {GETTERS} ( 'mv' , ~arg , 'any0'
+param_read       text  {GETTERS} ( 'mv'
+param_write      text  PutMV|PutMvFil ( 'mv'
+question         text  Pergunte|FWGetSX1 ( 'word'
+
+call_user_func   code  $user (
+call_execauto    code  MsExecAuto ( {{ | ~| $name (
+call_execblock   text  ExecBlock ( 'word'
+call_fwloadmodel text  FWLoadModel ( 'word'
+call_fwexecview  text  FWExecView ( ~arg , 'word'
+call_method      code  $member (
+call_method      code  $self (
+call_mvc_hook    code  <{HOOKS}> :=
+call_mvc_hook    code  <{HOOKS}> =
+
+rest_classic     text  ^ WsMethod <{VERBS}|PATCH> $name WsService $name
+rest_bare        text  ^ WsMethod <{VERBS}|PATCH> WsService $name
+rest_annotation  text  ^ @ <{VERBS}|PATCH> ( 'any'
+http             text  <HttpPost|HttpGet|HttpsPost|HttpsGet|MsAGetUrl> ( 'start'
+ws_struct        text  ^ WsStruct $name
+ws_service       text  ^ WsService $name
+ws_restful       text  ^ WsRestful $name
+ws_end           text  ^ End <WsStruct|WsService|WsRestful>
+ws_end           text  ^ $endws
+ws_data          text  ^ WsData $name As $name
+ws_member        text  ^ WsMethod $name
+ws_full          text  WsMethod $name WsReceive $name WsSend $name WsService $name
+
+sql              text  BeginSql [ Alias % ] +EndSql
+sql              text  TCQuery|TCSqlExec ( 'start'
+
+has_browse       text  FWFormBrowse|FWBrowse
+has_dialog       text  MsDialog|TDialog|FwDialogModal
+has_modeldef     text  ModelDef|ViewDef
+has_schedule     text  FWSchedule|StartSchedTask
+has_workflow     text  WFPrepEnv|MsWorkflow|MailAuto
+has_webview      text  TWebEngine|TWebChannel
+has_report       text  TReport ( ) : New
+has_report       text  oReport : Print
+has_upd_var      text  __cUpdName
+has_unit_test    text  @ Test
+has_unit_test    text  tlpp . unit
+has_json         text  JsonObject ( ) : New
+has_json         text  FWJsonSerialize|FWJsonDeserialize
+has_multi_filial text  xFilial|FwxFilial|cFilAnt|cEmpAnt
+paramixb         code  PARAMIXB \[
+
+wf_process       text  TWFProcess ( ) : New ( 'any0' [ , 'any0' ]
+wf_legacy        text  MsWorkflow (
+wf_prepenv       text  WFPrepEnv (
+wf_callback      text  : <bReturn|bTimeOut> := {{ | ~| $ident (
+wf_task          text  : NewTask ( 'any0' , 'any0'
+wf_to            text  : cTo := 'any0'
+wf_subject       text  : cSubject := 'any0'
+schedule         text  ^ Static Function SchedDef ( )
+schedule_array   text  {{ 'pr' , 'any0' , 'any0' , {{}} , 'any0' }}
+job_main         text  ^ Main Function $name (
+job_no_licence   text  RpcSetType ( 3 )
+job_sleep        text  Sleep ( # [ \* # ] )
+job_stop         text  File ( 'any0' )
+mail_auto        text  MailAuto (
+mail_udc         text  ^ Send Mail
+mail_message     text  TMailMessage (
+mail_manager     text  TMailManager (
+mail_attach      text  Attachment
+mail_attach      text  : AttachFile (
+mail_mv_rel      text  $mvrel
+
+lock_open        code  RecLock ( 'alias7'
+lock_open        code  RecLock ( $ident ,
+lock_open        code  RecLock ( $ident )
+lock_open        code  $alias7 -> ( RecLock
+lock_close       code  MsUnlock (
+trans_open       code  Begin Transaction
+trans_close      code  End Transaction
+exec_auto_open   code  MsExecAuto (
+error_check      code  lMsErroAuto
+question_silent  text  Pergunte ( 'word' , .F. )
+mv_par           code  $mvpar
+raw_lock         code  DbRLock (
+raw_lock         code  dbAppend ( )
+rest_class       code  ^ Class $name From WsRestful
+class_end        code  ^ End Class
+class_end        code  ^ EndClass
+credential       text  RpcSetEnv ( % , % , 'any' , 'any'
+credential       text  Prepare Environment ~Password 'any'
+credential       text  SMTPAuth|MailAuth ( 'any' , 'any'
+credential       text  Encode64 ( 'pair'
+private          code  ^ Private *rest
+public           code  ^ Public $word
+variables        code  ^ <Local|Static|Private|Public> *rest
+legacy_ui        code  !member <AxCadastro|Modelo2|Modelo3|MsNewGetDados> (
+any_call         code  !member $ident (
+concat           code  $text +=
+concat           code  $text := $same +
+"""
+CATALOG += "".join(f"count_check code RecCount|LastRec ( ) {close} {test}\n" for close in ("", ")") for test in ("> 0", ">= 1", "!= 0", "<> 0"))
+#: Calls whose arguments are kept.
+CALLS = """
+env_open         text  RpcSetEnv (
+log_message      text  FwLogMsg (
+log_console      text  ConOut (
+log_any          text  ConOut|FwLogMsg|MsgLog|LogMsg|UserException (
+exec_auto        code  MsExecAuto|ExecAuto (
+"""
 
 
-def occurrences(text: str) -> tuple[str, str, list[dict]]:
-    """The strict and keep variants of a source, and all occurrences by place."""
-    variants = {RAW: text, STRICT: T.blank(text), KEEP: T.blank(text, strings=False)}
-    variants[CODE] = variants[KEEP]
-    newlines = [m.start() for m in re.finditer("\n", text)]
-    from bisect import bisect_left
+def _rules(lines: str, arguments: bool) -> list[Rule]:
+    parts = [x.split(None, 2) for x in lines.splitlines() if x]
+    return [Rule(kind, where == "text", steps, SHAPES, arguments) for kind, where, steps in parts]
+
+
+@cache
+def scanner() -> Scanner:
+    return Scanner(_rules(CATALOG, False) + _rules(CALLS, True))
+
 
+DOC_OPEN, DOC_NAME = "/*/", "protheus.doc"
+
+
+def _docs(text: str) -> Iterator[tuple[int, int, str, str | None]]:
+    """Start, stop, id and body of each documentation block; body None where it isn't closed by a line of its own."""
+    at = text.find(DOC_OPEN)
+    while at >= 0:
+        brace = at + 3 + len(text[at + 3 :]) - len(text[at + 3 :].lstrip())
+        close = text.find("}", brace) if text[brace : brace + 1] == "{" else -1
+        stop = at + 3
+        if close >= 0 and text[brace + 1 : close].strip().lower() == DOC_NAME:
+            name_end = name = close + 1 + len(text[close + 1 :]) - len(text[close + 1 :].lstrip(" \t"))
+            while name_end < len(text) and (_word(text[name_end]) or text[name_end] == ":"):
+                name_end += 1
+            end, stop = text.find(DOC_OPEN, name_end), close + 1
+            while end >= 0 and text[text.rfind("\n", 0, end) + 1 : (text + "\n").find("\n", end)].strip(" \t") != DOC_OPEN:
+                end = text.find(DOC_OPEN, end + 1)
+            if end >= 0:
+                stop = end + 3
+            yield at, stop, text[name:name_end], text[name_end : text.rfind("\n", 0, end) + 1] if end >= 0 else None
+        at = text.find(DOC_OPEN, stop)
+
+
+def occurrences(text: str) -> tuple[str, str, list[dict]]:
+    """The text without comments and strings, without comments only, and all occurrences by place."""
+    strict, keep = T.blank(text), T.blank(text, strings=False)
+    newlines = [at for at, c in enumerate(text) if c == "\n"]
     found = []
-    for kind, where, pattern, call in _COMPILED:
-        source = variants[where]
-        for m in pattern.finditer(source):
-            if where == CODE and variants[STRICT][m.start()] != source[m.start()]:
-                continue
-            args, stop = None, m.end()
-            if call:
-                inner = T.call_arguments(source, m.end())
-                if inner is None:
-                    if kind == "log_console":
-                        args = []
-                    else:
-                        continue
-                else:
-                    args, stop = T.split_arguments(inner[0]), inner[1]
-            found.append({"kind": kind, "line": bisect_left(newlines, m.start()) + 1, "start": m.start(), "stop": stop, "g": [x or "" for x in m.groups()], "args": args})
-    for first, last in T.loops(variants[STRICT]):
-        found.append({"kind": "loop", "line": first, "start": first, "stop": last, "g": [], "args": None})
+
+    def add(kind: str, line: int, start: int, stop: int, kept: list[str], args: list[str] | None = None) -> None:
+        found.append({"kind": kind, "line": line, "start": start, "stop": stop, "g": kept, "args": args})
+
+    for rule, line, start, stop, kept in scanner().find(text, strict, keep):
+        if not rule.arguments:
+            if rule.family == "param_read":
+                # its default is in the second or the third place
+                kept = [kept[0], "", kept[1]] if rule.kind != rule.family else [*kept, *[""] * (3 - len(kept))]
+            add(rule.family, line, start, stop, kept)
+            continue
+        inner = T.call_arguments(keep if rule.inside else strict, stop)
+        if inner is not None:
+            args = T.split_arguments(inner[0])
+            add(rule.kind, line, start, inner[1], kept, args)
+            if rule.kind == "log_any" and names_a_person(", ".join(args)):
+                add("personal", line, start, inner[1], [])
+        elif rule.kind == "log_console":
+            add(rule.kind, line, start, stop, kept, [])
+    for start, stop, name, body in _docs(text):
+        line = bisect_left(newlines, start) + 1
+        add("doc_open", line, start, stop, [])
+        if body is not None:
+            add("doc", line, start, stop, [name, body])
+    for first, last in T.loops(strict):
+        add("loop", first, first, last, [])
     found.sort(key=lambda f: f["start"])
-    return variants[STRICT], variants[KEEP], found
+    return strict, keep, found
 
 
 _ARROW = pa.struct([("kind", pa.string()), ("line", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("g", pa.list_(pa.string())), ("args", pa.list_(pa.string()))])

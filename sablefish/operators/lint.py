@@ -33,19 +33,6 @@ ADVICE = {
 RESTRICTED_NAMES = sorted({x.upper() for x in RESTRICTED})
 
 
-def _either(names: str) -> str:
-    return "(?:" + "|".join(names.split()) + ")"
-
-
-# What counts as personal data: parts of variables' names, prefixed ones, fields by table, numbers as they are printed.
-PII_PARTS = "Cpf Cnpj Senha Password Token Cartao Cvv ApiKey Api_Key Secret"
-PII_SHORT = "Pwd Rg Pin Card Pass"
-PII_FIELDS = {"A1": "CGC CPF NOME NREDUZ EMAIL TEL END DDD", "A2": "CGC CPFRG NOME NREDUZ EMAIL TEL END DDD", "RA": "CIC RG NOMECMP EMAIL NUMCP TELEFON", "RH": "CPFDEP NOMEDEP RGDEP"}
-PII_SHAPES = ("999.999.999-99", "99.999.999/9999-99")
-
-PII_VARIABLE = rf"\b[a-z]?{_either(PII_PARTS)}\w*\b|\bc{_either(PII_SHORT)}(?:[A-Z]\w*)?\b"
-PII_FIELD = r"(?i)\b(?:" + "|".join(f"{table}_{_either(fields)}" for table, fields in PII_FIELDS.items()) + r")\b"
-PII_LITERAL = "|".join(r"\b" + shape.replace(".", r"\.").replace("9", r"\d") + r"\b" for shape in PII_SHAPES)
 # Accepted names of user functions.
 CLIENT_PREFIX, ENTRY_POINT = r"(?i)^(MGF|MZF|ZZF|ZF|XX|XYZ|CLI)", r"^[A-Z]{2,4}\d{2,4}[A-Z_]*$"
 MOST_PARAMETERS, DOC_WINDOW, CHECK_WINDOW, QUESTION_WINDOW = 6, 30, 10, 5
@@ -73,8 +60,6 @@ def _beyond(opens: str, closes: str) -> str:
 
 _SQL_TABLES = "flatten(array({0}))".format(", ".join(f"regexp_extract_all(upper(f.g[0]), {_q(p)}, 1)" for p in (r"\bFROM\s+(\w+)", r"\bJOIN\s+(\w+)", r"\bINTO\s+(\w+)", r"\bUPDATE\s+(\w+)", r"\bDELETE\s+FROM\s+(\w+)")))
 _ERP_SQL = f"exists({_SQL_TABLES}, t -> rlike(t, {_q(r'^[SZNQD]\p{L}[\p{L}\p{N}]\d*$')})) AND rlike(f.g[0], {_q(r'(?i)\b(select|update|delete)\b')})"
-_ARGS = "array_join(f.args, ', ')"
-_BARE_ARGS = f"regexp_replace({_ARGS}, {_q(chr(34) + '[^' + chr(34) + ']*' + chr(34) + '|' + chr(39) + '[^' + chr(39) + ']*' + chr(39))}, '')"
 _SINGLE: dict[str, str] = {
     "BP-001": _beyond("lock_open", "lock_close"),
     "BP-002": _beyond("trans_open", "trans_close"),
@@ -89,7 +74,7 @@ _SINGLE: dict[str, str] = {
     "SEC-001": f"""transform(filter({of('env_open')}, f -> exists(facts, c -> c.kind = 'rest_class' AND c.start < f.start
         AND NOT exists(facts, e -> e.kind = 'class_end' AND e.start > c.start AND e.start < f.start))), f -> f.line)""",
     "SEC-002": f"transform(filter(functions, r -> r.kind = 'user_function' AND NOT rlike(r.name, {_q(CLIENT_PREFIX)}) AND NOT rlike(upper(r.name), {_q(ENTRY_POINT)})), r -> r.start)",
-    "SEC-003": f"transform(filter({of('log_any')}, f -> rlike({_BARE_ARGS}, {_q(PII_VARIABLE)}) OR rlike({_BARE_ARGS}, {_q(PII_FIELD)}) OR rlike({_ARGS}, {_q(PII_LITERAL)})), f -> f.line)",
+    "SEC-003": f"transform({of('personal')}, f -> f.line)",
     "SEC-004": f"transform({of('credential')}, f -> f.line)",
     "SEC-005": f"""array_distinct(transform(filter({of('any_call')}, f -> array_contains(restricted, upper(f.g[0])) AND NOT exists(functions, r -> upper(r.name) = upper(f.g[0]))
         AND NOT exists(facts, d -> d.kind IN ('function', 'method', 'signature') AND d.line = f.line AND d.start <= f.start AND f.start < d.stop)), f -> struct(f.line AS line, upper(f.g[0]) AS name)))""",

@@ -3,7 +3,9 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from sablefish.functions import personal, scanner
 from sablefish.functions import source_text as T
+from sablefish.operators import facts
 
 CODE = st.text(alphabet="ab \n\t/*&'\"\\();,é", max_size=80)
 
@@ -50,3 +52,39 @@ def test_decode():
 
 def test_loops():
     assert list(T.loops("While a\nFor b\nNext\nEndDo\n")) == [(2, 3), (1, 4)]
+
+
+def kinds(text):
+    return [(o["kind"], o["line"], o["g"]) for o in facts.occurrences(text)[2]]
+
+
+def test_tokens_know_comments_strings_and_places():
+    text = "x := 'it''s' + \"a // b\" // c\n* gone\n  && gone too\ny->z /* two\nlines */ .T. 1.5 a::b\n'open"
+    t = scanner.scan(text)
+    assert t.text == ["x", ":=", "'it'", "'s'", "+", '"a // b"', "y", "->", "z", ".T.", "1", ".", "5", "a", "::", "b", "'open"]
+    assert all(text[a:b] == w for a, b, w in zip(t.start, t.stop, t.text, strict=True))
+    assert t.line == [1] * 6 + [4] * 3 + [5] * 7 + [6] and [w for w, f in zip(t.text, t.first, strict=True) if f] == ["x", "y", "'open"]
+    assert scanner.scan("").text == [] and scanner.scan("\\'a").text == ["\\", "'a"]
+
+
+def test_rules_over_tokens():
+    assert ("function", 2, ["User", "Foo"]) in kinds("\n  User  Function Foo(a, b)\n") and ("signature", 1, ["F", "a, ;\n b"]) in kinds("Function F(a, ;\n b)\n")
+    assert [k for k in kinds("x Function F()\n") if k[0] == "function"] == []
+    assert ("ws_method", 1, ["", "GET"]) in kinds("WSMETHOD GET WSSERVICE Clientes\n") and ("rest_bare", 1, ["GET", "Clientes"]) in kinds("WSMETHOD GET WSSERVICE Clientes\n")
+    assert ("param_read", 1, ["MV_X", "", "d"]) in kinds("GetMv('MV_X', .F., 'd')") and ("param_read", 1, ["MV_X", "d", ""]) in kinds("GetMv('MV_X', 'd')") and ("param_read", 1, ["MV_X", "", ""]) in kinds("GetMv('MV_X')")
+    # calls given as text count, comments don't
+    assert ("table_read", 1, ["SA1"]) in kinds("&(\"DbSelectArea('SA1')\")") and not any(k[0] == "table_read" for k in kinds("// DbSelectArea('SA1')\n"))
+    assert [k[2] for k in kinds("o:New():Run( ) ; ::Go()") if k[0] == "call_method"] == [["o:New"], ["::Go"]]
+    assert [k for k in kinds("cA := cA + 'x'\ncB += 1\ncC := cD + 1\nnE += 2") if k[0] == "concat"] == [("concat", 1, ["cA", ""]), ("concat", 2, ["cB"])]
+    assert ("sql", 1, [" SELECT 'x' FROM %table:SA1% "]) in kinds("BeginSql Alias 'Q' SELECT 'x' FROM %table:SA1% EndSql")
+    assert ("doc", 1, [" Foo".strip(), "\nsays\n"]) in kinds("/*/{Protheus.doc} Foo\nsays\n/*/\nUser Function Foo()\n") and [k[0] for k in kinds("/*/{Protheus.doc} X\nnever closed")] == ["doc_open"]
+    assert ("count_check", 1, []) in kinds("If (RecCount()) > 0") and ("job_sleep", 1, ["5", "1000"]) in kinds("Sleep(5 * 1000)") and ("paramixb", 1, []) in kinds("x := PARAMIXB[1]")
+    assert [k for k in kinds("If RecCount() > 05") if k[0] == "count_check"] == []
+
+
+def test_personal_data():
+    for text, found in {
+        "cCpf": True, "cCPF": False, "Senha1": True, "nTokenX": True, "cPass": True, "cPassX": True, "cPassage": False, "xPass": False, "SA1->A1_CGC": True, "A1_CGCX": False, "'cCpf'": False, "'123.456.789-01'": True,
+        "'12.345.678/0001-90'": True, "'1123.456.789-01'": False, "'x 123.456.789-01.'": True, "'123-456'": False, "": False,
+    }.items():
+        assert personal.names_a_person(text) == found, text
