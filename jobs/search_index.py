@@ -66,12 +66,12 @@ def run(spark: SparkSession, table: str, output: str, checkpoint: str, config: d
 def words(spark: SparkSession, output: str, config: dict | None = None) -> DataFrame:
     """The word postings as all batches so far leave them."""
     options = common.config("search_index") | (config or {})
-    return batches.current(spark, output, "words", options["key"]).select(options["key"], "token", "tf", "n_tokens")
+    return batches.current(spark, output, "words", options["key"], columns="token string, tf long, n_tokens long, bucket int").select(options["key"], "token", "tf", "n_tokens")
 
 
 def trigrams(spark: SparkSession, output: str, config: dict | None = None) -> DataFrame:
     options = common.config("search_index") | (config or {})
-    return batches.current(spark, output, "trigrams", options["key"]).select(options["key"], "gram")
+    return batches.current(spark, output, "trigrams", options["key"], columns="gram string, bucket int").select(options["key"], "gram")
 
 
 def best(spark: SparkSession, output: str, terms: list[str], k: int = 10, config: dict | None = None) -> DataFrame:

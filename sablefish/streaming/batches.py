@@ -32,9 +32,15 @@ def keys(spark: SparkSession, folder: str, key: str) -> DataFrame:
     return found.join(last, (F.col(key) == F.col("_key")) & (F.col("batch") == F.col("_last")), "left_semi")
 
 
-def current(spark: SparkSession, folder: str, name: str, key: str, table_key: str | None = None) -> DataFrame:
-    """The rows of a table that count, with their ``batch``. The table itself isn't shuffled where few keys were replaced."""
-    found, logged = spark.read.parquet(f"{folder}/{name}"), spark.read.parquet(f"{folder}/{KEYS}").select(F.col(key).alias("_key"), F.col("batch").alias("_batch"))
+def current(spark: SparkSession, folder: str, name: str, key: str, table_key: str | None = None, columns: str | None = None) -> DataFrame:
+    """The rows of a table that count, with their ``batch``. The table itself isn't shuffled where few keys were replaced.
+
+    ``columns`` beside the key, as a schema, are needed where a table with partitions of its own may be empty and so has no file to tell them.
+    """
+    every = spark.read.parquet(f"{folder}/{KEYS}")
+    logged = every.select(F.col(key).alias("_key"), F.col("batch").alias("_batch"))
+    reader = spark.read if columns is None else spark.read.schema(f"{table_key or key} {every.schema[key].dataType.simpleString()}, {columns}, batch long")
+    found = reader.parquet(f"{folder}/{name}")
     last = logged.groupBy(F.col("_key").alias("_again")).agg(F.max("_batch").alias("_last"))
     replaced = logged.join(last, (F.col("_key") == F.col("_again")) & (F.col("_batch") < F.col("_last")), "left_semi")
     # what a batch has written before its keys doesn't count yet

@@ -150,13 +150,10 @@ def test_postings_rank_like_plain_bm25(spark):
         for i, w in words.items():
             if tf := w.count(term):
                 scores[i] = scores.get(i, 0.0) + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
-    for k in (1, 10, 60, 1000):
-        for size in (4, 64, 5000):
-            got = postings.bm25(postings.word_postings(df, "i", "t"), postings.lengths(df, "i", "t"), "i", terms, k, size).collect()
-            wanted = sorted(((-round(s, 6), i) for i, s in scores.items()))[:k]
-            assert [(r["i"], r["score"]) for r in got] == pytest.approx([(i, -s) for s, i in wanted])
-            if size == 64:
-                break
+    for k, size in ((1, 4), (10, 4), (60, 64), (1000, 64), (10, 5000)):
+        got = postings.bm25(postings.word_postings(df, "i", "t"), postings.lengths(df, "i", "t"), "i", terms, k, size).collect()
+        wanted = sorted(((-round(s, 6), i) for i, s in scores.items()))[:k]
+        assert [(r["i"], r["score"]) for r in got] == [(i, -s) for s, i in wanted]
     assert postings.bm25(postings.word_postings(df, "i", "t"), postings.lengths(df, "i", "t"), "i", ["absent"], 5).count() == 0
 
 
