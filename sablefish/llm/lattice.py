@@ -14,6 +14,9 @@ A text is a lattice, and its score the log of the summed weight of all ways thro
   occurrences in training texts but this one, K the number of all training lines and D as for words. Each word arc pays
   1 - ``LINE_SHARE`` in return. A training text's own lines don't count for itself, so its score can be compared with that of a held-out one.
 
+Beside it stands ``lattice_score``, the marginal over the segmentations by the vocabulary's existing scores alone: no counts, words or lines of the corpus but the share of ends among
+the training tokens, which bounds the number of words. It is one model for all texts.
+
 As words and lines bound the ways through, the marginal of a text is the product of its lines' marginals, and a line's the
 sum of its own arc and the product of its words' marginals. The weights of all texts sum to one at most.
 
@@ -356,23 +359,24 @@ def expected_pieces(words: DataFrame, vocabulary: str | None = None) -> dict[str
 
 
 def with_lattice(spark: SparkSession, words: DataFrame, counts: Discounted, vocabulary: str | None = None) -> DataFrame:
-    """``words`` with ``hash`` and ``score``, the log10 of the word's marginal."""
+    """``words`` with ``hash``, ``score``, the log10 of the word's marginal, and ``pure``, that by the vocabulary's own weights without other arcs."""
     weights = adapted(vocabulary_weights(vocabulary), expected_pieces(words, vocabulary))
     shared, name = spark.sparkContext.broadcast(weights), f"adapted {hash(tuple(weights.values()))}"
     share = math.log(counts.spread)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = sole(name, lambda: Lattice(shared.value))
+        lattice, plain = sole(name, lambda: (Lattice(shared.value), Lattice(vocabulary_weights(vocabulary))))
         for some in gathered(batches):
             some = some.combine_chunks()
             c = np.asarray(some.column("c"))
             with np.errstate(divide="ignore"):
                 own = np.log(np.where(c > 0, c - counts.discount, 0) / max(1, counts.total))
-            found = lattice.log_probabilities(some.column("word").to_pylist(), share, own) / LOG10
-            whole = some.append_column("hash", pa.array(hashes(some.column("word")).view(np.int64))).append_column("score", pa.array(found, pa.float64()))
+            texts = some.column("word").to_pylist()
+            found, pure = lattice.log_probabilities(texts, share, own) / LOG10, plain.log_probabilities(texts) / LOG10
+            whole = some.append_column("hash", pa.array(hashes(some.column("word")).view(np.int64))).append_column("score", pa.array(found, pa.float64())).append_column("pure", pa.array(pure, pa.float64()))
             yield from whole.to_batches()
 
-    return words.select("word", "c", "n").transform(arrow_map, run, "word string, c long, n long, hash long, score double")
+    return words.select("word", "c", "n").transform(arrow_map, run, "word string, c long, n long, hash long, score double, pure double")
 
 
 def least_count(units: DataFrame, most: int) -> float:
@@ -405,7 +409,7 @@ class Table:
         return np.where(self.keys[at] == keys, at, len(self.keys))
 
 
-PARTS = "owner long, line_no int, doc_id long, held_out boolean, word string, times long, line long, k long, own long, n_tokens long, n_known long, base double, score double"
+PARTS = "owner long, line_no int, doc_id long, held_out boolean, word string, times long, line long, k long, own long, n_tokens long, n_known long, base double, score double, pure double"
 
 
 def parts_of(rows: DataFrame, words: Table, lines: Table) -> DataFrame:
@@ -414,7 +418,7 @@ def parts_of(rows: DataFrame, words: Table, lines: Table) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, lines = shared.value
-        known, base, score = (np.append(words.values[k], 0) for k in ("known", "base", "score"))
+        known, base, score, pure = (np.append(words.values[k], 0) for k in ("known", "base", "score", "pure"))
         occurrences = np.append(lines.values["c"], -1)
         for batch in batches:
             for part in blocks(batch, "text", BLOCK_BYTES):
@@ -447,7 +451,7 @@ def parts_of(rows: DataFrame, words: Table, lines: Table) -> DataFrame:
                 every = np.arange(len(text))
                 total = lambda x, at=at, starts=starts: pa.array(np.add.reduceat(x[at], starts[:-1]))
                 yield rows(
-                    every, len(text), line=pa.array(key), k=pa.array(k, mask=k < 0), own=pa.array(own), n_tokens=pa.array(np.diff(starts)), n_known=total(known.astype(np.int64)), base=total(base), score=total(score)
+                    every, len(text), line=pa.array(key), k=pa.array(k, mask=k < 0), own=pa.array(own), n_tokens=pa.array(np.diff(starts)), n_known=total(known.astype(np.int64)), base=total(base), score=total(score), pure=total(pure)
                 )
                 rare = np.flatnonzero(at == len(words.keys))
                 if len(rare):
@@ -486,23 +490,24 @@ def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 10, held_out:
     lines = units.where(~is_word & (F.col("n") > 1) & (F.col("c") > 0)).select("line", "c", "n")
 
     least_word, least_line = least_count(words, head), least_count(lines, head)
-    top = words.where(F.col("n") >= least_word).select("hash", "c", "score").toArrow()
+    top = words.where(F.col("n") >= least_word).select("hash", "c", "score", "pure").toArrow()
     base = lambda c: np.log10((np.asarray(c) + 0.1) / (total + 0.1 * (distinct + 1)))
-    top = pa.table({"hash": top.column("hash"), "known": pa.array(np.asarray(top.column("c")) > 0), "base": base(top.column("c")), "score": top.column("score")})
+    top = pa.table({"hash": top.column("hash"), "known": pa.array(np.asarray(top.column("c")) > 0), "base": base(top.column("c")), "score": top.column("score"), "pure": top.column("pure")})
     top_lines = lines.where(F.col("n") >= least_line).select("line", "c").toArrow()
     parts = staged(spark, parts_of(rows, Table(top, "hash"), Table(top_lines, "line")), "parts")
 
-    rare = parts.where(is_word).select("owner", "line_no", "word", "times").join(words.where(F.col("n") < least_word).select("word", "c", "score"), "word")
+    rare = parts.where(is_word).select("owner", "line_no", "word", "times").join(words.where(F.col("n") < least_word).select("word", "c", "score", "pure"), "word")
     rare_base = F.log10((F.col("c") + 0.1) / (float(total) + 0.1 * (distinct + 1)))
     null = lambda kind: F.lit(None).cast(kind)
     rare = rare.select(
         "owner", "line_no", null("long").alias("doc_id"), null("boolean").alias("held_out"), null("long").alias("line"), null("long").alias("k"), null("long").alias("own"), null("long").alias("n_tokens"),
         F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("n_known"), (F.col("times") * rare_base).alias("base"), (F.col("times") * F.col("score")).alias("score"),
+        (F.col("times") * F.col("pure")).alias("pure"),
     )
     both = parts.where(~is_word).select(rare.columns).unionByName(rare)
     # rows equal in id and text come together; copies counts them
     sums = both.groupBy("owner", "line_no").agg(
-        *[F.max(k).alias(k) for k in ("doc_id", "held_out", "line", "k", "own")], F.count("n_tokens").alias("copies"), *[F.sum(k).alias(k) for k in ("n_tokens", "n_known", "base", "score")]
+        *[F.max(k).alias(k) for k in ("doc_id", "held_out", "line", "k", "own")], F.count("n_tokens").alias("copies"), *[F.sum(k).alias(k) for k in ("n_tokens", "n_known", "base", "score", "pure")]
     )
     sums = staged(spark, sums, "lines")
     asked = F.col("k").isNull() & F.col("line").isNotNull()
@@ -515,11 +520,15 @@ def score_texts(spark: SparkSession, docs: DataFrame, folds: int = 10, held_out:
     out = met.groupBy("owner").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("copies").alias("copies"), F.sum(F.col("n_tokens") / F.col("copies")).alias("n_tokens"),
         F.sum(F.col("n_known") / F.col("copies")).alias("n_known"), F.sum(F.col("base") / F.col("copies")).alias("base"), F.sum(F.when(F.col("line_no") >= 0, line)).alias("score"),
+        F.sum(F.col("pure") / F.col("copies")).alias("pure"),
     )
     end = words_seen.own(ends)
     end_score = (math.log(0.5) if end is None else end) / LOG10 + math.log10(1 - LINE_SHARE)
+    share = ends / total if total else 0.5
+    lengths = (F.round("n_tokens") - 1) * (math.log10(1 - share) if share < 1 else 0.0) + math.log10(share or 0.5)
     return out.select(
         "doc_id", "held_out", F.round("n_tokens").cast("long").alias("n_tokens"), (F.round(F.coalesce("n_known", F.lit(0))).cast("long") + int(ends > 0)).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"), (F.coalesce("base", F.lit(0.0)) + float(base(ends))).alias("base_score"), (F.coalesce("score", F.lit(0.0)) + end_score).alias("score"),
+        (F.coalesce("pure", F.lit(0.0)) + lengths).alias("lattice_score"),
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
     ).drop("copy")

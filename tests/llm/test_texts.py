@@ -365,6 +365,10 @@ def test_scores(spark, docs, no_docs):
         assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in rows)
         by_id = collections.Counter((i, score) for (i, _, score), n in brute_scores([(i, t) for i, t, _, _ in corpus()]).items() for _ in range(n))
         assert by_id == collections.Counter((r["doc_id"], round(r["score"], 4)) for r in rows)
+        # the vocabulary's marginals alone, word by word
+        plain, ends = lattice.lattice_at(), counts[None]
+        pure = lambda t: sum(plain.log_probability(w.decode()) / math.log(10) + math.log10(1 - ends / n) for w in words_of(t)) + math.log10(ends / n)
+        assert collections.Counter((i, round(pure(t), 4)) for i, t, _, _ in corpus()) == collections.Counter((r["doc_id"], round(r["lattice_score"], 4)) for r in rows)
         scores = {(r["doc_id"], r["n_tokens"]): round(r["score"], 6) for r in rows}
         if head == 5:
             assert scores == first
