@@ -17,7 +17,9 @@ Only components matter, so no bucket emits all its pairs:
 2. Blocks: the nodes of a bucket that still lies in several components are compared as
    arrays. A bucket of few nodes is one block. Larger buckets are merged by their largest
    component, and their nodes dealt out to blocks of bounded size; each block of nodes outside the
-   largest component meets each block of all nodes. This is done twice: first with the signatures alone (``HASHES`` bytes a node), which are compared in
+   largest component meets each block of all nodes. A group of more than ``WIDE`` nodes is split first, without loss: two sets of similarity 0.75 or more share one of the first quarter (and one)
+   of each set's shingles in any order, and with the group's frequent ones last in this order (found on a sample of its nodes, which costs or saves time but no link) most
+   nodes of a class of texts with a common frame share no such key with another; where the parts' pairs aren't fewer than half of the group's, it stays whole. The comparison is done twice: first with the signatures alone (``HASHES`` bytes a node), which are compared in
    batches and give the nodes that have a survivor in another component; then for these nodes with their full sets, which confirm survivors, most similar first,
    skipping pairs that the block has joined already. So every pair that shares a bucket is in one
    component, or was dropped by the bound, or has been tested on its full sets. (Buckets of two nodes were settled by the star.)
@@ -49,6 +51,10 @@ BATCHES = (32, 64, 128, 256)
 MISS = 2e-4
 #: Nodes of a block, and the shingles they may have together.
 BLOCK, BLOCK_SHINGLES, STARS = 256, 256_000, 2
+#: Nodes of a group that is split by rare shingles, nodes that tell the frequent shingles of one, how many of these are put last.
+WIDE, TOLD_BY, FREQUENT = 1024, 512, 4096
+#: Groups up to this number get their frequent shingles by broadcast (32 KB each), more by a shuffle.
+BROADCAST_GROUPS = 500
 #: Ids up to this number select texts by broadcast, more by a shuffled join.
 BROADCAST_IDS = 200_000
 SEED = 11
@@ -273,6 +279,60 @@ def full_sets(docs: DataFrame, ids: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts_of(docs, ids, nodes).transform(arrow_map, run, "node long, hashes binary")
 
 
+def narrowed(spark: SparkSession, docs: DataFrame, grouped: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``grouped`` with its wide groups split into the nodes that share a rare shingle, where this leaves fewer pairs."""
+    sizes = staged(spark, grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > WIDE), "wide")
+    count = sizes.limit(BROADCAST_GROUPS + 1).count()
+    if not count:
+        return grouped
+    spread = lambda df: F.broadcast(df) if count <= BROADCAST_GROUPS else df
+    wide = grouped.join(spread(sizes), "grp")
+    sets = full_sets(docs, staged(spark, wide.select(F.col("node").alias("id")).distinct(), "wide-ids"), nodes)
+    members = staged(spark, wide.join(staged(spark, sets, "wide-sets"), "node").select("grp", "node", "comp", "outer", "n_shingles", "size", "hashes"), "wide-members")
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(b, np.int64) for b in batch.column("hashes").to_pylist()]
+            row = np.repeat(np.arange(len(found)), list(map(len, found)))
+            yield pa.RecordBatch.from_arrays([batch.column("grp").take(pa.array(row)), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))], names=["grp", "shingle"])
+
+    kind = grouped.schema["grp"].dataType.simpleString()
+    told = members.where(F.pmod(F.xxhash64(F.lit("told"), "node"), F.lit(1 << 20)) < F.lit((1 << 20) * TOLD_BY) / F.col("size"))
+    told = told.select("grp", "hashes").transform(arrow_map, single, f"grp {kind}, shingle long").groupBy("grp", "shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("n"), "shingle"))  # over the shingles of TOLD_BY sets
+    frequent = told.withColumn("place", place).where(F.col("place") <= FREQUENT).groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("place", "shingle"))).alias("f"))
+    frequent = staged(spark, frequent.select("grp", F.col("f.shingle").alias("frequent")), "frequent")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lasts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            ids, own, found = batch.column("grp").field("id").to_pylist(), batch.column("frequent"), []
+            for k, b in enumerate(batch.column("hashes").to_pylist()):
+                h = np.frombuffer(b, np.int64)
+                if ids[k] not in lasts:
+                    f = np.asarray(own[k].values if own[k].is_valid else [], dtype=np.int64)
+                    order = np.argsort(f)
+                    lasts[ids[k]] = f[order], -order  # the most frequent is the very last
+                f, rank = lasts[ids[k]]
+                at = np.minimum(np.searchsorted(f, h), max(len(f) - 1, 0))
+                late = np.where(f[at] == h, rank[at], -len(f) - 1) if len(f) else np.zeros(len(h))
+                found.append(h[np.lexsort((h, late))[: len(h) - -(-PERCENT * len(h) // 100) + 1]])
+            row = pa.array(np.repeat(np.arange(len(found)), list(map(len, found))))
+            kept = [batch.column(c).take(row) for c in ("grp", "node", "comp", "outer", "n_shingles")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))], names=["grp", "node", "comp", "outer", "n_shingles", "shingle"])
+
+    met = members.join(spread(frequent), "grp", "left").select("grp", "node", "comp", "outer", "n_shingles", "hashes", "frequent")
+    parts = staged(spark, met.transform(arrow_map, keys, f"grp {kind}, node long, comp long, outer boolean, n_shingles long, shingle long"), "parts")
+    shared = parts.groupBy("grp", "shingle").agg(F.count(F.lit(1)).alias("m"), F.max("outer").alias("open"), (F.min("comp") < F.max("comp")).alias("several")).where("m > 1 AND open AND several")
+    shared = staged(spark, shared.select("grp", "shingle", "m"), "shared")
+    cost = shared.groupBy("grp").agg(F.sum(F.pow(F.col("m").cast("double"), F.lit(2))).alias("cost"))
+    split = sizes.join(cost, "grp", "left").where(F.coalesce("cost", F.lit(0.0)) * 2 < F.pow(F.col("size").cast("double"), F.lit(2))).select("grp")
+    split = staged(spark, split, "split")
+    new = F.struct(F.lit(2).alias("kind"), F.xxhash64(F.col("grp.id"), "shingle").alias("id"))
+    finer = parts.join(shared.drop("m"), ["grp", "shingle"]).join(spread(split), "grp", "left_semi").select(new.alias("grp"), "node", "comp", "n_shingles", "outer").distinct()
+    return staged(spark, grouped.join(spread(split), "grp", "left_anti").select("grp", "node", "comp", "n_shingles", "outer").unionByName(finer), "narrowed")
+
+
 def dealt(spark: SparkSession, grouped: DataFrame, full: DataFrame, columns: list[str], weighed: bool, name: str) -> DataFrame:
     """m and o: the blocks of all nodes and of outer nodes that meet, with these columns of ``full``."""
     weight = F.col("n_shingles") if weighed else F.lit(0)
@@ -384,7 +444,7 @@ def link(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if rest.limit(1).count():
         links = links.unionByName(verify(spark, docs, nodes, rest, "rest"))
         labels = components(spark, links, "rest")
-    grouped = block_survivors(spark, open_groups(spark, members, labels, nodes), nodes)
+    grouped = block_survivors(spark, narrowed(spark, docs, open_groups(spark, members, labels, nodes), nodes), nodes)
     if grouped.limit(1).count():
         sets_of = full_sets(docs, staged(spark, grouped.select(F.col("node").alias("id")).distinct(), "open-ids"), nodes)
         found = block_links(spark, grouped, staged(spark, sets_of.join(nodes.select("node", "sig"), "node"), "open-sets"))

@@ -225,6 +225,43 @@ def test_hubs_of_three_partners(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == expected
 
 
+@pytest.mark.parametrize("broadcast", [500, 0])
+def test_a_class_of_texts_with_a_common_frame_is_split(spark, monkeypatch, broadcast):
+    """Unlike texts that share half their words: compared by their rare shingles, with near copies found among them."""
+    import random
+
+    rng = random.Random(2)
+    frame = [f"f{k}" for k in range(70)]
+    rows = []
+    for i in range(400):
+        own = [f"o{i}x{k}" for k in range(60)]
+        rows.append((i, " ".join(own[:30] + frame + own[30:])))
+        if i % 25 == 0:  # near copies at several distances, some of them linked with each other only
+            copy = (own[:30] + frame + own[30:])[:]
+            for step in range(1, 4):
+                for k in rng.sample(range(len(copy)), 2):
+                    copy[k] = f"c{i}x{step}x{k}"
+                rows.append((1000 + 10 * i + step, " ".join(copy)))
+    rng.shuffle(rows)
+    for name, value in {"WIDE": 40, "TOLD_BY": 30, "BLOCK": 32, "BROADCAST_GROUPS": broadcast}.items():
+        monkeypatch.setattr(neardup, name, value)
+    seen = {}
+    own_narrowed = neardup.narrowed
+
+    def spy(spark, docs, grouped, nodes):
+        out = own_narrowed(spark, docs, grouped, nodes)
+        for k, df in (("before", grouped), ("after", out)):
+            seen[k] = [(r["grp"]["kind"], r["count"]) for r in df.groupBy("grp").count().collect()]
+        return out
+
+    monkeypatch.setattr(neardup, "narrowed", spy)
+    got = neardup.classes(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
+    assert len({r["component_id"] for r in got}) > 395
+    assert max(n for _, n in seen["before"]) > 150
+    assert sum(n * n for _, n in seen["after"]) < sum(n * n for _, n in seen["before"]) / 10
+
+
 def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(50, 60), (60, 55), (70, 71)], "a long, b long")
     got = {r["node"]: r["comp"] for r in neardup.components(spark, links, "t").collect()}
