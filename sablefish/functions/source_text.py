@@ -6,7 +6,7 @@ Plain functions on one text; ``sablefish.operators.facts`` runs them over Arrow
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 # One alternative per thing that isn't code. Comments with a star or two ampersands need to be the
 # first on their line, where a comment before them on the line doesn't count as white space.
@@ -81,10 +81,13 @@ def line_of(text: str, at: int) -> int:
     return text.count("\n", 0, at) + 1
 
 
-def decode(raw: bytes) -> tuple[str, str]:
-    """The text and encoding of a source: cp1252 for plain ASCII, strict UTF-8, cp1252, else latin-1."""
+def decode(raw: bytes, detect: Callable[[bytes], str] | None = None) -> tuple[str, str]:
+    """The text and encoding of a source: cp1252 for plain ASCII, strict UTF-8, cp1252, else latin-1; or by ``detect``."""
     if not raw or raw.isascii():
         return raw.decode("ascii"), "cp1252"
+    if detect is not None:
+        encoding = detect(raw)
+        return raw.decode(encoding), encoding
     for encoding in ("utf-8", "cp1252"):
         try:
             return raw.decode(encoding), encoding

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import source_text as T
+from ..functions import sql_names
+from ..functions.charset import Model
 from ..functions.fixed import OPERATIONS, ROUTINES
 from ..functions.personal import names_a_person
 from ..functions.scanner import Rule, Scanner, Shape
@@ -242,7 +244,7 @@ def occurrences(text: str) -> tuple[str, str, list[dict]]:
             if rule.family == "param_read":
                 # its default is in the second or the third place
                 kept = [kept[0], "", kept[1]] if rule.kind != rule.family else [*kept, *[""] * (3 - len(kept))]
-            add(rule.family, line, start, stop, kept)
+            add(rule.family, line, start, stop, kept, sql_names.tables(kept[0]) if rule.kind == "sql" else None)
             continue
         inner = T.call_arguments(keep if rule.inside else strict, stop)
         if inner is not None:
@@ -266,11 +268,12 @@ def occurrences(text: str) -> tuple[str, str, list[dict]]:
 _ARROW = pa.struct([("kind", pa.string()), ("line", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("g", pa.list_(pa.string())), ("args", pa.list_(pa.string()))])
 
 
-def scan_sources(files: DataFrame) -> DataFrame:
+def scan_sources(files: DataFrame, charsets: Model | None = None) -> DataFrame:
     """``files`` (arquivo, caminho_relativo, content as binary, ...) with text, encoding and occurrences.
 
-    A source that can't be read gets its error and no occurrences; it never fails the job.
+    A source that can't be read gets its error and no occurrences; it never fails the job. Bytes that aren't UTF-8 are cp1252 where they can be, or what ``charsets`` finds likeliest.
     """
+    detect = charsets.detect if charsets is not None else None
     names = [c for c in files.columns if c != "content"]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != "content")
 
@@ -283,7 +286,7 @@ def scan_sources(files: DataFrame) -> DataFrame:
                 raw = value.as_py() or b""
                 hashes.append(hashlib.sha1(raw).hexdigest())
                 try:
-                    text, encoding = T.decode(raw)
+                    text, encoding = T.decode(raw, detect)
                     rows, error = occurrences(text)[2], None
                 except Exception as e:  # noqa: BLE001 - one bad source is a row, not a failure
                     text, encoding, rows, error = "", "", [], f"{type(e).__name__}: {e}"
@@ -449,20 +452,16 @@ def namespaces(sources: DataFrame) -> DataFrame:
 
 
 SQL_SNIPPET = 8000
-_SQL_TABLES = (r"\bFROM\s+(\w+)", r"\bJOIN\s+(\w+)", r"\bINTO\s+(\w+)", r"\bUPDATE\s+(\w+)", r"\bDELETE\s+FROM\s+(\w+)")  # fixed values
-_SQL_MACRO = r"%table:(\w+)%"
-
-
 def sql_blocks(sources: DataFrame, macros: bool = False) -> DataFrame:
     """Embedded SQL with its operation and tables; ``macros`` also counts ``%table:X%``."""
-    rows = exploded(sources, "sql").selectExpr("arquivo", f"{enclosing('f.line')} AS funcao", "f.line AS linha", "trim(BOTH ' \t\r\n' FROM f.g[0]) AS sql")
+    rows = exploded(sources, "sql").selectExpr("arquivo", f"{enclosing('f.line')} AS funcao", "f.line AS linha", "trim(BOTH ' \t\r\n' FROM f.g[0]) AS sql", "f.args AS tables")
     upper = F.upper("sql")
     op = F.lit("")
     for name in ("DELETE", "INSERT", "UPDATE", "SELECT"):
         op = F.when(F.contains(upper, F.lit(name)), name.lower()).otherwise(op)
     for name in ("DELETE", "INSERT", "UPDATE", "SELECT"):
         op = F.when(F.startswith(upper, F.lit(name)), name.lower()).otherwise(op)
-    found = F.flatten(F.array(*[F.regexp_extract_all(upper, F.lit(f"(?U){p}"), F.lit(1)) for p in (*_SQL_TABLES, *([_SQL_MACRO.upper().replace(r"(\W+)", r"(\w+)")] if macros else []))]))
+    found = F.transform("tables", lambda t: F.ltrim(t, F.lit("%"))) if macros else F.filter("tables", lambda t: ~t.startswith("%"))
     return rows.select("arquivo", "funcao", "linha", op.alias("operacao"), F.array_sort(F.array_distinct(found)).alias("tabelas"), R.redact(F.substring("sql", 1, SQL_SNIPPET)).alias("snippet"))
 
 

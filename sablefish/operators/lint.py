@@ -58,8 +58,7 @@ def _beyond(opens: str, closes: str) -> str:
         size(filter({of(closes)}, c -> c.line BETWEEN r.start AND r.stop)) AS n)), x -> slice(x.o, x.n + 1, greatest(size(x.o) - x.n, 0)))[0]))"""
 
 
-_SQL_TABLES = "flatten(array({0}))".format(", ".join(f"regexp_extract_all(upper(f.g[0]), {_q(p)}, 1)" for p in (r"\bFROM\s+(\w+)", r"\bJOIN\s+(\w+)", r"\bINTO\s+(\w+)", r"\bUPDATE\s+(\w+)", r"\bDELETE\s+FROM\s+(\w+)")))
-_ERP_SQL = f"exists({_SQL_TABLES}, t -> rlike(t, {_q(r'^[SZNQD]\p{L}[\p{L}\p{N}]\d*$')})) AND rlike(f.g[0], {_q(r'(?i)\b(select|update|delete)\b')})"
+_ERP_SQL = f"exists(f.args, t -> rlike(t, {_q(r'^[SZNQD]\p{L}[\p{L}\p{N}]\d*$')})) AND rlike(f.g[0], {_q(r'(?i)\b(select|update|delete)\b')})"
 _SINGLE: dict[str, str] = {
     "BP-001": _beyond("lock_open", "lock_close"),
     "BP-002": _beyond("trans_open", "trans_close"),
@@ -178,7 +177,8 @@ def sx006(campos: DataFrame) -> DataFrame:
 def sx007(campos: DataFrame, restricted: DataFrame) -> DataFrame:
     """Restricted functions in a field's expressions; the first of each field."""
     called = _expressions(campos).select("tabela", "campo", "expr", F.explode(F.regexp_extract_all(F.upper("expr"), F.lit(r"\b([A-Z_]\w*)\s*\("), F.lit(1))).alias("name"))
-    hit = called.join(F.broadcast(restricted.select(F.upper("nome").alias("name")).distinct()), "name").groupBy("tabela", "campo").agg(F.min(F.struct("name", "expr")).alias("m"))
+    # the catalog is as large as its owner makes it: its size on disk or after the exchange decides how it is joined
+    hit = called.join(restricted.select(F.upper("nome").alias("name")).distinct(), "name", "left_semi").groupBy("tabela", "campo").agg(F.min(F.struct("name", "expr")).alias("m"))
     return _found(hit, "SX-007", F.col("tabela"), F.col("campo"), F.col("m.expr"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import core, extraction
+from . import core, derived, extraction
 
-QUERIES = {**core.QUERIES, **extraction.QUERIES}
-ORACLES = {**core.ORACLES, **extraction.ORACLES}
+QUERIES = {**core.QUERIES, **extraction.QUERIES, **derived.QUERIES}
+ORACLES = {**core.ORACLES, **extraction.ORACLES, **derived.ORACLES}

@@ -45,25 +45,24 @@ _FACTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "fixture_triggers": facts.execution_triggers, "fixture_docs": facts.doc_blocks, "fixture_lint": lint.lint_sources,
 }
 for _name, _make in _FACTS.items():
-    QUERIES[_name] = lambda spark, d, make=_make: make(X.sources(spark))
+    QUERIES[_name] = lambda spark, d, make=_make: make(X.sources(spark, d))
 
 
 def restricted_functions(spark) -> DataFrame:
     return spark.createDataFrame([(n,) for n in lint.RESTRICTED_NAMES], "nome string")
 
 
-def cross_lint(spark) -> DataFrame:
-    src, (tables, _) = X.sources(spark), X.dictionary(spark)
+def cross_lint(spark, src: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     made = {"functions": facts.functions(src), "parameters": facts.parameters(src), "questions": facts.questions(src), "chunks": facts.chunks(src), "sql": facts.sql_blocks(src)}
     return lint.cross_rules(tables, made, restricted_functions(spark))
 
 
-QUERIES["fixture_cross_lint"] = lambda spark, d: cross_lint(spark)
+QUERIES["fixture_cross_lint"] = lambda spark, d: cross_lint(spark, X.sources(spark, d), X.dictionary(spark, d)[0])
 
 
 def _sx(rule: Callable[[dict[str, DataFrame], DataFrame], DataFrame]):
     def run(spark, d):
-        return rule(X.dictionary(spark)[0], X.sources(spark)).select("arquivo", "funcao", "regra_id", "severidade")
+        return rule(X.dictionary(spark, d)[0], X.sources(spark, d)).select("arquivo", "funcao", "regra_id", "severidade")
 
     return run
 
@@ -85,24 +84,24 @@ QUERIES["sx_trigger_without_seek"] = _sx(lambda t, s: lint.sx010(t["gatilhos"]))
 ORACLES["sx_trigger_without_seek"] = f"""SELECT 'SX:SX7' AS arquivo, X7_CAMPO || '#' || X7_SEQUENC AS funcao, 'SX-010' AS regra_id, 'error' AS severidade FROM {_SX7} WHERE X7_TIPO = 'P' AND X7_SEEK NOT IN ('S', '1', '.T.')"""
 QUERIES["sx_missing_query"] = _sx(lambda t, s: lint.sx011(t["campos"], t["consultas"]))
 ORACLES["sx_missing_query"] = f"""SELECT 'SX:' || X3_ARQUIVO AS arquivo, X3_CAMPO AS funcao, 'SX-011' AS regra_id, 'error' AS severidade FROM {_SX3} WHERE X3_F3 <> '' AND X3_F3 NOT IN (SELECT XB_ALIAS FROM {X.values_sql('sxb')})"""
-QUERIES["sx_lost_rows"] = lambda spark, d: X.dictionary(spark)[1]
-QUERIES["sx_field_groups"] = lambda spark, d: X.dictionary(spark)[0]["grupos_campo"].select("grupo", "tamanho", "total_campos")
+QUERIES["sx_lost_rows"] = lambda spark, d: X.dictionary(spark, d)[1]
+QUERIES["sx_field_groups"] = lambda spark, d: X.dictionary(spark, d)[0]["grupos_campo"].select("grupo", "tamanho", "total_campos")
 ORACLES["sx_field_groups"] = f"""SELECT XG_GRUPO AS grupo, CAST(XG_TAMANHO AS INTEGER) AS tamanho, (SELECT count(*) FROM {_SX3} f WHERE f.X3_GRPSXG = g.XG_GRUPO) AS total_campos FROM {X.values_sql('sxg')} g"""
 
 
 def fixture_impact(spark, d):
-    tables, _ = X.dictionary(spark)
-    return commands.impact(facts.chunks(X.sources(spark)), tables["campos"], tables["gatilhos"], tables["perguntas"].withColumns({"f3": F.col("f3")}), "Z5_PLACA")
+    tables, _ = X.dictionary(spark, d)
+    return commands.impact(facts.chunks(X.sources(spark, d)), tables["campos"], tables["gatilhos"], tables["perguntas"].withColumns({"f3": F.col("f3")}), "Z5_PLACA7")
 
 
 def fixture_cascade(spark, d):
-    return commands.trigger_cascade(X.dictionary(spark)[0]["gatilhos"], "Z6_NUM")
+    return commands.trigger_cascade(X.dictionary(spark, d)[0]["gatilhos"], "Z6_NUM7")
 
 
 QUERIES["fixture_impact"] = fixture_impact
 QUERIES["fixture_cascade"] = fixture_cascade
-ORACLES["fixture_cascade"] = f"""WITH g AS {_SX7}, near AS (SELECT 'Z6_NUM' AS node, 0 AS level), one AS (SELECT X7_CDOMIN AS node FROM g WHERE X7_CAMPO = 'Z6_NUM' UNION SELECT X7_CAMPO FROM g WHERE X7_CDOMIN = 'Z6_NUM'),
-lv AS (SELECT * FROM near UNION ALL SELECT node, 1 FROM one UNION ALL (SELECT DISTINCT x, 2 FROM (SELECT X7_CDOMIN AS x FROM g WHERE X7_CAMPO IN (SELECT node FROM one) UNION SELECT X7_CAMPO FROM g WHERE X7_CDOMIN IN (SELECT node FROM one)) WHERE x NOT IN (SELECT node FROM one) AND x <> 'Z6_NUM')),
+ORACLES["fixture_cascade"] = f"""WITH g AS {_SX7}, near AS (SELECT 'Z6_NUM7' AS node, 0 AS level), one AS (SELECT X7_CDOMIN AS node FROM g WHERE X7_CAMPO = 'Z6_NUM7' UNION SELECT X7_CAMPO FROM g WHERE X7_CDOMIN = 'Z6_NUM7'),
+lv AS (SELECT * FROM near UNION ALL SELECT node, 1 FROM one UNION ALL (SELECT DISTINCT x, 2 FROM (SELECT X7_CDOMIN AS x FROM g WHERE X7_CAMPO IN (SELECT node FROM one) UNION SELECT X7_CAMPO FROM g WHERE X7_CDOMIN IN (SELECT node FROM one)) WHERE x NOT IN (SELECT node FROM one) AND x <> 'Z6_NUM7')),
 t AS (SELECT level + 1 AS nivel, X7_CAMPO, X7_CDOMIN, node AS via FROM g JOIN lv ON node = X7_CAMPO UNION ALL SELECT level + 1, X7_CAMPO, X7_CDOMIN, node FROM g JOIN lv ON node = X7_CDOMIN),
 b AS (SELECT *, row_number() OVER (PARTITION BY X7_CAMPO, X7_CDOMIN ORDER BY nivel, via) AS k FROM t)
 SELECT nivel, g.X7_CAMPO AS origem, X7_SEQUENC AS sequencia, g.X7_CDOMIN AS destino, X7_REGRA AS regra, X7_CONDIC AS condicao, X7_TIPO AS tipo, X7_ALIAS AS alias, X7_SEEK AS seek, via
@@ -174,16 +173,33 @@ ORACLES["fixture_calls"] = f"""WITH l AS (SELECT *, {_CONTEXT} AS code FROM ({_O
   UNION ALL SELECT arquivo, funcao, linha, 'method', unnest(regexp_extract_all(regexp_replace(code, '"[^"]*"', '""', 'g'), '\\b([A-Za-z]\\w*:[A-Za-z]\\w*)\\s*\\(', 1)) FROM l
   UNION ALL SELECT arquivo, funcao, linha, 'mvc_hook', unnest(regexp_extract_all(code, '(?i)\\b(bCommit|bCancel|bTudoOk|bLineOk|bPosVld|bPreVld|bWhen|bValid|bLoad)\\s*:=', 1)) FROM l
 ) SELECT arquivo AS arquivo_origem, funcao AS funcao_origem, linha AS linha_origem, tipo, destino, upper(destino) AS destino_norm FROM c"""
-QUERIES["fixture_calls"] = lambda spark, d: facts.calls(X.sources(spark)).drop("contexto")
+QUERIES["fixture_calls"] = lambda spark, d: facts.calls(X.sources(spark, d)).drop("contexto")
 _BLOCK = r"(?is)\bBeginSql\b\s+Alias\s+\"\w+\"\s*(.*?)\bEndSql\b|\b(?:TCQuery|TCSqlExec)\(\"([^\"']+)"
 ORACLES["fixture_sql"] = f"""WITH s AS (SELECT arquivo, text, unnest(regexp_extract_all(text, '{_BLOCK.replace("'", "''")}')) AS whole FROM {X.sources_sql()}),
 b AS (SELECT arquivo, len(string_split(left(text, strpos(text, whole)), chr(10))) AS linha, trim(regexp_extract(whole, '{_BLOCK.replace("'", "''")}', 1) || regexp_extract(whole, '{_BLOCK.replace("'", "''")}', 2), ' ' || chr(10)) AS snippet FROM s)
 SELECT b.arquivo, f.nome AS funcao, linha, lower(regexp_extract(snippet, '^(\\w+)', 1)) AS operacao, list_sort(list_distinct(regexp_extract_all(snippet, '(?i)\\b(?:FROM|JOIN|INTO|UPDATE)\\s+(\\w+)', 1))) AS tabelas, snippet
 FROM b JOIN ({ORACLES['fixture_functions']}) f ON f.arquivo = b.arquivo AND linha BETWEEN linha_inicio AND linha_fim"""
-QUERIES["fixture_sql"] = lambda spark, d: facts.sql_blocks(X.sources(spark)).withColumn("tabelas", F.sort_array("tabelas"))
+QUERIES["fixture_sql"] = lambda spark, d: facts.sql_blocks(X.sources(spark, d)).withColumn("tabelas", F.sort_array("tabelas"))
 _ROUTINES = ", ".join(f"('{r}', '{m}', '{k}', {t!r})" for r, m, k, t in facts.ROUTINES)
 ORACLES["fixture_execautos"] = f"""WITH e AS (SELECT arquivo, funcao, linha, nullif(upper(regexp_extract(line, '\\|\\s*(\\w+)\\(', 1)), '') AS routine, try_cast(regexp_extract(line, ', *(\\d+)\\)', 1) AS INTEGER) AS op_code
   FROM ({_OWNER}) WHERE regexp_matches(line, '(?i)MsExecAuto\\('))
 SELECT arquivo, funcao, linha, e.routine, module, routine_type, op_code, CASE op_code WHEN 3 THEN 'inclusao' WHEN 4 THEN 'alteracao' WHEN 5 THEN 'exclusao' END AS op_label, coalesce(tables, []) AS tables_resolved, e.routine IS NULL AS dynamic_call
 FROM e LEFT JOIN (VALUES {_ROUTINES}) r(routine, module, routine_type, tables) ON r.routine = e.routine"""
-QUERIES["fixture_execautos"] = lambda spark, d: facts.execauto_calls(X.sources(spark)).drop("arg_count", "snippet")
+QUERIES["fixture_execautos"] = lambda spark, d: facts.execauto_calls(X.sources(spark, d)).drop("arg_count", "snippet")
+
+QUERIES["fixture_chunks"] = lambda spark, d: facts.chunks(X.sources(spark, d))
+_HIDDEN = r"regexp_replace(regexp_replace({0}, 'https?://[^\s:@/]+:[^\s@/]+@', 'https://[REDACTED]@', 'g'), '\b[0-9a-fA-F]{{40,}}\b', '[REDACTED]', 'g')"
+ORACLES["fixture_chunks"] = f"""SELECT f.arquivo || '::' || nome || '@' || linha_inicio AS id, f.arquivo, nome AS funcao, upper(nome) AS funcao_norm, kind AS tipo_simbolo, classe, linha_inicio, linha_fim,
+  substr(trim(lines[linha_inicio]), 1, 500) AS assinatura, {_HIDDEN.format("array_to_string(lines[linha_inicio:linha_fim], chr(10))")} AS content, '' AS modulo
+FROM ({ORACLES['fixture_functions']}) f JOIN (SELECT arquivo, string_split(text, chr(10)) AS lines FROM {X.sources_sql()}) s ON s.arquivo = f.arquivo"""
+QUERIES["fixture_ws_structures"] = lambda spark, d: facts.ws_structures(X.sources(spark, d)).select(
+    "arquivo", "kind", "nome", F.array_join("metodos", ",").alias("metodos"), F.array_join(F.transform("dados", lambda x: F.concat(x["nome"], F.lit(":"), x["tipo"])), ",").alias("dados")
+)
+ORACLES["fixture_ws_structures"] = rf"""WITH l AS MATERIALIZED ({_LINES}), h AS (SELECT arquivo, linha, regexp_extract(line, '^(WSSTRUCT|WSSERVICE|WSRESTFUL)\s+(\w+)', 1) AS word, regexp_extract(line, '^(WSSTRUCT|WSSERVICE|WSRESTFUL)\s+(\w+)', 2) AS nome
+  FROM l WHERE regexp_matches(line, '^(WSSTRUCT|WSSERVICE|WSRESTFUL)\s+\w')), e AS (SELECT h.*, (SELECT min(l.linha) FROM l WHERE l.arquivo = h.arquivo AND l.linha > h.linha AND regexp_matches(line, '^END ?WS')) AS stop FROM h)
+SELECT e.arquivo, 'ws_' || lower(substr(word, 3)) AS kind, nome,
+  CASE WHEN word = 'WSSTRUCT' THEN '' ELSE coalesce(string_agg(nullif(regexp_extract(line, '^\s+WSMETHOD\s+(\w+)', 1), ''), ',' ORDER BY l.linha), '') END AS metodos,
+  coalesce(string_agg(CASE WHEN regexp_matches(line, '^\s+WSDATA') THEN regexp_extract(line, 'WSDATA\s+(\w+)', 1) || ':' || regexp_extract(line, 'AS\s+(\w+)', 1) END, ',' ORDER BY l.linha), '') AS dados
+FROM e JOIN l ON l.arquivo = e.arquivo AND l.linha > e.linha AND l.linha < e.stop GROUP BY e.arquivo, e.linha, word, nome"""
+# what the rules find in each template: two by SQL from the functions, the others are listed
+QUERIES["fixture_lint"] = lambda spark, d: lint.lint_sources(X.sources(spark, d)).select("arquivo", "linha", "regra_id", "severidade")

@@ -1,4 +1,8 @@
-"""A small invented car rental in the language: sources and dictionary exports, as data for queries and tests."""
+"""An invented car rental in the language: sources and dictionary exports, as templates for queries and as small data for tests.
+
+Queries derive their input from the given tables with Spark: every customer is a branch with a source of its own, every supplier a part of the dictionary. A template's own
+names are numbered by the row's key, and its segment and name are written into the source, so the work grows with the tables.
+"""
 
 from __future__ import annotations
 
@@ -232,26 +236,52 @@ DICTIONARY: dict[str, str] = {
 }
 
 
+#: The templates' own names: fields, parameters, routines, question groups and queries; a row's key is put behind each.
+NAMES = r"(Z[56]_[A-Z]+|MV_LOC[A-Z]+|LOC[A-Z]+|CONPLA|SEMCON)"
+GROUP = "031"
+_SX2 = "sx2"
+
+
 def rows() -> list[tuple[str, str, bytes]]:
     return [(name, f"SIGALOJA/{name}", text.encode("cp1252")) for name, text in SOURCES.items()]
 
 
-def sources(spark):
-    """The scanned fixture sources."""
+def small_sources(spark):
+    """The scanned templates themselves."""
     from ..operators import facts
 
     return facts.scan_sources(spark.createDataFrame(rows(), "arquivo string, caminho_relativo string, content binary"))
 
 
-def dictionary(spark):
-    """The fixture dictionary's tables by name, and the rows lost to equal keys."""
+def sources(spark, folder: str):
+    """The scanned sources of all customers: each has the template of its key modulo their number."""
+    from pyspark.sql import functions as F
+
+    from ..operators import facts
+    from ..sources import table
+
+    templates = spark.createDataFrame([(k, n, t) for k, (n, t) in enumerate(SOURCES.items())], "k long, name string, text string")
+    customer = table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    met = customer.join(F.broadcast(templates), F.col("c_custkey") % len(SOURCES) == F.col("k"))  # thirteen rows
+    key = F.col("c_custkey").cast("string")
+    text = F.regexp_replace(F.regexp_replace("text", F.lit(NAMES), F.concat(F.lit("$1"), key)), F.lit("AZUL"), F.col("c_mktsegment"))
+    name = F.concat(key, F.lit("_"), "name")
+    # the extra partitions are for the scan, which is all of the work
+    content = F.concat(text, F.lit("// "), "c_name", F.lit("\n")).cast("binary")
+    return facts.scan_sources(met.select(name.alias("arquivo"), F.concat(F.lit("SIGALOJA/"), name).alias("caminho_relativo"), content.alias("content")).repartition(spark.sparkContext.defaultParallelism))
+
+
+def _lines(name: str) -> tuple[list[str], list[list[str]]]:
+    head, *body = csv.reader(io.StringIO(DICTIONARY[name]))
+    return head, body
+
+
+def _finished(made: dict, spark):
     from ..operators import relational as R
     from ..sources.dictionary import EXPORTS, typed
 
     tables, lost = {}, None
-    for name, text in DICTIONARY.items():
-        head, *body = csv.reader(io.StringIO(text))
-        raw = spark.createDataFrame([(k, *r) for k, r in enumerate(body)], "_row long, " + ", ".join(f"`{h}` string" for h in head))
+    for name, raw in made.items():
         export = EXPORTS[name]
         tables[export.table], one = typed(raw, export)
         lost = one if lost is None else lost.unionByName(one)
@@ -259,15 +289,49 @@ def dictionary(spark):
     return tables, lost
 
 
+def _raw(spark, name: str):
+    head, body = _lines(name)
+    return spark.createDataFrame([(k, *r) for k, r in enumerate(body)], "_row long, " + ", ".join(f"`{h}` string" for h in head))
+
+
+def small_dictionary(spark):
+    """The templates' dictionary: tables by name, and the rows lost to equal keys."""
+    return _finished({name: _raw(spark, name) for name in DICTIONARY}, spark)
+
+
+def dictionary(spark, folder: str):
+    """The dictionary of all suppliers, and the rows lost to equal keys; the list of tables is one for all."""
+    from pyspark.sql import functions as F
+
+    from ..sources import table
+
+    supplier, made = table(spark, folder, "supplier").select("s_suppkey"), {}
+    for name in DICTIONARY:
+        raw, key = _raw(spark, name), F.col("s_suppkey").cast("string")
+        if name != _SX2:
+            both = supplier.join(F.broadcast(raw), F.lit(True))  # each supplier has the template's few rows
+            value = lambda c: F.when(F.col(c) == GROUP, F.concat(F.col(c), F.lit("-"), key)).otherwise(F.regexp_replace(c, F.lit(NAMES), F.concat(F.lit("$1"), key)))  # noqa: B023, E731
+            raw = both.select((F.col("s_suppkey") * 1000 + F.col("_row")).alias("_row"), *[value(c).alias(c) for c in raw.columns if c != "_row"])
+        made[name] = raw
+    return _finished(made, spark)
+
+
+def _quote(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
+
+
 def values_sql(name: str) -> str:
-    """An export as a SQL table of text columns."""
-    head, *body = csv.reader(io.StringIO(DICTIONARY[name]))
-    quote = lambda v: "'" + v.replace("'", "''") + "'"
-    lines = ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in body)
-    return f"(SELECT * FROM (VALUES {lines}) AS t({', '.join(head)}) WHERE D_E_L_E_T_ <> '*')"
+    """An export of all suppliers as a SQL table of text columns."""
+    head, body = _lines(name)
+    values = f"(VALUES {', '.join('(' + ', '.join(map(_quote, r)) + ')' for r in body)}) AS t({', '.join(head)})"
+    if name == _SX2:
+        return f"(SELECT * FROM {values} WHERE D_E_L_E_T_ <> '*')"
+    each = ", ".join(f"CASE WHEN {h} = '{GROUP}' THEN {h} || '-' || s_suppkey ELSE regexp_replace({h}, '{NAMES}', '\\1' || s_suppkey, 'g') END AS {h}" for h in head)
+    return f"(SELECT {each} FROM supplier, {values} WHERE D_E_L_E_T_ <> '*')"
 
 
 def sources_sql() -> str:
-    """The fixture sources as a SQL table (arquivo, text)."""
-    quote = lambda v: "'" + v.replace("'", "''") + "'"
-    return "(SELECT * FROM (VALUES " + ", ".join(f"({quote(n)}, {quote(t)})" for n, t in SOURCES.items()) + ") AS t(arquivo, text))"
+    """The sources of all customers as a SQL table (arquivo, text)."""
+    values = ", ".join(f"({k}, {_quote(n)}, {_quote(t)})" for k, (n, t) in enumerate(SOURCES.items()))
+    text = f"replace(regexp_replace(text, '{NAMES}', '\\1' || c_custkey, 'g'), 'AZUL', c_mktsegment) || '// ' || c_name || chr(10)"
+    return f"(SELECT c_custkey || '_' || name AS arquivo, {text} AS text FROM customer JOIN (VALUES {values}) AS t(k, name, text) ON c_custkey % {len(SOURCES)} = k)"

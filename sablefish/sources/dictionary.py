@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import PythonException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators import relational as R
+from . import spreadsheet
 
 #: cp1252 differs from latin-1 in these places.
 _LATIN = "".join(map(chr, [*range(0x80, 0xA0)]))
@@ -65,14 +67,20 @@ EXPORTS: dict[str, Export] = {
 def read_csv(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
     """A CSV export with all columns as text: separator and encoding found from the file, ``_row`` for its order.
 
-    UTF-8 where every line is valid UTF-8, else cp1252 (read as latin-1, the 32 differing characters mapped).
-    Raises where the file is a spreadsheet archive or its first header lacks ``prefix``.
+    UTF-8 where every line is valid UTF-8, else cp1252 (read as latin-1, the 32 differing characters mapped). A spreadsheet under a CSV file's name
+    is read as one. Raises where its first header lacks ``prefix``, or a spreadsheet can't be read.
     """
     lines = spark.read.text(path)
     first = lines.limit(1).collect()
     head = first[0][0].lstrip("\ufeff") if first else ""
-    if head.startswith("PK\x03\x04"):
-        raise WrongShapeError(f"{path} is a spreadsheet, not a CSV file; export it as CSV")
+    if head.startswith(spreadsheet.SIGNATURE):
+        try:
+            rows = spreadsheet.table(spark, path)
+        except PythonException as e:
+            raise WrongShapeError(f"{path} is an archive, but no spreadsheet that can be read") from e
+        if prefix and not rows.columns[-1 if len(rows.columns) < 2 else 1].upper().startswith(prefix):
+            raise WrongShapeError(f"the first header of {path} doesn't start with {prefix}")
+        return rows
     if prefix and not head.strip('"').upper().startswith(prefix):
         raise WrongShapeError(f"the first header of {path} doesn't start with {prefix}")
     utf8 = not lines.where(~F.expr("is_valid_utf8(value)")).limit(1).count()

@@ -11,7 +11,7 @@ from sablefish.streaming import refresh
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    return fixtures.dictionary(spark)[0]
+    return fixtures.small_dictionary(spark)[0]
 
 
 def test_files_give_the_same_tables(spark, tables, tmp_path):
@@ -33,6 +33,25 @@ def test_wrong_shapes(spark, tmp_path):
     assert dictionary.find_files(["SX2.CSV", "sx3.csv"]) == {"sx2": "SX2.CSV", "sx3": "sx3.csv"}
 
 
+def test_spreadsheet_in_place_of_a_csv(spark, tmp_path):
+    import csv
+    import io
+
+    from sablefish.plans import derived
+
+    paths = {}
+    for name in ("sx2", "sx3", "sxg"):
+        lines = list(csv.reader(io.StringIO(fixtures.DICTIONARY[name])))
+        (tmp_path / f"{name}.csv").write_bytes(derived.workbook([tuple(v if k == 0 or not v.isdigit() or v[0] == "0" else int(v) for v in row) for k, row in enumerate(lines)]))
+        (tmp_path / f"plain_{name}.csv").write_text(fixtures.DICTIONARY[name])
+        paths[name] = str(tmp_path / f"{name}.csv")
+    sheets, failed, _ = dictionary.load(spark, paths)
+    plain, _, _ = dictionary.load(spark, {n: str(tmp_path / f"plain_{n}.csv") for n in paths})
+    assert not failed and sheets.keys() == plain.keys()
+    for name in plain:
+        assert sorted(map(str, sheets[name].collect())) == sorted(map(str, plain[name].collect())), name
+
+
 def test_typed_flags(tables):
     campos = {r["campo"]: r for r in tables["campos"].collect()}
     assert campos["Z5_XCHASSI"]["custom"] and not campos["Z5_PLACA"]["custom"] and campos["Z5_XPESO"]["obrigatorio"]
@@ -43,7 +62,7 @@ def test_typed_flags(tables):
 
 
 def test_cross_rules(spark):
-    found = {(r["regra_id"], r["funcao"]) for r in extraction.cross_lint(spark).collect()}
+    found = {(r["regra_id"], r["funcao"]) for r in extraction.cross_lint(spark, fixtures.small_sources(spark), fixtures.small_dictionary(spark)[0]).collect()}
     assert {
         ("SX-001", "Z5_XCHASSI"), ("SX-002", "Z6_XPLACA#02"), ("SX-003", "MV_LOCDIA"), ("SX-004", "LOCSEM"), ("SX-005", "Z5_XNUNCA"), ("SX-006", "Z6_XPLACA"), ("SX-007", "Z5_XPESO"),
         ("SX-008", "Z5_ANO"), ("SX-009", "Z5_XPESO"), ("SX-010", "Z6_XPLACA#02"), ("SX-010", "Z6_NUM#01"), ("SX-011", "Z5_XPESO"), ("MOD-003", ""), ("PERF-006", "LOCBUSCA"),
@@ -54,12 +73,12 @@ def test_cross_rules(spark):
 def test_rules_without_a_dictionary_are_skipped(spark):
     from sablefish.operators import lint
 
-    made = {"functions": facts.functions(fixtures.sources(spark))}
+    made = {"functions": facts.functions(fixtures.small_sources(spark))}
     assert {r["regra_id"] for r in lint.cross_rules({}, made, None).collect()} == {"MOD-003"}
 
 
 def test_impact_and_cascade(spark, tables):
-    chunks = facts.chunks(fixtures.sources(spark))
+    chunks = facts.chunks(fixtures.small_sources(spark))
     found = [tuple(r)[:2] for r in commands.impact(chunks, tables["campos"], tables["gatilhos"], tables["perguntas"], "Z5_PLACA").collect()]
     assert found == [("SX7", "Z5_ANO#01"), ("SX7", "Z6_NUM#01"), ("SX7", "Z6_XPLACA#01"), ("SX7", "Z6_XPLACA#02"), ("SX3", "SZ5.Z5_PLACA"), ("fonte", "consultas.prw::LOCBUSCA")]
     one = [(r["nivel"], r["origem"], r["destino"]) for r in commands.trigger_cascade(tables["gatilhos"], "z6_xplaca", 1).collect()]
@@ -67,7 +86,7 @@ def test_impact_and_cascade(spark, tables):
 
 
 def test_commands(spark):
-    src = fixtures.sources(spark)
+    src = fixtures.small_sources(spark)
     chunks, calls, found = facts.chunks(src), facts.calls(src), facts.execauto_calls(src)
     listing = src.select("arquivo", "caminho_relativo", "encoding", "error")
     assert [r["_kind"] for r in commands.find(chunks, listing, "U_LOCGRAVA").collect()] == ["funcao"]

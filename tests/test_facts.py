@@ -8,7 +8,7 @@ from sablefish.plans import fixtures
 
 @pytest.fixture(scope="module")
 def sources(spark):
-    return fixtures.sources(spark).cache()
+    return fixtures.small_sources(spark).cache()
 
 
 def rows(df, *columns):

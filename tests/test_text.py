@@ -1,11 +1,15 @@
 """Text helpers."""
 
+from collections import Counter
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sablefish.functions import personal, scanner
+from sablefish.functions import charset, personal, scanner, sql_names
 from sablefish.functions import source_text as T
 from sablefish.operators import facts
+from sablefish.plans import derived
+from sablefish.sources import spreadsheet
 
 CODE = st.text(alphabet="ab \n\t/*&'\"\\();,é", max_size=80)
 
@@ -88,3 +92,32 @@ def test_personal_data():
         "'12.345.678/0001-90'": True, "'1123.456.789-01'": False, "'x 123.456.789-01.'": True, "'123-456'": False, "": False,
     }.items():
         assert personal.names_a_person(text) == found, text
+
+
+def test_tables_of_statements():
+    for sql, names in {
+        "select * from a": ["A"], "SELECT 1": [], "": [], "from": [], "SELECT * FROM (SELECT * FROM x) y, z AS w, v": ["V", "X", "Z"], "select 'from a' from b -- from c": ["B"],
+        "with q as (select * from r) select * from q join Q2 on 1=1": ["Q2", "R"], "with recursive q (n) as (select 1 union all select n from q) select n from q": [],
+        "insert into a.b (c) values (1)": ["B"], "delete from t": ["T"], "update only t set x = y": ["T"], "select trim(both ' ' from n) from t": ["T"], "truncate table t": ["T"], "drop table \"My T\"": ["MY T"],
+        "select * from %table:SA1% SA1 where x in (select y from %Table: SB1%)": ["%SA1", "%SB1"], "select * from f(1) g, h": ["H"], "merge into t using (select * from s) x on t.k = x.k when matched then update set a = 1": ["S", "T"],
+        "select * from a where b = 'it''s from c'": ["A"], "select * from [a b].[c]": ["C"], "select * from 'x": [],
+    }.items():
+        assert sql_names.tables(sql) == names, sql
+
+
+def test_spreadsheets():
+    rows = [("H1", "H2", "H3"), ("a & b", None, 3), ("é<", "x", 2.5), (None, "only", 10**9)]
+    assert list(spreadsheet.sheet_rows(derived.workbook(rows))) == [["H1", "H2", "H3"], ["a & b", "", "3"], ["é<", "x", "2.5"], ["", "only", "1000000000"]]
+    assert [spreadsheet.column_of(r) for r in ("A1", "Z9", "AA1", "BC12")] == [0, 25, 26, 54]
+
+
+def test_charset_of_held_out_texts():
+    words = "ação coração informação São João não é difícil café über straße größe mañana año señor été château".split()
+    found = Counter()
+    for w in words[::2]:
+        found.update(charset.counts(f"uma {w} com texto"))
+    model = charset.Model(found)
+    for page in ("cp1252", "cp850"):
+        assert sum(model.detect(f"outra {w} aqui, {w}.".encode(page)) == page for w in words[1::2]) >= len(words[1::2]) - 1
+    assert model.detect(b"plain") == "cp1252" and model.detect("é".encode()) == "utf-8" and model.detect(b"") == "cp1252"
+    assert T.decode("São João".encode("cp850"), model.detect) == ("São João", "cp850")
