@@ -201,5 +201,78 @@ SELECT e.arquivo, 'ws_' || lower(substr(word, 3)) AS kind, nome,
   CASE WHEN word = 'WSSTRUCT' THEN '' ELSE coalesce(string_agg(nullif(regexp_extract(line, '^\s+WSMETHOD\s+(\w+)', 1), ''), ',' ORDER BY l.linha), '') END AS metodos,
   coalesce(string_agg(CASE WHEN regexp_matches(line, '^\s+WSDATA') THEN regexp_extract(line, 'WSDATA\s+(\w+)', 1) || ':' || regexp_extract(line, 'AS\s+(\w+)', 1) END, ',' ORDER BY l.linha), '') AS dados
 FROM e JOIN l ON l.arquivo = e.arquivo AND l.linha > e.linha AND l.linha < e.stop GROUP BY e.arquivo, e.linha, word, nome"""
-# what the rules find in each template: two by SQL from the functions, the others are listed
 QUERIES["fixture_lint"] = lambda spark, d: lint.lint_sources(X.sources(spark, d)).select("arquivo", "linha", "regra_id", "severidade")
+# Single-source rules over the lines of the derived sources, whose only commented code says so.
+_RESERVED = "[" + ", ".join(f"'{x.upper()}'" for x in lint.RESERVED) + "]"
+_RESTRICTED = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in lint.RESTRICTED_NAMES) + "]"
+_DECLARED = r"list_transform(string_split(regexp_replace(line, '(?i)^\s*(Local|Static|Private|Public)\s+', ''), ','), lambda v: upper(regexp_extract(trim(v), '^(\w+)', 1)))"
+_TOLD = rf"""WITH l AS MATERIALIZED ({_OWNER}), f AS MATERIALIZED ({ORACLES['fixture_functions']}), q AS MATERIALIZED ({ORACLES['fixture_sql']}), erp AS (
+  SELECT * FROM q WHERE len(list_filter(tabelas, lambda t: regexp_matches(upper(t), '^[SZNQD][A-Z][A-Z0-9]\d*$'))) > 0 AND regexp_matches(snippet, '(?i)\b(select|update|delete)\b')
+), locks AS (SELECT f.arquivo, f.linha_inicio, list_sort(list(linha) FILTER (regexp_matches(line, '(?i)\bRecLock\(') AND NOT contains(line, 'comentado'))) AS o, count(*) FILTER (regexp_matches(line, '(?i)\bMsUnlock\(')) AS n
+  FROM f JOIN l ON l.arquivo = f.arquivo AND linha BETWEEN linha_inicio AND linha_fim GROUP BY ALL
+), found AS (
+  SELECT arquivo, unnest(o[n + 1:]) AS linha, 'BP-001' AS regra_id FROM locks WHERE len(o) > n
+  UNION ALL SELECT arquivo, linha, 'BP-002b' FROM l WHERE regexp_matches(line, '(?i)^\s*Private\s') AND len(list_filter({_DECLARED}, lambda v: v <> '' AND NOT list_contains({_RESERVED}, v))) > 0
+  UNION ALL SELECT arquivo, linha, 'BP-005' FROM l WHERE regexp_matches(line, '(?i)\bFunction\s+\w+\([^)]*\)') AND len(string_split(regexp_extract(line, '\(([^)]*)\)', 1), ',')) > 6
+  UNION ALL SELECT arquivo, linha_inicio, 'BP-007' FROM f WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.arquivo = f.arquivo AND linha BETWEEN linha_inicio - 30 AND linha_inicio - 1 AND contains(line, '{{Protheus.doc}}'))
+  UNION ALL SELECT arquivo, linha, 'BP-008' FROM l WHERE regexp_matches(line, '(?i)^\s*(Local|Static|Private|Public)\s') AND len(list_filter({_DECLARED}, lambda v: list_contains({_RESERVED}, v))) > 0
+  UNION ALL SELECT arquivo, linha_inicio, 'SEC-002' FROM f WHERE kind = 'user_function' AND NOT regexp_matches(nome, '{lint.CLIENT_PREFIX}') AND NOT regexp_matches(upper(nome), '{lint.ENTRY_POINT}')
+  UNION ALL SELECT arquivo, linha, 'SEC-003' FROM l WHERE regexp_matches(line, '(?i)\b(ConOut|FwLogMsg)\(') AND regexp_matches(regexp_replace(line, '"[^"]*"', '', 'g'), '\b[a-z]?(Cpf|Cnpj|Senha|Cartao|Token)')
+  UNION ALL SELECT arquivo, linha, 'SEC-004' FROM l WHERE regexp_matches(line, '(?i)\bRpcSetEnv\("[^"]*", *"[^"]*", *"[^"]+", *"[^"]+"')
+  UNION ALL SELECT arquivo, linha, 'SEC-005' FROM (SELECT arquivo, linha, unnest(list_distinct(regexp_extract_all(upper(line), '(?:^|[^:.A-Z0-9_])([A-Z_]\w*)\(', 1))) AS name FROM l WHERE NOT contains(line, 'comentado') AND NOT regexp_matches(line, '(?i)\bFunction\b'))
+    WHERE list_contains({_RESTRICTED}, name)
+  UNION ALL SELECT arquivo, linha, 'PERF-001' FROM q WHERE regexp_matches(snippet, '(?i)\bSELECT\s+\*')
+  UNION ALL SELECT arquivo, linha, 'PERF-002' FROM erp WHERE NOT contains(lower(snippet), '%notdel%')
+  UNION ALL SELECT arquivo, linha, 'PERF-003' FROM erp WHERE NOT regexp_matches(snippet, '(?i)%xfilial(?:[: ]\w*)?%')
+  UNION ALL SELECT arquivo, linha, 'PERF-004' FROM l c WHERE regexp_matches(line, '\bc[A-Z]\w*\s*\+=') AND EXISTS (SELECT 1 FROM l o WHERE o.arquivo = c.arquivo AND o.linha < c.linha AND contains(o.line, 'While'))
+    AND EXISTS (SELECT 1 FROM l o WHERE o.arquivo = c.arquivo AND o.linha > c.linha AND contains(o.line, 'EndDo'))
+  UNION ALL SELECT arquivo, linha, 'PERF-005' FROM l WHERE regexp_matches(line, '(?i)\b(RecCount|LastRec)\(\s*\)\)?\s*>\s*0')
+  UNION ALL SELECT arquivo, linha, 'MOD-001' FROM l WHERE regexp_matches(line, '(?i)\bConOut\(')
+  UNION ALL SELECT arquivo, linha, 'MOD-002' FROM l WHERE regexp_matches(line, '(?i)^\s*PUBLIC\s')
+  UNION ALL SELECT arquivo, linha, 'MOD-004' FROM l WHERE regexp_matches(line, '(?i)\b(AxCadastro|Modelo2|Modelo3|MsNewGetDados)\(')
+)"""
+_RANKS = "CASE regra_id " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lint.SEVERITY.items() if k in lint.SINGLE_RULES) + " END"
+ORACLES["fixture_lint"] = f"{_TOLD} SELECT arquivo, linha, regra_id, {_RANKS} AS severidade FROM found"
+
+
+def execution_triggers(spark, d):
+    """What starts code indirectly, with the metadata as sorted pairs."""
+    rows = facts.execution_triggers(X.sources(spark, d))
+    pairs = F.array_join(F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "; ")
+    return rows.select("arquivo", "funcao", "linha", "kind", "target", pairs.alias("metadata"), "snippet")
+
+
+QUERIES["fixture_triggers"] = execution_triggers
+_Q = '"([^"]*)"'
+_FIRST = "(SELECT regexp_extract(o.line, '{0}', 1) FROM l o WHERE o.arquivo = l.arquivo AND o.linha > l.linha AND regexp_matches(o.line, '{0}') ORDER BY o.linha LIMIT 1)"
+ORACLES["fixture_triggers"] = rf"""WITH l AS MATERIALIZED ({_OWNER}), t AS (
+  SELECT arquivo, funcao, linha, 'workflow' AS kind, regexp_extract(line, 'New\({_Q}', 1) AS target, line, ['process_id=' || regexp_extract(line, 'New\({_Q}', 1), 'description=' || regexp_extract(line, 'New\({_Q}, {_Q}', 2),
+    'template=' || {_FIRST.format('NewTask\\("[^"]*", ' + _Q)}, 'to=' || {_FIRST.format('cTo := ' + _Q)}, 'subject=' || {_FIRST.format('cSubject := ' + _Q)},
+    'return=' || {_FIRST.format('bReturn := .*[|] *(\\w+)')}, 'timeout=' || {_FIRST.format('bTimeOut := .*[|] *(\\w+)')}] AS m FROM l WHERE contains(line, 'TWFProcess')
+  UNION ALL SELECT l.arquivo, l.funcao, l.linha, 'schedule', regexp_extract(r.line, '"[PR]", {_Q}', 1), l.line, ['type=' || regexp_extract(r.line, '"([PR])"', 1), 'group=' || regexp_extract(r.line, '"[PR]", {_Q}', 1),
+    'alias=' || regexp_extract(r.line, '"[PR]", {_Q}, {_Q}', 2), 'orders=' || regexp_extract(r.line, ', \{{([^}}]*)\}}', 1), 'title=' || regexp_extract(r.line, '\}}, {_Q}', 1)]
+    FROM l JOIN l r ON r.arquivo = l.arquivo AND r.linha = l.linha + 1 WHERE contains(l.line, 'SchedDef()')
+  UNION ALL SELECT arquivo, funcao, linha, 'job_standalone', regexp_extract(line, 'Function (\w+)', 1), line, ['main=' || regexp_extract(line, 'Function (\w+)', 1), 'empresa=' || {_FIRST.format('RpcSetEnv\\(' + _Q)},
+    'filial=' || {_FIRST.format('RpcSetEnv\\("[^"]*", ' + _Q)}, 'modulo=' || {_FIRST.format('RpcSetEnv\\((?:"[^"]*", ){4}' + _Q)},
+    'sleep_seconds=' || {_FIRST.format('Sleep\\((\\d+) \\* 1000\\)')}, 'stop_file=' || {_FIRST.format('File\\(' + _Q)}] FROM l WHERE regexp_matches(line, '^Main Function')
+  UNION ALL SELECT arquivo, funcao, linha, 'mail_send', '', line, ['attach=true', 'variant=message'] FROM l WHERE contains(line, 'TMailMessage')
+) SELECT arquivo, funcao, linha, kind, target, array_to_string(list_sort(m), '; ') AS metadata, trim(line) AS snippet FROM t"""
+
+
+def documentation(spark, d):
+    """Documentation blocks with their parameters as text."""
+    rows = facts.doc_blocks(X.sources(spark, d))
+    params = F.array_join(F.transform("params", lambda p: F.concat_ws("|", p["name"], p["type"], p["desc"], p["optional"].cast("string"))), ";")
+    return rows.select("arquivo", "funcao", "linha_bloco_inicio", "linha_bloco_fim", "linha_funcao", "summary", "tipo", "author", "since", params.alias("params"), F.col("raw_tags")["nota"].alias("nota"))
+
+
+QUERIES["fixture_docs"] = documentation
+_TAG = r"(SELECT regexp_extract(o.line, '^@{0} (.*)$', 1) FROM l o WHERE o.arquivo = b.arquivo AND regexp_matches(o.line, '^@{0} ') ORDER BY o.linha LIMIT 1)"
+ORACLES["fixture_docs"] = rf"""WITH l AS MATERIALIZED ({_LINES}), b AS (SELECT arquivo, linha AS first, regexp_extract(line, 'doc\}} (\w+)', 1) AS funcao,
+  (SELECT min(o.linha) FROM l o WHERE o.arquivo = l.arquivo AND o.linha > l.linha AND o.line = '/*/') AS last FROM l WHERE contains(line, '{{Protheus.doc}}'))
+SELECT arquivo, funcao, first AS linha_bloco_inicio, last AS linha_bloco_fim, (SELECT min(o.linha) FROM l o WHERE o.arquivo = b.arquivo AND o.linha > last AND contains(o.line, 'Function')) AS linha_funcao,
+  (SELECT string_agg(o.line, chr(10) ORDER BY o.linha) FROM l o WHERE o.arquivo = b.arquivo AND o.linha > first AND o.linha < (SELECT min(i.linha) FROM l i WHERE i.arquivo = b.arquivo AND i.line LIKE '@%')) AS summary,
+  {_TAG.format('type')} AS tipo, {_TAG.format('author')} AS author, {_TAG.format('since')} AS since,
+  (SELECT string_agg(regexp_replace(trim(string_split(p, ',')[1]), '[\[\]\s]', '', 'g') || '|' || trim(string_split(p, ',')[2]) || '|' || trim(array_to_string(string_split(p, ',')[3:], ',')) || '|' || (p LIKE '[%')::VARCHAR, ';' ORDER BY linha)
+     FROM (SELECT o.linha, regexp_extract(o.line, '^@param (.*)$', 1) AS p FROM l o WHERE o.arquivo = b.arquivo AND o.line LIKE '@param %')) AS params,
+  (SELECT string_agg(regexp_extract(o.line, '^@nota (.*)$', 1), chr(10) ORDER BY o.linha) FROM l o WHERE o.arquivo = b.arquivo AND o.line LIKE '@nota %') AS nota FROM b"""
