@@ -155,10 +155,6 @@ def sx004(perguntas: DataFrame, used: DataFrame) -> DataFrame:
     return _found(rows, "SX-004", "SX1", F.col("grupo"), F.col("grupo"))
 
 
-#: Characters by which a name meets the words that hold it.
-GRAM = 5
-
-
 def sx005(campos: DataFrame, chunks: DataFrame, gatilhos: DataFrame) -> DataFrame:
     """Custom fields whose name occurs nowhere, ignoring case; a name inside a longer word counts as used. One pass over the texts for all names."""
     custom = campos.where("custom").select("tabela", "campo", "titulo", F.upper("campo").alias("name")).distinct()

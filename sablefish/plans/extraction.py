@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import source_text
 from ..operators import commands, facts, lint
 from ..sources import table
+from ..sources.staging import staged
 from . import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -276,3 +277,41 @@ SELECT arquivo, funcao, first AS linha_bloco_inicio, last AS linha_bloco_fim, (S
   (SELECT string_agg(regexp_replace(trim(string_split(p, ',')[1]), '[\[\]\s]', '', 'g') || '|' || trim(string_split(p, ',')[2]) || '|' || trim(array_to_string(string_split(p, ',')[3:], ',')) || '|' || (p LIKE '[%')::VARCHAR, ';' ORDER BY linha)
      FROM (SELECT o.linha, regexp_extract(o.line, '^@param (.*)$', 1) AS p FROM l o WHERE o.arquivo = b.arquivo AND o.line LIKE '@param %')) AS params,
   (SELECT string_agg(regexp_extract(o.line, '^@nota (.*)$', 1), chr(10) ORDER BY o.linha) FROM l o WHERE o.arquivo = b.arquivo AND o.line LIKE '@nota %') AS nota FROM b"""
+
+
+# The other rules across sources and dictionary.
+_EXPRESSIONS = f"(SELECT X3_ARQUIVO, X3_CAMPO, unnest([X3_VALID, X3_VLDUSER, X3_RELACAO]) AS expr FROM {_SX3})"
+_FINDING = "SELECT DISTINCT 'SX:' || X3_ARQUIVO AS arquivo, X3_CAMPO AS funcao, '{0}' AS regra_id, '{1}' AS severidade"
+QUERIES["sx_missing_routine"] = _sx(lambda t, s: lint.sx001(t["campos"], facts.functions(s)))
+ORACLES["sx_missing_routine"] = rf"""{_FINDING.format('SX-001', 'warning')} FROM (SELECT *, unnest(regexp_extract_all(upper(expr), '\bU_([A-Z][A-Z0-9_]*)', 1)) AS name FROM {_EXPRESSIONS})
+WHERE name NOT IN (SELECT regexp_replace(upper(nome), '^U_', '') FROM ({ORACLES['fixture_functions']}))"""
+QUERIES["sx_unused_question"] = _sx(lambda t, s: lint.sx004(t["perguntas"], facts.questions(s)))
+ORACLES["sx_unused_question"] = f"""SELECT DISTINCT 'SX:SX1' AS arquivo, X1_GRUPO AS funcao, 'SX-004' AS regra_id, 'warning' AS severidade FROM {X.values_sql('sx1')} WHERE upper(X1_GRUPO) NOT IN (SELECT grupo FROM ({ORACLES['fixture_questions']}))"""
+QUERIES["sx_unused_field"] = _sx(lambda t, s: lint.sx005(t["campos"], facts.chunks(s), t["gatilhos"]))
+ORACLES["sx_unused_field"] = rf"""WITH texts AS MATERIALIZED (SELECT upper(content) AS t FROM ({ORACLES['fixture_chunks']}) UNION ALL SELECT upper(expr) FROM {_EXPRESSIONS}
+  UNION ALL SELECT upper(X7_REGRA || ' ' || X7_CONDIC || ' ' || X7_CHAVE) FROM {_SX7})
+{_FINDING.format('SX-005', 'warning')} FROM {_SX3} WHERE (regexp_matches(X3_CAMPO, '^[^_]+_X') OR X3_PROPRI NOT IN ('', 'S')) AND NOT EXISTS (SELECT 1 FROM texts WHERE contains(t, upper(X3_CAMPO)))"""
+QUERIES["sx_restricted_call"] = lambda spark, d: lint.sx007(X.dictionary(spark, d)[0]["campos"], restricted_functions(spark)).select("arquivo", "funcao", "regra_id", "severidade")
+ORACLES["sx_restricted_call"] = rf"""{_FINDING.format('SX-007', 'critical')} FROM (SELECT *, unnest(regexp_extract_all(upper(expr), '\b([A-Z_]\w*)\s*\(', 1)) AS name FROM {_EXPRESSIONS}) WHERE list_contains({_RESTRICTED}, name)"""
+QUERIES["sx_empty_required"] = _sx(lambda t, s: lint.sx009(t["campos"]))
+ORACLES["sx_empty_required"] = rf"""{_FINDING.format('SX-009', 'warning')} FROM {_SX3} WHERE (lower(X3_OBRIGAT) LIKE 'x%' OR upper(X3_OBRIGAT) IN ('S', 'SIM', '1', '.T.')) AND regexp_matches(X3_RELACAO, '(?i)""|''''|\bSpace\(\d+\)|\bNil\b|\.F\.|\b0\s*$')"""
+QUERIES["static_prefixes"] = lambda spark, d: lint.mod003(facts.functions(X.sources(spark, d))).select("arquivo", "funcao", "regra_id", "severidade")
+ORACLES["static_prefixes"] = f"""WITH p AS (SELECT arquivo, lower(nome[1:n]) AS prefix, count(*) AS k FROM ({ORACLES['fixture_functions']}), (SELECT unnest(range(3, 7)) AS n) WHERE kind = 'static_function' AND length(nome) >= n GROUP BY ALL HAVING count(*) >= 3)
+SELECT arquivo, '' AS funcao, 'MOD-003' AS regra_id, 'info' AS severidade FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.arquivo = p.arquivo AND q.prefix <> p.prefix AND starts_with(q.prefix, p.prefix))"""
+QUERIES["unindexed_columns"] = lambda spark, d: lint.perf006(facts.sql_blocks(X.sources(spark, d)), X.dictionary(spark, d)[0]["indices"]).select("arquivo", "funcao", "regra_id", "severidade")
+_COLUMN = "[A-Z][A-Z0-9]{1,2}_[A-Z][A-Z_0-9]*"
+ORACLES["unindexed_columns"] = rf"""WITH q AS (SELECT DISTINCT arquivo, funcao, linha, unnest(regexp_extract_all(upper(snippet[strpos(upper(snippet), 'WHERE'):]), '\b{_COLUMN}', 0)) AS col FROM ({ORACLES['fixture_sql']}) WHERE operacao = 'select' AND contains(upper(snippet), 'WHERE')),
+i AS (SELECT unnest(regexp_extract_all(upper(CHAVE), '{_COLUMN}', 0)) AS col FROM (SELECT arg_max(CHAVE, s_suppkey) AS CHAVE FROM {X.values_sql('six')} GROUP BY INDICE, ORDEM))
+SELECT arquivo, funcao, 'PERF-006' AS regra_id, 'info' AS severidade FROM q WHERE col NOT IN (SELECT col FROM i) AND NOT ends_with(col, '_FILIAL') AND string_split(col, '_')[1] IN (SELECT string_split(col, '_')[1] FROM i)"""
+_CROSS = ("sx_missing_routine", "sx_missing_destination", "sx_unused_parameter", "sx_unused_question", "sx_unused_field", "sx_sql_in_validation", "sx_restricted_call", "sx_shared_table_branch", "sx_empty_required",
+          "sx_trigger_without_seek", "sx_missing_query", "static_prefixes", "unindexed_columns")
+
+
+def cross_rules(spark, d):
+    """All rules across sources and dictionary, whose tables are staged once."""
+    tables = {k: staged(spark, v, k) for k, v in X.dictionary(spark, d)[0].items()}
+    return cross_lint(spark, staged(spark, X.sources(spark, d), "sources"), tables).select("arquivo", "funcao", "regra_id", "severidade")
+
+
+QUERIES["fixture_cross_lint"] = cross_rules
+ORACLES["fixture_cross_lint"] = " UNION ALL ".join(f"SELECT arquivo, funcao, regra_id, severidade FROM ({ORACLES[n]})" for n in _CROSS)

@@ -327,7 +327,7 @@ def values_sql(name: str) -> str:
     if name == _SX2:
         return f"(SELECT * FROM {values} WHERE D_E_L_E_T_ <> '*')"
     each = ", ".join(f"CASE WHEN {h} = '{GROUP}' THEN {h} || '-' || s_suppkey ELSE regexp_replace({h}, '{NAMES}', '\\1' || s_suppkey, 'g') END AS {h}" for h in head)
-    return f"(SELECT {each} FROM supplier, {values} WHERE D_E_L_E_T_ <> '*')"
+    return f"(SELECT {each}, s_suppkey FROM supplier, {values} WHERE D_E_L_E_T_ <> '*')"
 
 
 def sources_sql() -> str:
