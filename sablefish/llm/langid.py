@@ -10,7 +10,8 @@ its positions; the language of the largest share is predicted, with that share a
 Training data: labelled rows outside the held-out fold, at most ``MAX_DOCUMENTS`` distinct texts
 (one of each language at least), chosen by a hash evenly over the languages, each of at most ``MAX_CHARS``
 characters (longer ones give an excerpt from a place that the hash chooses, anywhere in the text, for training only). The driver holds
-this sample only. Each step draws languages alike, then texts, then a run of ``CROP`` bytes of each.
+this sample only. Beside the languages the network learns a class of its own from ``NOISE`` made texts (random printable characters, base64 and hexadecimal runs), so that what is no
+language gets a low share of every language; it is never predicted. Each step draws languages alike, then texts, then a run of ``CROP`` bytes of each.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter; also for
 all texts where there is nothing to learn from (no labelled rows, empty tables). Equal texts
@@ -21,6 +22,7 @@ the label are read; predictions use the text alone.
 
 from __future__ import annotations
 
+from base64 import b64encode
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,7 @@ HIDDEN, STEPS, BATCH, RATE, SEED = 8, 400, 96, 0.02, 7
 #: Segments that run side by side, and numbers of a block of distributions.
 ROWS, BLOCK_NUMBERS = 512, 1 << 20
 MAX_DOCUMENTS, MAX_CHARS, SALTS = 1200, 20_000, 16
+NOISE, NOISE_BYTES = 150, 400
 UNKNOWN = "und"
 PAD = 256
 
@@ -255,14 +258,29 @@ def sample_rows(labelled: DataFrame, most: int = MAX_DOCUMENTS, chars: int = MAX
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["mark"] % (1 << 30), r["mark"], r["lang"]))]
 
 
+def noise(n: int = NOISE, size: int = NOISE_BYTES, seed: int = SEED) -> list[bytes]:
+    """Runs of bytes that are no language: printable characters, base64 and hexadecimal digits in turn."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for k in range(n):
+        raw = rng.bytes(size)
+        if k % 3 == 0:
+            codes = np.frombuffer(raw, np.uint8) % 94 + 33
+            codes[rng.random(size) < 0.15] = 32
+            out.append(codes.astype(np.uint8).tobytes())
+        else:
+            out.append((b64encode(raw) if k % 3 == 1 else raw.hex().encode())[:size])
+    return out
+
+
 def fit(rows: list[tuple[str, str]], **options) -> tuple[Network, list[str]] | None:
     """A trained network and its languages; None where there is nothing to learn."""
     given = [(t, lang) for text, lang in rows if (t := text.encode("utf-8", "surrogatepass"))]
     langs = sorted({lang for _, lang in given})
     if not langs:
         return None
-    net = Network(len(langs))
-    net.train([t for t, _ in given], np.array([langs.index(lang) for _, lang in given]), **options)
+    net, other = Network(len(langs) + 1), noise()
+    net.train([*(t for t, _ in given), *other], np.array([langs.index(lang) for _, lang in given] + [len(langs)] * len(other)), **options)
     return net, langs
 
 
@@ -297,7 +315,7 @@ def predict(df: DataFrame, model: tuple[Network, list[str]] | None, text_col: st
         for batch in batches:
             for part in blocks(batch, text_col, 4 << 20):
                 texts = part.column(text_col)
-                share = net.shares(texts)
+                share = net.shares(texts)[:, : len(langs)]
                 best = share.argmax(axis=1)
                 letter = has_letter(texts)
                 pred = values[np.where(letter, best, len(langs))]

@@ -311,8 +311,8 @@ def test_language_stage_rejects_by_the_network(spark, docs, monkeypatch):
 
     class Halves:
         def shares(self, texts):
-            share = np.array([[0.29, 0.2]] * len(texts))
-            share[[t == "word" for t in texts.to_pylist()]] = [0.1, 0.3]
+            share = np.array([[0.14, 0.1, 0.76]] * len(texts))
+            share[[t == "word" for t in texts.to_pylist()]] = [0.1, 0.15, 0.75]
             return share
 
     monkeypatch.setattr(langid, "learn", lambda *a: (Halves(), ["de", "en"]))

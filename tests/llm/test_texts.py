@@ -269,6 +269,19 @@ def paths(lat, s):
     return out
 
 
+def test_noise_is_no_language():
+    import base64
+    import random
+
+    rng = random.Random(5)
+    net, langs = langid.fit([(words(rng, 80, EN), "en") for _ in range(60)] + [(words(rng, 80, DE), "de") for _ in range(60)], steps=250)
+    assert langs == ["de", "en"]
+    good = net.shares(pa.array([words(rng, 40, parts) for parts in (EN, DE) for _ in range(20)]))
+    bad = net.shares(pa.array([base64.b64encode(rng.randbytes(200)).decode() for _ in range(20)] + [rng.randbytes(100).hex() for _ in range(20)]))
+    assert good[:20, 1].min() > 0.5 and good[20:, 0].min() > 0.5 and bad[:, :2].max() < 0.15
+    assert langid.noise() == langid.noise() and len(langid.noise()) == langid.NOISE
+
+
 def test_lattice_sums_all_segmentations():
     lat = lattice.lattice_at(None)
     for word in ("the", "x", "über", "thing,", "漢"):
