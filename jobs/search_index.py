@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from jobs import common
 from sablefish.operators import postings
+from sablefish.sources.staging import staged
 from sablefish.streaming import batches
 
 PARTITIONS = ("bucket",)
@@ -32,18 +33,33 @@ def _spread(df: DataFrame, key: str, by: str, options: dict) -> DataFrame:
     return out.repartition(options["buckets"] * options["files_per_bucket"], "bucket", F.pmod(F.xxhash64(by), F.lit(options["files_per_bucket"])))
 
 
+#: Ids that a batch has several times, up to which its texts aren't shuffled to make them one.
+BROADCAST_REPEATED = 200_000
+
+
+def one_a_key(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key and text, each key once, with its largest text. Only the texts of repeated keys are brought together."""
+    known = rows.select(key, text).where(F.col(key).isNotNull())
+    repeated = staged(rows.sparkSession, known.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key), "repeated-keys")
+    some = repeated.limit(BROADCAST_REPEATED + 1).count()
+    if not some:
+        return known
+    near = F.broadcast(repeated) if some <= BROADCAST_REPEATED else repeated
+    several = known.join(near, key, "left_semi").groupBy(key).agg(F.max(text).alias(text))
+    return known.join(near, key, "left_anti").unionByName(several)
+
+
 def write_batch(rows: DataFrame, output: str, number: int, options: dict) -> None:
     """The postings of a batch of rows (key and text)."""
     key, text = options["key"], options["text"]
-    texts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(text).alias(text)).persist()
+    texts = one_a_key(rows, key, text)
     tables = {"words": _spread(postings.word_postings(texts, key, text), key, "token", options)}
     if options["trigrams"]:
         tables["trigrams"] = _spread(postings.trigram_postings(texts, key, text), key, "gram", options)
     batches.put(tables, postings.lengths(texts, key, text), output, number, dict.fromkeys(tables, PARTITIONS))
-    spark = rows.sparkSession
-    written = {n: spark.read.parquet(f"{output}/{n}/batch={number}").count() for n in [batches.KEYS] if not texts.isEmpty()}
-    common.log.info("search_index: batch %d read %d rows, %d without an id, and wrote %s", number, rows.count(), rows.where(F.col(key).isNull()).count(), written or "nothing")
-    texts.unpersist()
+    read = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(key).isNull()).alias("none")).first()
+    written = rows.sparkSession.read.parquet(f"{output}/{batches.KEYS}/batch={number}").count()
+    common.log.info("search_index: batch %d read %d rows, %d without an id, and wrote the postings of %d texts", number, read["n"], read["none"], written)
 
 
 def run(spark: SparkSession, table: str, output: str, checkpoint: str, config: dict | None = None) -> int:

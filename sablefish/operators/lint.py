@@ -79,7 +79,7 @@ _SINGLE: dict[str, str] = {
         AND NOT exists(facts, d -> d.kind IN ('function', 'method', 'signature') AND d.line = f.line AND d.start <= f.start AND f.start < d.stop)), f -> struct(f.line AS line, upper(f.g[0]) AS name)))""",
     "PERF-001": f"transform(filter({of('sql')}, f -> rlike(f.g[0], {_q(r'(?i)\bSELECT\s+\*')})), f -> f.line)",
     "PERF-002": f"transform(filter({of('sql')}, f -> {_ERP_SQL} AND NOT rlike(f.g[0], '(?i)%notDel%')), f -> f.line)",
-    "PERF-003": f"transform(filter({of('sql')}, f -> {_ERP_SQL} AND NOT rlike(f.g[0], {_q(r'(?i)%xfilial(?:[: ]\w*)?%')})), f -> f.line)",
+    "PERF-003": f"transform(filter({of('sql')}, f -> {_ERP_SQL} AND NOT rlike(f.g[0], {_q(r'(?i)%xfilial[^%]*%')})), f -> f.line)",
     "PERF-004": f"array_distinct(transform(filter({of('concat')}, f -> exists(facts, l -> l.kind = 'loop' AND f.line > l.line AND f.line < l.stop)), f -> f.line))",
     "PERF-005": f"transform({of('count_check')}, f -> f.line)",
     "MOD-001": f"transform({of('log_console')}, f -> f.line)",
@@ -225,15 +225,28 @@ def mod003(functions: DataFrame) -> DataFrame:
 PSEUDO_COLUMNS = ("D_E_L_E_T_", "R_E_C_N_O_", "R_E_C_D_E_L_")  # fixed values
 
 
+#: What a field's name looks like.
+FIELD = r"^[A-Z][A-Z0-9]{1,2}_[A-Z]\w*$"
+
+
+def filter_columns(sql: Column) -> Column:
+    """The names of fields behind WHERE, up to GROUP or HAVING, and behind ORDER, from a statement's words in their order."""
+    words = F.regexp_extract_all(F.upper(sql), F.lit(r"\w+"), F.lit(0))
+    start = F.struct(F.lit(False).alias("on"), F.array().cast("array<string>").alias("names"))
+
+    def step(state: Column, word: Column) -> Column:
+        on = F.when(word.isin("WHERE", "ORDER"), True).when(word.isin("GROUP", "HAVING"), False).otherwise(state["on"])
+        return F.struct(on.alias("on"), F.when(state["on"] & word.rlike(FIELD), F.array_append(state["names"], word)).otherwise(state["names"]).alias("names"))
+
+    return F.array_distinct(F.aggregate(words, start, step)["names"])
+
+
 def perf006(sql: DataFrame, indices: DataFrame) -> DataFrame:
     """Columns in WHERE or ORDER BY that no index of their tables has; tables are those with an index column of the prefix."""
-    clauses = F.concat(
-        F.regexp_extract_all("snippet", F.lit(r"(?is)\bWHERE\b(.*?)(?=\bGROUP\s+BY\b|\bHAVING\b|\bORDER\s+BY\b|\bEndSql\b|$)"), F.lit(1)),
-        F.regexp_extract_all("snippet", F.lit(r"(?is)\bORDER\s+BY\b(.*?)(?=\bEndSql\b|$)"), F.lit(1)),
-    )
-    used = sql.where("operacao = 'select'").select("arquivo", "funcao", "linha", F.explode(F.array_distinct(F.flatten(F.transform(clauses, lambda c: F.regexp_extract_all(F.upper(c), F.lit(r"\b[A-Z][A-Z0-9]{1,2}_[A-Z][A-Z_0-9]*\b"), F.lit(0)))))).alias("col"))
+    used = sql.where("operacao = 'select'").select("arquivo", "funcao", "linha", F.explode(filter_columns(F.col("snippet"))).alias("col"))
     used = used.where(~F.col("col").isin(*PSEUDO_COLUMNS) & ~F.col("col").endswith("_FILIAL")).withColumn("prefix", F.substring_index("col", "_", 1))
-    own = indices.select("tabela", F.explode(F.regexp_extract_all(F.upper("chave"), F.lit(r"\b[A-Z][A-Z0-9]{1,2}_[A-Z][A-Z_0-9]*\b"), F.lit(0))).alias("icol"))
+    words = F.regexp_extract_all(F.upper("chave"), F.lit(r"\w+"), F.lit(0))
+    own = indices.select("tabela", F.explode(F.filter(words, lambda w: w.rlike(FIELD))).alias("icol"))
     columns = own.select("icol").distinct()
     owners = own.groupBy(F.substring_index("icol", "_", 1).alias("prefix")).agg(F.min("tabela").alias("tabela"))
     rows = used.join(owners, "prefix").join(columns, F.col("col") == F.col("icol"), "left_anti").distinct()

@@ -315,3 +315,36 @@ def cross_rules(spark, d):
 
 QUERIES["fixture_cross_lint"] = cross_rules
 ORACLES["fixture_cross_lint"] = " UNION ALL ".join(f"SELECT arquivo, funcao, regra_id, severidade FROM ({ORACLES[n]})" for n in _CROSS)
+
+
+_LISTS = ("capabilities", "pontos_entrada", "funcoes", "user_funcs", "tabelas_ref", "write_tables", "reclock_tables", "includes", "calls_u", "fields_ref")
+
+
+def summaries(spark, d):
+    """A row a source; its lists as text."""
+    rows = facts.summaries(X.sources(spark, d))
+    return rows.select("arquivo", "encoding", "hash", "lines_of_code", "source_type", *[F.array_join(c, ",").alias(c) for c in _LISTS], "namespace")
+
+
+QUERIES["fixture_summaries"] = summaries
+_FLAGS = {
+    "ENV_OPENER": "contains(text, 'RpcSetEnv(')", "EXEC_AUTO_CALLER": "regexp_matches(text, 'MSExecAuto\\(\\{')", "JOB": "contains(text, 'RpcSetEnv(') AND contains(text, 'Main Function')", "MULTI_FILIAL": "regexp_matches(text, 'xFilial|cEmpAnt')",
+    "MVC": "contains(text, 'ModelDef')", "PE": "contains(text, 'PARAMIXB')", "REST_CLIENT": "regexp_matches(text, '(?i)\\bHttp(Get|Post)\\(')", "RPC": "contains(text, 'RpcSetEnv(')",
+    "WS-REST": "regexp_matches(text, '(?m)^(@[A-Z][a-z]+\\(|WSRESTFUL)')", "WS-SOAP": "regexp_matches(text, '(?m)^WSSERVICE')",
+}
+
+
+def _list_of(column: str, source: str, where: str = "true") -> str:
+    return f"coalesce((SELECT string_agg(DISTINCT {column}, ',' ORDER BY {column}) FROM {source} x WHERE x.arquivo = s.arquivo AND {where}), '')"
+
+
+ORACLES["fixture_summaries"] = f"""WITH s AS MATERIALIZED (SELECT *, list_filter([{', '.join(f"CASE WHEN {v} THEN '{k}' END" for k, v in _FLAGS.items())}], lambda c: c IS NOT NULL) AS flags FROM {X.sources_sql()}),
+f AS MATERIALIZED ({ORACLES['fixture_functions']}), t AS MATERIALIZED ({ORACLES['fixture_tables']}), i AS MATERIALIZED ({ORACLES['fixture_includes']}), c AS MATERIALIZED (SELECT *, arquivo_origem AS arquivo FROM ({ORACLES['fixture_calls']})),
+e AS MATERIALIZED ({ORACLES['fixture_fields']}), n AS MATERIALIZED ({ORACLES['fixture_namespaces']})
+SELECT s.arquivo, 'cp1252' AS encoding, sha1(text) AS hash, len(string_split(text, chr(10))) - 1 AS lines_of_code,
+  CASE WHEN list_contains(flags, 'WS-REST') OR list_contains(flags, 'WS-SOAP') THEN 'webservice' WHEN list_contains(flags, 'MVC') THEN 'mvc' WHEN list_contains(flags, 'PE') THEN 'pe' WHEN contains(text, 'Main Function') THEN 'main_function'
+       WHEN contains(text, 'User Function') THEN 'user_function' ELSE 'outro' END AS source_type,
+  array_to_string(flags, ',') AS capabilities, CASE WHEN list_contains(flags, 'PE') THEN {_list_of('nome', 'f')} ELSE '' END AS pontos_entrada, {_list_of('nome', 'f')} AS funcoes,
+  {_list_of('nome', 'f', "x.kind = 'user_function'")} AS user_funcs, {_list_of('tabela', 't', "x.modo = 'read'")} AS tabelas_ref, {_list_of('tabela', 't', "x.modo = 'write'")} AS write_tables,
+  {_list_of('tabela', 't', "x.modo = 'reclock'")} AS reclock_tables, {_list_of('include', 'i')} AS includes, {_list_of('destino_norm', 'c', "x.tipo = 'user_func'")} AS calls_u, {_list_of('campo', 'e')} AS fields_ref, n.namespace
+FROM s JOIN n ON n.arquivo = s.arquivo"""

@@ -70,6 +70,14 @@ def test_a_batch_that_runs_again_replaces_itself(spark, tmp_path):
     assert stored(search_index.words(spark, str(tmp_path))) == postings_of({1: "one two", 2: "two"})
 
 
+def test_repeated_ids_count_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (1, None), (2, "c"), (3, None), (3, None), (None, "x"), (None, "y")], "doc_id long, text string")
+    for bound in (200_000, 0):
+        monkeypatch.setattr(search_index, "BROADCAST_REPEATED", bound)
+        assert stored(search_index.one_a_key(rows, "doc_id", "text")) == Counter([(1, "b"), (2, "c"), (3, None)])
+    assert stored(search_index.one_a_key(rows.where("text = 'c'"), "doc_id", "text")) == Counter([(2, "c")])
+
+
 def test_index_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "t"))
     search_index.run(spark, str(tmp_path / "t"), str(tmp_path / "out"), str(tmp_path / "check"))

@@ -6,9 +6,11 @@ import os
 import duckdb
 import pytest
 
+from jobs import queries as jobs
 from sablefish.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
+QUERIES, ORACLES = catalog.QUERIES | jobs.QUERIES, catalog.ORACLES | jobs.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -25,10 +27,10 @@ def normal(rows, columns):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n in catalog.ORACLES])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLES])
 def test_query(spark, duck, name):
-    df = catalog.QUERIES[name](spark, DATA)
-    expected = duck.sql(catalog.ORACLES[name])
+    df = QUERIES[name](spark, DATA)
+    expected = duck.sql(ORACLES[name])
     assert sorted(df.columns) == sorted(expected.columns)
     assert normal([tuple(r) for r in df.collect()], df.columns) == normal(expected.fetchall(), expected.columns)
 
@@ -36,4 +38,4 @@ def test_query(spark, duck, name):
 def test_entry_point_has_all_queries():
     import __spark_entry__ as entry
 
-    assert set(catalog.QUERIES) <= set(entry.queries()) and set(catalog.ORACLES) <= set(entry.oracle_sql())
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
