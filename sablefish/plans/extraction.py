@@ -213,6 +213,12 @@ _TOLD = rf"""WITH l AS MATERIALIZED ({_OWNER}), f AS MATERIALIZED ({ORACLES['fix
   FROM f JOIN l ON l.arquivo = f.arquivo AND linha BETWEEN linha_inicio AND linha_fim GROUP BY ALL
 ), found AS (
   SELECT arquivo, unnest(o[n + 1:]) AS linha, 'BP-001' AS regra_id FROM locks WHERE len(o) > n
+  UNION ALL SELECT arquivo, linha, 'BP-002' FROM l b WHERE regexp_matches(line, '(?i)\bBEGIN\s+TRANSACTION\b') AND NOT EXISTS (SELECT 1 FROM l o WHERE o.arquivo = b.arquivo AND regexp_matches(o.line, '(?i)\bEND\s+TRANSACTION\b'))
+  UNION ALL SELECT arquivo, linha, 'BP-003' FROM l b WHERE regexp_matches(line, '(?i)\bMsExecAuto\(') AND NOT EXISTS (SELECT 1 FROM l o WHERE o.arquivo = b.arquivo AND o.linha BETWEEN b.linha AND b.linha + 10 AND contains(lower(o.line), 'lmserroauto'))
+  UNION ALL SELECT arquivo, linha, 'BP-004' FROM l b WHERE regexp_matches(line, '(?i)\bPergunte\("\w+", \.F\.\)') AND NOT EXISTS (SELECT 1 FROM l o WHERE o.arquivo = b.arquivo AND o.linha BETWEEN b.linha AND b.linha + 5 AND regexp_matches(o.line, '(?i)\bMV_PAR\d'))
+  UNION ALL SELECT arquivo, linha_inicio, 'BP-006' FROM f WHERE EXISTS (SELECT 1 FROM l WHERE l.arquivo = f.arquivo AND linha BETWEEN linha_inicio AND linha_fim AND regexp_matches(line, '(?i)\b(DbRLock\(|dbAppend\(\))'))
+    AND EXISTS (SELECT 1 FROM l WHERE l.arquivo = f.arquivo AND linha BETWEEN linha_inicio AND linha_fim AND regexp_matches(line, '(?i)\bRecLock\(') AND NOT contains(line, 'comentado'))
+  UNION ALL SELECT arquivo, linha, 'SEC-001' FROM l b WHERE regexp_matches(line, '(?i)\bRpcSetEnv\(') AND EXISTS (SELECT 1 FROM l o WHERE o.arquivo = b.arquivo AND o.linha < b.linha AND regexp_matches(o.line, '(?i)^CLASS \w+ FROM WSRESTFUL'))
   UNION ALL SELECT arquivo, linha, 'BP-002b' FROM l WHERE regexp_matches(line, '(?i)^\s*Private\s') AND len(list_filter({_DECLARED}, lambda v: v <> '' AND NOT list_contains({_RESERVED}, v))) > 0
   UNION ALL SELECT arquivo, linha, 'BP-005' FROM l WHERE regexp_matches(line, '(?i)\bFunction\s+\w+\([^)]*\)') AND len(string_split(regexp_extract(line, '\(([^)]*)\)', 1), ',')) > 6
   UNION ALL SELECT arquivo, linha_inicio, 'BP-007' FROM f WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.arquivo = f.arquivo AND linha BETWEEN linha_inicio - 30 AND linha_inicio - 1 AND contains(line, '{{Protheus.doc}}'))

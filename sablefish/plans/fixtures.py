@@ -236,6 +236,25 @@ DICTIONARY: dict[str, str] = {
 }
 
 
+#: A further template of the derived sources: what most careful code doesn't do.
+SLIPS = {
+    "descuidos.prw": """User Function LOCDESCUIDO()
+    BEGIN TRANSACTION
+    MSExecAuto({|x| MATA010(x)}, aItem, 3)
+    Pergunte("LOCREL", .F.)
+    DbRLock()
+    RecLock("SZ5", .F.)
+    MsUnlock()
+Return
+
+CLASS LocApi FROM WSRESTFUL
+Static Function Abre()
+    RpcSetEnv("98", "01", "", "", "API", "LOCAPI")
+ENDCLASS
+""",
+}
+TEMPLATES = SOURCES | SLIPS
+
 #: The templates' own names: fields, parameters, routines, question groups and queries; a row's key is put behind each.
 NAMES = r"(Z[56]_[A-Z]+|MV_LOC[A-Z]+|LOC[A-Z]+|CONPLA|SEMCON)"
 GROUP = "031"
@@ -260,9 +279,9 @@ def sources(spark, folder: str):
     from ..operators import facts
     from ..sources import table
 
-    templates = spark.createDataFrame([(k, n, t) for k, (n, t) in enumerate(SOURCES.items())], "k long, name string, text string")
+    templates = spark.createDataFrame([(k, n, t) for k, (n, t) in enumerate(TEMPLATES.items())], "k long, name string, text string")
     customer = table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    met = customer.join(F.broadcast(templates), F.col("c_custkey") % len(SOURCES) == F.col("k"))  # thirteen rows
+    met = customer.join(F.broadcast(templates), F.col("c_custkey") % len(TEMPLATES) == F.col("k"))  # fourteen rows
     key = F.col("c_custkey").cast("string")
     text = F.regexp_replace(F.regexp_replace("text", F.lit(NAMES), F.concat(F.lit("$1"), key)), F.lit("AZUL"), F.col("c_mktsegment"))
     name = F.concat(key, F.lit("_"), "name")
@@ -332,6 +351,6 @@ def values_sql(name: str) -> str:
 
 def sources_sql() -> str:
     """The sources of all customers as a SQL table (arquivo, text)."""
-    values = ", ".join(f"({k}, {_quote(n)}, {_quote(t)})" for k, (n, t) in enumerate(SOURCES.items()))
+    values = ", ".join(f"({k}, {_quote(n)}, {_quote(t)})" for k, (n, t) in enumerate(TEMPLATES.items()))
     text = f"replace(regexp_replace(text, '{NAMES}', '\\1' || c_custkey, 'g'), 'AZUL', c_mktsegment) || '// ' || c_name || chr(10)"
-    return f"(SELECT c_custkey || '_' || name AS arquivo, {text} AS text FROM customer JOIN (VALUES {values}) AS t(k, name, text) ON c_custkey % {len(SOURCES)} = k)"
+    return f"(SELECT c_custkey || '_' || name AS arquivo, {text} AS text FROM customer JOIN (VALUES {values}) AS t(k, name, text) ON c_custkey % {len(TEMPLATES)} = k)"
