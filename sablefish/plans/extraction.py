@@ -90,9 +90,13 @@ QUERIES["sx_field_groups"] = lambda spark, d: X.dictionary(spark, d)[0]["grupos_
 ORACLES["sx_field_groups"] = f"""SELECT XG_GRUPO AS grupo, CAST(XG_TAMANHO AS INTEGER) AS tamanho, (SELECT count(*) FROM {_SX3} f WHERE f.X3_GRPSXG = g.XG_GRUPO) AS total_campos FROM {X.values_sql('sxg')} g"""
 
 
+_IMPACT = "Z5_PLACA9"
+
+
 def fixture_impact(spark, d):
     tables, _ = X.dictionary(spark, d)
-    return commands.impact(facts.chunks(X.sources(spark, d)), tables["campos"], tables["gatilhos"], tables["perguntas"].withColumns({"f3": F.col("f3")}), "Z5_PLACA7")
+    found = commands.impact(facts.chunks(X.sources(spark, d)), tables["campos"], tables["gatilhos"], tables["perguntas"].withColumns({"f3": F.col("f3")}), _IMPACT)
+    return found.select("tipo", "local", "severidade")
 
 
 def fixture_cascade(spark, d):
@@ -354,3 +358,13 @@ SELECT s.arquivo, 'cp1252' AS encoding, sha1(text) AS hash, len(string_split(tex
   {_list_of('nome', 'f', "x.kind = 'user_function'")} AS user_funcs, {_list_of('tabela', 't', "x.modo = 'read'")} AS tabelas_ref, {_list_of('tabela', 't', "x.modo = 'write'")} AS write_tables,
   {_list_of('tabela', 't', "x.modo = 'reclock'")} AS reclock_tables, {_list_of('include', 'i')} AS includes, {_list_of('destino_norm', 'c', "x.tipo = 'user_func'")} AS calls_u, {_list_of('campo', 'e')} AS fields_ref, n.namespace
 FROM s JOIN n ON n.arquivo = s.arquivo"""
+
+_WORD = f"(^|[^A-Z0-9_]){_IMPACT}($|[^A-Z0-9_])"
+_CONTEXT_OF = f"upper(trim(regexp_replace(substr(content, greatest(1, strpos(upper(content), '{_IMPACT}') - 60), 200), '[ \\t\\r\\n]+', ' ', 'g')))"
+_MARKED = " OR ".join("contains({0}, '{1}')".format(_CONTEXT_OF, m.replace("'", "''")) for m in commands.CRITICAL_MARKS)
+ORACLES["fixture_impact"] = f"""WITH RECURSIVE g AS {_SX7}, reach AS (
+  SELECT DISTINCT node, 0 AS level FROM (SELECT X7_CAMPO AS node FROM g WHERE regexp_matches(upper(X7_REGRA), '{_WORD}') OR regexp_matches(upper(X7_CONDIC), '{_WORD}') OR X7_CAMPO = '{_IMPACT}' UNION SELECT '{_IMPACT}')
+  UNION SELECT X7_CDOMIN, level + 1 FROM reach JOIN g ON X7_CAMPO = node WHERE level < 2)
+SELECT 'fonte' AS tipo, arquivo || '::' || funcao AS local, CASE WHEN {_MARKED} THEN 'critical' ELSE 'warning' END AS severidade FROM ({ORACLES['fixture_chunks']}) WHERE regexp_matches(upper(content), '{_WORD}')
+UNION ALL SELECT 'SX3', X3_ARQUIVO || '.' || X3_CAMPO, 'warning' FROM {_SX3} WHERE X3_CAMPO = '{_IMPACT}' OR regexp_matches(upper(X3_VALID || ' ' || X3_RELACAO || ' ' || X3_VLDUSER), '{_WORD}')
+UNION ALL SELECT 'SX7', X7_CAMPO || '#' || X7_SEQUENC, 'critical' FROM g WHERE X7_CAMPO IN (SELECT node FROM reach)"""
