@@ -196,7 +196,7 @@ def test_every_position_is_labelled(trained, monkeypatch):
         monkeypatch.setattr(langid, "CONTEXT", context)
         monkeypatch.setattr(langid, "ROWS", rows)
         for text, share in zip(texts, net.shares(pa.array(texts)), strict=True):
-            data, total = (text or "").encode(), np.zeros(2)
+            data, total = (text or "").encode(), np.zeros(len(net.p["ob"]))
             for k in range(0, len(data), segment):
                 low = max(0, k - context)
                 part = data[low : min(len(data), k + segment + context)]
