@@ -150,6 +150,9 @@ def test_quality_over_a_table(spark, docs, no_docs):
     assert by[305] == by[306] and by[3] == by[200] == by[201]
     shuffled = quality.classify(spark, docs.drop("lang", "source", "score").repartition(7), labels.union(labels)).collect()
     assert Counter((r["doc_id"], r["score"]) for r in shuffled) == Counter((r["doc_id"], r["score"]) for r in out)  # repeated labels, other partitions
+    # labels without an id or a value, and of ids that no document has, teach nothing
+    odd = spark.createDataFrame([(None, 1, 0), (5, None, None), (99_999, 0, 0)], "doc_id long, quality int, toxic int")
+    assert Counter((r["doc_id"], r["score"]) for r in quality.classify(spark, docs, labels.union(odd)).collect()) == Counter((r["doc_id"], r["score"]) for r in out)
     nothing = quality.classify(spark, docs, labels.limit(0)).select("score", "predicted").distinct().collect()
     assert [tuple(r) for r in nothing] == [(0.5, 1)]
     assert quality.classify(spark, no_docs, labels).count() == 0
