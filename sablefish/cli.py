@@ -4,22 +4,32 @@ from __future__ import annotations
 
 import argparse
 import sys
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__
-from .operators import commands, cookbook, facts, lint, render, search
+from .operators import commands, cookbook, facts, lint, render
 from .sources import catalogs, dictionary, files
-from .streaming import refresh
+from .streaming import batches, refresh
 
 
 class NotIngestedError(RuntimeError):
     """The store has no such table yet."""
 
 
+#: The entry of the pointer file for the folder of the tables that ingest writes in batches, and those of them that aren't fact tables.
+FACTS = "_facts"
+BY_SOURCE = (refresh.WORDS, "arquivos", "funcoes", "lint_single")
+
+
 class Store:
-    """Fact and dictionary tables as Parquet below a folder; a write makes a new version and points to it last."""
+    """Tables as Parquet below a folder, and a file of pointers that is written last.
+
+    What hangs on sources (facts, their word index, findings in single sources) is written in batches: an incremental ingest writes the rows of changed sources only, a
+    full one begins a new folder. Other tables are written whole.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -28,53 +38,60 @@ class Store:
         place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
 
-    def versions(self) -> dict[str, str]:
-        """Table names to the paths of their current versions."""
+    def pointers(self) -> dict[str, str]:
         path = f"{self.folder}/_current"
         if not self._exists(path):
             return {}
         return {r["name"]: r["path"] for r in self.spark.read.schema("name string, path string").json(path).collect()}
 
+    def point(self, to: dict[str, str]) -> None:
+        rows = self.spark.createDataFrame(sorted((self.pointers() | to).items()), "name string, path string").coalesce(1)
+        rows.write.mode("overwrite").json(f"{self.folder}/_current")
+
+    def names(self) -> list[str]:
+        """The tables that there are."""
+        known = self.pointers()
+        inside = [*refresh.FACT_TABLES, *(n for n in BY_SOURCE if n != "lint_single"), "lint_findings"] if FACTS in known else []
+        return sorted({*inside, *(n for n in known if n not in (FACTS, "cross_findings"))})
+
     def table(self, name: str) -> DataFrame:
-        known = self.versions()
-        if name not in known:
-            raise NotIngestedError(f"{name} isn't in {self.folder}; ingest first")
-        return self.spark.read.parquet(known[name])
+        known = self.pointers()
+        if name == "lint_findings":
+            single = self.table("lint_single")
+            return single.unionByName(self.table("cross_findings")) if "cross_findings" in known else single
+        if name in refresh.FACT_TABLES or name in BY_SOURCE:
+            if FACTS in known:
+                return refresh.load(self.spark, known[FACTS], name)
+        elif name in known:
+            return self.spark.read.parquet(known[name])
+        raise NotIngestedError(f"{name} isn't in {self.folder}; ingest first")
 
     def write(self, tables: dict[str, DataFrame]) -> None:
-        import uuid
-
-        known = self.versions()
+        paths = {}
         for name, df in tables.items():
-            path = f"{self.folder}/{name}/{uuid.uuid4().hex}"
-            df.write.parquet(path)
-            known[name] = path
-        rows = self.spark.createDataFrame(sorted(known.items()), "name string, path string").coalesce(1)
-        rows.write.mode("overwrite").json(f"{self.folder}/_current")
+            paths[name] = f"{self.folder}/{name}/{uuid.uuid4().hex}"
+            df.write.parquet(paths[name])
+        self.point(paths)
 
 
 def ingest(store: Store, root: str, incremental: bool = False, only: str | None = None, with_content: bool = True) -> DataFrame:
     """All sources of a tree, only new and changed ones, or ``only`` one by name, into the store; with a word index of their texts."""
     found = files.scan(store.spark, root)
-    incremental = incremental or only is not None
+    folder = store.pointers().get(FACTS) if incremental or only is not None else None
     if only is not None:
         found = found.where(F.lower("arquivo") == only.lower())
-    known = store.versions()
-    old = {n: store.table(n) for n in known if n in refresh.FACT_TABLES} if incremental else {}
-    if incremental and only is None and "arquivos" in known:
+    elif folder is not None:
         found = files.changed(found, store.table("arquivos"))
-    sources = facts.scan_sources(found).cache()
-    tables = refresh.refresh(old, sources, with_content) if old else refresh.build(sources, with_content)
-    listing = sources.select("arquivo", "caminho_relativo", "tipo_arquivo", "mtime_ns", "size_bytes", "encoding", "error").withColumn("indexed_at", F.current_timestamp())
-    tables["palavras"] = search.token_table(tables["fonte_chunks"].where("content <> ''"), "id", "content")
-    names = sources.select("arquivo")
-    findings = lint.lint_sources(sources)
-    from .operators import relational as R
-
-    if incremental and "arquivos" in known:
-        listing = R.replace_by_key(store.table("arquivos"), listing, "arquivo", names)
-        findings = R.replace_by_key(store.table("lint_findings"), findings, "arquivo", names)
-    store.write({**tables, "arquivos": listing, "lint_findings": findings, "funcoes": facts.functions(sources)} if not old else {**tables, "arquivos": listing, "lint_findings": findings})
+    batch = 0 if folder is None else batches.last(store.spark, folder) + 1
+    if folder is None or not found.isEmpty():
+        sources = facts.scan_sources(found).cache()
+        listing = sources.select("arquivo", "caminho_relativo", "tipo_arquivo", "mtime_ns", "size_bytes", "encoding", "error").withColumn("indexed_at", F.current_timestamp())
+        more = {"arquivos": listing, "funcoes": facts.functions(sources), "lint_single": lint.lint_sources(sources)}
+        place = folder or f"{store.folder}/{FACTS}/{uuid.uuid4().hex}"
+        refresh.write(sources, place, batch, with_content, more)
+        sources.unpersist()
+        if folder is None:
+            store.point({FACTS: place})
     return commands.status({n: store.table(n) for n in ("arquivos", "fonte_chunks", "chamadas_funcao", "lint_findings")})
 
 
@@ -88,7 +105,7 @@ def ingest_dictionary(store: Store, folder: str) -> tuple[DataFrame, dict[str, s
 
 
 def cross_lint(store: Store) -> DataFrame:
-    known = store.versions()
+    known = store.names()
     names = [e.table for e in dictionary.EXPORTS.values() if e.table in known]
     chunks = store.table("fonte_chunks")
     made = {
@@ -97,7 +114,7 @@ def cross_lint(store: Store) -> DataFrame:
     }
     found = lint.cross_rules({n: store.table(n) for n in names}, made, catalogs.restricted(store.spark))
     cross = [r for r in lint.SEVERITY if r not in lint.SINGLE_RULES]
-    store.write({"lint_findings": lint.persist(store.table("lint_findings"), found, cross)})
+    store.write({"cross_findings": lint.persist(store.table("lint_single").limit(0), found, cross)})
     return found
 
 
@@ -152,7 +169,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame | str:
     if c == "reindex":
         return ingest(store, args.root, only=args.name)
     if c == "sql":
-        return cookbook.run(spark, {n: t(n) for n in store.versions()}, args.statement)
+        return cookbook.run(spark, {n: t(n) for n in store.names()}, args.statement)
     if c == "ingest-sx":
         lost, failed = ingest_dictionary(store, args.folder)
         for name, why in failed.items():
@@ -163,9 +180,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame | str:
             from .operators import relational as R
 
             return R.snapshot_diff(t("arquivos"), files.scan(spark, args.check_stale, content=False), "arquivo", "mtime_ns")
-        return commands.status({n: t(n) for n in sorted(store.versions())})
+        return commands.status({n: t(n) for n in store.names()})
     if c == "sx-status":
-        return commands.status({e.table: t(e.table) for e in dictionary.EXPORTS.values() if e.table in store.versions()})
+        return commands.status({e.table: t(e.table) for e in dictionary.EXPORTS.values() if e.table in store.names()})
     if c == "doctor":
         return commands.doctor(t("arquivos"), t("fonte_chunks"), t("palavras"))
     if c == "find":

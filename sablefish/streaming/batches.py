@@ -32,6 +32,11 @@ def keys(spark: SparkSession, folder: str, key: str) -> DataFrame:
     return found.join(last, (F.col(key) == F.col("_key")) & (F.col("batch") == F.col("_last")), "left_semi")
 
 
+def last(spark: SparkSession, folder: str) -> int:
+    """The number of the last batch."""
+    return spark.read.parquet(f"{folder}/{KEYS}").agg(F.max("batch")).first()[0]
+
+
 def current(spark: SparkSession, folder: str, name: str, key: str, table_key: str | None = None, columns: str | None = None) -> DataFrame:
     """The rows of a table that count, with their ``batch``. The table itself isn't shuffled where few keys were replaced.
 
@@ -41,13 +46,16 @@ def current(spark: SparkSession, folder: str, name: str, key: str, table_key: st
     logged = every.select(F.col(key).alias("_key"), F.col("batch").alias("_batch"))
     reader = spark.read if columns is None else spark.read.schema(f"{table_key or key} {every.schema[key].dataType.simpleString()}, {columns}, batch long")
     found = reader.parquet(f"{folder}/{name}")
-    last = logged.groupBy(F.col("_key").alias("_again")).agg(F.max("_batch").alias("_last"))
-    replaced = logged.join(last, (F.col("_key") == F.col("_again")) & (F.col("_batch") < F.col("_last")), "left_semi")
     # what a batch has written before its keys doesn't count yet
     counted = [r["_batch"] for r in logged.select("_batch").distinct().collect()]
+    found = found.where(F.col("batch").isin(counted))
+    if len(counted) == 1:
+        return found
+    last = logged.groupBy(F.col("_key").alias("_again")).agg(F.max("_batch").alias("_last"))
+    replaced = logged.join(last, (F.col("_key") == F.col("_again")) & (F.col("_batch") < F.col("_last")), "left_semi")
     few = replaced.limit(BROADCAST_REPLACED + 1).count() <= BROADCAST_REPLACED
     at = F.col(table_key or key)
-    return found.where(F.col("batch").isin(counted)).join(F.broadcast(replaced) if few else replaced, (at == F.col("_key")) & (F.col("batch") == F.col("_batch")), "left_anti")
+    return found.join(F.broadcast(replaced) if few else replaced, (at == F.col("_key")) & (F.col("batch") == F.col("_batch")), "left_anti")
 
 
 def compact(spark: SparkSession, folder: str, target: str, names: dict[str, str], key: str, partitions: dict[str, tuple[str, ...]] | None = None) -> None:

@@ -38,15 +38,15 @@ def refresh(stored: dict[str, DataFrame], sources: DataFrame, with_content: bool
     return out
 
 
-def write(sources: DataFrame, folder: str, batch: int) -> None:
-    """A batch of all fact tables below ``folder`` and of their word index: the rows of the given sources only, which replace those of earlier batches.
+def write(sources: DataFrame, folder: str, batch: int, with_content: bool = True, more: dict[str, DataFrame] | None = None) -> None:
+    """A batch of all fact tables below ``folder``, of their word index and of ``more`` tables by ``arquivo``: the rows of the given sources only, which replace those of earlier batches.
 
     A batch that is run again replaces itself.
     """
-    tables = build(sources)
+    tables = build(sources, with_content)
     words = search.token_table(tables["fonte_chunks"].where("content <> ''").withColumn("chunk", F.struct("arquivo", "id")), "chunk", "content")
     tables[WORDS] = words.select("chunk.arquivo", "chunk.id", "pos", "token")
-    batches.put(tables, sources.select("arquivo").distinct(), folder, batch)
+    batches.put(tables | (more or {}), sources.select("arquivo").distinct(), folder, batch)
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -41,12 +41,18 @@ def test_commands(spark, tmp_path, capsys):
     (root / "legado.prw").write_text("User Function ZOLD()\nReturn\n")
     call("reindex", str(root), "LEGADO.prw")
     assert call("find", "zold")[0]["_kind"] == "funcao" and len(call("find", "LOCGRAVA")) == 1
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "store" / "_facts").rglob("*.parquet")}
     (root / "legado.prw").write_text("User Function ZNEW()\nReturn\n")
     import os
 
     os.utime(root / "legado.prw", (2_000_000_000, 2_000_000_000))
     assert [(r["arquivo"], r["status"]) for r in call("status", "--check-stale", str(root))] == [("legado.prw", "stale")]
     call("ingest", str(root), "--incremental")
+    # only the changed source's rows were written, and nothing where nothing has changed
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "store" / "_facts").rglob("*.parquet")}
+    assert before.items() <= after.items() and {r["arquivo"] for r in spark.read.parquet(*[str(p) for p in after.keys() - before.keys() if "/fonte_chunks/" in str(p)]).collect()} == {"legado.prw"}
+    call("ingest", str(root), "--incremental")
+    assert len(list((tmp_path / "store" / "_facts").rglob("*.parquet"))) == len(after)
     assert call("find", "znew")[0]["_kind"] == "funcao" and call("find", "StaticCall") == []
     assert call("status", "--check-stale", str(root)) == [] and len(call("find", "LOCGRAVA")) == 1
 
