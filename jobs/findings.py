@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from jobs import common
 from sablefish.operators import multipattern
 from sablefish.operators import relational as R
+from sablefish.sources import spread
 
 COLUMNS = ("table_name", "rule_id", "severity", "key", "line", "n", "snippet")
 
@@ -58,7 +59,7 @@ def findings(spark: SparkSession, tables: dict[str, DataFrame], options: dict) -
     literal, other = [r for r in options["rules"] if "literals" in r], [r for r in options["rules"] if "literals" not in r]
     out = None
     for name, df in tables.items():
-        lines = lines_of(df, options["tables"][name]["key"], options["tables"][name]["text"])
+        lines = lines_of(spread(df), options["tables"][name]["key"], options["tables"][name]["text"])
         parts = [found_by_expressions(lines, other)] if other else []
         parts += [found_by_literals(spark, lines, literal)] if literal else []
         for part in parts:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, multipattern, positional, postings, search
 from ..operators import relational as R
-from ..sources import TABLES, table
+from ..sources import TABLES, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,7 +107,7 @@ def fts_rank(spark, d):
 @query(f"""SELECT token, count(*) AS n FROM (SELECT unnest({_TOKENS}) AS token FROM documents) GROUP BY token ORDER BY n DESC, token LIMIT 50""")
 def term_topk(spark, d):
     """The fifty most frequent words."""
-    tokens = search.token_table(table(spark, d, "documents"), "doc_id", "text")
+    tokens = search.token_table(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(50)
 
 
@@ -122,7 +122,7 @@ _TRIGRAMS = "list_distinct(list_transform(range(1, greatest(length({0}) - 1, 1))
 @query("""SELECT b.item_id, d.doc_id FROM (SELECT item_id, lower(substr(text, 20, 24)) AS needle FROM benchmark) b JOIN documents d ON contains(lower(d.text), b.needle)""")
 def trigram_search(spark, d):
     """Which texts hold a part of a declared text in any case, by the trigram postings of all texts."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     asked = table(spark, d, "benchmark").select("item_id", F.substring("text", 20, 24).alias("needle"))
     return postings.substring_search(spark, postings.trigram_postings(docs, "doc_id", "text"), docs, "doc_id", "text", asked, "item_id", "needle")
 
@@ -130,7 +130,7 @@ def trigram_search(spark, d):
 @query(f"""SELECT gram, count(*) AS n FROM (SELECT unnest({_TRIGRAMS.format('text')}) AS gram FROM documents WHERE length(text) >= 3) GROUP BY gram""")
 def trigram_counts(spark, d):
     """How many texts have each trigram."""
-    found = postings.trigram_postings(table(spark, d, "documents"), "doc_id", "text")
+    found = postings.trigram_postings(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
     return found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -140,7 +140,7 @@ f AS (SELECT token, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) A
 SELECT doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)) ORDER BY token), 6) AS score FROM p JOIN f USING (token), l GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 50""")
 def bm25_top(spark, d):
     """The fifty best texts for some words by BM25."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return postings.bm25(postings.word_postings(docs, "doc_id", "text"), postings.lengths(docs, "doc_id", "text"), "doc_id", ["License", "rights", "the", "und"], 50)
 
 

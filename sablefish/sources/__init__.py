@@ -14,3 +14,9 @@ TABLES = (
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table of a folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that reads in fewer parts than there are cores, dealt out to all of them for work that takes long for its size; larger ones as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
