@@ -1,7 +1,7 @@
 """Which code page a text's bytes are in, by the likelihood of what they decode to.
 
-A model holds how often pairs of character classes follow each other, and how often each letter beyond ASCII occurs, counted over all of some texts. Bytes are decoded by every code page that can; the decoding
-whose characters the model finds likeliest wins. All bytes count, not a first block. Valid UTF-8 with a character beyond ASCII is UTF-8, and plain ASCII needs no choice.
+A model holds how often pairs of character classes follow each other, how often each letter beyond ASCII occurs and what stands beside it, counted over all of some texts. Bytes are decoded by every code page that can; the decoding
+whose characters the model finds likeliest wins. All bytes count, not a first block. Valid UTF-8 with a character beyond ASCII is UTF-8, unless the model knows none of these and a code page shows only letters that it knows. Plain ASCII needs no choice.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: The first of equals wins.
 CODE_PAGES = ("cp1252", "cp850", "iso8859_15", "cp437")
 PLAIN = "cp1252"
+#: How many neighbours of a letter are taken for granted, dealt evenly to the letters.
+SMOOTHING = 8
 CLASSES = "luLUdspo"  # lower and upper ASCII letters, other lower and upper letters, digits, white space, punctuation, the rest
 
 
@@ -27,8 +29,17 @@ def class_of(c: str) -> int:
     return 2 if c.islower() else 3 if c.isupper() else 7
 
 
+#: Characters beyond ASCII that bytes of some code page decode to: neighbours of others aren't counted, which bounds a model whatever texts it learns from.
+CODED = frozenset(c for page in CODE_PAGES for c in bytes(range(128, 256)).decode(page, "ignore"))
+
+
+def symbol(c: str) -> str:
+    """A neighbour as a model knows it: a letter in lower case, else its class."""
+    return c.lower()[0] if c.isalpha() and (c.isascii() or c in CODED) else str(class_of(c))
+
+
 def counts(text: str) -> Counter:
-    """Pairs of classes around characters beyond ASCII, and these characters."""
+    """Pairs of classes around characters beyond ASCII, these characters, and their neighbours on both sides."""
     out: Counter = Counter()
     known = [class_of(c) for c in text]
     for k, c in enumerate(text):
@@ -37,6 +48,9 @@ def counts(text: str) -> Counter:
             for a, b in ((k - 1, k), (k, k + 1)):
                 pair = [known[i] if 0 <= i < len(text) else 5 for i in (a, b)]
                 out[f"2{pair[0]}{pair[1]}"] += 1
+            if c in CODED:
+                for place, at in (("<", k - 1), (">", k + 1)):
+                    out[f"3{place}{c}{symbol(text[at]) if 0 <= at < len(text) else 5}"] += 1
     return out
 
 
@@ -56,35 +70,59 @@ class Model:
             totals[class_of(c)] += n
         self.letters = {c: math.log((n + 0.5) / (totals[class_of(c)] + 64)) for c, n in letters.items()}
         self.unseen = [math.log(0.5 / (totals[k] + 64)) for k in range(len(CLASSES))]
+        # a neighbour's share of those of its class beside this letter, on this side
+        self.beside = {k: n for k, n in found.items() if k[0] == "3"}
+        self.around: Counter = Counter()
+        for k, n in self.beside.items():
+            self.around[self._of_class(k)] += n
+
+    @staticmethod
+    def _of_class(beside: str) -> str:
+        c = beside[3]
+        return beside[1:3] + ("a" if c.isascii() and c.isalpha() else "x" if c.isalpha() else c)
+
+    def _beside(self, key: str) -> float:
+        c = key[3]
+        if not c.isalpha():
+            return 0.0  # the class tells all
+        return math.log((self.beside.get(key, 0) + SMOOTHING / 32) / (self.around[self._of_class(key)] + SMOOTHING))
 
     def score(self, text: str) -> float:
         total = 0.0
         for k, n in counts(text).items():
-            total += n * (self.letters.get(k[1:], self.unseen[class_of(k[1:])]) if k[0] == "1" else float(self.pairs[int(k[1]), int(k[2])]))
+            if k[0] == "1":
+                total += n * self.letters.get(k[1:], self.unseen[class_of(k[1:])])
+            else:
+                total += n * (float(self.pairs[int(k[1]), int(k[2])]) if k[0] == "2" else self._beside(k))
         return total
 
     def detect(self, raw: bytes) -> str:
         """The name of the encoding of some bytes."""
         if raw.isascii():
             return PLAIN
+        best, name, known = -math.inf, "latin-1", False
         try:
-            raw.decode("utf-8")
-            return "utf-8"
+            if not self.letters.keys().isdisjoint(raw.decode("utf-8")):
+                return "utf-8"
+            # by accident, maybe: then a page shows known letters only
+            name, known = "utf-8", True
         except UnicodeDecodeError:
             pass
-        best, name = -math.inf, "latin-1"
         for page in CODE_PAGES:
             try:
-                score = self.score(raw.decode(page))
+                text = raw.decode(page)
             except UnicodeDecodeError:
                 continue
+            if known and not all(c.isascii() or c in self.letters for c in text):
+                continue
+            score = self.score(text)
             if score > best:
                 best, name = score, page
         return name
 
 
 def learn(texts: DataFrame, text: str) -> Model:
-    """A model of all texts; what comes to the driver is a row a class pair and a row a character that occurs."""
+    """A model of all texts; what comes to the driver is a row a class pair, a row a character that occurs and a row a pair of letters around those of code pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()

@@ -27,11 +27,21 @@ def _query(sql: str):
 
 
 PAGES = ("cp1252", "cp850", "utf-8")
+#: Stands for characters that a page lacks. A question mark would make plain ASCII of a text that has only such ones.
+LACKING = "é"
+
+
+def _bytes(text: str, page: str) -> bytes:
+    try:
+        return text.encode(page)
+    except UnicodeEncodeError:
+        known = {c: c if c.encode(page, "ignore") else LACKING for c in set(text)}
+        return "".join(known[c] for c in text).encode(page)
 
 
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw = [(t or "").encode(PAGES[i % 3], "replace") for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        raw = [_bytes(t or "", PAGES[i % 3]) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["doc_id", "raw"])
 
 

@@ -121,3 +121,20 @@ def test_charset_of_held_out_texts():
         assert sum(model.detect(f"outra {w} aqui, {w}.".encode(page)) == page for w in words[1::2]) >= len(words[1::2]) - 1
     assert model.detect(b"plain") == "cp1252" and model.detect("é".encode()) == "utf-8" and model.detect(b"") == "cp1252"
     assert T.decode("São João".encode("cp850"), model.detect) == ("São João", "cp850")
+
+
+def test_charset_of_short_texts():
+    found = Counter()
+    for text in ["Öl für schöne Größe, Öfen aus Äpfeln über Flüsse"] * 20 + ["Índice del niño, así dice él, aquí está el camino en Ítaca"] * 8:
+        found.update(charset.counts(text))
+    model = charset.Model(found)
+    # cp850's Í is cp1252's Ö, which is more frequent: what stands beside it tells them apart
+    assert model.detect("Índigo".encode("cp850")) == "cp850" and model.detect("Öle".encode("cp1252")) == "cp1252"
+    # bytes of a code page that happen to be valid UTF-8, of a character that no text had; and an unknown script
+    raw = "schßöü".encode("cp850")
+    assert len(raw.decode("utf-8")) == 4 and model.detect(raw) == "cp850"
+    assert model.detect("漢字".encode()) == "utf-8" and model.detect("über".encode()) == "utf-8"
+
+
+def test_encoded_texts_keep_a_letter_beyond_ascii():
+    assert derived._bytes("für 漢字", "cp850") == "für éé".encode("cp850") and derived._bytes("— ok", "cp850") == "é ok".encode("cp850") and derived._bytes("€", "cp1252") == b"\x80"
