@@ -45,15 +45,15 @@ def innermost(points: DataFrame, at: str, ranges: DataFrame, start: str, end: st
 
     A range join without a nested loop: a range goes to each cell of width ``cell`` that
     it touches and a point to its own, so both meet by equality on the cell. With ``cell`` near the ranges'
-    usual width a range has few cells, and rows of a cell stay few whatever the span. Points get an id
-    of their content; equal points share a result.
+    usual width a range has few cells, and rows of a cell stay few whatever the span. Each place is looked up once,
+    however many points are there: places meet the ranges, and only a place and its name go back to the points.
     """
-    keys = points.columns
     cells = F.explode(F.sequence(F.floor(F.col(start) / cell), F.floor(F.col(end) / cell)))
-    spread = ranges.select(F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(name).alias("_n"), cells.alias("_cell")).where("_s <= _e")
-    met = points.withColumn("_cell", F.floor(F.col(at) / cell)).join(spread, "_cell").where((F.col(at) >= F.col("_s")) & (F.col(at) <= F.col("_e")))
-    best = met.groupBy(*keys).agg(F.min(F.struct((F.col("_e") - F.col("_s")).alias("w"), "_s", "_e", "_n")).alias("best")).select(*keys, F.col("best._n").alias(name))
-    return points.join(best, keys, "left")
+    spread = ranges.where(F.col(start) <= F.col(end)).select(F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(name).alias("_n"), cells.alias("_cell"))
+    places = points.select(F.col(at).alias("_at")).where("_at IS NOT NULL").distinct()
+    met = places.withColumn("_cell", F.floor(F.col("_at") / cell)).join(spread, "_cell").where("_at >= _s AND _at <= _e")
+    best = met.groupBy("_at").agg(F.min(F.struct((F.col("_e") - F.col("_s")).alias("w"), "_s", "_e", "_n")).alias("best")).select("_at", F.col("best._n").alias(name))
+    return points.join(best, F.col(at) == F.col("_at"), "left").drop("_at")
 
 
 def enclosing_in_array(line: Column, ranges: Column, smallest: bool = True) -> Column:

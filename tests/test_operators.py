@@ -120,3 +120,13 @@ def test_render(spark):
     assert render.as_markdown(df).splitlines()[2] == '| 1 | a\\|b c | ["x"] |'
     assert render.as_table(df, 1).splitlines()[-1] == "(1 of 2 rows)"
     assert "# F" in render.doc_page({"funcao": "F", "params": [{"name": "a", "optional": True, "type": "x", "desc": "y"}], "deprecated": True})
+
+
+def test_innermost_looks_each_place_up_once(spark):
+    points = spark.range(2000).selectExpr("id", "CAST(id % 10 AS INT) AS p").unionByName(spark.createDataFrame([(-1, None)], "id long, p int"))
+    ranges = spark.createDataFrame([(0, 20, "big"), (4, 6, "small"), (9, 3, "none")], "s int, e int, name string")
+    found = positional.innermost(points, "p", ranges, "s", "e", "name", 4)
+    assert found.count() == 2001 and {(r.p, r.name) for r in found.collect()} == {(p, "small" if p and 4 <= p <= 6 else "big" if p is not None else None) for p in [*range(10), None]}
+    # points come to the join of ranges as distinct places: no id is in it or in an aggregate
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("id#" in line for line in plan.splitlines() if "Aggregate" in line)
