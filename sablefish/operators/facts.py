@@ -203,8 +203,9 @@ def _rules(lines: str, arguments: bool) -> list[Rule]:
 
 
 @cache
-def scanner() -> Scanner:
-    return Scanner(_rules(CATALOG, False) + _rules(CALLS, True))
+def scanner(kinds: frozenset[str] | None = None) -> Scanner:
+    """The scanner of all rules, or of those that find some kinds."""
+    return Scanner([r for r in _rules(CATALOG, False) + _rules(CALLS, True) if kinds is None or r.family in kinds or (r.family == "log_any" and "personal" in kinds)])
 
 
 DOC_OPEN, DOC_NAME = "/*/", "protheus.doc"
@@ -230,16 +231,27 @@ def _docs(text: str) -> Iterator[tuple[int, int, str, str | None]]:
         at = text.find(DOC_OPEN, stop)
 
 
+#: An occurrence: kind, line, start, stop, what is kept, arguments.
+Occurrence = tuple[str, int, int, int, list[str], list[str] | None]
+
+
 def occurrences(text: str) -> tuple[str, str, list[dict]]:
     """The text without comments and strings, without comments only, and all occurrences by place."""
+    strict, keep, found = _occurrences(text)
+    return strict, keep, [dict(zip(("kind", "line", "start", "stop", "g", "args"), f, strict=True)) for f in found]
+
+
+def _occurrences(text: str, kinds: frozenset[str] | None = None) -> tuple[str, str, list[Occurrence]]:
+    """As ``occurrences``, all or those of some kinds."""
     strict, keep = T.blank(text), T.blank(text, strings=False)
     newlines = [at for at, c in enumerate(text) if c == "\n"]
     found = []
 
     def add(kind: str, line: int, start: int, stop: int, kept: list[str], args: list[str] | None = None) -> None:
-        found.append({"kind": kind, "line": line, "start": start, "stop": stop, "g": kept, "args": args})
+        if kinds is None or kind in kinds:
+            found.append((kind, line, start, stop, kept, args))
 
-    for rule, line, start, stop, kept in scanner().find(text, strict, keep):
+    for rule, line, start, stop, kept in scanner(kinds).find(text, strict, keep):
         if not rule.arguments:
             if rule.family == "param_read":
                 # its default is in the second or the third place
@@ -254,47 +266,88 @@ def occurrences(text: str) -> tuple[str, str, list[dict]]:
                 add("personal", line, start, inner[1], [])
         elif rule.kind == "log_console":
             add(rule.kind, line, start, stop, kept, [])
-    for start, stop, name, body in _docs(text):
+    for start, stop, name, body in _docs(text) if kinds is None or kinds & {"doc", "doc_open"} else ():
         line = bisect_left(newlines, start) + 1
         add("doc_open", line, start, stop, [])
         if body is not None:
             add("doc", line, start, stop, [name, body])
-    for first, last in T.loops(strict):
+    for first, last in T.loops(strict) if kinds is None or "loop" in kinds else ():
         add("loop", first, first, last, [])
-    found.sort(key=lambda f: f["start"])
+    found.sort(key=lambda f: f[2])
     return strict, keep, found
 
 
-_ARROW = pa.struct([("kind", pa.string()), ("line", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("g", pa.list_(pa.string())), ("args", pa.list_(pa.string()))])
+def _lists(values: list[list | None]) -> pa.Array:
+    """Lists of strings; a list that is None is null."""
+    ends, total = [0], 0
+    for v in values:
+        total += len(v) if v else 0
+        ends.append(total)
+    nulls = pa.array([v is None for v in values]) if None in values else None
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([x for v in values if v for x in v], pa.string()), mask=nulls)
+
+
+def _column(found: list[list[Occurrence]]) -> pa.Array:
+    """The occurrences of some sources, column by column."""
+    ends, total = [0], 0
+    for rows in found:
+        total += len(rows)
+        ends.append(total)
+    kind, line, start, stop, kept, args = zip(*(f for rows in found for f in rows), strict=True) if total else ((),) * 6
+    fields = [pa.array(kind, pa.string()), pa.array(line, pa.int32()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), _lists(list(kept)), _lists(list(args))]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, names=["kind", "line", "start", "stop", "g", "args"]))
+
+
+#: Sources that are read at once at most, and their bytes: what a Python worker holds stays the same however many there are.
+BLOCK_SOURCES, BLOCK_BYTES = 256, 4 << 20
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = [len(v.as_buffer()) if v.is_valid else 0 for v in batch.column("content")]
+        first = total = 0
+        for at, size in enumerate(sizes):
+            if at > first and (at - first == BLOCK_SOURCES or total + size > BLOCK_BYTES):
+                yield batch.slice(first, at - first)
+                first, total = at, 0
+            total += size
+        if first < len(sizes):
+            yield batch.slice(first)
+
+
+#: What the ranges of functions are made of, which all scans find.
+FUNCTION_KINDS = frozenset({"function", "ws_method", "method", "rest_bare"})
 
 
-def scan_sources(files: DataFrame, charsets: Model | None = None) -> DataFrame:
+def scan_sources(files: DataFrame, charsets: Model | None = None, kinds: frozenset[str] | None = None) -> DataFrame:
     """``files`` (arquivo, caminho_relativo, content as binary, ...) with text, encoding and occurrences.
 
     A source that can't be read gets its error and no occurrences; it never fails the job. Bytes that aren't UTF-8 are cp1252 where they can be, or what ``charsets`` finds likeliest.
+    Where only some kinds of occurrences are asked for (``KINDS`` has those of each fact table), the rules for others aren't run.
     """
     detect = charsets.detect if charsets is not None else None
+    wanted = None if kinds is None else frozenset(kinds) | FUNCTION_KINDS
     names = [c for c in files.columns if c != "content"]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, encodings, hashes, found, errors = [], [], [], [], []
-            import hashlib
+        import hashlib
 
+        for batch in _blocks(batches):
+            texts, encodings, hashes, found, errors = [], [], [], [], []
             for value in batch.column("content"):
                 raw = value.as_py() or b""
                 hashes.append(hashlib.sha1(raw).hexdigest())
                 try:
                     text, encoding = T.decode(raw, detect)
-                    rows, error = occurrences(text)[2], None
+                    rows, error = _occurrences(text, wanted)[2], None
                 except Exception as e:  # noqa: BLE001 - one bad source is a row, not a failure
                     text, encoding, rows, error = "", "", [], f"{type(e).__name__}: {e}"
                 texts.append(text)
                 encodings.append(encoding)
                 found.append(rows)
                 errors.append(error)
-            columns = [*(batch.column(c) for c in names), pa.array(texts), pa.array(encodings), pa.array(hashes), pa.array(found, pa.list_(_ARROW)), pa.array(errors, pa.string())]
+            columns = [*(batch.column(c) for c in names), pa.array(texts, pa.string()), pa.array(encodings, pa.string()), pa.array(hashes, pa.string()), _column(found), pa.array(errors, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "text", "encoding", "hash", "facts", "error"])
 
     out = files.mapInArrow(run, f"{kept}, text string, encoding string, hash string, facts array<{OCCURRENCE}>, error string")
@@ -407,16 +460,15 @@ def fields(sources: DataFrame) -> DataFrame:
 
 def endpoints(sources: DataFrame) -> DataFrame:
     """REST endpoints of three styles; a bare one is left out where a classic one of its class, verb and line is."""
-    rows = exploded(sources, "rest_classic", "rest_annotation", "rest_bare")
+    # told within the source's row, so that sources are read once
+    same = "exists(facts, c -> c.kind = 'rest_classic' AND c.g[2] = f.g[1] AND upper(c.g[0]) = upper(f.g[0]) AND c.line = f.line)"
+    rows = sources.selectExpr("arquivo", "facts", f"explode({of('rest_classic', 'rest_annotation', 'rest_bare')}) AS f").where(f"f.kind <> 'rest_bare' OR NOT {same}")
     kind, g = F.col("f.kind"), F.col("f.g")
-    out = rows.select(
+    return rows.select(
         "arquivo", F.when(kind == "rest_classic", g[2]).when(kind == "rest_bare", g[1]).otherwise("").alias("classe"), F.when(kind == "rest_classic", g[1]).otherwise("").alias("funcao"),
         F.upper(g[0]).alias("verbo"), F.when(kind == "rest_annotation", g[1]).otherwise("").alias("path"),
         F.when(kind == "rest_classic", "wsmethod_classico").when(kind == "rest_bare", "wsmethod_restful").otherwise("@verb_tlpp").alias("annotation_style"), F.col("f.line").alias("linha"),
     )
-    bare = F.col("annotation_style") == "wsmethod_restful"
-    classic = out.where("annotation_style = 'wsmethod_classico'").select("arquivo", "classe", "verbo", "linha").distinct()
-    return out.where(~bare).unionByName(out.where(bare).join(classic, ["arquivo", "classe", "verbo", "linha"], "left_anti"))
 
 
 _HTTP = ("HttpPost", "HttpGet", "HttpsPost", "HttpsGet", "MsAGetUrl")
@@ -573,9 +625,11 @@ def execution_triggers(sources: DataFrame) -> DataFrame:
     base = sources.selectExpr("arquivo", "text", "functions", "facts")
     line = "transform(split(text, '\\n'), x -> trim(x))"
 
-    def trigger(kind: str, occurrence: str, target: str, metadata: str, where: str = "true") -> DataFrame:
-        rows = base.selectExpr("*", f"explode({occurrence}) AS f").where(where)
-        return rows.selectExpr("arquivo", f"{enclosing('f.line')} AS funcao", "f.line AS linha", f"'{kind}' AS kind", f"{target} AS target", f"map_filter({metadata}, (k, v) -> v IS NOT NULL AND v <> '') AS metadata", f"substring({line}[f.line - 1], 1, 200) AS snippet")
+    # what each kind is made of, an expression for rows of its number; sources are read once for all of them
+    made: list[tuple[str, str, str, str, str]] = []
+
+    def trigger(kind: str, occurrence: str, target: str, metadata: str, where: str = "true") -> None:
+        made.append((kind, occurrence, target, f"map_filter({metadata}, (k, v) -> v IS NOT NULL AND v <> '')", where))
 
     # a process' scope ends at the next one, the last at most 5000 characters on
     until = "least(coalesce(array_min(transform(filter(facts, n -> n.kind = 'wf_process' AND n.start > f.start), n -> n.start)), f.start + 5000), 2147483647)"
@@ -583,11 +637,11 @@ def execution_triggers(sources: DataFrame) -> DataFrame:
     def scoped(kind: str, k: int, extra: str = "true") -> str:
         return f"get(filter(facts, x -> x.kind = '{kind}' AND x.start > f.start AND x.start < {until} AND {extra}), 0).g[{k}]"
 
-    process = trigger("workflow", of("wf_process"), "f.g[0]", f"""map('process_id', f.g[0], 'description', f.g[1], 'return', {scoped('wf_callback', 1, "lower(x.g[0]) = 'breturn'")},
+    trigger("workflow", of("wf_process"), "f.g[0]", f"""map('process_id', f.g[0], 'description', f.g[1], 'return', {scoped('wf_callback', 1, "lower(x.g[0]) = 'breturn'")},
         'timeout', {scoped('wf_callback', 1, "lower(x.g[0]) = 'btimeout'")}, 'template', {scoped('wf_task', 1)}, 'to', {scoped('wf_to', 0)}, 'subject', {scoped('wf_subject', 0)})""")
-    legacy = trigger("workflow", of("wf_legacy", "wf_prepenv"), "''", "map('style', substring(f.kind, 4))")
+    trigger("workflow", of("wf_legacy", "wf_prepenv"), "''", "map('style', substring(f.kind, 4))")
     array = "filter(facts, x -> x.kind = 'schedule_array' AND x.start > f.start AND x.start < f.start + 3000)"
-    schedule = trigger("schedule", of("schedule"), f"coalesce(get({array}, 0).g[1], '')", f"map('type', get({array}, 0).g[0], 'group', get({array}, 0).g[1], 'alias', get({array}, 0).g[2], 'orders', get({array}, 0).g[3], 'title', get({array}, 0).g[4])")
+    trigger("schedule", of("schedule"), f"coalesce(get({array}, 0).g[1], '')", f"map('type', get({array}, 0).g[0], 'group', get({array}, 0).g[1], 'alias', get({array}, 0).g[2], 'orders', get({array}, 0).g[3], 'title', get({array}, 0).g[4])")
     end = "coalesce(array_min(transform(filter(facts, n -> n.kind = 'job_main' AND n.start > f.start), n -> n.start)), 2147483647)"
 
     def within(kind: str) -> str:
@@ -596,13 +650,20 @@ def execution_triggers(sources: DataFrame) -> DataFrame:
     sleep = f"CAST(get({within('job_sleep')}, 0).g[0] AS BIGINT) * coalesce(try_cast(get({within('job_sleep')}, 0).g[1] AS BIGINT), 1)"
     seconds = f"CAST(IF({sleep} >= 1000, {sleep} DIV 1000, {sleep}) AS STRING)"
     quoted = "regexp_extract(coalesce(get(get({0}, 0).args, {1}), ''), '^[\"\\']([^\"\\']*)[\"\\']$', 1)"
-    job = trigger("job_standalone", of("job_main"), "f.g[0]", f"""map('main', f.g[0], 'empresa', {quoted.format(within('env_open'), 0)}, 'filial', {quoted.format(within('env_open'), 1)}, 'modulo', {quoted.format(within('env_open'), 4)},
+    trigger("job_standalone", of("job_main"), "f.g[0]", f"""map('main', f.g[0], 'empresa', {quoted.format(within('env_open'), 0)}, 'filial', {quoted.format(within('env_open'), 1)}, 'modulo', {quoted.format(within('env_open'), 4)},
         'sleep_seconds', {seconds}, 'stop_file', get({within('job_stop')}, 0).g[0], 'no_licence', IF(size({within('job_no_licence')}) > 0, 'true', ''))""", f"size({within('env_open')}) + size({within('job_no_licence')}) > 0")
     flags = f"'attach', IF({_has('mail_attach')}, 'true', ''), 'mv_rel', IF({_has('mail_mv_rel')}, 'true', '')"
     mails = f"IF({_has('mail_auto', 'mail_udc', 'mail_message')}, {of('mail_auto', 'mail_udc', 'mail_message')}, {of('mail_manager')})"
     first_of_line = f"transform(array({mails}), m -> filter(m, (x, i) -> i = 0 OR m[i - 1].line <> x.line))[0]"
-    mail = trigger("mail_send", first_of_line, "''", f"map('variant', substring(f.kind, 6), {flags})")
-    return process.unionByName(legacy).unionByName(schedule).unionByName(job).unionByName(mail)
+    trigger("mail_send", first_of_line, "''", f"map('variant', substring(f.kind, 6), {flags})")
+    every = ", ".join(f"transform({occurrence}, f -> struct({n} AS n, f AS f))" for n, (_, occurrence, *_) in enumerate(made))
+
+    def by_number(k: int) -> str:
+        return "CASE n " + " ".join(f"WHEN {n} THEN {m[k]}" for n, m in enumerate(made)) + " END"
+
+    rows = base.selectExpr("*", f"inline(concat({every}))").where(by_number(4))
+    kinds = "CASE n " + " ".join(f"WHEN {n} THEN '{m[0]}'" for n, m in enumerate(made)) + " END"
+    return rows.selectExpr("arquivo", f"{enclosing('f.line')} AS funcao", "f.line AS linha", f"{kinds} AS kind", f"{by_number(2)} AS target", f"{by_number(3)} AS metadata", f"substring({line}[f.line - 1], 1, 200) AS snippet")
 
 
 DOC_DISTANCE = 80
@@ -646,3 +707,20 @@ def doc_blocks(sources: DataFrame) -> DataFrame:
     out = out.withColumn("lookup", F.coalesce("funcao", F.lit("")))
     out = R.exact_or_prefix(out, "lookup", names, "catalog_name", "module_inferido").drop("lookup")
     return out.withColumn("module_inferido", F.when(path != "", path).otherwise(F.col("module_inferido"))).drop("caminho_relativo")
+
+
+#: The kinds of occurrences that each fact table reads; functions and chunks need the ranges of functions only, the others all.
+KINDS: dict[object, frozenset[str]] = {
+    functions: frozenset(), chunks: frozenset(), calls: frozenset(CALL_KINDS), tables: frozenset({"table_read", "table_lock", "table_write"}), parameters: frozenset({"param_read", "param_write"}),
+    questions: frozenset({"question"}), includes: frozenset({"include"}), fields: frozenset({"field"}), endpoints: frozenset({"rest_classic", "rest_annotation", "rest_bare"}),
+    http_calls: frozenset({"http"}), env_openers: frozenset({"env_open"}), log_calls: frozenset({"log_message", "log_console"}), defines: frozenset({"define"}), namespaces: frozenset({"namespace"}),
+    sql_blocks: frozenset({"sql"}), ws_structures: frozenset({"ws_struct", "ws_service", "ws_restful", "ws_end", "ws_member", "ws_data"}), ws_signatures: frozenset({"ws_full"}),
+    execauto_calls: frozenset({"exec_auto"}), doc_blocks: frozenset({"doc", "declaration"}),
+    execution_triggers: frozenset({"wf_process", "wf_legacy", "wf_prepenv", "wf_callback", "wf_task", "wf_to", "wf_subject", "schedule", "schedule_array", "job_main", "job_no_licence", "job_sleep", "job_stop", "env_open",
+                                   "mail_auto", "mail_udc", "mail_message", "mail_manager", "mail_attach", "mail_mv_rel"}),
+}
+
+
+def kinds_of(*made: object) -> frozenset[str] | None:
+    """The kinds that some fact tables read together, None where one of them reads all."""
+    return frozenset().union(*(KINDS[m] for m in made)) if all(m in KINDS for m in made) else None

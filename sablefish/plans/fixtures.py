@@ -272,8 +272,8 @@ def small_sources(spark):
     return facts.scan_sources(spark.createDataFrame(rows(), "arquivo string, caminho_relativo string, content binary"))
 
 
-def sources(spark, folder: str):
-    """The scanned sources of all customers: each has the template of its key modulo their number."""
+def sources(spark, folder: str, *made):
+    """The scanned sources of all customers: each has the template of its key modulo their number. Only what the fact tables ``made`` read is sought, where these are given."""
     from pyspark.sql import functions as F
 
     from ..operators import facts
@@ -287,7 +287,7 @@ def sources(spark, folder: str):
     name = F.concat(key, F.lit("_"), "name")
     # the extra partitions are for the scan, which is all of the work
     content = F.concat(text, F.lit("// "), "c_name", F.lit("\n")).cast("binary")
-    return facts.scan_sources(met.select(name.alias("arquivo"), F.concat(F.lit("SIGALOJA/"), name).alias("caminho_relativo"), content.alias("content")).repartition(spark.sparkContext.defaultParallelism))
+    return facts.scan_sources(met.select(name.alias("arquivo"), F.concat(F.lit("SIGALOJA/"), name).alias("caminho_relativo"), content.alias("content")).repartition(spark.sparkContext.defaultParallelism), kinds=facts.kinds_of(*made) if made else None)
 
 
 def _lines(name: str) -> tuple[list[str], list[list[str]]]:

@@ -1,5 +1,6 @@
 """Extraction on fixture sources."""
 
+import pyarrow as pa
 import pytest
 
 from sablefish.operators import facts, lint
@@ -132,3 +133,28 @@ def test_lint(sources):
 def test_single_rules(spark, text, rule, lines):
     src = facts.scan_sources(spark.createDataFrame([("a.prw", "a.prw", text.encode())], "arquivo string, caminho_relativo string, content binary"))
     assert sorted(r["linha"] for r in lint.lint_sources(src).where(f"regra_id = '{rule}'").collect()) == lines
+
+
+def test_restricted_scans_find_what_full_ones_do(spark):
+    files = spark.createDataFrame([(n, f"SIGALOJA/{n}", t.encode("cp1252")) for n, t in fixtures.TEMPLATES.items()], "arquivo string, caminho_relativo string, content binary")
+    full = facts.scan_sources(files)
+    for make, kinds in facts.KINDS.items():
+        rows = [sorted(map(str, make(s).collect())) for s in (full, facts.scan_sources(files, kinds=kinds))]
+        assert rows[0] == rows[1], make.__name__
+        assert len({f.kind for r in facts.scan_sources(files, kinds=kinds).select("facts").collect() for f in r.facts} - kinds - facts.FUNCTION_KINDS) == 0
+
+
+def test_sources_are_read_once_and_in_blocks(spark):
+    files = spark.createDataFrame(fixtures.rows(), "arquivo string, caminho_relativo string, content binary")
+    for make in (facts.endpoints, facts.execution_triggers):
+        plan = make(facts.scan_sources(files))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1
+    batch = pa.RecordBatch.from_pydict({"k": list(range(700)), "content": [b"x" * 10] * 600 + [None] + [b"y" * (3 << 20)] * 99})
+    blocks = list(facts._blocks(iter([batch])))
+    assert [k for b in blocks for k in b.column("k").to_pylist()] == list(range(700)) and max(b.num_rows for b in blocks) == facts.BLOCK_SOURCES and blocks[-1].num_rows == 1
+
+
+def test_a_bare_endpoint_beside_a_classic_one(spark):
+    text = "WSMETHOD GET Lista WSSERVICE Loja\nWSMETHOD GET WSSERVICE Loja\n"
+    rows = facts.endpoints(facts.scan_sources(spark.createDataFrame([("a.prw", "a.prw", text.encode())], "arquivo string, caminho_relativo string, content binary"))).collect()
+    assert sorted((r.classe, r.funcao, r.annotation_style, r.linha) for r in rows) == [("Loja", "", "wsmethod_restful", 2), ("Loja", "Lista", "wsmethod_classico", 1)]
