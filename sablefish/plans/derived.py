@@ -114,5 +114,7 @@ def _choice(texts: list[str]) -> str:
 def sql_table_names(spark, d):
     """The tables of a statement for each part: lists, subqueries, common tables, quoted names, comments, macros."""
     sql = F.get(F.array(*[F.lit(s) for s, _ in STATEMENTS]), (F.col("p_partkey") % len(STATEMENTS)).cast("int"))
-    rows = table(spark, d, "part").select("p_partkey", F.replace(sql, F.lit("#"), F.col("p_partkey").cast("string")).alias("sql"))
+    # keys are dealt out before statements are made of them: a few MB of parts may lie in one row group, which one task reads
+    part = table(spark, d, "part").select("p_partkey").repartition(spark.sparkContext.defaultParallelism)
+    rows = part.select("p_partkey", F.replace(sql, F.lit("#"), F.col("p_partkey").cast("string")).alias("sql"))
     return rows.mapInArrow(_named, "p_partkey long, tables array<string>").select("p_partkey", F.explode("tables").alias("name"))

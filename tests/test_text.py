@@ -5,6 +5,8 @@ from collections import Counter
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from sablefish.functions import charset, personal, scanner, sql_names
 from sablefish.functions import source_text as T
 from sablefish.operators import facts
@@ -138,3 +140,9 @@ def test_charset_of_short_texts():
 
 def test_encoded_texts_keep_a_letter_beyond_ascii():
     assert derived._bytes("für 漢字", "cp850") == "für éé".encode("cp850") and derived._bytes("— ok", "cp850") == "é ok".encode("cp850") and derived._bytes("€", "cp1252") == b"\x80"
+
+
+def test_statements_are_dealt_out_to_all_cores(spark, tmp_path):
+    spark.range(100).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    made = derived.sql_table_names(spark, str(tmp_path)).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert made == spark.sparkContext.defaultParallelism
