@@ -6,9 +6,13 @@ Postings are plain tables (a row for a token and a text), so they can be staged,
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..sources.staging import staged
 from . import multipattern, search
@@ -63,9 +67,60 @@ def bm25(postings: DataFrame, sizes: DataFrame, key: str, terms: list[str], k: i
     return scored(bounds.where(F.col("most") >= least - 1e-6))
 
 
+#: Characters of texts whose trigrams are found at once, about.
+BLOCK_CHARACTERS = 1 << 19
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of batches with their texts (the second column), of about so many characters each, one text at least."""
+    for batch in batches:
+        texts, first, size = [], 0, 0
+        for at, value in enumerate(batch.column(1)):
+            text = value.as_py() or ""
+            if texts and size + len(text) > BLOCK_CHARACTERS:
+                yield batch.slice(first, at - first), texts
+                texts, first, size = [], at, 0
+            texts.append(text)
+            size += len(text)
+        if texts:
+            yield batch.slice(first), texts
+
+
+def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The distinct runs of three characters of each text: the text's place and the run's, and the runs."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64)
+    of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    inside = of[:-2] == of[2:]
+    runs, which = np.unique((codes[:-2] | codes[1:-1] << np.uint64(21) | codes[2:] << np.uint64(42))[inside], return_inverse=True)
+    pairs = np.unique(of[:-2][inside] * max(1, len(runs)) + which)
+    letters = np.stack([runs >> np.uint64(k) & np.uint64((1 << 21) - 1) for k in (0, 21, 42)], axis=1).astype("<u4").tobytes().decode("utf-32-le")
+    return pairs // max(1, len(runs)), pairs % max(1, len(runs)), pa.array([letters[k : k + GRAM] for k in range(0, len(letters), GRAM)], pa.string())
+
+
 def trigram_postings(df: DataFrame, key: str, text: str) -> DataFrame:
     """key and gram: the distinct runs of three characters of each text, in lower case."""
-    return df.select(key, F.explode(search.trigrams(text)).alias("gram"))
+    rows = df.select(key, F.lower(text).alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in _blocks(batches):
+            of, which, runs = _trigrams(texts)
+            for k in range(0, len(of), 1 << 16):  # a long text has many
+                part = slice(k, k + (1 << 16))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[part])), runs.take(pa.array(which[part]))], names=[key, "gram"])
+
+    return rows.mapInArrow(run, StructType([rows.schema[key], StructField("gram", StringType())]))
+
+
+def trigram_counts(df: DataFrame, text: str) -> DataFrame:
+    """gram and n, the texts that have it; counted in each block before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in _blocks(batches):
+            _, which, runs = _trigrams(texts)
+            yield pa.RecordBatch.from_arrays([runs, pa.array(np.bincount(which, minlength=len(runs)), pa.int64())], names=["gram", "n"])
+
+    found = df.select(F.lit(0).alias("_"), F.lower(text).alias("_text")).mapInArrow(run, "gram string, n long")
+    return found.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def substring_search(spark: SparkSession, postings: DataFrame, texts: DataFrame, key: str, text: str, needles: DataFrame, needle_key: str, needle: str, most: int = 3) -> DataFrame:

@@ -130,8 +130,7 @@ def trigram_search(spark, d):
 @query(f"""SELECT gram, count(*) AS n FROM (SELECT unnest({_TRIGRAMS.format('text')}) AS gram FROM documents WHERE length(text) >= 3) GROUP BY gram""")
 def trigram_counts(spark, d):
     """How many texts have each trigram."""
-    found = postings.trigram_postings(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
-    return found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return postings.trigram_counts(spread(table(spark, d, "documents").select("text")), "text")
 
 
 @query(f"""WITH t AS (SELECT doc_id, {_TOKENS} AS k FROM documents), l AS (SELECT count(*) AS n, avg(coalesce(len(k), 0)) AS mean FROM t),

@@ -3,6 +3,7 @@
 import json
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +178,19 @@ def test_substring_search_is_a_full_scan(spark, monkeypatch):
         monkeypatch.setattr(postings, "BROADCAST_PAIRS", bound)
         found = postings.substring_search(spark, postings.trigram_postings(docs, "i", "t"), docs, "i", "t", asked, "k", "n")
         assert {tuple(r) for r in found.select("k", "i").collect()} == wanted and found.count() == len(wanted)
+
+
+def test_trigrams_by_blocks(spark):
+    from sablefish.operators import postings
+
+    texts = ["Ab", "", None, "ABCabc", "𝔘𝔘𝔘x", "ÀÉÎ àéî", "x" * 50, "İI", "abcabc"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    grams = lambda t: {t[k : k + 3] for k in range(len(t) - 2)}
+    low = [r.l or "" for r in docs.selectExpr("lower(t) AS l").collect()]
+    expected = sorted((i, g) for i, t in enumerate(low) for g in grams(t))
+    assert sorted((r.i, r.gram) for r in postings.trigram_postings(docs, "i", "t").collect()) == expected
+    counts = {g: sum(g in grams(t) for t in low) for _, g in expected}
+    assert {r.gram: r.n for r in postings.trigram_counts(docs, "t").collect()} == counts
+    assert [t for _, block in postings._blocks(iter([pa.record_batch({"i": list(range(9)), "t": texts})])) for t in block] == [t or "" for t in texts]
+    # a block's counts are all that is shuffled
+    assert "Generate" not in postings.trigram_counts(docs, "t")._jdf.queryExecution().optimizedPlan().toString()
