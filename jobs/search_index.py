@@ -7,7 +7,7 @@ number and overwrites itself; a run without new files writes nothing.
     python -m jobs.search_index --input TABLE --output FOLDER --checkpoint FOLDER [--config FILE] [--search WORDS]
 
 Output below the folder: ``words`` (id, token, tf, n_tokens), partitioned by batch and bucket, ``trigrams`` (id, gram) likewise, and ``keys`` (id, n_tokens), partitioned by batch.
-Config: the columns of the key and the text, ``buckets`` (parts of a batch, by a hash of the id) and ``files_per_bucket``, ``files_per_batch``, and ``trigrams``.
+Config: the columns of the key and the text, ``buckets`` (parts of a batch, by a hash of the id) and ``files_per_bucket`` (at least; more for a large batch), ``files_per_batch``, and ``trigrams``.
 
 Rows without an id are left out (and counted in the log); of several rows of an id in one batch the largest text counts.
 """
@@ -27,10 +27,17 @@ from sablefish.streaming import batches
 PARTITIONS = ("bucket",)
 
 
-def _spread(df: DataFrame, key: str, by: str, options: dict) -> DataFrame:
-    """``df`` with ``bucket``, dealt out so that a bucket has so many files."""
+#: Bytes of texts whose postings make a file of a bucket, about: what a task reads stays the same however large a batch is.
+BYTES_PER_FILE = 8 << 20
+
+
+def _spread(df: DataFrame, key: str, by: str, options: dict, size: int) -> DataFrame:
+    """``df`` with ``bucket``, dealt out so that a bucket has so many files: those of the options, or more where the batch's texts are large."""
+    files = max(options["files_per_bucket"], -(-size // (options["buckets"] * BYTES_PER_FILE)))
     out = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(options["buckets"])).cast("int"))
-    return out.repartition(options["buckets"] * options["files_per_bucket"], "bucket", F.pmod(F.xxhash64(by), F.lit(options["files_per_bucket"])))
+    # by number, as hashes of few pairs would put several into one task and none into others
+    part = F.col("bucket") * files + F.pmod(F.xxhash64(by), F.lit(files)).cast("int")
+    return out.repartitionById(options["buckets"] * files, part)
 
 
 #: Ids that a batch has several times, up to which its texts aren't shuffled to make them one.
@@ -52,12 +59,12 @@ def one_a_key(rows: DataFrame, key: str, text: str) -> DataFrame:
 def write_batch(rows: DataFrame, output: str, number: int, options: dict) -> None:
     """The postings of a batch of rows (key and text)."""
     key, text = options["key"], options["text"]
+    read = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(key).isNull()).alias("none"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("size")).first()
     texts = one_a_key(rows, key, text)
-    tables = {"words": _spread(postings.word_postings(texts, key, text), key, "token", options)}
+    tables = {"words": _spread(postings.word_postings(texts, key, text), key, "token", options, read["size"])}
     if options["trigrams"]:
-        tables["trigrams"] = _spread(postings.trigram_postings(texts, key, text), key, "gram", options)
+        tables["trigrams"] = _spread(postings.trigram_postings(texts, key, text), key, "gram", options, read["size"])
     batches.put(tables, postings.lengths(texts, key, text), output, number, dict.fromkeys(tables, PARTITIONS))
-    read = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(key).isNull()).alias("none")).first()
     written = rows.sparkSession.read.parquet(f"{output}/{batches.KEYS}/batch={number}").count()
     common.log.info("search_index: batch %d read %d rows, %d without an id, and wrote the postings of %d texts", number, read["n"], read["none"], written)
 
