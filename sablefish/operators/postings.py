@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -97,13 +98,26 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return pairs // max(1, len(runs)), pairs % max(1, len(runs)), pa.array([letters[k : k + GRAM] for k in range(0, len(letters), GRAM)], pa.string())
 
 
-def trigram_postings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key and gram: the distinct runs of three characters of each text, in lower case."""
+#: Grams up to which postings for a search leave out all others as they are made.
+WANTED_GRAMS = 100_000
+
+
+def grams_of(needles: DataFrame, needle: str) -> list[str] | None:
+    """All grams of some needles, None where they are many."""
+    found = needles.select(F.explode(search.trigrams(needle)).alias("gram")).distinct().limit(WANTED_GRAMS + 1).collect()
+    return [r["gram"] for r in found] if len(found) <= WANTED_GRAMS else None
+
+
+def trigram_postings(df: DataFrame, key: str, text: str, wanted: list[str] | None = None) -> DataFrame:
+    """key and gram: the distinct runs of three characters of each text, in lower case; or those of them that are wanted."""
     rows = df.select(key, F.lower(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _blocks(batches):
             of, which, runs = _trigrams(texts)
+            if wanted is not None:
+                kept = pc.is_in(runs, value_set=pa.array(wanted, pa.string())).to_numpy(zero_copy_only=False)[which]
+                of, which = of[kept], which[kept]
             for k in range(0, len(of), 1 << 16):  # a long text has many
                 part = slice(k, k + (1 << 16))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[part])), runs.take(pa.array(which[part]))], names=[key, "gram"])

@@ -124,7 +124,7 @@ def trigram_search(spark, d):
     """Which texts hold a part of a declared text in any case, by the trigram postings of all texts."""
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     asked = table(spark, d, "benchmark").select("item_id", F.substring("text", 20, 24).alias("needle"))
-    return postings.substring_search(spark, postings.trigram_postings(docs, "doc_id", "text"), docs, "doc_id", "text", asked, "item_id", "needle")
+    return postings.substring_search(spark, postings.trigram_postings(docs, "doc_id", "text", postings.grams_of(asked, "needle")), docs, "doc_id", "text", asked, "item_id", "needle")
 
 
 @query(f"""SELECT gram, count(*) AS n FROM (SELECT unnest({_TRIGRAMS.format('text')}) AS gram FROM documents WHERE length(text) >= 3) GROUP BY gram""")

@@ -189,8 +189,21 @@ def test_trigrams_by_blocks(spark):
     low = [r.l or "" for r in docs.selectExpr("lower(t) AS l").collect()]
     expected = sorted((i, g) for i, t in enumerate(low) for g in grams(t))
     assert sorted((r.i, r.gram) for r in postings.trigram_postings(docs, "i", "t").collect()) == expected
+    few = postings.grams_of(spark.createDataFrame([("xABCa",), (None,)], "n string"), "n")
+    assert sorted(few) == ["abc", "bca", "xab"]
+    assert sorted((r.i, r.gram) for r in postings.trigram_postings(docs, "i", "t", few).collect()) == [x for x in expected if x[1] in few]
     counts = {g: sum(g in grams(t) for t in low) for _, g in expected}
     assert {r.gram: r.n for r in postings.trigram_counts(docs, "t").collect()} == counts
     assert [t for _, block in postings._blocks(iter([pa.record_batch({"i": list(range(9)), "t": texts})])) for t in block] == [t or "" for t in texts]
     # a block's counts are all that is shuffled
     assert "Generate" not in postings.trigram_counts(docs, "t")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_large_batch_has_more_files(spark):
+    rows = spark.range(2000).selectExpr("id AS doc_id", "concat('t', id % 7) AS token")
+    options = {"buckets": 16, "files_per_bucket": 1}
+    for size, files in ((0, 1), (search_index.BYTES_PER_FILE * 16 * 3, 3)):
+        dealt = search_index._spread(rows, "doc_id", "token", options, size).select("bucket", F.spark_partition_id().alias("p"))
+        assert dealt.rdd.getNumPartitions() == 16 * files and dealt.where(f"p div {files} <> bucket").isEmpty()
+        # one bucket a task at most
+        assert dealt.distinct().groupBy("p").count().where("count > 1").isEmpty() and dealt.select("p").distinct().count() > 16 * (files - 1)
