@@ -18,6 +18,10 @@ share the first or the last half of their units (halves taken for the shorter le
 line shares go on, and with one half shared the deleted place lies in the other one. Lines that go on are numbered
 in their order, so variants are rows of a few numbers.
 
+Rows that go back to a few keys (halves that lines share, places of suspects, lines to drop) pass a bitmap of these keys first
+(``common.sifted``), so most of them aren't shuffled, whatever the size; texts are, once, for the result. Tables between the steps
+are removed before that.
+
 Only DataFrame functions. Keys with many lines (a very common line, a half that a third of
 all lines share) are pre-aggregated; where rows go back to their keys, both sides are plain
 tables, so that adaptive execution splits hot keys. Variants of a line of n units come from
@@ -34,26 +38,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import remove, shared_path, sifted, staged
 
 LEAST, RUN = 8, 256
-#: Texts with suspect lines up to this number are looked up by broadcast, more by a shuffled join; the same for keys of many lines.
+#: Keys of many lines up to this number are looked up by broadcast, more by a shuffled join.
 BROADCAST_TEXTS = 50_000
 #: A text with plain spaces for white space but line ends; few texts have other, and looking for these by ``contains`` is cheap.
 SPACED = "IF(contains(text, '\t') OR contains(text, '\r') OR contains(text, '\x0b') OR contains(text, '\x0c'), translate(text, '\t\r\x0b\x0c', '    '), text)"
 WORDS = "array_remove(split(line, ' '), '')"
 #: Kind 0: words, 1: characters, 2: compared exactly.
 KIND = "IF(size(w) >= {0}, 0, IF(length(array_join(w, ' ')) >= {0}, 1, 2))"
-UNITS = "IF(kind = 1, split(array_join(w, ' '), ''), w)"
+#: Of the words, and of the same words joined by single spaces.
+UNITS, UNITS_AGAIN = "IF(kind = 1, split(array_join(w, ' '), ''), w)", "IF(kind = 1, split(words, ''), split(words, ' '))"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
 
 
+def _lines(docs: DataFrame) -> DataFrame:
+    return _keyed(docs).selectExpr("doc_id", "mark", f"posexplode(split({SPACED}, '\\n')) AS (line_no, line)")
+
+
 def occurrences(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Every non-blank line: its document, number, two hashes and half keys (first and last half, for its own length and one less)."""
-    lines = _keyed(docs).selectExpr("doc_id", "mark", f"posexplode(split({SPACED}, '\\n')) AS (line_no, line)")
+    lines = _lines(docs)
     # a filter on the words would split every line twice
     words = lines.where("trim(line) <> ''").selectExpr("doc_id", "mark", "line_no", f"{WORDS} AS w")
     units = words.selectExpr("doc_id", "mark", "line_no", "w", f"{KIND.format(least)} AS kind").selectExpr("*", f"{UNITS} AS u")
@@ -76,26 +85,25 @@ def distinct_lines(found: DataFrame) -> DataFrame:
     )
 
 
-def suspects(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    """First occurrences of the lines that share a half with another line, and whether places in the front, in the rear are to be deleted."""
-    keys = lines.where(F.col("halves").isNotNull()).selectExpr("first", "h1", "posexplode(halves) AS (side, half)").selectExpr("first", "h1", "half", "side % 2 = 1 AS front")
-    shared = keys.groupBy("half").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).where("least <> most").select("half")
-    met = keys.drop("h1").join(staged(spark, shared, "halves"), "half")
-    return met.groupBy("first").agg(F.bool_or("front").alias("front"), F.bool_or(~F.col("front")).alias("rear"))
+def suspects(spark: SparkSession, lines: DataFrame, folder: str) -> DataFrame:
+    """Different lines that share a half with another one, and whether places in the front, in the rear are to be deleted."""
+    keys = lines.where(F.col("halves").isNotNull()).selectExpr("first", "h1", "h2", "posexplode(halves) AS (side, half)")
+    # the half keys of a line differ, as do the lines
+    shared = staged(spark, keys.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half"), "halves", folder)
+    met = sifted(keys, "half", shared, "half").join(shared, "half")
+    return met.groupBy("first", "h1", "h2").agg(F.expr("bool_or(side % 2 = 1)").alias("front"), F.expr("bool_or(side % 2 = 0)").alias("rear"))
 
 
 def line_units(docs: DataFrame, firsts: DataFrame, least: int = LEAST) -> DataFrame:
-    """The units of the lines at the given first occurrences, with a number in the order of the lines."""
-    places = firsts.groupBy("first.doc_id", "first.mark").agg(F.collect_list(F.struct("first.line_no", "front", "rear")).alias("places"))
-    places = places.select(F.col("doc_id").alias("p_id"), F.col("mark").alias("p_mark"), "places")
-    few = places.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
-    texts = _keyed(docs).where(F.col("text").isNotNull())
-    met = texts.join(F.broadcast(places) if few else places, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("mark") == F.col("p_mark")))
-    split = met.selectExpr("doc_id", "mark", "places", f"split({SPACED}, '\\n') AS lines").selectExpr("doc_id", "mark", "lines", "inline(places)")
-    rows = split.selectExpr("struct(doc_id, mark, line_no) AS first", "front", "rear", "lines[line_no] AS line").selectExpr("first", "front", "rear", f"{WORDS} AS w")
-    rows = rows.selectExpr("*", f"{KIND.format(least)} AS kind").selectExpr("first", "front", "rear", "kind", f"{UNITS} AS u")
-    # rows equal in id and text come once; partitions of sorted rows are in order, and so are these numbers
-    return rows.dropDuplicates(["first"]).orderBy("first").withColumn("line", F.monotonically_increasing_id())
+    """The words of the lines at the given first occurrences and their kind, with a number in the order of the lines."""
+    place = "xxhash64({0}doc_id, {0}mark, {0}line_no)".format
+    met = sifted(_lines(docs), place(""), firsts, place("first."))
+    # rows equal in id and text come once
+    once = met.groupBy(F.struct("doc_id", "mark", "line_no").alias("first")).agg(F.any_value("line").alias("line"))
+    # partitions of sorted rows are in order, and so are these numbers
+    rows = once.join(firsts, "first").orderBy("first").withColumn("line_number", F.monotonically_increasing_id())
+    rows = rows.selectExpr("line_number AS line", "first", "h1", "h2", "front", "rear", f"{WORDS} AS w")
+    return rows.selectExpr("line", "first", "h1", "h2", "front", "rear", f"{KIND.format(least)} AS kind", "array_join(w, ' ') AS words")
 
 
 def variants(units: DataFrame) -> DataFrame:
@@ -108,7 +116,7 @@ def variants(units: DataFrame) -> DataFrame:
 
     before = "({0}.outer[CAST({1} DIV {2} AS INT)] ^ {0}.inner[CAST({1} DIV {2} AS INT)][CAST({1} % {2} AS INT)])"
     at = lambda name, i: before.format(name, i, RUN)
-    runs = units.selectExpr(
+    runs = units.selectExpr("line", "kind", "front", "rear", f"{UNITS_AGAIN} AS u").selectExpr(
         "line", "kind", "front", "rear", "size(u) AS n", "transform(u, (x, j) -> xxhash64(j, x)) AS here", "transform(u, (x, j) -> xxhash64(j - 1, x)) AS moved"
     ).selectExpr("line", "kind", "front", "rear", "n", f"{running('concat(here, array(0L))')} AS h", f"{running('concat(moved, array(0L))')} AS m")
     # with a shared half the deleted place lies in the other one; halves are taken for n and for n - 1 units
@@ -120,19 +128,19 @@ def variants(units: DataFrame) -> DataFrame:
     return runs.selectExpr("line", f"explode(concat({own}, {shorter})) AS v").selectExpr("line", "v.key", "v.place")
 
 
-def candidate_pairs(spark: SparkSession, made: DataFrame) -> DataFrame:
+def candidate_pairs(spark: SparkSession, made: DataFrame, folder: str) -> DataFrame:
     """later and earlier lines that share a variant, each line with the earliest of a key only."""
     spots = made.groupBy("key", "place").agg(F.min("line").alias("least"), F.max("line").alias("most"), F.count(F.lit(1)).alias("n"))
-    spots = staged(spark, spots, "spots")
+    spots = staged(spark, spots, "spots", folder)
     pair = lambda df, a, b: df.select(F.greatest(a, b).alias("later"), F.least(a, b).alias("earlier"))
     same = spots.where("place >= 0 AND n > 1")
     whole = spots.where("place < 0").select("key", F.col("least").alias("line"))
     cut = spots.where("place >= 0").groupBy("key").agg(F.min("least").alias("longer"), F.max("most").alias("longest"), F.sum("n").alias("n"))
-    both = staged(spark, whole.join(cut, "key"), "inserted")
+    both = staged(spark, whole.join(cut, "key"), "inserted", folder)
     pairs = pair(same, "least", "most").unionByName(pair(both, "line", "longer")).unionByName(pair(both, "line", "longest"))
     # two lines of a key are known by now; the others go back to theirs
     for name, many, other, keys in (("same", same.where("n > 2"), "least", ["key", "place"]), ("inserted", both.where("n > 2"), "line", ["key"])):
-        many = staged(spark, many.select(*keys, F.col(other).alias("other")), f"many-{name}")
+        many = staged(spark, many.select(*keys, F.col(other).alias("other")), f"many-{name}", folder)
         few = many.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
         met = made.where("place >= 0").join(F.broadcast(many) if few else many, keys)
         pairs = pairs.unionByName(pair(met, "line", "other"))
@@ -141,25 +149,27 @@ def candidate_pairs(spark: SparkSession, made: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, units: DataFrame) -> DataFrame:
     """The later lines of pairs within one edit: what both ends share leaves at most one unit."""
-    a = units.select(F.col("line").alias("later"), F.col("u").alias("a"), F.col("kind").alias("kind_a"), "first")
-    b = units.select(F.col("line").alias("earlier"), F.col("u").alias("b"), F.col("kind").alias("kind_b"))
+    a = units.selectExpr("line AS later", "words AS a", "kind AS kind_a", "first", "h1", "h2")
+    b = units.selectExpr("line AS earlier", "words AS b", "kind AS kind_b")
     first_off = "array_position(zip_with({0}, {1}, (x, y) -> x <=> y), false)"
     shared = f"IF({first_off} = 0, least(size(a), size(b)), {first_off} - 1)"
     front, back = shared.format("a", "b"), shared.format("reverse(a)", "reverse(b)")
-    near = f"kind_a = kind_b AND abs(size(a) - size(b)) <= 1 AND {front} + {back} >= greatest(size(a), size(b)) - 1"
-    return pairs.join(a, "later").join(b, "earlier").where(near).select("first").distinct()
-
-
-def dropped_lines(spark: SparkSession, docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, mark and the numbers of the lines to drop, as ``exact`` and ``near``."""
-    found = staged(spark, occurrences(docs, least), "lines")
-    lines = staged(spark, distinct_lines(found), "distinct-lines")
-    units = staged(spark, line_units(docs, staged(spark, suspects(spark, lines), "suspects"), least), "suspect-units")
-    made = staged(spark, variants(units), "variants")
-    near = staged(spark, verified(staged(spark, candidate_pairs(spark, made), "pairs"), units), "near-lines")
-    marked = lines.select("h1", "h2", "first", "times").join(near.select("first", F.lit(True).alias("is_near")), "first", "left")
-    fate = staged(spark, marked.where("times > 1 OR is_near").select("h1", "h2", "first", F.coalesce("is_near", F.lit(False)).alias("is_near")), "fates")
-    gone = found.select("h1", "h2", F.struct("doc_id", "mark", "line_no").alias("own")).join(fate, ["h1", "h2"])
+    near = f"abs(size(a) - size(b)) <= 1 AND {front} + {back} >= greatest(size(a), size(b)) - 1"
+    met = pairs.join(a, "later").join(b, "earlier").where("kind_a = kind_b")
+    unit = lambda x: UNITS_AGAIN.replace("words", x).replace("kind", "kind_a")
+    return met.selectExpr("first", "h1", "h2", f"{unit('a')} AS a", f"{unit('b')} AS b").where(near).select("first", "h1", "h2").distinct()
+
+
+def dropped_lines(spark: SparkSession, docs: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
+    """doc_id, mark and the numbers of the lines to drop, as ``exact`` and ``near``; reads tables staged in ``folder``."""
+    found = staged(spark, occurrences(docs, least), "lines", folder)
+    lines = staged(spark, distinct_lines(found), "distinct-lines", folder)
+    units = staged(spark, line_units(docs, staged(spark, suspects(spark, lines, folder), "suspects", folder), least), "suspect-units", folder)
+    made = staged(spark, variants(units), "variants", folder)
+    near = staged(spark, verified(staged(spark, candidate_pairs(spark, made, folder), "pairs", folder), units), "near-lines", folder)
+    marked = lines.where("times > 1").select("first", "h1", "h2", F.lit(False).alias("near")).unionByName(near.select("first", "h1", "h2", F.lit(True).alias("near")))
+    fate = staged(spark, marked.groupBy("first", "h1", "h2").agg(F.bool_or("near").alias("is_near")), "fates", folder)
+    gone = sifted(found, "h1", fate, "h1").select("h1", "h2", F.struct("doc_id", "mark", "line_no").alias("own")).join(fate, ["h1", "h2"])
     # equal rows have equal places; one number each is enough
     return (
         gone.where("is_near OR own <> first")
@@ -173,7 +183,10 @@ def dropped_lines(spark: SparkSession, docs: DataFrame, least: int = LEAST) -> D
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``docs`` with ``text`` without its repeated lines, and ``n_lines``, ``n_exact``, ``n_near``."""
-    gone = staged(spark, dropped_lines(spark, docs, least), "dropped")
+    folder = shared_path(spark, "line-dedup")
+    gone = staged(spark, dropped_lines(spark, docs, folder, least), "dropped")
+    # before the texts are shuffled
+    remove(spark, folder)
     # the other columns go as one, so that none clashes with those of the join
     others = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near", "text")]
     rows = docs.select(

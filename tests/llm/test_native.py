@@ -2,12 +2,13 @@
 
 import collections
 import hashlib
+import pathlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from sablefish.llm import linededup, mixing, sketches
+from sablefish.llm import common, linededup, mixing, sketches
 
 from .conftest import corpus
 
@@ -180,3 +181,57 @@ def test_line_dedup_of_long_lines(spark, monkeypatch):
     monkeypatch.setattr(linededup, "BROADCAST_TEXTS", 0)
     out = linededup.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["doc_id"]: r["text"] for r in out.collect()} == brute_dedup(rows, 8)
+
+
+def shuffled(spark, run):
+    """Bytes that a run writes to shuffles."""
+    context, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+
+    def stages():
+        context.listenerBus().waitUntilEmpty(30_000)
+        none = spark.sparkContext._gateway.new_array(jvm.double, 0)
+        found = context.statusStore().stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteBytes() for k in range(found.size())}
+
+    before = stages()
+    run()
+    return sum(v for k, v in stages().items() if k not in before)
+
+
+def test_line_dedup_shuffles_few_rows_but_texts(spark, tmp_path):
+    # as for tables too large for a broadcast; every 20th text repeats a line, and every 20th has one near it
+    rng = random.Random(3)
+    lines = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(20)) for _ in range(6000)]
+    rows = [(k, "\n".join([*lines[6 * k : 6 * k + 6], *([lines[k + 6]] if k % 20 == 1 else []), *([lines[k + 6] + " end"] if k % 20 == 2 else [])])) for k in range(1000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "docs"))
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    got = {}
+    try:
+        sent = shuffled(spark, lambda: got.update((r["doc_id"], r["text"]) for r in linededup.dedup_lines(spark, spark.read.parquet(str(tmp_path / "docs"))).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert got == {k: "\n".join(t.split("\n")[:6]) for k, t in rows}
+    size = sum(len(t) for _, t in rows)
+    assert sent < 3 * size, sent / size
+
+
+def test_line_dedup_leaves_only_what_its_result_reads(spark):
+    def tables():
+        return {p.name for p in pathlib.Path(spark.conf.get("spark.checkpoint.dir")).iterdir()}
+
+    before = tables()
+    out = linededup.dedup_lines(spark, spark.createDataFrame(LINES, "doc_id long, text string"))
+    assert [x.split("-")[1] for x in tables() - before] == ["dropped"]
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == brute_dedup(LINES, 8)
+
+
+@pytest.mark.parametrize("most", [1 << 28, 64])
+def test_sifting_loses_no_partner(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "SIEVE_MOST", most)
+    rows = spark.range(20000).selectExpr("xxhash64(id) AS h", "id").unionByName(spark.sql("SELECT CAST(NULL AS bigint) AS h, -1L AS id"))
+    some = spark.range(0, 20000, 40).selectExpr("xxhash64(id) AS wanted")
+    left = {r["id"] for r in common.sifted(rows, "h", some, "wanted").collect()}
+    assert left >= set(range(0, 20000, 40)) and -1 not in left
+    assert len(left) < 2000 or most == 64
+    assert common.sifted(rows, "h", some.where("false"), "wanted").count() == 0
